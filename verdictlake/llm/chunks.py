@@ -6,9 +6,10 @@ byte, a chunk ends where the top bits of the hash are zero and the chunk has at
 on, or at ``HARD_BYTES``. Boundaries depend on nearby content alone, so an insertion
 shifts the chunks behind it and changes no more than one or two of them.
 
-Chunks meet by 128-bit digest. A digest's first occurrence, by id and place, stays; a
-maximal run of later occurrences of at least ``min_chars`` characters is a repeated
-span. Single chunks that happen to agree, such as a stock phrase, stay below that.
+Chunks meet by 128-bit digest of their words. A digest's first occurrence, by id and place, stays; a
+maximal run of later occurrences of at least ``min_words`` words is a repeated span. A
+passage loses up to a chunk at either end to its surroundings, so the default of 24 words
+stands for passages of about 50; a stock phrase or a common line stays below it.
 
 A passage that a document repeats within itself counts only with ``within=True``.
 
@@ -35,8 +36,9 @@ from .common import slices
 
 WINDOW, MIN_BYTES, MAX_BYTES, HARD_BYTES = 16, 16, 192, 1024
 TOP_BITS = 2
-MIN_CHARS = 80
-CHUNKS = "id long, n int, begin int, finish int, digest binary"
+MIN_WORDS = 24
+NO_ID = -(1 << 63)
+CHUNKS = "id long, n int, words int, begin int, finish int, digest binary"
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -91,7 +93,7 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 500_000):
-            index, number, begin, finish, digests = [], [], [], [], []
+            index, number, words, begin, finish, digests = [], [], [], [], [], []
             for k, t in enumerate(texts):
                 raw = t.encode("utf-8", "surrogatepass")
                 data = np.frombuffer(raw, np.uint8)
@@ -105,14 +107,16 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 begin += [0, *chars[:-1]] if ends else []
                 finish += chars
                 h = xxhash.xxh3_128_digest
-                digests += [h(raw[a:b].strip()) for a, b in zip([0, *ends], ends)]
+                pieces = [raw[a:b].split() for a, b in zip([0, *ends], ends)]
+                words += map(len, pieces)
+                digests += [h(b" ".join(p)) for p in pieces]
             ids = batch.column("id").take(pa.array(index, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(begin, pa.int32()), pa.array(finish, pa.int32()), pa.array(digests, pa.binary())], ["id", "n", "begin", "finish", "digest"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(words, pa.int32()), pa.array(begin, pa.int32()), pa.array(finish, pa.int32()), pa.array(digests, pa.binary())], ["id", "n", "words", "begin", "finish", "digest"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, CHUNKS)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, within: bool = False) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """One row for each document with a repeated span: id, n_spans, repeated_chars, spans, first_ids.
 
     spans: array of (begin, finish, first_id) in code points; first_id is the smallest id
@@ -121,15 +125,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "begin")).alias("first")).where("times > 1").drop("times")
     own = F.col("id").eqNullSafe(F.col("first.id"))
     later = chunks.join(seen, "digest").where(~(own & (F.col("begin") == F.col("first.begin"))) if within else ~own)
-    places = later.groupBy("id").agg(F.collect_list(F.struct("n", "begin", "finish", F.col("first.id").alias("first"))).alias("places"))
-    schema = f"id long, spans array<struct<begin:int,finish:int,first_id:long>>"
+    places = later.groupBy("id").agg(F.collect_list(F.struct("n", "words", "begin", "finish", F.coalesce(F.col("first.id"), F.lit(NO_ID)).alias("first"))).alias("places"))
+    schema = "id long, spans array<struct<begin:int,finish:int,first_id:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32()), ("first_id", pa.int64())]))
         for batch in batches:
             ids, out = [], []
             for i, rows in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist()):
-                if spans := runs(sorted((r["n"], r["begin"], r["finish"], r["first"]) for r in ({**x, "first": x["first"] if x["first"] is not None else -1} for x in rows)), min_chars):
+                if spans := runs(sorted(tuple(r.values()) for r in rows), min_words):
                     ids.append(i)
                     out.append(spans)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], ["id", "spans"])
@@ -139,21 +143,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     return found.select(F.col("id").alias(id_col), F.size("spans").cast("long").alias("n_spans"), width.alias("repeated_chars"), "spans", F.array_sort(F.array_distinct(F.col("spans.first_id"))).alias("first_ids"))
 
 
-def runs(rows: list[tuple[int, int, int, int]], min_chars: int) -> list[dict]:
-    """Maximal runs of neighbouring chunks that have at least ``min_chars`` characters."""
+def runs(rows: list[tuple[int, int, int, int, int]], min_words: int) -> list[dict]:
+    """Maximal runs of neighbouring chunks (number, words, begin, finish, first id) of at least ``min_words`` words."""
     starts = [k for k, r in enumerate(rows) if k == 0 or r[0] > rows[k - 1][0] + 1]
     out = []
     for a, b in zip(starts, [*starts[1:], len(rows)]):
-        begin, finish = rows[a][1], rows[b - 1][2]
-        if finish - begin >= min_chars:
-            first = min(r[3] for r in rows[a:b])
-            out.append({"begin": begin, "finish": finish, "first_id": first if first != -1 else None})
+        if sum(r[1] for r in rows[a:b]) >= min_words:
+            first = min(r[4] for r in rows[a:b])
+            out.append({"begin": rows[a][2], "finish": rows[b - 1][3], "first_id": first if first != NO_ID else None})
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the repeated spans cut out of its texts."""
-    spans = repeated_spans(df, id_col, text, min_chars).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(df, id_col, text, min_words).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(texts, found):
