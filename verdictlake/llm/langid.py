@@ -163,14 +163,16 @@ class UnigramModel:
         """From word counts of each language."""
         langs = sorted(counts)
         model = cls(langs, pieces, np.zeros((len(pieces) + 1, len(langs))))
-        words = sorted({w for c in counts.values() for w in c if len(w) <= 64})
-        weight = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
-        lattice = model.lattice(words)
+        words = list({w for c in counts.values() for w in c if len(w) <= 64})
+        # lattices of words of like length, so that short words don't carry the tables of long ones
+        parts = [(model.lattice(group), np.array([[counts[g].get(w, 0) for g in langs] for w in group], float)) for group in _by_length(sorted(words))]
         size = np.array([len(p) for p in pieces] + [1.0])
         prob = np.repeat((0.02**size / (0.02**size).sum())[:, None], len(langs), 1)
         for _ in range(rounds):
             prob[-1] = UNKNOWN
-            got = lattice.expected(prob, weight) if words else np.zeros(prob.shape)
+            got = np.zeros(prob.shape)
+            for lattice, weight in parts:
+                got += lattice.expected(prob, weight)
             got[-1] = 0
             got += smoothing
             prob = got / got.sum(0)
