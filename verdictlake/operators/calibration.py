@@ -49,22 +49,40 @@ def equal_mass_bins(scored: DataFrame, by: list[str], n_bins: int = BINS) -> Dat
     """(by, bin, n, conf, acc) over groups of near-equal size that never part equal confidences.
 
     Rows fold into distinct confidences first; the greedy cut then walks a group's distinct
-    confidences in order, as an aggregate over an array of (count, sums)."""
+    confidences once, in order."""
     points = with_confidence(scored).groupBy(*by, "conf").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right"))
     rows = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("conf", "n", "right"))).alias("points"), F.sum("n").alias("total"))
-    bins = F.least(F.lit(n_bins), F.col("total"))
-
-    def step(acc: Column, p: Column) -> Column:
-        # a bin closes at the first end of a tie run at or past its target
-        seen = acc["seen"] + p["n"]
-        target = F.greatest(F.least(F.col("total").cast("double"), F.bround((acc["bin"] + 1) * (F.col("total") / bins), 0)), acc["start"] + 1.0)
-        closed = seen >= target
-        placed = F.concat(acc["out"], F.array(F.struct(acc["bin"].alias("bin"), p["conf"].alias("conf"), p["n"].alias("n"), p["right"].alias("right"))))
-        return F.struct(seen.alias("seen"), F.when(closed, seen).otherwise(acc["start"]).alias("start"), F.when(closed, acc["bin"] + 1).otherwise(acc["bin"]).alias("bin"), placed.alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("bin"), F.array().cast("array<struct<bin:int,conf:double,n:bigint,right:double>>").alias("out"))
-    placed = rows.select(*by, bins.cast("int").alias("last"), F.explode(F.aggregate("points", zero, step, lambda acc: acc["out"])).alias("p"))
-    return placed.groupBy(*by, F.least(F.col("p.bin"), F.col("last") - 1).alias("bin")).agg(F.sum("p.n").alias("n"), (F.sum(F.col("p.conf") * F.col("p.n")) / F.sum("p.n")).alias("conf"), (F.sum("p.right") / F.sum("p.n")).alias("acc"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c in by), "bin int, n long, conf double, acc double"])
+
+    def cut(batches):
+        for pdf in batches:
+            pdf["b"] = [cut_evenly([(p["conf"], p["n"], p["right"]) for p in points], n_bins) for points in pdf["points"]]
+            each = pdf[[*by, "b"]].explode("b")
+            for k, c in enumerate(("bin", "n", "conf", "acc")):
+                each[c] = [x[k] for x in each["b"]]
+            yield each.drop(columns="b")
+
+    return rows.mapInPandas(cut, schema)
+
+
+def cut_evenly(points: list[tuple[float, int, float]], n_bins: int) -> list[tuple[int, int, float, float]]:
+    """(bin, n, conf, acc) from distinct confidences in order with their counts and sums of right answers.
+
+    A bin closes at the first end of a tie run at or past its share of the rows; what is left joins the last bin."""
+    total = sum(n for _, n, _ in points)
+    n_bins = min(n_bins, total)
+    sums: list[list[float]] = []
+    seen = start = closed = 0
+    for conf, n, right in points:
+        at = min(closed, n_bins - 1)
+        if at == len(sums):
+            sums.append([0, 0.0, 0.0])
+        seen += n
+        for k, v in enumerate((n, conf * n, right)):
+            sums[at][k] += v
+        if seen >= max(min(total, round((closed + 1) * (total / n_bins))), start + 1):
+            start, closed = seen, closed + 1
+    return [(k, int(n), c / n, r / n) for k, (n, c, r) in enumerate(sums)]
 
 
 def ece(bins: DataFrame, by: list[str], name: str = "ece") -> DataFrame:
