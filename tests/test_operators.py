@@ -111,3 +111,25 @@ def test_splits_do_not_depend_on_partitions(spark):
     first = {r.id for r in splits.sample_per_slice(rows.repartition(7), ["slice"], "id", 20).collect()}
     assert first == {r.id for r in splits.sample_per_slice(rows.coalesce(1), ["slice"], "id", 20).collect()} and len(first) == 60
     assert splits.balance_by_label(rows.where("id < 500 or slice = 0"), "slice", "id").groupBy("slice").count().select("count").distinct().count() == 1
+
+
+def test_resampling_accepts_a_real_help_only(spark):
+    from verdictlake.operators import bootstrap
+
+    # 60 % right at a stated 90 %: the arm that states 60 % helps; swapped, it harms
+    rows = spark.range(1500).select(F.col("id").alias("case_id"), F.lit("d").alias("domain"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 10 < 6).cast("double").alias("ok"))
+    over = rows.select("case_id", "domain", "y", F.lit(0.9).alias("conf_a"), F.col("ok").alias("ok_a"), F.lit(0.6).alias("conf_b"), F.col("ok").alias("ok_b"))
+    got = bootstrap.help_is_real(over, ["domain"], resamples=40).first()
+    assert (got.counted, got.better, got.accepted) == (40, 40, True)
+    same = over.withColumn("conf_b", F.lit(0.9))
+    assert not bootstrap.help_is_real(same, ["domain"], resamples=40).first().accepted
+    one_label = over.withColumn("y", F.lit(1))
+    assert bootstrap.help_is_real(one_label, ["domain"], resamples=10).count() == 0
+
+
+def test_letters_take_the_first_occurrence_and_return_to_declared_order(spark):
+    from verdictlake.operators import serving
+
+    t = spark.createDataFrame([(1, [2, 0, 1], 0, " A", -0.1), (1, [2, 0, 1], 1, "B", -1.0), (1, [2, 0, 1], 2, "A", -9.0), (1, [2, 0, 1], 3, "x", -0.5)], "k int, order array<int>, pos int, token string, logprob double")
+    p = serving.letters_to_dist(t, ["k"]).first().probs
+    assert max(range(3), key=p.__getitem__) == 2 and min(range(3), key=p.__getitem__) == 1

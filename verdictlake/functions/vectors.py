@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def uniform(key: Column | str, salt: str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it and wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def total(x: Column | str) -> Column:
     return F.aggregate(_col(x), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -25,9 +32,13 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def softmax(logits: Column | str, t: Column | float = 1.0) -> Column:
     """Max-shifted softmax at temperature ``t``; ``t`` of zero or less is an error."""
-    x, t = _col(logits), F.lit(t) if isinstance(t, (int, float)) else t
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / t))
-    return F.when(t <= 0, F.raise_error(F.lit("temperature must be positive"))).otherwise(F.transform(e, lambda v: v / total(e)))
+    t = F.lit(t) if isinstance(t, (int, float)) else t
+
+    def shifted(x: Column) -> Column:
+        return let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp((v - top) / t)))
+
+    p = let(let(_col(logits), shifted), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))
+    return F.when(t <= 0, F.raise_error(F.lit("temperature must be positive"))).otherwise(p)
 
 
 def sigmoid(x: Column | str, t: Column | float = 1.0) -> Column:
@@ -37,9 +48,11 @@ def sigmoid(x: Column | str, t: Column | float = 1.0) -> Column:
 
 def normalize(x: Column | str) -> Column:
     """Non-negative weights to probabilities; an all-zero vector becomes uniform, a negative weight is an error."""
-    x = _col(x)
-    scaled = F.when(total(x) > 0, F.transform(x, lambda v: v / total(x))).otherwise(F.transform(x, lambda v: 1.0 / F.size(x)))
-    return F.when(F.exists(x, lambda v: v < 0), F.raise_error(F.lit("negative weight"))).otherwise(scaled)
+
+    def scaled(w: Column) -> Column:
+        return let(total(w), lambda s: F.when(s > 0, F.transform(w, lambda v: v / s)).otherwise(F.transform(w, lambda v: 1.0 / F.size(w))))
+
+    return let(_col(x), lambda w: F.when(F.exists(w, lambda v: v < 0), F.raise_error(F.lit("negative weight"))).otherwise(scaled(w)))
 
 
 def entropy(p: Column | str) -> Column:
@@ -92,8 +105,7 @@ def score_confidence(p: Column | str, anchors: Column | str) -> Column:
 
 def argmax(p: Column | str) -> Column:
     """Index of the largest entry, the lowest on ties."""
-    p = _col(p)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(_col(p), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def log_loss(p: Column | str, y: Column | str) -> Column:

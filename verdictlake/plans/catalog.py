@@ -1,14 +1,10 @@
-"""The registered queries of the library, each with SQL that DuckDB runs on the same tables."""
+"""Registered queries over calibration, fits, comparisons, splits, retrieval, evidence and streams, each with SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import STOPWORDS, SUFFIXES
 from ..operators import calibration as K
 from ..operators import cases as C
 from ..operators import compare as J
@@ -17,67 +13,7 @@ from ..operators import fits, gates, retrieval, splits
 from ..sources.records import reliability_diagram
 from ..streaming import monitor
 from . import views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
-# ---- SQL pieces -----------------------------------------------------------------------------
-
-
-def _u(text: str) -> str:
-    return f"(('0x' || substr(sha256({text}), 1, 8))::UBIGINT / 4294967296.0)"
-
-
-def _draw(salt: str, key: str) -> str:
-    return _u(f"'{salt}|' || CAST({key} AS VARCHAR)")
-
-
-def _scored(name: str = "sc", salt: str = "l", lift: float = 1.2) -> str:
-    return f"""
-    {name}_t AS (SELECT list_sort(list(DISTINCT event_type)) AS ty FROM events),
-    {name}_l AS (SELECT event_id AS case_id, CAST(user_id % 7 AS VARCHAR) AS domain, user_id, ts, list_position(ty, event_type) - 1 AS y,
-      list_transform(range(len(ty)), lambda i: 3 * {_u(f"'{salt}' || CAST(i AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)")} + CASE WHEN i = list_position(ty, event_type) - 1 THEN {lift} ELSE 0 END) AS logits FROM events, {name}_t),
-    {name}_e AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM {name}_l),
-    {name}_p AS (SELECT *, list_transform(ex, lambda x: x / list_sum(ex)) AS probs FROM {name}_e),
-    {name} AS (SELECT *, round(list_max(probs), 9) AS conf, CASE WHEN list_position(probs, list_max(probs)) - 1 = y THEN 1.0 ELSE 0.0 END AS correct,
-      -ln(greatest(probs[y + 1], 1e-12)) AS nll, list_sum(list_transform(range(len(probs)), lambda i: pow(probs[i + 1] - CASE WHEN i = y THEN 1 ELSE 0 END, 2))) AS brier,
-      CAST(least(floor(round(list_max(probs), 9) / (1.0::DOUBLE / 15)), 14) AS INTEGER) AS bin FROM {name}_p)"""
-
-
-def _stem(w: str) -> str:
-    cut = w
-    for suffix, least in reversed(SUFFIXES):
-        cut = f"CASE WHEN length({w}) > {least} AND {w} LIKE '%{suffix}' THEN left({w}, length({w}) - {len(suffix)}) ELSE {cut} END"
-    return cut
-
-
-def _tokens(name: str, source: str, key: str) -> str:
-    """CTEs from (key, text) to (key, token)."""
-    stops = ", ".join(f"'{w}'" for w in STOPWORDS)
-    v = "('a', 'e', 'i', 'o', 'u')"
-    return f"""
-    {name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {source}),
-    {name}_1 AS (SELECT {key}, {_stem('w')} AS w FROM {name}_w WHERE length(w) >= 2 AND w NOT IN ({stops})),
-    {name}_2 AS (SELECT {key}, CASE WHEN length(w) > 3 AND w LIKE '%y' AND substr(w, length(w) - 1, 1) NOT IN {v} THEN left(w, length(w) - 1) ELSE w END AS w FROM {name}_1),
-    {name}_3 AS (SELECT {key}, CASE WHEN length(w) > 3 AND w LIKE '%e' THEN left(w, length(w) - 1) ELSE w END AS w FROM {name}_2),
-    {name} AS (SELECT {key}, CASE WHEN length(w) > 3 AND right(w, 1) = substr(w, length(w) - 1, 1) AND right(w, 1) NOT IN {v} THEN left(w, length(w) - 1) ELSE w END AS token FROM {name}_3)"""
-
+from .registry import draw_sql, register, rounded, scored_sql, tokens_sql, u_sql
 
 REPORT = "sum(n) AS n, round(sum(abs(c - f)) / sum(n), 6) AS ece"
 EQUAL = """
@@ -95,7 +31,7 @@ EQUAL = """
 # ---- calibration ------------------------------------------------------------------------------
 
 
-@register(f"""WITH {_scored()}, b AS (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(nll) AS l, sum(brier) AS q FROM sc GROUP BY ALL)
+@register(f"""WITH {scored_sql()}, b AS (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(nll) AS l, sum(brier) AS q FROM sc GROUP BY ALL)
     SELECT domain, {REPORT}, round(max(abs(c - f) / n), 6) AS mce, round(sum(q) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll, round(sum(c) / sum(n), 6) AS accuracy, round(sum(f) / sum(n), 6) AS confidence,
     round(sum(f) / sum(n) - sum(c) / sum(n), 6) AS overconfidence FROM b GROUP BY domain""")
 def k7_calibration_report(spark, sf_dir):
@@ -103,20 +39,20 @@ def k7_calibration_report(spark, sf_dir):
     return rounded(out, "ece", "mce", "brier", "nll", "accuracy", "confidence", "overconfidence")
 
 
-@register(f"""WITH {_scored()}, s AS (SELECT DISTINCT domain, unnest(range(15)) AS bin FROM sc),
+@register(f"""WITH {scored_sql()}, s AS (SELECT DISTINCT domain, unnest(range(15)) AS bin FROM sc),
     b AS (SELECT domain, bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM sc GROUP BY ALL)
     SELECT s.domain, CAST(s.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(conf, 0), 6) AS conf, round(coalesce(acc, 0), 6) AS acc FROM s LEFT JOIN b ON s.domain = b.domain AND s.bin = b.bin""")
 def k1_reliability_bins(spark, sf_dir):
     return rounded(K.reliability_bins(views.event_scored(spark, sf_dir), ["domain"]), "conf", "acc")
 
 
-@register(f"""WITH RECURSIVE {_scored()}, {EQUAL}
+@register(f"""WITH RECURSIVE {scored_sql()}, {EQUAL}
     SELECT domain, CAST(least(bin, 14) AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n, round(sum(conf * n) / sum(n), 6) AS conf, round(sum(r) / sum(n), 6) AS acc FROM walk GROUP BY domain, least(bin, 14)""")
 def k2_equal_mass_bins(spark, sf_dir):
     return rounded(K.equal_mass_bins(views.event_scored(spark, sf_dir), ["domain"]), "conf", "acc")
 
 
-@register(f"""WITH RECURSIVE {_scored()}, {EQUAL},
+@register(f"""WITH RECURSIVE {scored_sql()}, {EQUAL},
     b AS (SELECT domain, least(bin, 14) AS bin, sum(n) AS n, sum(conf * n) / sum(n) AS conf, sum(r) / sum(n) AS acc FROM walk GROUP BY domain, least(bin, 14))
     SELECT domain, round(sum(n * abs(acc - conf)) / sum(n), 6) AS adaptive_ece, round(max(abs(acc - conf)), 6) AS adaptive_mce FROM b GROUP BY domain""")
 def k4_adaptive_ece(spark, sf_dir):
@@ -124,21 +60,21 @@ def k4_adaptive_ece(spark, sf_dir):
     return rounded(K.ece(bins, ["domain"], "adaptive_ece"), "adaptive_ece", "adaptive_mce")
 
 
-@register(f"""WITH {_scored()}, x AS (SELECT unnest(['domain:' || domain, 'kind:choice', 'all']) AS slice, bin, conf, correct, nll, brier FROM sc),
+@register(f"""WITH {scored_sql()}, x AS (SELECT unnest(['domain:' || domain, 'kind:choice', 'all']) AS slice, bin, conf, correct, nll, brier FROM sc),
     b AS (SELECT slice, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(nll) AS l, sum(brier) AS q FROM x GROUP BY ALL)
     SELECT slice, {REPORT}, round(sum(q) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll, round(sum(c) / sum(n), 6) AS accuracy FROM b GROUP BY slice""")
 def k11_slice_reports(spark, sf_dir):
     return rounded(K.slice_reports(views.event_scored(spark, sf_dir)), "ece", "brier", "nll", "accuracy")
 
 
-@register(f"""WITH {_scored()}, d AS (SELECT domain, t, bin, conf, CASE WHEN {_u("'floor|' || CAST(t AS VARCHAR) || '|' || CAST(case_id AS VARCHAR)")} < conf THEN 1.0 ELSE 0.0 END AS hit FROM sc, (SELECT unnest(range(50)) AS t)),
+@register(f"""WITH {scored_sql()}, d AS (SELECT domain, t, bin, conf, CASE WHEN {u_sql("'floor|' || CAST(t AS VARCHAR) || '|' || CAST(case_id AS VARCHAR)")} < conf THEN 1.0 ELSE 0.0 END AS hit FROM sc, (SELECT unnest(range(50)) AS t)),
     b AS (SELECT domain, t, bin, count(*) AS n, sum(hit - conf) AS gap FROM d GROUP BY ALL), e AS (SELECT domain, t, sum(abs(gap)) / sum(n) AS ece, sum(n) AS n FROM b GROUP BY ALL)
     SELECT domain, CAST(max(n) AS BIGINT) AS n, round(avg(ece), 6) AS mean, round(list_sort(list(ece))[48], 6) AS p95 FROM e GROUP BY domain""")
 def k8_noise_floor(spark, sf_dir):
     return rounded(K.noise_floor(views.event_scored(spark, sf_dir), ["domain"], trials=50), "mean", "p95")
 
 
-@register(f"""WITH {_scored()}, c AS (SELECT domain, y, count(*) AS n, sum(correct) AS r FROM sc GROUP BY ALL)
+@register(f"""WITH {scored_sql()}, c AS (SELECT domain, y, count(*) AS n, sum(correct) AS r FROM sc GROUP BY ALL)
     SELECT domain, CAST(sum(n) AS BIGINT) AS n, round(sum(r) / sum(n), 6) AS accuracy, round(max(n) / sum(n), 6) AS baseline, round(sum(r) / sum(n) - max(n) / sum(n), 6) AS lift FROM c GROUP BY domain""")
 def k12_per_question(spark, sf_dir):
     return rounded(K.per_question(views.event_scored(spark, sf_dir), ["domain"]), "accuracy", "baseline", "lift")
@@ -149,7 +85,7 @@ def _halves(spark, sf_dir):
     return s.where("not held_out"), s.where("held_out")
 
 
-HALVES = f"{_scored()}, h AS (SELECT *, {_draw('holdout', 'case_id')} < 0.3 AS held FROM sc)"
+HALVES = f"{scored_sql()}, h AS (SELECT *, {draw_sql('holdout', 'case_id')} < 0.3 AS held FROM sc)"
 
 
 @register(f"""WITH {HALVES}, c AS (SELECT domain, y, count(*) AS n FROM h WHERE NOT held GROUP BY ALL), m AS (SELECT domain, y AS mode FROM c QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n DESC, y) = 1)
@@ -165,19 +101,19 @@ def k15_marginal_scores(spark, sf_dir):
     return rounded(K.marginal_scores(*_halves(spark, sf_dir), ["domain"]), "brier", "nll")
 
 
-@register(f"""WITH {_scored()}, b AS (SELECT domain, greatest(ceil(conf * 10) - 1, 0) AS bin, count(*) AS n, sum(correct - conf) AS gap FROM sc GROUP BY ALL) SELECT domain, round(sum(abs(gap)) / sum(n), 6) AS ece FROM b GROUP BY domain""")
+@register(f"""WITH {scored_sql()}, b AS (SELECT domain, greatest(ceil(conf * 10) - 1, 0) AS bin, count(*) AS n, sum(correct - conf) AS gap FROM sc GROUP BY ALL) SELECT domain, round(sum(abs(gap)) / sum(n), 6) AS ece FROM b GROUP BY domain""")
 def k19_ten_bin_ece(spark, sf_dir):
     return rounded(K.ten_bin_ece(views.event_scored(spark, sf_dir), ["domain"]), "ece")
 
 
-@register(f"""WITH {_scored()} SELECT domain, round(quantile_disc(conf, 0.5), 6) AS p50, round(quantile_disc(conf, 0.99), 6) AS p99 FROM sc GROUP BY domain""")
+@register(f"""WITH {scored_sql()} SELECT domain, round(quantile_disc(conf, 0.5), 6) AS p50, round(quantile_disc(conf, 0.99), 6) AS p99 FROM sc GROUP BY domain""")
 def k16_nearest_rank(spark, sf_dir):
     s = K.with_confidence(views.event_scored(spark, sf_dir))
     out = s.groupBy("domain").agg(*[F.expr(f"percentile_disc({q}) within group (order by conf)").alias(n) for q, n in ((0.5, "p50"), (0.99, "p99"))])
     return rounded(out, "p50", "p99")
 
 
-@register(f"""WITH {_scored()}, s AS (SELECT unnest(range(15)) AS bin), b AS (SELECT bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM sc GROUP BY bin)
+@register(f"""WITH {scored_sql()}, s AS (SELECT unnest(range(15)) AS bin), b AS (SELECT bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM sc GROUP BY bin)
     SELECT CAST(s.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(acc, 0) - coalesce(conf, 0), 6) AS gap FROM s LEFT JOIN b USING (bin)""")
 def s12_reliability_diagram(spark, sf_dir):
     rows = K.reliability_bins(views.event_scored(spark, sf_dir).withColumn("one", F.lit(1)), ["one"])
@@ -189,7 +125,7 @@ def s12_reliability_diagram(spark, sf_dir):
 GRID = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 4.0]
 
 
-@register(f"""WITH {_scored()}, x AS (SELECT domain, t, logits, y FROM sc, (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS t)), e AS (SELECT domain, t, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS ex FROM x)
+@register(f"""WITH {scored_sql()}, x AS (SELECT domain, t, logits, y FROM sc, (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS t)), e AS (SELECT domain, t, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS ex FROM x)
     SELECT domain, t, round(avg(-ln(greatest(ex[y + 1] / list_sum(ex), 1e-12))), 6) AS nll FROM e GROUP BY ALL""")
 def f1_temperature_losses(spark, sf_dir):
     rows = views.event_scored(spark, sf_dir)
@@ -202,7 +138,7 @@ def f1_fit_temperature(spark, sf_dir):
     return fits.fit_temperature(views.event_scored(spark, sf_dir).select("domain", "logits", "y"), ["domain"])
 
 
-@register(f"""WITH {_scored()}, r AS (SELECT round(conf, 1) AS x, sum(correct) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY 1),
+@register(f"""WITH {scored_sql()}, r AS (SELECT round(conf, 1) AS x, sum(correct) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY 1),
     c AS (SELECT x, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw, s, w FROM r),
     m AS (SELECT a.x AS i, b.x AS j, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.x <= b.x),
     f AS (SELECT c.x, (SELECT max(lo) FROM (SELECT i, min(mean) AS lo FROM m WHERE i <= c.x AND j >= c.x GROUP BY i)) AS v FROM c)
@@ -253,14 +189,14 @@ def g_release_gates(spark, sf_dir):
 # ---- decisions ----------------------------------------------------------------------------------
 
 
-@register(f"""WITH {_scored()} SELECT case_id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS selected, round(1 + list_sum(list_transform(probs, lambda p: p * ln(p))) / ln(len(probs)), 6) AS entropy_confidence,
+@register(f"""WITH {scored_sql()} SELECT case_id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS selected, round(1 + list_sum(list_transform(probs, lambda p: p * ln(p))) / ln(len(probs)), 6) AS entropy_confidence,
     round(list_sort(probs)[5] - list_sort(probs)[4], 6) AS margin_confidence, round((list_max(probs) - 0.2) / 0.8, 6) AS max_confidence, round(nll, 6) AS nll, round(brier, 6) AS brier FROM sc""")
 def d6_confidence(spark, sf_dir):
     s = views.event_scored(spark, sf_dir)
     return s.select("case_id", V.argmax("probs").alias("selected"), *[F.round(V.choice_confidence("probs", m), 6).alias(f"{m}_confidence") for m in ("entropy", "margin", "max")], F.round(V.log_loss("probs", "y"), 6).alias("nll"), F.round(V.brier("probs", "y"), 6).alias("brier"))
 
 
-@register(f"""WITH {_scored()}, m AS (SELECT *, list_sum(list_transform(range(5), lambda i: i * probs[i + 1])) AS mean FROM sc)
+@register(f"""WITH {scored_sql()}, m AS (SELECT *, list_sum(list_transform(range(5), lambda i: i * probs[i + 1])) AS mean FROM sc)
     SELECT case_id, round(mean, 6) AS score, round(1 - sqrt(list_sum(list_transform(range(5), lambda i: probs[i + 1] * pow(i - mean, 2)))) / 2, 6) AS confidence FROM m""")
 def d7_score_confidence(spark, sf_dir):
     s = views.event_scored(spark, sf_dir)
@@ -268,14 +204,14 @@ def d7_score_confidence(spark, sf_dir):
     return s.select("case_id", F.round(V.expectation("probs", anchors), 6).alias("score"), F.round(V.score_confidence("probs", anchors), 6).alias("confidence"))
 
 
-@register(f"""WITH {_scored()}, r AS (SELECT case_id, probs, list_sort(list_transform(list_grade_up(probs, 'DESC')[1:3], lambda i: i - 1)) AS s FROM sc)
+@register(f"""WITH {scored_sql()}, r AS (SELECT case_id, probs, list_sort(list_transform(list_grade_up(probs, 'DESC')[1:3], lambda i: i - 1)) AS s FROM sc)
     SELECT case_id, array_to_string(s, ',') AS shown, round(list_sum(list_transform(s, lambda i: probs[i + 1])), 6) AS mass FROM r""")
 def d9_present_top_k(spark, sf_dir):
     out = J.present_top_k(views.event_scored(spark, sf_dir), 3)
     return out.select("case_id", F.array_join(F.col("shown").cast("array<string>"), ",").alias("shown"), F.round("mass", 6).alias("mass"))
 
 
-@register(f"""WITH {_scored('a')}, {_scored('b', 'v', 0.6)}, j AS (SELECT a.domain, CASE WHEN 1 + list_sum(list_transform(a.probs, lambda p: p * ln(p))) / ln(5) < 0.2 THEN 1 ELSE 0 END AS esc, a.correct AS ca, b.correct AS cb FROM a JOIN b USING (case_id))
+@register(f"""WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, j AS (SELECT a.domain, CASE WHEN 1 + list_sum(list_transform(a.probs, lambda p: p * ln(p))) / ln(5) < 0.2 THEN 1 ELSE 0 END AS esc, a.correct AS ca, b.correct AS cb FROM a JOIN b USING (case_id))
     SELECT domain, count(*) AS n, CAST(sum(esc) AS BIGINT) AS escalated, round(avg(CASE WHEN esc = 1 THEN cb ELSE ca END), 6) AS accuracy FROM j GROUP BY domain""")
 def d17_escalation(spark, sf_dir):
     own, premium = views.event_scored(spark, sf_dir), views.event_scored(spark, sf_dir, "v", 0.6)
@@ -286,7 +222,7 @@ def d17_escalation(spark, sf_dir):
 # ---- comparisons ---------------------------------------------------------------------------------
 
 
-@register(f"""WITH {_scored('a')}, {_scored('b', 'v', 0.6)}, u AS (SELECT 'a' AS system, domain AS slice, case_id, correct FROM a UNION ALL SELECT 'b', domain, case_id, correct FROM b WHERE case_id % 5 <> 0),
+@register(f"""WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, u AS (SELECT 'a' AS system, domain AS slice, case_id, correct FROM a UNION ALL SELECT 'b', domain, case_id, correct FROM b WHERE case_id % 5 <> 0),
     c AS (SELECT case_id FROM u GROUP BY case_id HAVING count(DISTINCT system) = 2) SELECT system, slice, count(*) AS n, round(avg(correct), 6) AS accuracy FROM u WHERE case_id IN (FROM c) GROUP BY ALL""")
 def j2_compare_systems(spark, sf_dir):
     """The second system misses some answers, so only the common cases count."""
@@ -298,7 +234,7 @@ def j2_compare_systems(spark, sf_dir):
     return rounded(J.compare_systems(rows("a", views.event_scored(spark, sf_dir)).unionByName(rows("b", missing))), "accuracy")
 
 
-PAIR = f"WITH {_scored('a')}, {_scored('b', 'v', 0.6)}, j AS (SELECT a.domain, a.case_id, a.probs AS p, b.probs AS q, a.correct AS ca, b.correct AS cb, list_position(a.probs, list_max(a.probs)) AS x, list_position(b.probs, list_max(b.probs)) AS z, a.y FROM a JOIN b USING (case_id))"
+PAIR = f"WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, j AS (SELECT a.domain, a.case_id, a.probs AS p, b.probs AS q, a.correct AS ca, b.correct AS cb, list_position(a.probs, list_max(a.probs)) AS x, list_position(b.probs, list_max(b.probs)) AS z, a.y FROM a JOIN b USING (case_id))"
 
 
 @register(f"{PAIR} SELECT domain, count(*) AS n, round(avg(CASE WHEN x = z THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM j GROUP BY domain")
@@ -336,7 +272,7 @@ def l15_serving_cost(spark, sf_dir):
 
 
 @register(f"""WITH a AS (SELECT l_orderkey AS item, l_linenumber AS rater, CAST(floor(l_quantity) AS BIGINT) % 5 AS v FROM lineitem), g AS (SELECT item, list(v ORDER BY rater, v) AS vs FROM a GROUP BY item HAVING count(*) >= 2)
-    SELECT item, CAST(len(vs) AS INTEGER) AS raters, array_to_string(list_transform(range(5), lambda k: CAST(len(list_filter(vs, lambda x: x = k)) AS VARCHAR)), ',') AS votes, CAST(vs[CAST(floor({_draw('rater', 'item')} * len(vs)) AS BIGINT) + 1] AS INTEGER) AS y FROM g""")
+    SELECT item, CAST(len(vs) AS INTEGER) AS raters, array_to_string(list_transform(range(5), lambda k: CAST(len(list_filter(vs, lambda x: x = k)) AS VARCHAR)), ',') AS votes, CAST(vs[CAST(floor({draw_sql('rater', 'item')} * len(vs)) AS BIGINT) + 1] AS INTEGER) AS y FROM g""")
 def c6_group_annotators(spark, sf_dir):
     got = C.group_annotators(views.annotators(spark, sf_dir), "item", "rater", F.col("rating"), 5)
     votes = F.transform("distribution", lambda d: F.round(d * F.col("raters")).cast("int").cast("string"))
@@ -344,7 +280,7 @@ def c6_group_annotators(spark, sf_dir):
 
 
 @register(f"""WITH a AS (SELECT l_orderkey AS item, l_linenumber AS rater, CAST(floor(l_quantity) AS BIGINT) % 5 AS v FROM lineitem),
-    d AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {_u("'half|' || CAST(item AS VARCHAR) || '|' || CAST(rater AS VARCHAR)")}, rater) AS r, count(*) OVER (PARTITION BY item) AS n FROM (SELECT DISTINCT ON (item, rater) * FROM a ORDER BY item, rater, v)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {u_sql("'half|' || CAST(item AS VARCHAR) || '|' || CAST(rater AS VARCHAR)")}, rater) AS r, count(*) OVER (PARTITION BY item) AS n FROM (SELECT DISTINCT ON (item, rater) * FROM a ORDER BY item, rater, v)),
     m AS (SELECT item, floor(avg(v) FILTER (r % 2 = 0) + 0.5) AS h0, floor(avg(v) FILTER (r % 2 = 1) + 0.5) AS h1 FROM d WHERE n >= 4 GROUP BY item) SELECT count(*) AS n, round(avg(CASE WHEN h0 = h1 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM m""")
 def l3_split_half(spark, sf_dir):
     once = views.annotators(spark, sf_dir).groupBy("item", "rater").agg(F.min("rating").alias("rating"))
@@ -358,23 +294,23 @@ def c2_text_choice(spark, sf_dir):
     return got.groupBy(F.col("o_orderstatus").alias("split"), "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(f"SELECT o_orderkey, {_draw('holdout', 'o_orderkey')} < 0.2 AS held_out FROM orders")
+@register(f"SELECT o_orderkey, {draw_sql('holdout', 'o_orderkey')} < 0.2 AS held_out FROM orders")
 def p1_hash_holdout(spark, sf_dir):
     return splits.hash_holdout(views.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
 
 
-@register(f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.9 THEN 'eval' ELSE 'calibration' END AS split FROM (SELECT {_draw('split', 'o_orderkey')} * 1.0 AS u FROM orders)) GROUP BY split")
+@register(f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.9 THEN 'eval' ELSE 'calibration' END AS split FROM (SELECT {draw_sql('split', 'o_orderkey')} * 1.0 AS u FROM orders)) GROUP BY split")
 def p2_split_named(spark, sf_dir):
     got = splits.split_named(views.table(spark, sf_dir, "orders"), "o_orderkey", {"train": 0.7, "eval": 0.2, "calibration": 0.1})
     return got.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(f"SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_draw('sample', 'o_orderkey')}, o_orderkey) <= 50")
+@register(f"SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {draw_sql('sample', 'o_orderkey')}, o_orderkey) <= 50")
 def p7_sample_per_slice(spark, sf_dir):
     return splits.sample_per_slice(views.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey", 50)
 
 
-@register(f"SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_draw('balance', 'o_orderkey')}, o_orderkey) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))")
+@register(f"SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY {draw_sql('balance', 'o_orderkey')}, o_orderkey) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))")
 def c17_balance(spark, sf_dir):
     return splits.balance_by_label(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
 
@@ -388,12 +324,12 @@ def p5_exclude_texts(spark, sf_dir):
 # ---- text and retrieval ------------------------------------------------------------------------------
 
 
-@register(f"WITH {_tokens('t', 'documents', 'doc_id')} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token")
+@register(f"WITH {tokens_sql('t', 'documents', 'doc_id')} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token")
 def x1_tokens(spark, sf_dir):
     return retrieval.tokens(views.table(spark, sf_dir, "documents"), "text", ["doc_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {_tokens('t', 'o', 'idx')}, {_tokens('q', 'documents', 'doc_id')},
+@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, {tokens_sql('q', 'documents', 'doc_id')},
     tf AS (SELECT idx, token, count(*) AS tf FROM t GROUP BY ALL), sz AS (SELECT idx, count(*) AS sz FROM t GROUP BY idx), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
     st AS (SELECT (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM o) AS av),
     s AS (SELECT doc_id AS qid, idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sz / av))), 9) AS score FROM (SELECT DISTINCT doc_id, token FROM q) JOIN tf USING (token) JOIN sz USING (idx) JOIN df USING (token), st GROUP BY ALL),
@@ -405,7 +341,7 @@ def x5_bm25_shortlist(spark, sf_dir):
     return rounded(retrieval.bm25_shortlist(docs, views.items(spark, sf_dir), 5), "score")
 
 
-@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {_tokens('t', 'o', 'idx')}, {_tokens('q', 'documents', 'doc_id')}, c AS (SELECT doc_id, token, count(*) AS n FROM q GROUP BY ALL), d AS (SELECT DISTINCT idx, token FROM t), z AS (SELECT idx, count(*) AS z FROM d GROUP BY idx)
+@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, {tokens_sql('q', 'documents', 'doc_id')}, c AS (SELECT doc_id, token, count(*) AS n FROM q GROUP BY ALL), d AS (SELECT DISTINCT idx, token FROM t), z AS (SELECT idx, count(*) AS z FROM d GROUP BY idx)
     SELECT doc_id AS case_id, idx, round(sum(ln(1 + n) * ln(1 + length(token))) / sqrt(max(z)), 6) AS score FROM c JOIN d USING (token) JOIN z USING (idx) GROUP BY ALL""")
 def x3_lexical_scores(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text")
@@ -433,7 +369,7 @@ def e1_word_spans(spark, sf_dir):
     return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
-MARKS = f"w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) - 1 AS w FROM (SELECT conv_id, turn, unnest(range(1, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) + 1)) AS p FROM conversations)), m AS (SELECT *, {_u(chr(39) + 'g|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS g, {_u(chr(39) + 'p|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS p FROM w)"
+MARKS = f"w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) - 1 AS w FROM (SELECT conv_id, turn, unnest(range(1, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) + 1)) AS p FROM conversations)), m AS (SELECT *, {u_sql(chr(39) + 'g|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS g, {u_sql(chr(39) + 'p|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS p FROM w)"
 
 
 def _marks(spark, sf_dir):
@@ -463,7 +399,7 @@ def e3_merge_spans(spark, sf_dir):
 # ---- streaming twins -------------------------------------------------------------------------------------
 
 
-@register(f"""WITH {_scored()}, b AS (SELECT date_trunc('day', ts) AS start, bin, count(*) AS n, sum(correct - conf) AS gap FROM sc GROUP BY ALL)
+@register(f"""WITH {scored_sql()}, b AS (SELECT date_trunc('day', ts) AS start, bin, count(*) AS n, sum(correct - conf) AS gap FROM sc GROUP BY ALL)
     SELECT start, CAST(sum(n) AS BIGINT) AS n, round(sum(abs(gap)) / sum(n), 6) AS ece, sum(abs(gap)) / sum(n) > 0.05 AS alert FROM b GROUP BY start""")
 def st4_rolling_calibration(spark, sf_dir):
     return rounded(monitor.window_ece(monitor.rolling_bins(views.event_scored(spark, sf_dir))), "ece")
