@@ -1,4 +1,4 @@
 """All registered queries: importing a module of queries registers them."""
 
-from . import catalog, serving_queries  # noqa: F401
+from . import catalog, serving_queries, variant_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
