@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import decontam, exact, quality, simhash
+from verdictlake.llm import decontam, exact, quality, similar
 from verdictlake.llm.common import crc_mod, stage, table
 from verdictlake.llm.queries import bpe_digests
 
@@ -28,8 +28,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each group of near-duplicates."""
-    return simhash.dedup_near(docs)
+    """One document for each group of near-duplicates: texts whose sets of five-word shingles are alike to 0.8 or more."""
+    return similar.dedup_similar(docs)
 
 
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
