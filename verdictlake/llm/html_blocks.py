@@ -51,15 +51,30 @@ STOP_LOW, STOP_HIGH = 0.30, 0.32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[a-z]+")
+# fixed values: parts that say what a page has rather than what an element is, and parts that name a container
+_ABOUT = frozenset("no has with without".split())
+_HOLDER = frozenset("area bar block box inner links list section".split())
+# fixed values: RAW elements whose content is markup, which without an end tag hide nothing
+_MARKUP = frozenset("noscript template svg math select object canvas".split())
 
 
-def _marked(attributes: str) -> bool:
+def _named(attributes: str, whole: bool) -> bool:
+    """Whether a class, id or role names boilerplate: as a whole word or, unless ``whole``, by its last part (cookie-notice)."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for word in value.strip("\"'").lower().split():
+                parts = _PART.findall(word)
+                while len(parts) > 1 and parts[-1] in _HOLDER:
+                    parts.pop()
+                if word in MARKED or (not whole and parts and parts[-1] in MARKED and not _ABOUT & set(parts)):
+                    return True
+    return False
+
+
+def _hidden(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role"):
-            if any(p in MARKED for p in _PART.findall(value)):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
 
@@ -72,8 +87,18 @@ class Block:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The page's blocks of text in page order."""
+    """The page's blocks of text in page order.
+
+    If every article lies in elements named like boilerplate, those elements are wrappers of the page and count as plain."""
+    out, articles, around = _blocks(html, frozenset())
+    return out if articles or not around else _blocks(html, around)[0]
+
+
+def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], int, frozenset[int]]:
+    """Blocks, number of articles, and places of the elements whose names alone hide an article; ``plain`` names none."""
     stack: list[tuple[str, bool, int]] = []  # open elements: name, inside boilerplate, article number
+    named: list[frozenset[int] | None] = []  # for each of them, places of named elements around; None: hidden otherwise
+    around: set[int] = set()
     out: list[Block] = []
     pieces: list[str] = []
     linked = links = articles = 0
@@ -119,12 +144,14 @@ def blocks_of(html: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name in BLOCK or not any(s[0] in BLOCK for s in stack[k:]):
-                        del stack[k:]
+                        del stack[k:], named[k:]
                     break
             continue
         if name in RAW:
+            if m[3].endswith("/") and name in ("svg", "math"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if name in _MARKUP else n
             continue
         if name == "br" or name == "wbr":
             if name == "br":
@@ -139,7 +166,7 @@ def blocks_of(html: str) -> list[Block]:
             if name == "p" or name == "li":  # these close their open like, and what it left open within
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        del stack[k:], named[k:]
                         break
                     if stack[k][0] in BLOCK:
                         break
@@ -150,10 +177,17 @@ def blocks_of(html: str) -> list[Block]:
             if not bad and not article:
                 articles += 1
                 article = articles
-        bad = bad or name in OUTSIDE or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and name not in INLINE and _marked(m[3]))
+            elif bad and named[-1]:
+                around |= named[-1]
+        known = name not in ("html", "body", "article", "main") and name not in INLINE
+        hard = name in OUTSIDE or (name == "header" and not article) or (known and _hidden(m[3]))
+        soft = known and not heading and m.start() not in plain and _named(m[3], bool(article))
+        within = named[-1] if named else frozenset()
+        named.append(None if hard or within is None else within | {m.start()} if soft else within)
+        bad = bad or hard or soft
         stack.append((name, bad, article))
     flush()
-    return out
+    return out, articles, frozenset(around)
 
 
 def _first_pass(b: Block) -> str:
