@@ -26,3 +26,21 @@ def test_headings_within_an_article():
 def test_text_after_an_icon(icon):
     assert main_text(f"<article><p>One {icon}two.</p><p>Three.</p></article>") == "One two. Three."
     assert main_text(f"<article><p>One.</p></article>{'<script>var x;'}<article>no</article>") == "One."
+
+
+LONG = "This is the text of the page and it is long enough for the rules to see that it is good. " * 4
+
+
+def test_short_blocks_take_the_nearer_label():
+    page = f"<nav>Menu</nav><div>By A. Writer</div><div>{LONG}</div><div>The end.</div><footer>Foot</footer>"
+    assert main_text(page) == f"By A. Writer {LONG.strip()} The end."
+
+
+def test_single_links_in_an_article():
+    page = "<article><h1><a href=x>Title of five words here</a></h1><p>Text.</p><p><a href=y>A paragraph that is one link</a></p><p>More.</p><ul><li><a href=1>one of the many links</a><li><a href=2>two of the many links</a></ul></article>"
+    assert main_text(page) == "Title of five words here Text. A paragraph that is one link More."
+
+
+def test_language_without_listed_stop_words():
+    text = "Tämä sivu kertoo järvistä ja metsistä, joita pohjoisessa riittää kaikille kulkijoille vuoden ympäri. " * 4
+    assert main_text(f"<nav>Valikko</nav><div>{text}</div><footer>Loppu</footer>") == text.strip()

@@ -4,7 +4,9 @@ Pass one cuts a page into blocks at block-level tags and classifies each by its
 surroundings, its length, its link density and its stop-word density: good, bad,
 near or short. Pass two gives near and short blocks the label of their nearest decided
 neighbours, within the same article or outside any: a block between two good ones is
-good, between two bad ones bad, and else it takes the nearer one's label.
+good, between two bad ones bad, and else it takes the nearer one's label, at equal
+distance good; the edge of the page counts as bad and, but for headings, as the nearer one. A page with few stop words is in another language than those listed
+here, so that its blocks are judged without them.
 
 Navigation, headers and footers of the page, asides, forms, scripts, styles and
 elements whose class, id or role names boilerplate are bad whatever they say. Inside
@@ -47,6 +49,7 @@ STOP = frozenset(
 LONG, SHORT = 200, 70
 LINKS = 0.33
 STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_PAGE = 0.20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -190,18 +193,27 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], int, frozens
     return out, articles, frozenset(around)
 
 
-def _first_pass(b: Block) -> str:
+def _stops(words: list[str]) -> int:
+    return sum(w.strip(".,;:!?\"'()") in STOP for w in words)
+
+
+def _links_only(b: Block) -> bool:
+    return b.linked / max(1, len(b.text)) > 0.8 and not b.heading
+
+
+def _first_pass(b: Block, bulk: bool, listed: bool) -> str:
+    """``bulk``: a neighbour in the same article is all links too; ``listed``: the page has stop words to go by."""
     words = b.text.lower().split()
     density = b.linked / max(1, len(b.text))
     if b.bad:
         return "bad"
     if b.article:
-        return "bad" if density > 0.8 and len(words) > 3 else ("good" if len(b.text) >= SHORT and density <= LINKS else "short")
+        return "bad" if bulk and _links_only(b) and len(words) > 3 else ("good" if len(b.text) >= SHORT and density <= LINKS else "short")
     if density > LINKS:
         return "bad"
     if b.text.startswith("©") or "©" in b.text[:3]:
         return "bad"
-    stop = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / max(1, len(words))
+    stop = _stops(words) / max(1, len(words)) if listed else 1.0
     if len(b.text) < SHORT:
         return "bad" if b.linked else "short"
     if stop >= STOP_HIGH:
@@ -213,11 +225,14 @@ def _first_pass(b: Block) -> str:
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Set every block's label to good or bad."""
-    for b in blocks:
-        b.label = _first_pass(b)
+    prose = [w for b in blocks if not b.bad and b.linked / max(1, len(b.text)) <= LINKS for w in b.text.lower().split()]
+    listed = _stops(prose) >= STOP_PAGE * len(prose)
+    for k, b in enumerate(blocks):
+        beside = [*blocks[max(0, k - 1) : k], *blocks[k + 1 : k + 2]]
+        b.label = _first_pass(b, any(o.article == b.article and not o.bad and _links_only(o) for o in beside), listed)
     decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
 
-    def neighbours(k: int) -> list[tuple[int, str]]:
+    def neighbours(k: int) -> list[tuple[float, str]]:
         found = []
         for step in (-1, 1):
             j = k + step
@@ -226,7 +241,7 @@ def classify(blocks: list[Block]) -> list[Block]:
             if 0 <= j < len(blocks) and blocks[j].article == blocks[k].article:
                 found.append((abs(j - k), decided[j]))
             elif not blocks[k].article:
-                found.append((abs(j - k), "bad"))  # beyond the edge nothing is text
+                found.append((abs(j - k) - (0 if blocks[k].heading else 0.5), "bad"))  # beyond the edge nothing is text
         return found
 
     for k, b in enumerate(blocks):
@@ -241,7 +256,7 @@ def classify(blocks: list[Block]) -> list[Block]:
                 b.label = "good" if b.label == "near" else "bad"
             else:
                 best = min(d for d, _ in near)
-                b.label = "good" if b.label == "near" or ("good" in {x for d, x in near if d == best} and b.heading) else "bad"
+                b.label = "good" if "good" in {x for d, x in near if d == best} else "bad"
     return blocks
 
 
