@@ -10,7 +10,7 @@ larger than one block is scanned block by block and the blocks' hits are joined
 row, so nothing broadcast grows with the benchmark and no item is left out.
 
 Edge cases: null or wordless texts and items have no words and no windows; items with
-the same words hit together; repeated rows, null ids and other columns pass through,
+the same words hit together; items without an id hit like others and are not listed; repeated rows, null ids and other columns pass through,
 a clash with ``n_words``, ``hits`` or ``items`` is an error; empty tables give no hits.
 """
 
@@ -45,7 +45,7 @@ class Windows:
     def __init__(self, items: list[tuple[object, str | None]], width: int = WINDOW):
         self.number: dict[str, int] = {}
         at: dict[tuple[int, ...], set[int]] = {}
-        self.items = [str(i) for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
         for k, (_, text) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
             for s in range(max(1, len(ids) - width + 1) if ids else 0):
@@ -96,7 +96,7 @@ class Windows:
                     if (grams[w] == ids[p : p + n]).all():
                         cover[p] += 1
                         cover[p + n] -= 1
-                        found[int(np.searchsorted(begin, p, "right")) - 1].update(self.items[k] for k in owners[w])
+                        found[int(np.searchsorted(begin, p, "right")) - 1].update(self.items[k] for k in owners[w] if self.items[k] is not None)
         hit = np.cumsum(cover[:-1]) > 0
         return counts, [np.flatnonzero(hit[a : b - 1]) for a, b in zip(begin, begin[1:])], [sorted(x) for x in found]
 
@@ -106,7 +106,7 @@ def find_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     extra = "n_words long, hits array<int>, items array<string>"
     if clash := {c.lower() for c in df.columns} & {"n_words", "hits", "items", "_row"}:
         raise ValueError(f"output columns already exist: {sorted(clash)}")
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where("id is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
     sized = items.withColumn("size", F.coalesce(F.octet_length("t"), F.lit(0)) / 2)
     total = sized.agg(F.sum("size")).first()[0] or 0
     blocks = int(total // block_words) + 1
