@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds.
 
 Texts of one Arrow batch become one code-point array. The pre-tokenizer is a
-handful of vectorised passes over character classes. Words are identified by a
-64-bit hash, words not seen before are merged together: their symbols lie in
-one flat array, and every round merges the lowest-ranked adjacent pair of each
-word, ranks being found by binary search over the sorted pair keys of the
-vocabulary. Results equal those of the tokenizers library for a byte-level
+handful of vectorised passes over character classes. Words meet by a 64-bit
+hash, and words of one hash are compared by their characters, within a batch and
+with the remembered word, before they count as equal. Words not seen before are
+merged together: their symbols lie in one flat array, and every round merges the
+lowest-ranked adjacent pair of each word, ranks being found by binary search
+over the sorted pair keys of the vocabulary. Results equal those of the tokenizers library for a byte-level
 vocabulary in which every merge makes a token of its own.
 
 Edge cases: a null text counts as empty and gives no ids; an empty table gives
@@ -25,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import require_free, slices
 
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 NONE = np.int32(2**31 - 1)
 SLICE_CHARS = 2_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 8_000_000
 
 
 @lru_cache(1)
@@ -193,19 +194,34 @@ def utf8(cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(cp.tobytes().decode("utf-32-le").encode(), np.uint8), ends[at[1:]] - ends[at[:-1]]
 
 
+def same_words(cp: np.ndarray, starts: np.ndarray, mine: np.ndarray, other: np.ndarray, other_starts: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Whether the words ``mine`` of one table of code points equal the words ``theirs`` of another, one by one."""
+    size = starts[mine + 1] - starts[mine]
+    same = size == other_starts[theirs + 1] - other_starts[theirs]
+    at = np.flatnonzero(same)
+    if len(at):
+        size = size[at]
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        differs = cp[np.repeat(starts[mine[at]], size) + step] != other[np.repeat(other_starts[theirs[at]], size) + step]
+        same[at] = ~np.logical_or.reduceat(differs, ends - size)
+    return same
+
+
 class Encoder:
     """Encodes lists of texts; remembers at most ``cache_words`` distinct words between calls.
 
     ``encode_words(code points, lengths) -> (flat ids, ids per word)`` does the words not seen before."""
 
-    def __init__(self, special: dict[str, int], encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], cache_words: int = CACHE_WORDS):
-        self.special, self.encode_words, self.cache_words = special, encode_words, cache_words
+    def __init__(self, special: dict[str, int], encode_words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], cache_words: int = CACHE_WORDS, cache_chars: int = CACHE_CHARS):
+        self.special, self.encode_words, self.cache_words, self.cache_chars = special, encode_words, cache_words, cache_chars
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.forget()
 
     def forget(self) -> None:
         self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.chars, self.char_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat int32 ids, ids before each text plus the total)."""
@@ -231,35 +247,51 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, starts, at = split_words(texts)
-        h = word_hashes(cp, starts)
-        words, first, which = np.unique(h, return_index=True, return_inverse=True)
-        slot = self._slots(words, first, cp, starts)[which]
+        slot = self._slots(cp, starts, word_hashes(cp, starts))
         begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]
         size[at[1:] - 1] = 0  # the breaks
         out = np.cumsum(size)
         ids = self.ids[np.arange(out[-1]) + np.repeat(begin - out + size, size)]
         return ids, np.concatenate([[0], out[at[1:] - 1]])
 
-    def _slots(self, words: np.ndarray, first: np.ndarray, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        if len(self.hashes) + len(words) > self.cache_words:
+    def _slots(self, cp: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of every word's ids; words that only share a hash with another get one of their own."""
+        words, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.at) + len(words) > self.cache_words or len(self.chars) + int((starts[first + 1] - starts[first]).sum()) > self.cache_chars:
             self.forget()
         place = np.searchsorted(self.hashes, words)
         known = np.zeros(len(words), bool)
         inside = place < len(self.hashes)
         known[inside] = self.hashes[place[inside]] == words[inside]
+        odd = np.zeros(len(words), bool)
+        old = np.flatnonzero(known)
+        odd[old] = ~same_words(cp, starts, first[old], self.chars, self.char_at, self.slot[place[old]])
+        # words of a batch that aren't the first of their hash are compared with it
+        odd = odd[which]
+        again = np.flatnonzero(first[which] != np.arange(len(h)))
+        odd[again] |= ~same_words(cp, starts, again, cp, starts, first[which[again]])
         new = np.flatnonzero(~known)
-        if len(new):
-            begin, size = starts[first[new]], starts[first[new] + 1] - starts[first[new]]
+        base = self._learn(cp, starts, first[new])
+        self.hashes = np.insert(self.hashes, place[new], words[new])
+        self.slot = np.insert(self.slot, place[new], base + np.arange(len(new)))
+        slot = self.slot[np.searchsorted(self.hashes, words)][which]
+        strange = np.flatnonzero(odd)
+        slot[strange] = self._learn(cp, starts, strange) + np.arange(len(strange))
+        return slot
+
+    def _learn(self, cp: np.ndarray, starts: np.ndarray, words: np.ndarray) -> int:
+        """Encode and remember the words; the place of the first."""
+        base = len(self.at) - 1
+        if len(words):
+            begin, size = starts[words], starts[words + 1] - starts[words]
             out = np.cumsum(size)
             chars = cp[np.arange(out[-1]) + np.repeat(begin - out + size, size)]
             ids, counts = self.encode_words(chars, size)
-            base = len(self.at) - 1
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            self.hashes = np.insert(self.hashes, place[new], words[new])
-            self.slot = np.insert(self.slot, place[new], base + np.arange(len(new)))
-            place = np.searchsorted(self.hashes, words)
-        return self.slot[place]
+            self.chars = np.concatenate([self.chars, chars])
+            self.char_at = np.concatenate([self.char_at, self.char_at[-1] + out])
+        return base
 
 
 def numpy_encoder(path: str) -> Encoder:
@@ -277,17 +309,12 @@ def worker_encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _require_free(df: DataFrame, names: list[str]) -> None:
-    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
-
-
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Add ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` to every row.
 
     With ``decoded`` the ids are decoded again in the same pass into a column of that name.
     Special tokens written in a text are encoded as such. Null text: empty."""
-    _require_free(df, [ids, n_tokens, *([decoded] if decoded else [])])
+    require_free(df, [ids, n_tokens, *([decoded] if decoded else [])])
     fields = [*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())]
     if decoded:
         fields.append(T.StructField(decoded, T.StringType()))
@@ -309,7 +336,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "id
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the text behind a binary ``ids`` column (null: empty); bytes that are no UTF-8 become U+FFFD."""
-    _require_free(df, [decoded])
+    require_free(df, [decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = load_merges(tokenizer)

@@ -3,23 +3,27 @@
 A text's UTF-8 bytes run through a gear hash of the last 16 bytes. After a white-space
 byte, a chunk ends where the top bits of the hash are zero and the chunk has at least
 ``MIN_BYTES``; without such a place it ends at the first white space from ``MAX_BYTES``
-on, or at ``HARD_BYTES``. Boundaries depend on nearby content alone, so an insertion
-shifts the chunks behind it and changes no more than one or two of them.
-
-Chunks meet by 128-bit digest of their words. A digest's first occurrence, by id and place, stays; a
-maximal run of later occurrences of at least ``min_words`` words is a repeated span. A
-passage loses up to a chunk at either end to its surroundings, so the default of 24 words
-stands for passages of about 50; a stock phrase or a common line stays below it.
-
-A passage that a document repeats within itself counts only with ``within=True``.
-
-Counting merges on the map side, and the join back to places is one that AQE splits at
-frequent digests; no group is gathered in one task but the chunks of one document.
-
-Edge cases: null and empty texts have no chunks; rows without an id come first; copies
-of a row under one id repeat each other (place and id agree, so they stay); an empty
-table gives an empty result; other columns are ignored by the report and pass through
-``remove_repeats``.
+on. Where white space is further apart than that, as in scripts written without it, a
+chunk may end before any character that the hash chooses more rarely, and at ``HARD_BYTES``
+at last. Boundaries depend on nearby content alone, so an insertion shifts the chunks
+behind it and changes no more than one or two of them.
+
+Texts are chunked once, into a table in the shared folder. Chunks meet by a 64-bit digest
+of their words and by their number of words. The first occurrence, by id (none first),
+row and place, stays; a maximal run of other occurrences of at least ``min_words`` words is
+a repeated span, be it in another document or further on in the same one. A passage loses
+up to a chunk at either end to its surroundings, so the default of 24 words stands for
+passages of about 50; a stock phrase or a common line stays below it. In scripts without
+white space four wide characters count as a word.
+
+Digests that a Misra-Gries summary finds frequent are counted with partial sums and joined
+by broadcast, at most ``exact.TRACKED`` of them; the others meet by a shuffle. No group is
+gathered in one task but the chunks of one document.
+
+Edge cases: null and empty texts have no chunks; every row is a document of its own, also
+rows without an id, rows that share one and copies of a row (of which the first stays); an
+empty table gives an empty result; other columns are ignored by the report and pass through
+``remove_repeats`` under any name.
 """
 
 from __future__ import annotations
@@ -32,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stage
+from .exact import frequent
 
 WINDOW, MIN_BYTES, MAX_BYTES, HARD_BYTES = 16, 16, 192, 1024
-TOP_BITS = 2
-MIN_WORDS = 24
+TOP_BITS, RARE_BITS = 2, 5
+MIN_WORDS, WIDE_CHARS = 24, 4
 NO_ID = -(1 << 63)
-CHUNKS = "id long, n int, words int, begin int, finish int, digest binary"
+CHUNKS = "id long, row long, n int, words int, begin int, finish int, digest long"
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -59,14 +64,24 @@ def cut_points(data: np.ndarray) -> list[int]:
     if not len(data):
         return []
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    at = np.flatnonzero(space)
+    h = gear_hashes(_GEAR[data])
     # the window's oldest bytes reach the top bits, so the choice looks at all of it
-    h = gear_hashes(_GEAR[data])[at]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    chosen = (h >> np.uint32(32 - TOP_BITS)) == 0
+    at = np.flatnonzero(space) + 1
+    chosen = (h[at - 1] >> np.uint32(32 - TOP_BITS)) == 0
+    ends = np.concatenate([[0], at, [len(data)]])
+    wide = np.flatnonzero(np.diff(ends) > MAX_BYTES)
+    if len(wide):
+        # no white space for long: characters may start a chunk wherever the hash says so
+        rare = np.flatnonzero((h[:-1] >> np.uint32(32 - RARE_BITS) == 0) & ((data[1:] & 0xC0) != 0x80)) + 1
+        k = np.searchsorted(ends, rare) - 1
+        rare = rare[np.isin(k, wide) & (rare < ends[k + 1])]
+        at, chosen = np.concatenate([at, rare]), np.concatenate([chosen, np.ones(len(rare), bool)])
+        order = np.argsort(at, kind="stable")
+        at, chosen = at[order], chosen[order]
     out, last, n = [], 0, len(data)
-    for p, ok in zip((at + 1).tolist(), chosen.tolist()):
+    for p, ok in zip(at.tolist(), chosen.tolist()):
         while p - last > HARD_BYTES:
             last = _char_start(data, last + HARD_BYTES)
             out.append(last)
@@ -88,8 +103,10 @@ def _char_start(data: np.ndarray, p: int) -> int:
     return p
 
 
-def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each chunk: id, its number, code points from begin to finish, digest."""
+def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row for each chunk: id, row, its number, words, code points from begin to finish, digest.
+
+    ``row`` names a column of distinct numbers; without it rows are numbered here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 500_000):
@@ -98,47 +115,62 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 raw = t.encode("utf-8", "surrogatepass")
                 data = np.frombuffer(raw, np.uint8)
                 ends = cut_points(data)
-                if len(raw) == len(t):
-                    chars = ends
-                else:
-                    chars = np.cumsum((data & 0xC0) != 0x80)[np.array(ends, np.int64) - 1].tolist() if ends else []
+                chars, wide = ends, None
+                if len(raw) != len(t) and ends:
+                    chars = np.cumsum((data & 0xC0) != 0x80)[np.array(ends, np.int64) - 1].tolist()
+                    wide = np.diff(np.concatenate([[0], np.cumsum(data >= 0xE0)[np.array(ends, np.int64) - 1]])) // WIDE_CHARS
                 index += [k] * len(ends)
                 number += range(len(ends))
                 begin += [0, *chars[:-1]] if ends else []
                 finish += chars
-                h = xxhash.xxh3_128_digest
+                h = xxhash.xxh3_64_intdigest
                 pieces = [raw[a:b].split() for a, b in zip([0, *ends], ends)]
-                words += map(len, pieces)
+                words += map(len, pieces) if wide is None else np.maximum(wide, [len(p) for p in pieces]).tolist()
                 digests += [h(b" ".join(p)) for p in pieces]
-            ids = batch.column("id").take(pa.array(index, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(words, pa.int32()), pa.array(begin, pa.int32()), pa.array(finish, pa.int32()), pa.array(digests, pa.binary())], ["id", "n", "words", "begin", "finish", "digest"])
+            which = pa.array(index, pa.int64())
+            columns = [batch.column("id").take(which), batch.column("row").take(which), *(pa.array(x, pa.int32()) for x in (number, words, begin, finish)), pa.array(np.array(digests, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n", "words", "begin", "finish", "digest"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, CHUNKS)
+    return df.select(F.col(id_col).cast("long").alias("id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(text).alias("text")).mapInArrow(run, CHUNKS)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
-    """One row for each document with a repeated span: id, n_spans, repeated_chars, spans, first_ids.
+def _repeats(chunks: DataFrame) -> DataFrame:
+    """Chunks that aren't the first of their kind, with the id of the first."""
+    key = ["digest", "words"]
+    first = [F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "row", "n")).alias("first")]
+    heavy = chunks.select("id", "row", "n", *key).join(F.broadcast(frequent(chunks, "digest")), "digest", "left_semi").groupBy(*key).agg(*first).select(*key, F.col("first").alias("known"))
+    marked = chunks.join(F.broadcast(heavy), key, "left")
+    settled = marked.where(F.col("known").isNotNull()).withColumnRenamed("known", "first")
+    others = marked.where(F.col("known").isNull()).drop("known")
+    seen = others.groupBy(*key).agg(*first).where("times > 1").drop("times")
+    every = settled.unionByName(others.join(seen, key), allowMissingColumns=False)
+    return every.where(~((F.col("row") == F.col("first.row")) & (F.col("n") == F.col("first.n"))))
 
-    spans: array of (begin, finish, first_id) in code points; first_id is the smallest id
-    among the first occurrences of the span's chunks. first_ids: their distinct values."""
-    chunks = chunk_rows(df, id_col, text)
-    seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "begin")).alias("first")).where("times > 1").drop("times")
-    own = F.col("id").eqNullSafe(F.col("first.id"))
-    later = chunks.join(seen, "digest").where(~(own & (F.col("begin") == F.col("first.begin"))) if within else ~own)
-    places = later.groupBy("id").agg(F.collect_list(F.struct("n", "words", "begin", "finish", F.coalesce(F.col("first.id"), F.lit(NO_ID)).alias("first"))).alias("places"))
-    schema = "id long, spans array<struct<begin:int,finish:int,first_id:long>>"
+
+def row_spans(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, id, spans) of the rows of a chunk table that have a repeated span."""
+    places = _repeats(chunks).groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("n", "words", "begin", "finish", F.coalesce(F.col("first.id"), F.lit(NO_ID)).alias("first"))).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32()), ("first_id", pa.int64())]))
         for batch in batches:
-            ids, out = [], []
-            for i, rows in zip(batch.column("id").to_pylist(), batch.column("places").to_pylist()):
+            keep, out = [], []
+            for k, rows in enumerate(batch.column("places").to_pylist()):
                 if spans := runs(sorted(tuple(r.values()) for r in rows), min_words):
-                    ids.append(i)
+                    keep.append(k)
                     out.append(spans)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], ["id", "spans"])
+            which = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(which), batch.column("id").take(which), pa.array(out, kind)], ["row", "id", "spans"])
+
+    return places.mapInArrow(run, "row long, id long, spans array<struct<begin:int,finish:int,first_id:long>>")
+
 
-    found = places.mapInArrow(run, schema)
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each row of ``df`` with a repeated span: id, n_spans, repeated_chars, spans, first_ids.
+
+    spans: array of (begin, finish, first_id) in code points; first_id is the smallest id
+    among the first occurrences of the span's chunks. first_ids: their distinct values."""
+    found = row_spans(stage(chunk_rows(df, id_col, text), "chunks"), min_words)
     width = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["finish"] - s["begin"])
     return found.select(F.col("id").alias(id_col), F.size("spans").cast("long").alias("n_spans"), width.alias("repeated_chars"), "spans", F.array_sort(F.array_distinct(F.col("spans.first_id"))).alias("first_ids"))
 
@@ -156,7 +188,9 @@ def runs(rows: list[tuple[int, int, int, int, int]], min_words: int) -> list[dic
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the repeated spans cut out of its texts."""
-    spans = repeated_spans(df, id_col, text, min_words).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
+    numbered = stage(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    chunks = stage(chunk_rows(numbered.select("number", F.col("row")[id_col].alias("id"), F.col("row")[text].alias("text")), "id", "text", "number"), "chunks")
+    spans = row_spans(chunks, min_words).select(F.col("row").alias("number"), "spans")
 
     @F.pandas_udf("string")
     def cut(texts, found):
@@ -168,5 +202,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", mi
 
         return type(texts)([one(t, s) for t, s in zip(texts, found)])
 
-    joined = df.join(spans, df[id_col].eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_spans")))).select(*df.columns)
+    left = F.when(F.col("spans").isNull(), F.col("row")[text]).otherwise(cut(F.col("row")[text], F.col("spans")))
+    joined = numbered.join(spans, "number", "left")
+    return joined.select(*[left.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])

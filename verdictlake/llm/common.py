@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,11 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="verdictlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+    """The folder that every executor sees: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return where.rstrip("/")
 
 
@@ -44,6 +40,17 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A digest of all of a row's columns: rows of one key are copies in every column."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256))
+
+
+def require_free(df: DataFrame, names: list[str]) -> None:
+    """An error before any job if an output column exists already, in whatever case."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"output columns already exist: {sorted(clash)}")
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")), F.lit(n))

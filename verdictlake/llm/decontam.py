@@ -5,13 +5,16 @@ Windows are kept as rolling hashes over small word numbers; only words that occu
 some item have a number, so a text is mapped once and most of it falls out at once.
 Every hash hit is verified against the window's words before it counts.
 
-The windows are broadcast in blocks of at most ``block_words`` item words. A benchmark
-larger than one block is scanned block by block and the blocks' hits are joined per
-row, so nothing broadcast grows with the benchmark and no item is left out.
+The windows are broadcast in blocks of at most ``block_words`` item words. Longer items
+are cut into pieces that overlap by a window less one word, and a benchmark larger than one
+block is dealt into blocks of checked size. Each block is scanned, its hits are written,
+and its broadcast is destroyed before the next one is built, so what the driver and the
+executors hold at once doesn't grow with the benchmark, and no item is left out.
 
 Edge cases: null or wordless texts and items have no words and no windows; items with
-the same words hit together; items without an id hit like others and are not listed; repeated rows, null ids and other columns pass through,
-a clash with ``n_words``, ``hits`` or ``items`` is an error; empty tables give no hits.
+the same words hit together; items without an id hit like others and are not listed;
+repeated rows, null ids and other columns pass through, a clash with ``n_words``, ``hits``
+or ``items`` is an error; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import drop_stage, require_free, shared_path, slices, stage
 
 # fixed value: what separates words
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -101,39 +105,55 @@ class Windows:
         return counts, [np.flatnonzero(hit[a : b - 1]) for a, b in zip(begin, begin[1:])], [sorted(x) for x in found]
 
 
+def item_pieces(items: DataFrame, width: int, piece_words: int) -> DataFrame:
+    """items (id, t) to (id, t, size): words of an item joined by a space, in pieces of at most ``piece_words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
+                words, step = words_of(t), max(1, piece_words - width + 1)
+                cuts = range(0, max(1, len(words) - width + 1), step) if words else []
+                parts = [words[c : c + step + width - 1] for c in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.string()), pa.array([" ".join(p) for p in parts], pa.string()), pa.array([len(p) for p in parts], pa.int64())], ["id", "t", "size"])
+
+    return items.mapInArrow(run, "id string, t string, size long")
+
+
 def find_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Add n_words, hits (positions of hit words) and items (ids as sorted text) to every row of ``df``."""
-    extra = "n_words long, hits array<int>, items array<string>"
-    if clash := {c.lower() for c in df.columns} & {"n_words", "hits", "items", "_row"}:
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
+    require_free(df, ["n_words", "hits", "items"])
+    spark = df.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
-    sized = items.withColumn("size", F.coalesce(F.octet_length("t"), F.lit(0)) / 2)
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    blocks = int(total // block_words) + 1
-    if blocks == 1:
-        return _scan(df, [tuple(r) for r in items.collect()], text, width)
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    # an upper bound of the words: every second byte could be one
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= 2 * block_words:
+        return _scan(df, [tuple(r) for r in items.collect()], text, width)[0]
+    pieces = stage(item_pieces(items, width, max(width, block_words // 4)).distinct(), "pieces")
+    total, longest = pieces.agg(F.sum("size"), F.max("size")).first()
+    blocks = int(2 * (total or 0) // block_words) + 1
+    while True:
+        own = F.pmod(F.xxhash64("id", "t"), F.lit(blocks))
+        # a row for each block
+        sizes = {r[0]: r[1] for r in pieces.groupBy(own).agg(F.sum("size")).collect()}
+        if max(sizes.values(), default=0) <= max(block_words, longest or 0):
+            break
+        blocks *= 2
     # rows are numbered once, in a table that all blocks read
-    from .common import stage
-
-    keyed = stage(keyed, "numbered")
-    parts = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        hit = _scan(keyed.select("_row", text), [tuple(r) for r in own.collect()], text, width)
-        parts.append(hit.select("_row", "n_words", "hits", "items"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return keyed.join(merged, "_row").select(*df.columns, *[c.split()[0] for c in extra.split(", ")])
-
-
-def _scan(df: DataFrame, items: list[tuple[str, str | None]], text: str, width: int) -> DataFrame:
+    numbered = stage(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("number")), "numbered")
+    words = _scan(numbered.select("number", "text"), [], "text", width)[0].select("number", "n_words")
+    found = shared_path(spark, "hits")
+    spark.createDataFrame([], "number long, hits array<int>, items array<string>").write.mode("append").parquet(found)
+    for b in sorted(sizes):
+        hit, shared = _scan(numbered.select("number", "text"), [(r["id"], r["t"]) for r in pieces.where(own == b).select("id", "t").collect()], "text", width)
+        hit.where(F.size("hits") > 0).select("number", "hits", "items").write.mode("append").parquet(found)
+        shared.destroy()
+    drop_stage(spark, pieces)
+    every = spark.read.schema("number long, hits array<int>, items array<string>").parquet(found)
+    merged = every.groupBy("number").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")])
+    lists = [F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c) for c, t in (("hits", "int"), ("items", "string"))]
+    return numbered.join(words, "number").join(merged, "number", "left").select("row.*", "n_words", *lists)
+
+
+def _scan(df: DataFrame, items: list[tuple[str, str | None]], text: str, width: int) -> tuple[DataFrame, Broadcast]:
     shared = df.sparkSession.sparkContext.broadcast(Windows(items, width))
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -144,7 +164,7 @@ def _scan(df: DataFrame, items: list[tuple[str, str | None]], text: str, width:
             more = [pa.array(counts, pa.int64()), pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema), shared
 
 
 def items_digest(items: Column) -> Column:
@@ -153,12 +173,13 @@ def items_digest(items: Column) -> Column:
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", how: str = "document") -> DataFrame:
     """The rows of ``df`` without those that hold a benchmark window (``how="document"``), or with the
-    hit words cut out of their text, one space in their place (``how="span"``)."""
-    marked = find_hits(df, benchmark, text)
-    if how == "document":
-        return marked.where(F.size("hits") == 0).select(*df.columns)
-    if how != "span":
+    hit words cut out of their text, one space in their place (``how="span"``). Columns may have any name."""
+    if how not in ("document", "span"):
         raise ValueError(how)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
+    marked = find_hits(own, benchmark)
+    if how == "document":
+        return marked.where(F.size("hits") == 0).select("row.*")
 
     @F.pandas_udf("string")
     def cut(texts, hits):
@@ -176,4 +197,4 @@ def remove_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text",
             out.append(re.sub(r"[ \t]{2,}", " ", " ".join(p for p in pieces if p)))
         return type(texts)(out)
 
-    return marked.withColumn(text, cut(F.col(text), F.col("hits"))).select(*df.columns)
+    return marked.select(*[cut(F.col("text"), F.col("hits")).alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])

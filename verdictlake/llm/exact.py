@@ -1,19 +1,20 @@
 """Exact deduplication with a heavy-hitter split, in DataFrame operations only.
 
 1. A Misra-Gries summary of the texts' SHA-256 digests (Spark's ``approx_top_k``:
-   mergeable counters, partial on the map side) names at most ``counters``
-   candidates. Every digest above about 1 / ``tracked`` of the rows is among them;
-   the result is right whichever digests it names.
-2. The candidates are counted exactly and their winner, the largest id, is found
-   with map-side partial sums. These at most ``counters`` rows are broadcast, and
-   rows of frequent digests are settled map-side.
+   mergeable counters, partial on the map side) names the digests that may hold 1 /
+   ``tracked`` of the rows or more, at most ``tracked`` of them; no such digest is missed.
+   The result is right whichever digests it names.
+2. The candidates are counted exactly and their winner is found with map-side partial
+   sums. These at most ``tracked`` rows are broadcast, and rows of frequent digests are
+   settled map-side.
 3. Every other digest has few rows; an ordinary shuffle by digest settles it.
 
 Edge cases: a null text counts as empty; a null id loses against any other and
 stays only in a group without ids; repeated rows with the winning id are all
-flagged ``kept``, and ``dedup_exact`` leaves one of them; an empty table gives
-an empty result; other columns pass through, a clash with an output column is
-an error.
+flagged ``kept``. ``dedup_exact`` leaves one row of each text: that of the largest id,
+of several with this id the one whose digest over all columns is smallest. An empty table
+gives an empty result; other columns pass through under any name, a clash with an output
+column of ``exact_groups`` is an error.
 """
 
 from __future__ import annotations
@@ -21,49 +22,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import require_free, row_key
+
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
-COUNTERS, TRACKED = 256, 4096
+TRACKED = 1024
 
 
 def text_digest(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def frequent(df: DataFrame, column: str, counters: int = COUNTERS, tracked: int = TRACKED) -> DataFrame:
-    """At most ``counters`` values of ``column`` that may be frequent, one row each."""
-    top = df.agg(F.expr(f"approx_top_k(`{column}`, {counters}, {tracked})").alias("top"))
-    return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias(column)).where(F.col(column).isNotNull())
+def frequent(df: DataFrame, column: str, tracked: int = TRACKED) -> DataFrame:
+    """The values of ``column`` that may hold 1 / ``tracked`` of the rows, at most ``tracked`` of them, one row each."""
+    top = df.agg(F.expr(f"approx_top_k(`{column}`, {tracked}, {8 * tracked})").alias("top"), F.count(F.lit(1)).alias("rows"))
+    return top.select("rows", F.explode("top").alias("t")).where(F.col("t.count") * tracked >= F.col("rows")).select(F.col("t.item").alias(column)).where(F.col(column).isNotNull())
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:
     """Every row of ``df`` without its text, with keep_id, group_size, kept and text_sha256."""
-    return _marked(df.withColumn("text_sha256", text_digest(text)).drop(text), df, id_col, text, counters)
-
-
-def dedup_exact(df: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that stay, one for each distinct text, with the columns of ``df``."""
-    ids = exact_groups(df.select(id_col, text), id_col, text, counters).where("kept").select(id_col, F.col("text_sha256").alias("_digest")).dropDuplicates(["_digest"])
-    rows = df.withColumn("_digest", text_digest(text))
-    if id_col != "_id":
-        ids = ids.withColumnRenamed(id_col, "_id")
-    # a unique number among repeated rows of one id and text
-    twin = Window.partitionBy("_digest", id_col).orderBy(F.lit(0))
-    joined = rows.join(ids, (rows["_digest"] == ids["_digest"]) & rows[id_col].eqNullSafe(ids["_id"]), "left_semi")
-    return joined.withColumn("_n", F.row_number().over(twin)).where("_n = 1").select(*df.columns)
-
-
-def _marked(rows: DataFrame, df: DataFrame, id_col: str, text: str, counters: int) -> DataFrame:
-    if clash := {c.lower() for c in df.columns} & set(OUT):
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
-    digests = rows.select(F.col(id_col).alias("_id"), "text_sha256")
-    heavy = (
-        digests.join(F.broadcast(frequent(digests, "text_sha256", counters)), "text_sha256", "left_semi")
-        .groupBy("text_sha256")
-        .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
+    rest = [c for c in df.columns if c != text]
+    require_free(df.select(*rest), list(OUT))
+    rows = df.select(*rest, text_digest(text).alias("text_sha256"))
+    digests = rows.select(F.col(id_col).alias("keep_id"), "text_sha256")
+    group = [F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    heavy = digests.join(F.broadcast(frequent(digests, "text_sha256", tracked)), "text_sha256", "left_semi").groupBy("text_sha256").agg(*group)
     marked = rows.join(F.broadcast(heavy), "text_sha256", "left")
     same = Window.partitionBy("text_sha256")
     settled = marked.where(F.col("group_size").isNotNull())
-    rest = marked.where(F.col("group_size").isNull()).withColumns({"keep_id": F.max(id_col).over(same), "group_size": F.count(F.lit(1)).over(same)})
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    return settled.unionByName(rest).withColumn("kept", kept).select(*[c for c in rows.columns if c != "text_sha256"], *OUT)
+    others = marked.where(F.col("group_size").isNull()).withColumns({"keep_id": F.max(id_col).over(same), "group_size": F.count(F.lit(1)).over(same)})
+    return settled.unionByName(others).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).select(*rest, *OUT)
+
+
+def dedup_exact(df: DataFrame, id_col: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:
+    """The rows of ``df`` that stay, one for each distinct text, with the columns of ``df``.
+
+    Texts are shuffled once: of frequent digests only copies of the winner leave the map side."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), text_digest(text).alias("digest"), row_key(df).alias("key"))
+    small = rows.select("digest", "id", "key")
+    named = small.join(F.broadcast(frequent(small, "digest", tracked)), "digest", "left_semi")
+    largest = named.groupBy("digest").agg(F.max("id").alias("top"))
+    heavy = named.join(F.broadcast(largest), "digest").where(F.col("id").eqNullSafe(F.col("top"))).groupBy("digest").agg(F.min("key").alias("winner"))
+    left = rows.join(F.broadcast(heavy), "digest", "left").where(F.col("winner").isNull() | (F.col("winner") == F.col("key")))
+    best = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last(), "key")
+    return left.withColumn("place", F.row_number().over(best)).where("place = 1").select("row.*")

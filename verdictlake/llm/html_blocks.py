@@ -5,8 +5,9 @@ surroundings, its length, its link density and its stop-word density: good, bad,
 near or short. Pass two gives near and short blocks the label of their nearest decided
 neighbours, within the same article or outside any: a block between two good ones is
 good, between two bad ones bad, and else it takes the nearer one's label, at equal
-distance good; the edge of the page counts as bad and, but for headings, as the nearer one. A page with few stop words is in another language than those listed
-here, so that its blocks are judged without them.
+distance good; the edge of the page counts as bad and, but for headings, as the nearer
+one. A page with few stop words is in another language than those listed here, so that
+its blocks are judged without them. Both passes take time in proportion to the page.
 
 Navigation, headers and footers of the page, asides, forms, scripts, styles and
 elements whose class, id or role names boilerplate are bad whatever they say. Inside
@@ -34,7 +35,7 @@ from .common import slices
 # fixed values: HTML element names
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math select object canvas".split())
+RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg select object canvas annotation annotation-xml".split())
 OUTSIDE = frozenset("nav aside form footer menu dialog button head".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
 # fixed values: words in class, id and role that mark boilerplate
@@ -51,14 +52,14 @@ LINKS = 0.33
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 STOP_PAGE = 0.20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?>\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[a-z]+")
 # fixed values: parts that say what a page has rather than what an element is, and parts that name a container
 _ABOUT = frozenset("no has with without".split())
 _HOLDER = frozenset("area bar block box inner links list section".split())
 # fixed values: RAW elements whose content is markup, which without an end tag hide nothing
-_MARKUP = frozenset("noscript template svg math select object canvas".split())
+_MARKUP = frozenset("noscript template svg select object canvas annotation annotation-xml".split())
 
 
 def _named(attributes: str, whole: bool) -> bool:
@@ -97,25 +98,63 @@ def blocks_of(html: str) -> list[Block]:
     return out if articles or not around else _blocks(html, around)[0]
 
 
+class _Open:
+    """The open elements. Positions by name and of blocks find what an end tag closes without a walk."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        #: of each element: inside boilerplate, article number, chain of named elements around (None: hidden otherwise)
+        self.states: list[tuple[bool, int, tuple | None]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def state(self) -> tuple[bool, int, tuple | None]:
+        return self.states[-1] if self.states else (False, 0, ())
+
+    def push(self, name: str, state: tuple[bool, int, tuple | None]) -> None:
+        self.where.setdefault(name, []).append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.states.append(state)
+
+    def close(self, name: str, within_block: bool) -> None:
+        """Close the innermost element of this name and all in it; with ``within_block`` only if no block is open inside it."""
+        at = self.where.get(name)
+        if at and (not within_block or not self.blocks or self.blocks[-1] <= at[-1]):
+            for _ in range(len(self.names) - at[-1]):
+                gone = self.names.pop()
+                self.states.pop()
+                self.where[gone].pop()
+                if gone in BLOCK:
+                    self.blocks.pop()
+
+
+def _raw_end(html: str, name: str, at: int, without: set[str]) -> int:
+    """Where a RAW element's content ends; ``without`` has the names known to have no further end tag."""
+    if name not in without:
+        if end := re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at):
+            return end.end()
+        without.add(name)
+    return at if name in _MARKUP else len(html)
+
+
 def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], int, frozenset[int]]:
     """Blocks, number of articles, and places of the elements whose names alone hide an article; ``plain`` names none."""
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, inside boilerplate, article number
-    named: list[frozenset[int] | None] = []  # for each of them, places of named elements around; None: hidden otherwise
+    opened = _Open()
     around: set[int] = set()
+    without: set[str] = set()
     out: list[Block] = []
     pieces: list[str] = []
     linked = links = articles = 0
     heading = False
     at, n = 0, len(html)
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            bad, article = state()
+            bad, article, _ = opened.state()
             out.append(Block(text, linked, bad, article, heading))
         pieces.clear()
         linked = 0
@@ -144,17 +183,11 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], int, frozens
                 heading = False
             if name == "br":
                 add(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or not any(s[0] in BLOCK for s in stack[k:]):
-                        del stack[k:], named[k:]
-                    break
+            opened.close(name, name not in BLOCK)
             continue
         if name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else at if name in _MARKUP else n
+            if not m[3].endswith("/"):
+                at = _raw_end(html, name, at, without)
             continue
         if name == "br" or name == "wbr":
             if name == "br":
@@ -167,28 +200,24 @@ def _blocks(html: str, plain: frozenset[int]) -> tuple[list[Block], int, frozens
             links = 0
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
             if name == "p" or name == "li":  # these close their open like, and what it left open within
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:], named[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+                opened.close(name, True)
         if name in VOID or m[3].endswith("/"):
             continue
-        bad, article = state()
+        bad, article, within = opened.state()
         if name in ("article", "main") or re.search(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?main\b", m[3]):
             if not bad and not article:
                 articles += 1
                 article = articles
-            elif bad and named[-1]:
-                around |= named[-1]
+            elif bad:
+                chain = within
+                while chain and chain[0] not in around:
+                    around.add(chain[0])
+                    chain = chain[1]
         known = name not in ("html", "body", "article", "main") and name not in INLINE
         hard = name in OUTSIDE or (name == "header" and not article) or (known and _hidden(m[3]))
         soft = known and not heading and m.start() not in plain and _named(m[3], bool(article))
-        within = named[-1] if named else frozenset()
-        named.append(None if hard or within is None else within | {m.start()} if soft else within)
-        bad = bad or hard or soft
-        stack.append((name, bad, article))
+        chain = None if hard or within is None else (m.start(), within) if soft else within
+        opened.push(name, (bad or hard or soft, article, chain))
     flush()
     return out, articles, frozenset(around)
 
@@ -230,36 +259,41 @@ def classify(blocks: list[Block]) -> list[Block]:
     for k, b in enumerate(blocks):
         beside = [*blocks[max(0, k - 1) : k], *blocks[k + 1 : k + 2]]
         b.label = _first_pass(b, any(o.article == b.article and not o.bad and _links_only(o) for o in beside), listed)
-    decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
-
-    def neighbours(k: int) -> list[tuple[float, str]]:
-        found = []
-        for step in (-1, 1):
-            j = k + step
-            while 0 <= j < len(blocks) and blocks[j].article == blocks[k].article and not decided[j]:
-                j += step
-            if 0 <= j < len(blocks) and blocks[j].article == blocks[k].article:
-                found.append((abs(j - k), decided[j]))
-            elif not blocks[k].article:
-                found.append((abs(j - k) - (0 if blocks[k].heading else 0.5), "bad"))  # beyond the edge nothing is text
-        return found
-
+    before, after = _nearest(blocks, 1), _nearest(blocks, -1)
     for k, b in enumerate(blocks):
-        if not decided[k]:
-            near = neighbours(k)
+        if b.label not in ("good", "bad"):
+            near = [x for x in (before[k], after[k]) if x]
             labels = {x for _, x in near}
-            if b.article and "good" not in labels:
-                b.label = "good"  # short pieces alone in an article
-            elif b.article or len(labels) == 1:
-                b.label = "good" if "good" in labels else "bad"
-            elif not labels:
-                b.label = "good" if b.label == "near" else "bad"
+            if b.article:
+                b.label = "good"  # in bulk of links or not, what pass one left open is the article's
+            elif len(labels) == 1:
+                b.label = labels.pop()
             else:
                 best = min(d for d, _ in near)
                 b.label = "good" if "good" in {x for d, x in near if d == best} else "bad"
     return blocks
 
 
+def _nearest(blocks: list[Block], step: int) -> list[tuple[float, str] | None]:
+    """For every block, distance and label of the nearest decided one of its article on one side.
+
+    Outside articles the page's edge, or an article's, counts as bad and half a block nearer, but for headings."""
+    out: list[tuple[float, str] | None] = [None] * len(blocks)
+    order = range(len(blocks)) if step > 0 else range(len(blocks) - 1, -1, -1)
+    last: int | None = None  # the nearest decided block of the article at hand
+    edge = -1 if step > 0 else len(blocks)
+    for k in order:
+        if k - step in (-1, len(blocks)) or blocks[k - step].article != blocks[k].article:
+            last, edge = None, k - step
+        if last is not None:
+            out[k] = (abs(k - last), blocks[last].label)
+        elif not blocks[k].article:
+            out[k] = (abs(k - edge) - (0 if blocks[k].heading else 0.5), "bad")
+        if blocks[k].label in ("good", "bad"):
+            last = k
+    return out
+
+
 def main_text(html: str | None) -> str:
     return " ".join(b.text for b in classify(blocks_of(html)) if b.label == "good") if html else ""
 

@@ -13,7 +13,8 @@ Edge cases: a null text, or one without a letter, is ``und`` with score 0; chara
 outside the vocabulary have one small probability in every language; ties go to the
 first language by name; rows without a language are not learned from; more than
 ``max_langs`` languages are an error; an empty table gives an empty result and needs no
-model; other columns are not read, so they can't leak into a prediction.
+model; other columns are not read, so they can't leak into a prediction, and may have
+any name.
 """
 
 from __future__ import annotations
@@ -31,19 +32,18 @@ from .common import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-MAX_PIECE = 16
 SAMPLE_DOCS, MAX_LANGS = 400, 256
 CACHE_WORDS = 200_000
 UNKNOWN = 1e-7
 
 
 def load_pieces(path: str) -> list[str]:
-    """The vocabulary's lower-case pieces of up to MAX_PIECE characters, with MARK for a word's start."""
+    """The vocabulary's pieces in small letters, with MARK for a word's start."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.lower() for p in pieces if len(p) <= MAX_PIECE})
+    return sorted({p.lower() for p in pieces})
 
 
 def words_of(text: str) -> list[str]:
@@ -63,7 +63,7 @@ class Lattice:
             w = MARK + w
             for b in range(len(w)):
                 single = False
-                for e in range(b + 1, min(len(w), b + MAX_PIECE) + 1):
+                for e in range(b + 1, len(w) + 1):
                     s = w[b:e]
                     i = number.get(s)
                     if i is not None:
@@ -82,6 +82,8 @@ class Lattice:
         self.word, self.begin, self.end, self.piece = (np.array(x, np.int64) for x in (word, begin, end, piece))
         self.length = np.array([len(w) + 1 for w in words], np.int64)
         self.longest = int(self.length.max(initial=0))
+        #: characters after which alphas are rescaled: no shorter than a piece
+        self.span = max(16, int((self.end - self.begin).max(initial=1)))
 
     def _groups(self, key: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(key, kind="stable")
@@ -91,7 +93,7 @@ class Lattice:
     def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(alpha, log of what each word's alphas were divided by): alpha[w, i] sums the segmentations of the first i characters.
 
-        prob: pieces by languages. Every 16 characters a word's recent alphas are rescaled."""
+        prob: pieces by languages. Every ``span`` characters a word's recent alphas, as many, are rescaled."""
         langs = prob.shape[1]
         alpha = np.zeros((self.n, self.longest + 1, langs))
         alpha[:, 0] = 1
@@ -106,10 +108,10 @@ class Lattice:
                 np.add.at(alpha[:, e], w, value)
             else:
                 alpha[w[first], e] = np.add.reduceat(value, first)
-            if e % 16 == 0 and e > 16:
+            if e % self.span == 0:
                 live = np.flatnonzero(self.length >= e)
-                top = alpha[live, e - 15 : e + 1].max(1)
-                alpha[live, e - 15 : e + 1] /= top[:, None]
+                top = alpha[live, e - self.span + 1 : e + 1].max(1)
+                alpha[live, e - self.span + 1 : e + 1] /= top[:, None]
                 scale[live] += np.log(top)
         return alpha, scale
 
@@ -119,18 +121,21 @@ class Lattice:
         return np.log(alpha[np.arange(self.n), self.length]) + scale
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts, words weighted by ``weight`` (words by languages); for words of bounded length."""
-        alpha = np.zeros((self.n, self.longest + 1, prob.shape[1]))
-        alpha[:, 0] = 1
+        """Expected piece counts, words weighted by ``weight`` (words by languages); sums of logs, so that no length underflows."""
+        if not len(self.word):
+            return np.zeros(prob.shape)
+        edge = np.log(prob)[self.piece]
+        alpha = np.full((self.n, self.longest + 1, prob.shape[1]), -np.inf)
+        alpha[:, 0] = 0
         for e, at in enumerate(self._groups(self.end)):
-            np.add.at(alpha[:, e], self.word[at], alpha[self.word[at], self.begin[at]] * prob[self.piece[at]])
-        beta = np.zeros_like(alpha)
-        beta[np.arange(self.n), self.length] = 1
+            np.logaddexp.at(alpha[:, e], self.word[at], alpha[self.word[at], self.begin[at]] + edge[at])
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(self.n), self.length] = 0
         for b, at in reversed(list(enumerate(self._groups(self.begin)))):
-            np.add.at(beta[:, b], self.word[at], beta[self.word[at], self.end[at]] * prob[self.piece[at]])
+            np.logaddexp.at(beta[:, b], self.word[at], beta[self.word[at], self.end[at]] + edge[at])
         total = alpha[np.arange(self.n), self.length]
+        share = np.exp(alpha[self.word, self.begin] + edge + beta[self.word, self.end] - total[self.word]) * weight[self.word]
         out = np.zeros(prob.shape)
-        share = alpha[self.word, self.begin] * prob[self.piece] * beta[self.word, self.end] * (weight / total)[self.word]
         np.add.at(out, self.piece, share)
         return out
 
@@ -163,7 +168,7 @@ class UnigramModel:
         """From word counts of each language."""
         langs = sorted(counts)
         model = cls(langs, pieces, np.zeros((len(pieces) + 1, len(langs))))
-        words = list({w for c in counts.values() for w in c if len(w) <= 64})
+        words = list({w for c in counts.values() for w in c})
         # lattices of words of like length, so that short words don't carry the tables of long ones
         parts = [(model.lattice(group), np.array([[counts[g].get(w, 0) for g in langs] for w in group], float)) for group in _by_length(sorted(words))]
         size = np.array([len(p) for p in pieces] + [1.0])

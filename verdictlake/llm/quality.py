@@ -13,7 +13,7 @@ of them if there are fewer. Scoring reads every whole text.
 Edge cases: null and empty texts have all features zero and a score like any other; rows
 whose label is null are not learned from; labels of one class give a constant score;
 repeated labels of an id count once, the largest; an empty table gives an empty result;
-other columns are not read by the score.
+other columns are not read by the score and pass through ``keep_good`` under any name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import require_free, slices
 
 SAMPLE_DOCS = 12_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 10
@@ -221,7 +221,10 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
 
 
 def score_quality(df: DataFrame, model: AdditiveModel, keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``keep``, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) for every row."""
+    """``keep``, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) for every row.
+
+    A kept column named like an output is an error; ``keep_good`` takes any."""
+    require_free(df.select(*keep), ["score", "predicted"])
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"])
@@ -232,3 +235,9 @@ def score_quality(df: DataFrame, model: AdditiveModel, keep: list[str], text: st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def keep_good(df: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` whose score reaches the threshold; columns may have any name."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
+    return score_quality(own, model, ["row"], "text", threshold).where("predicted = 1").select("row.*")

@@ -36,14 +36,17 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 3) == 1
-    model = langid.fit_language_model(docs.where(~held_out), langid.load_pieces(PIECES))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit_language_model(docs.where(crc_mod("doc_id", 3) != 1), langid.load_pieces(PIECES))
     return langid.predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scan of the table: it finds every blob in the ledger and reads no text for matches."""
     ledger = secret_ledger.BlobLedger(spark, shared_path(spark, "ledger"))
-    found = ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger.scan(docs)
+    found = ledger.scan(docs)
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secret_ledger.BASE]))
 
     def joined(spans):
@@ -63,7 +66,7 @@ def _quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, _quality_model(spark, sf_dir, docs), ["doc_id"])
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,23 @@
-"""Token-id files compressed by Re-Pair grammars, with random access to every document.
+"""Token-id files compressed by Re-Pair grammars, with random access to every document and token.
 
 Documents are range-partitioned and sorted by id, encoded with the tokenizers library
 (distinct words once per worker), given an end id, and cut into shards of about
 ``shard_tokens`` ids. In every shard rounds of pair replacement follow: the adjacent
 pairs that occur at least ``min_count`` times become nonterminals, of overlapping pairs
-the more frequent one wins. No pair spans two documents, so a document is a range of
-symbols and expands without its neighbours.
+the more frequent one wins, until no pair is that frequent. After the first round only
+pairs that were frequent before or touch a new symbol can be, so later rounds look at
+those alone. No pair spans two documents.
 
 The file format is a Parquet table of shards, written by Spark's committers and so safe
 against lost executors: part, shard, start (ids before the shard within its part),
-doc_ids, doc_tokens, doc_symbols, rules (pairs of little-endian unsigned 16-bit
-symbols; rule k is symbol ``n_ids`` + k), rule_lengths (ids each rule expands to,
-unsigned 32-bit) and symbols (unsigned 16-bit).
+doc_ids, doc_tokens, width (bytes of a symbol, 2 or 4), rules (pairs of little-endian
+unsigned symbols; rule k is symbol ``n_ids`` + k), rule_lengths (ids each rule expands to,
+unsigned 32-bit) and symbols. The sums of the symbols' lengths find the symbols behind
+any range of ids, and only the rules that these need are expanded.
 
 Edge cases: a null text counts as empty and has the end id alone; null ids sort first;
 rows that share an id are ordered by their text's hash; an empty table gives an empty
-file and no rows; other columns are not stored.
+file and no rows; other columns are not stored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +37,13 @@ from .bpe import Encoder
 from .common import slices
 
 SCHEMA = (
-    "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, "
-    "n_ids int, rules binary, rule_lengths binary, symbols binary"
+    "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, "
+    "n_ids int, width int, rules binary, rule_lengths binary, symbols binary"
 )
 END_ID = 2
 SHARD_TOKENS = 1_000_000
-ROUNDS, MIN_COUNT = 5, 24
-SYMBOLS = 1 << 16
+MIN_COUNT = 24
+NARROW, WIDE = 1 << 16, 1 << 31
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -50,58 +52,85 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, n_ids: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, symbols, symbols per document) of a shard's ids."""
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, n_ids: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols) of a shard's ids: no pair within a document occurs ``min_count`` times in the symbols."""
     sym = ids.astype(np.uint32)
     last = np.zeros(len(sym), bool)
     last[np.cumsum(doc_tokens) - 1] = True
     rules = [np.zeros((0, 2), np.uint32)]
     made = n_ids
-    for _ in range(rounds):
-        if len(sym) < 2 or made >= SYMBOLS:
-            break
-        key = (sym[:-1] << np.uint32(16)) | sym[1:]
-        # a counting table over hashed pairs rules out most positions before the exact count
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        table = np.bincount(slot, minlength=1 << 20) >= min_count
-        at = np.flatnonzero(table[slot] & ~last[:-1])
-        pairs, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")[: SYMBOLS - made]
+    live = ~last[:-1]  # places whose pair may be frequent
+    first_round = True
+    while len(sym) > 1:
+        at = np.flatnonzero(live)
+        key = _keys(sym, at, made)
+        if first_round:
+            # a counting table over hashed pairs rules out most places before the exact count
+            slot = (key * key.dtype.type(0x9E3779B1)) >> key.dtype.type(12) & key.dtype.type((1 << 20) - 1)
+            common = (np.bincount(slot.astype(np.int64), minlength=1 << 20) >= min_count)[slot]
+            at, key, first_round = at[common], key[common], False
+        pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
         order = order[count[order] >= min_count]
         if not len(order):
             break
-        rank = np.full(len(pairs), SYMBOLS, np.int32)
+        none = len(order)
+        rank = np.full(len(pairs), none, np.int32)
         rank[order] = np.arange(len(order))
-        place = np.full(len(sym) + 1, SYMBOLS, np.int32)  # place[i + 1] is the rank of the pair at i
+        place = np.full(len(sym) + 1, none, np.int32)  # place[i + 1] is the rank of the pair at i
         place[at + 1] = rank[which]
         here = place[1:-1]
-        after = np.concatenate([here[1:], [SYMBOLS]])
+        after = np.concatenate([here[1:], [none]])
         wins = (here < place[:-2]) & (here <= after)
-        twin = np.flatnonzero((here == place[:-2]) & (here < SYMBOLS))
+        twin = np.flatnonzero((here == place[:-2]) & (here < none))
         if len(twin):
             # a run of one symbol (a a a a) is one pair at many places: every second one counts
             first = np.concatenate([[True], np.diff(twin) > 1])
             head = twin[first] - 1
-            offset = twin - np.repeat(head, np.diff(np.append(np.flatnonzero(first), len(twin))))
-            leads = np.repeat(here[head] < place[head], np.diff(np.append(np.flatnonzero(first), len(twin))))
+            runs = np.diff(np.append(np.flatnonzero(first), len(twin)))
+            offset = twin - np.repeat(head, runs)
+            leads = np.repeat(here[head] < place[head], runs)
             wins[twin] = (offset % 2 == 0) & leads & (here[twin] <= after[twin])
         take = np.flatnonzero(wins)
-        used = np.bincount(here[take], minlength=len(order))
-        good = used >= 4
+        # the most frequent pair loses no place but to itself, so some rule is made in every round
+        good = np.bincount(here[take], minlength=none) >= 4
         take = take[good[here[take]]]
-        if not len(take):
-            break
         number = np.cumsum(good) - 1 + made
         pick = pairs[order[good]]
-        rules.append(np.stack([pick >> np.uint32(16), pick & np.uint32(0xFFFF)], 1))
+        half = pick.dtype.type(8 * pick.dtype.itemsize // 2)
+        rules.append(np.stack([pick >> half, pick & ((pick.dtype.type(1) << half) - pick.dtype.type(1))], 1).astype(np.uint32))
         sym[take] = number[here[take]]
+        maybe = np.append(here < none, False)
+        maybe[take] = True  # a new symbol and what follows it
+        maybe[take[take > 0] - 1] = True
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
         last[take] = last[take + 1]
-        sym, last = sym[keep], last[keep]
+        sym, last, maybe = sym[keep], last[keep], maybe[keep]
+        live = (maybe & ~last)[:-1]
         made += int(good.sum())
-    ends = np.flatnonzero(last) + 1
-    return np.concatenate(rules).astype(np.uint16), sym.astype(np.uint16), np.diff(np.concatenate([[0], ends]))
+        if made > WIDE:
+            raise ValueError("too many symbols")
+    return np.concatenate(rules), sym
+
+
+def _keys(sym: np.ndarray, at: np.ndarray, made: int) -> np.ndarray:
+    """Pairs at these places as one integer, the left symbol in the upper half."""
+    if made <= NARROW:
+        return (sym[at] << np.uint32(16)) | sym[at + 1]
+    return (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
+
+
+def expand_some(symbols: np.ndarray, n_ids: int, rules: np.ndarray) -> np.ndarray:
+    """Ids behind a few symbols, top down, so that other rules stay unexpanded."""
+    symbols = symbols.astype(np.uint32)
+    while (big := symbols >= n_ids).any():
+        ends = np.cumsum(1 + big)
+        out = np.repeat(symbols, 1 + big)
+        part = rules[symbols[big] - n_ids]
+        out[ends[big] - 2], out[ends[big] - 1] = part[:, 0], part[:, 1]
+        symbols = out
+    return symbols
 
 
 class Grammar:
@@ -126,12 +155,29 @@ class Grammar:
         return self.flat[ragged(self.start[symbols], self.size[symbols])]
 
 
+def _arrays(shard: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols) of a shard row."""
+    kind = f"<u{shard['width']}"
+    return np.frombuffer(shard["rules"], kind).reshape(-1, 2), np.frombuffer(shard["symbols"], kind)
+
+
+def read_tokens(shard: dict, begin: int, end: int) -> np.ndarray:
+    """Ids ``begin`` to ``end`` of a shard row: the stored lengths find their symbols, and no other is expanded."""
+    rules, symbols = _arrays(shard)
+    lengths = np.concatenate([np.ones(shard["n_ids"], np.int64), np.frombuffer(shard["rule_lengths"], "<u4")])
+    ends = np.cumsum(lengths[symbols])
+    begin, end = max(begin, 0), min(end, int(ends[-1]) if len(ends) else 0)
+    if begin >= end:
+        return np.zeros(0, np.uint32)
+    a, b = np.searchsorted(ends, begin, "right"), np.searchsorted(ends, end) + 1
+    skipped = begin - int(ends[a - 1] if a else 0)
+    return expand_some(symbols[a:b], shard["n_ids"], rules)[skipped : skipped + end - begin]
+
+
 def read_document(shard: dict, k: int) -> np.ndarray:
     """Ids of the ``k``-th document of a shard row, without expanding the others."""
-    rules = np.frombuffer(shard["rules"], "<u2").reshape(-1, 2)
-    at = int(np.sum(shard["doc_symbols"][:k]))
-    symbols = np.frombuffer(shard["symbols"], "<u2")[at : at + shard["doc_symbols"][k]]
-    return Grammar(shard["n_ids"], rules).expand(symbols)
+    at = int(np.sum(shard["doc_tokens"][:k], dtype=np.int64))
+    return read_tokens(shard, at, at + shard["doc_tokens"][k])
 
 
 @lru_cache(2)
@@ -168,10 +214,11 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
 
         def close() -> pa.RecordBatch:
             counts = np.concatenate(sizes)
-            rules, symbols, per_doc = compress(np.concatenate(ids), counts, n_ids)
+            rules, symbols = compress(np.concatenate(ids), counts, n_ids)
+            width = 2 if n_ids + len(rules) <= NARROW else 4
             lengths = Grammar(n_ids, rules).size[n_ids:].astype("<u4")
-            row = [part, shard, start, int(counts.sum()), docs, counts.tolist(), per_doc.tolist(), n_ids, rules.astype("<u2").tobytes(), lengths.tobytes(), symbols.astype("<u2").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            row = [part, shard, start, int(counts.sum()), docs, counts.tolist(), n_ids, width, rules.astype(f"<u{width}").tobytes(), lengths.tobytes(), symbols.astype(f"<u{width}").tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch, texts in slices(batches, "text", 1_000_000):
@@ -204,9 +251,8 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                n_ids = row["n_ids"].as_py()
-                grammar = Grammar(n_ids, np.frombuffer(row["rules"].as_buffer(), "<u2").reshape(-1, 2))
-                flat = grammar.expand(np.frombuffer(row["symbols"].as_buffer(), "<u2")).astype("<u4")
+                rules, symbols = _arrays({"width": row["width"].as_py(), "rules": row["rules"].as_buffer(), "symbols": row["symbols"].as_buffer()})
+                flat = Grammar(row["n_ids"].as_py(), rules).expand(symbols).astype("<u4")
                 counts = row["doc_tokens"].values.to_numpy().astype(np.int64)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 raw = memoryview(flat).cast("B")
@@ -216,4 +262,4 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     columns.append(pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return table.join(F.broadcast(base), "part").drop("rule_lengths", "doc_symbols").mapInArrow(run, schema)
+    return table.join(F.broadcast(base), "part").drop("rule_lengths").mapInArrow(run, schema)

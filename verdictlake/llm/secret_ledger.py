@@ -1,14 +1,17 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every version of a path is content-addressed by the SHA-256 of its text. The ledger,
-a Parquet table, records for each blob which rule versions have seen it and what they
-found. A scan takes the pairs of blob and rule version that the ledger lacks, reads one
-text for each such blob, appends the findings, and joins the findings of all versions
-back to every path.
+Every version of a path is content-addressed by the SHA-256 of its text. The ledger is two
+Parquet tables: ``versions`` has each path with each blob it ever had and the scan that
+first saw it, ``blobs`` has for each blob the rule versions that have seen it and what they
+found. A scan appends the new versions, takes the pairs of blob and rule version that the
+ledger lacks, reads one text for each such blob, appends the findings, and joins the
+findings of all versions back to every path: ``scan`` to the rows at hand, ``history`` to
+all that any scan has seen.
 
 A rule is a regular expression whose leftmost non-overlapping matches count; a match
 whose part ``group`` is shorter than ``least`` is dropped after matching. Offsets are
-code points, end exclusive.
+code points, end exclusive. Matches leave the text as lengths, one row each; their places
+are running sums within a text.
 
 Edge cases: a null text counts as empty; a path may come any number of times, with the
 same or other texts, and every row gets its own findings; a null path is kept; an empty
@@ -20,12 +23,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
+from .common import drop_stage, require_free, stage
+
 FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
-LEDGER = f"blob string, rules array<string>, findings {FINDINGS}"
+BLOBS = f"blob string, rules array<string>, findings {FINDINGS}"
+VERSIONS = "path string, blob string, scan int"
+#: so many blobs, of 64 characters each, are broadcast at most
+FEW_BLOBS = 50_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +42,6 @@ class Rule:
     least: int = 0
     group: int = 0
     version: int = 1
-    hint: str = ""
 
     @property
     def key(self) -> str:
@@ -45,8 +51,9 @@ class Rule:
 # fixed values: the three base patterns come first and keep their order
 BASE = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1),
-    Rule("access", r"AKIA[A-Z0-9]+", 16),
-    Rule("hex", r"[0-9a-f]+", 32, hint=r"[0-9a-f]{32}"),
+    # these two match whole runs, so a shorter run has no match within and the least length can be part of the pattern
+    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 EXTRA = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -57,24 +64,17 @@ EXTRA = (
 RULES = BASE + EXTRA
 
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's findings in ``text`` as FINDING; only texts that hold a match are taken apart."""
+def rule_matches(text: Column, rule: Rule, rank: int) -> Column:
+    """The rule's matches in ``text`` as lengths: (rank, place, whole, between, part), whole being the text between two matches and the match."""
     # each step of the anchored pattern takes what lies between two matches and the match
     pattern = F.lit(rf"(?s)\G(.*?)({rule.pattern})")
-    whole, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(1))
-    part = F.regexp_extract_all(text, pattern, F.lit(2 + rule.group))
-    steps = F.arrays_zip(
-        F.transform(whole, F.length).alias("whole"), F.transform(between, F.length).alias("between"), F.transform(part, F.length).alias("part")
-    )
+    parts = [F.transform(F.regexp_extract_all(text, pattern, F.lit(g)), F.length) for g in (0, 1, 2 + rule.group)]
+    steps = F.arrays_zip(*[x.alias(n) for x, n in zip(parts, ("whole", "between", "part"))])
+    found = F.transform(steps, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), x["whole"].alias("whole"), x["between"].alias("between"), x["part"].alias("part")))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(MATCHES))
 
-    def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["whole"]
-        hit = F.struct((acc["at"] + x["between"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(FINDING).alias("out"))
-    found = F.aggregate(steps, first, add, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(rule.hint or rule.pattern)), found).otherwise(F.array().cast(FINDING))
+MATCHES = "array<struct<rank:int,place:int,whole:int,between:int,part:int>>"
 
 
 class BlobLedger:
@@ -82,38 +82,72 @@ class BlobLedger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+        spark.createDataFrame([], BLOBS).write.mode("append").parquet(f"{path}/blobs")
+        spark.createDataFrame([], VERSIONS).write.mode("append").parquet(f"{path}/versions")
 
     def seen(self) -> DataFrame:
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        return self.spark.read.schema(BLOBS).parquet(f"{self.path}/blobs")
+
+    def versions(self) -> DataFrame:
+        """(path, blob, scan): every blob that a path ever had, and the number of the scan that saw it first."""
+        return self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
+
+    def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, findings) of the blobs with findings of these rule versions, by start, then rule order."""
+        keys = [r.key for r in rules]
+        wanted = F.filter(F.flatten(F.collect_list("findings")), lambda x: x["rule"].isin(keys))
+        return self.seen().where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(wanted)).alias("findings"))
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(path, blob, scan, findings) of every version of every path, also of those that later scans don't have."""
+        return self.versions().join(self.findings(rules), "blob", "left").select("path", "blob", "scan", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
-    def pending(self, versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """(blob, path, todo): one path for each blob that some rule version hasn't seen."""
+    def pending(self, blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, todo) for each blob that some rule version hasn't seen."""
         keys = F.array(*[F.lit(r.key) for r in rules])
         done = self.seen().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-        one = versions.groupBy("blob").agg(F.min("path").alias("path"))
         todo = F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))
-        return one.join(done, "blob", "left").select("blob", "path", todo.alias("todo")).where(F.size("todo") > 0)
+        return blobs.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
 
     def scan(self, df: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """The rows of ``df`` without their text, with blob and findings (of ``rules``, by start, then rule order)."""
-        if clash := {c.lower() for c in df.columns} & {"blob", "findings"}:
-            raise ValueError(f"output columns already exist: {sorted(clash)}")
+        rest = [c for c in df.columns if c != text]
+        require_free(df.select(*rest), ["blob", "findings"])
         content = F.coalesce(F.col(text), F.lit(""))
         rows = df.withColumn("blob", F.sha2(content.cast("binary"), 256))
-        todo = self.pending(rows.select("blob", F.col(path).alias("path")), rules)
-        texts = rows.select("blob", F.col(path).alias("path"), content.alias("content"))
-        todo = todo.withColumnRenamed("blob", "own").withColumnRenamed("path", "at")
-        unseen = texts.join(todo, (F.col("blob") == F.col("own")) & F.col("path").eqNullSafe(F.col("at"))).select("blob", "content", "todo")
-        none = F.array().cast(FINDINGS)
-
-        def of(rule: Rule, rank: int) -> Column:
-            named = F.transform(rule_spans(F.col("content"), rule, rank), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(rule.key).alias("rule")))
-            return F.when(F.array_contains("todo", rule.key), named).otherwise(none)
-
-        found = F.concat(*[of(r, k) for k, r in enumerate(rules)])
-        unseen.select("blob", F.col("todo").alias("rules"), found.alias("findings")).write.mode("append").parquet(self.path)
-        keys = [r.key for r in rules]
-        wanted = F.filter(F.flatten(F.collect_list("findings")), lambda x: x["rule"].isin(keys))
-        findings = self.seen().where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(wanted)).alias("findings"))
-        return rows.drop(text).join(findings, "blob", "left").select(*[c for c in df.columns if c != text], "blob", F.coalesce("findings", none).alias("findings"))
+        self._record(rows.select(F.col(path).cast("string").alias("path"), "blob"))
+        todo = stage(self.pending(rows, rules), "pending")
+        n = todo.count()
+        if n:
+            named = todo.withColumnRenamed("blob", "own")
+            texts = rows.select("blob", content.alias("content"))
+            if n <= FEW_BLOBS:
+                texts = texts.join(F.broadcast(named.select("own")), F.col("blob") == F.col("own"), "left_semi")
+            one = texts.groupBy("blob").agg(F.first("content").alias("content"))
+            self._find(one.join(named, F.col("blob") == F.col("own")).select("blob", "content", "todo"), rules)
+        drop_stage(self.spark, todo)
+        return rows.select(*rest, "blob").join(self.findings(rules), "blob", "left").select(*rest, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+
+    def _record(self, now: DataFrame) -> None:
+        known = self.versions()
+        number = known.agg(F.coalesce(F.max("scan") + 1, F.lit(1))).first()[0]
+        same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob"))
+        fresh = now.distinct().join(known.select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), same, "left_anti")
+        fresh.select("path", "blob", F.lit(number).alias("scan")).write.mode("append").parquet(f"{self.path}/versions")
+
+    def _find(self, unseen: DataFrame, rules: tuple[Rule, ...]) -> None:
+        """Append what the rules of ``todo`` find in the texts of (blob, content, todo)."""
+        none = F.array().cast(MATCHES)
+        each = [F.when(F.array_contains("todo", r.key), rule_matches(F.col("content"), r, k)).otherwise(none) for k, r in enumerate(rules)]
+        # an array's element of rank -1 keeps the blobs without a match, so texts are read once
+        mark = F.array(F.struct(F.lit(-1).alias("rank"), *[F.lit(0).alias(n) for n in ("place", "whole", "between", "part")]))
+        matches = unseen.select("blob", "todo", F.explode(F.concat(mark, *each)).alias("m")).select("blob", "todo", "m.*")
+        so_far = Window.partitionBy("blob", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum("whole").over(so_far).cast("int")
+
+        def pick(name: str) -> Column:
+            return F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.greatest(F.col("rank"), F.lit(0)) + 1)
+
+        finding = F.struct((F.col("end") - F.col("whole") + F.col("between")).alias("start"), "rank", pick("kind").alias("kind"), "end", pick("key").alias("rule"))
+        placed = matches.withColumn("end", end).withColumn("f", F.when((F.col("rank") >= 0) & (F.col("part") >= pick("least")), finding))
+        placed.groupBy("blob").agg(F.first("todo").alias("rules"), F.array_sort(F.collect_list("f")).alias("findings")).write.mode("append").parquet(f"{self.path}/blobs")

@@ -17,7 +17,8 @@ most 65 can meet, and is linked to the smallest there.
 Edge cases: a null or blank text has fingerprint zero and is linked like any other;
 texts of one or two words are one shingle; rows with a null id take part and count
 as larger than any id, alone they have a null component_id; an empty table gives an
-empty result; repeated rows give repeated results.
+empty result; repeated rows give repeated results, of which ``dedup_near`` leaves one;
+other columns pass through it under any name and are not read by ``near_components``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stage
+from .common import row_key, slices, stage
 from .components import components
 
 BITS, SEGMENTS = 64, 5
@@ -53,18 +54,18 @@ def shingle_hashes(text: str, width: int = 3) -> list[int]:
     return [h(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[width - 1 :])]
 
 
+def fingerprint_of(h: np.ndarray) -> np.uint64:
+    """The fingerprint of a text's shingle hashes; zero without any."""
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, len(h), 65536):
+        part = h[a : a + 65536]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+
+
 def fingerprints_of(texts: list[str], width: int = 3) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
-    out = np.zeros(len(texts), np.uint64)
-    for k, text in enumerate(texts):
-        h = np.array(shingle_hashes(text, width), np.uint64)
-        if len(h):
-            ones = np.zeros(BITS, np.int64)
-            for a in range(0, len(h), 65536):
-                part = h[a : a + 65536]
-                ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[k] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
-    return out
+    return np.array([fingerprint_of(np.array(shingle_hashes(t, width), np.uint64)) for t in texts], np.uint64)
 
 
 def simhash(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -158,10 +159,31 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return prints.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup_near(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; other columns pass through.
+def dedup_near(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, similar: bool = False) -> DataFrame:
+    """One row of each component, with the columns of ``df``: that of the smallest id, an id before none,
+    of several with this id the one whose digest over all columns is smallest.
+
+    With ``similar`` texts link if the Jaccard similarity of their shingle sets is 0.8 or more: linked
+    fingerprints are candidates, and prefix filtering adds those that fingerprints can't find."""
+    if similar:
+        from .similar import dedup_similar
+
+        return dedup_similar(df, id_col, text, width)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), row_key(df).alias("key"))
+    prints = stage(simhash(keyed, "key", "text", width), "fingerprints")
+    return keep_first(keyed, prints.join(_roots(prints), "fp").select("key", "root"))
+
+
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint."""
+    nodes = prints.select("fp").distinct()
+    roots = components(links(nodes))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
 
-    Rows without an id stay only in a component without ids. Repeated rows of an id count as one."""
-    stay = near_components(df, id_col, text, width).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay")).distinct()
-    rows = df.join(stay, df[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+def keep_first(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """keyed (row, id, key), members (key, root): the row of the smallest id and key of each root."""
+    some = keyed.select("id", "key").join(members.distinct(), "key")
+    first = some.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    stay = first.select(F.col("first.key").alias("key"))
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

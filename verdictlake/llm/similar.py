@@ -8,13 +8,15 @@ lines that many texts share seldom bring texts together; the order decides about
 and never about the result. Sizes and places of the common shingle rule out most pairs,
 the rest are compared by their texts.
 
-Equal sets are one node from the start. Of the texts that meet at a shingle each is first
+Equal sets are one node from the start. Texts whose SimHash fingerprints the pigeonring
+search links are compared first, which settles close copies; fingerprints alone can't find
+the rest, since texts of similarity 0.8 differ in ten bits and more. Of the texts that meet at a shingle each is first
 compared with one hub, which joins a large group in as many comparisons as it has
 members; only texts that are still apart are then compared pair by pair.
 
 Edge cases: blank texts have one shingle in common; texts below the width are one
-shingle; rows with a null id take part and count as larger than any id; an empty table
-gives an empty result.
+shingle; rows with a null id take part and count as larger than any id; repeated rows are
+one; other columns pass through under any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stage, slices, stage
+from .common import drop_stage, row_key, slices, stage
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_of, keep_first, links, shingle_hashes
 
 WIDTH = 5
 #: similarity of at least NUM / DEN
@@ -42,7 +44,11 @@ STAR_MIN, STAR_ROUNDS = 64, 6
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Distinct shingle hashes in ascending order; a blank text has one of its own."""
-    return np.unique(np.array(shingle_hashes(text or "", width) or [xxhash.xxh64_intdigest(b"", SEED)], np.uint64))
+    return np.unique(_shingles(text, width))
+
+
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    return np.array(shingle_hashes(text or "", width) or [xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -78,17 +84,19 @@ def prefix(h: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(id, node, n, heads, text): node names the set of n shingles, heads is its prefix."""
+    """(id, fp, node, n, heads, body): node names the set of n shingles, heads is its prefix, body the text."""
     shared = _frequent(df, text, width)
-    schema = T.StructType([df.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shared.value
         for batch, texts in slices(batches, text, 2_000_000):
-            own = [shingle_set(t, width) for t in texts]
+            every = [_shingles(t, width) for t in texts]
+            fp = np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64)
+            own = [np.unique(h) for h in every]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
             heads = pa.array([prefix(h, known, ranks).view(np.int64) for h in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, pa.array(texts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, pa.array(texts, pa.string())], schema.names)
 
     return df.select(id_col, text).mapInArrow(run, schema)
 
@@ -118,6 +126,17 @@ def _verify(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are equal or linked, one node standing for each fingerprint."""
+    nodes = stage(prints.groupBy("fp").agg(F.min("node").alias("rep")), "nodes")
+    same = prints.select("fp", F.col("node").alias("u")).join(nodes, "fp").select("u", F.col("rep").alias("v"))
+    near = links(nodes.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    for fp, name in (("a", "u"), ("b", "v")):
+        near = near.join(nodes.select(F.col("fp").alias(fp), F.col("rep").alias(name)), fp)
+    both = same.unionByName(near.select("u", "v")).where("u <> v")
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _labelled(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``rows`` with the root of each node, the roots)."""
     roots = stage(components(edges), "roots")
@@ -136,9 +155,10 @@ def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = flat.select("node", "n", "at", "head").groupBy("head").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("head")
     rows = stage(flat.join(shared, "head").distinct().withColumn("root", F.col("node")), "heads")
     bodies = prints.select("node", "body")
-    edges, tried = None, None
+    tried = stage(fingerprint_pairs(prints), "pairs")
+    edges = stage(_verify(tried, bodies, width), "alike")
     for k in range(STAR_ROUNDS):
-        now = rows if edges is None else _labelled(rows.drop("root"), edges)[0]
+        now = _labelled(rows.drop("root"), edges)[0]
         met = _apart(now)
         if k:
             met = met.where(F.col("size") > STAR_MIN)
@@ -149,10 +169,8 @@ def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
         if pairs.isEmpty():
             break
         found = stage(_verify(pairs, bodies, width), "alike")
-        edges = found if edges is None else stage(edges.unionByName(found), "edges_so_far")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    if edges is None:
-        return rows.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+        edges = stage(edges.unionByName(found), "edges_so_far")
+        tried = tried.unionByName(pairs)
     left = stage(_apart(_labelled(rows.drop("root"), edges)[0]).drop("size"), "apart")
     a, b = left.alias("a"), left.alias("b")
     meet = a.join(b, F.col("a.head") == F.col("b.head")).where("a.node > b.node and a.root <> b.root").where(_possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")))
@@ -162,14 +180,11 @@ def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def dedup_similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest among the texts that chains of texts alike connect; other columns pass through.
-
-    Repeated rows of an id, or without one, count as one; without one they stay if some component has no id."""
-    prints = stage(sets(df, id_col, text, width), "sets")
-    roots = components(similar_edges(prints, width))
-    known = prints.select(id_col, "node").join(roots, "node", "left").select(id_col, F.coalesce("root", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min(id_col).alias("_stay"))
-    stay = stage(least.select("_stay").distinct(), "stay")
+    """One row of each group of texts that chains of texts alike connect, with the columns of ``df``: that of the
+    smallest id, an id before none, of several with this id the one whose digest over all columns is smallest."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), row_key(df).alias("key"))
+    prints = stage(sets(keyed, "key", "text", width), "sets")
+    roots = stage(components(similar_edges(prints, width)), "roots")
+    members = stage(prints.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "members")
     drop_stage(df.sparkSession, prints)
-    rows = df.join(stay, df[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    return keep_first(keyed, members)
