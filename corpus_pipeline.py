@@ -9,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from verdictlake.llm import decontam, exact, quality, similar
+from verdictlake.llm import decontam, exact, quality, simhash
 from verdictlake.llm.common import crc_mod, stage, table
 from verdictlake.llm.queries import bpe_digests
 
@@ -19,7 +18,7 @@ from verdictlake.llm.queries import bpe_digests
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, learned from the labels, doesn't reject."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    return quality.score_quality(docs, model, docs.columns).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each group of near-duplicates: texts whose sets of five-word shingles are alike to 0.8 or more."""
-    return similar.dedup_similar(docs)
+    return simhash.dedup_near(docs, width=5, similar=True)
 
 
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe encoding", to_tokens),
 ]
 
-#: SQL expresses neither the classifier nor the fingerprints; a brute-force version tests the rows.
+#: SQL doesn't express the classifier; tests/llm/test_pipeline.py has the stages in plain Python and compares the rows.
 ORACLE_SQL: str | None = None
 
 
