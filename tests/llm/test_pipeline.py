@@ -46,9 +46,8 @@ def copies():
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("star_min,frequent", [(0, 2), (64, 4), (64, 10_000)])
-def test_similar_finds_every_pair(spark, monkeypatch, star_min, frequent):
-    monkeypatch.setattr(similar, "STAR_MIN", star_min)
+@pytest.mark.parametrize("frequent", [2, 10_000])
+def test_similar_finds_every_pair(spark, monkeypatch, frequent):
     monkeypatch.setattr(similar, "FREQUENT", frequent)
     rows = copies()
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
@@ -79,6 +78,18 @@ def test_prefix_of_alike_sets_meet():
             assert set(similar.prefix(x, known, ranks).tolist()) & set(similar.prefix(y, known, ranks).tolist())
 
 
+def test_parity_bits_drop_no_alike_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 9, 40, 300, 2000):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[: n - rng.integers(0, n // 8 + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1), dtype=np.uint64)])
+            differ = int(np.bitwise_count((similar.parity_bits(a) ^ similar.parity_bits(b)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            if similar.alike(np.sort(a), np.sort(b)):
+                assert 9 * differ <= len(a) + len(b)
+
+
 def test_pipeline_rows(spark, tmp_path):
     rows = copies()
     items = [(0, rows[3][1]), (1, passage(901, 3))]

@@ -10,9 +10,12 @@ the rest are compared by their texts.
 
 Equal sets are one node from the start. Texts whose SimHash fingerprints the pigeonring
 search links are compared first, which settles close copies; fingerprints alone can't find
-the rest, since texts of similarity 0.8 differ in ten bits and more. Of the texts that meet at a shingle each is first
-compared with one hub, which joins a large group in as many comparisons as it has
-members; only texts that are still apart are then compared pair by pair.
+the rest, since texts of similarity 0.8 differ in ten bits and more. Of the texts that meet
+at a shingle each is then compared with one hub, the text with the fewest rarer shingles
+before it, which joins a large group around its source in as many comparisons as it has
+members. Only texts that are still apart are compared pair by pair, and of these the join
+itself drops most: a shingle in one set alone flips one of 256 parity bits, so sets whose
+bits differ in more than a ninth of their sizes can't be alike.
 
 Edge cases: blank texts have one shingle in common; texts below the width are one
 shingle; rows with a null id take part and count as larger than any id; repeated rows are
@@ -39,7 +42,7 @@ WIDTH = 5
 #: similarity of at least NUM / DEN
 NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 20_000, 4, 300_000
-STAR_MIN, STAR_ROUNDS = 64, 6
+PARITY = ("b0", "b1", "b2", "b3")
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -56,6 +59,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(a) + len(b) - common)
 
 
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: for each of 256 slots, whether an odd number of the set's shingles fall into it."""
+    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _frequent(df: DataFrame, text: str, width: int) -> Broadcast:
     """(hashes, ranks) of shingles that several texts of a sample share, ascending by hash; the most frequent rank highest."""
     step = max(1, df.count() // SAMPLE)
@@ -84,9 +93,9 @@ def prefix(h: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(id, fp, node, n, heads, body): node names the set of n shingles, heads is its prefix, body the text."""
+    """(id, fp, node, n, heads, b0 to b3, body): node names the set of n shingles, heads is its prefix, body the text."""
     shared = _frequent(df, text, width)
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("body", T.StringType())])
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in PARITY], T.StructField("body", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shared.value
@@ -96,15 +105,19 @@ def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
             own = [np.unique(h) for h in every]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
             heads = pa.array([prefix(h, known, ranks).view(np.int64) for h in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, pa.array(texts, pa.string())], schema.names)
+            bits = np.array([parity_bits(h) for h in own], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, *(pa.array(bits[:, k].copy()) for k in range(4)), pa.array(texts, pa.string())], schema.names)
 
     return df.select(id_col, text).mapInArrow(run, schema)
 
 
-def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
-    """Whether two sets that first meet at these places can be alike."""
-    rest = F.least(n - at, other_n - other_at)
-    return (DEN + NUM) * rest >= NUM * (n + other_n)
+def _possible(a: str, b: str) -> Column:
+    """Whether two sets that meet at these places can be alike: by what is left behind the places, and by their parity bits."""
+    x, y = (lambda c, t=t: F.col(f"{t}.{c}") for t in (a, b))
+    rest = F.least(x("n") - x("at"), y("n") - y("at"))
+    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY), F.lit(0))
+    # alike sets have at least NUM / (NUM + DEN) of their sizes in common and what is left apart
+    return ((DEN + NUM) * rest >= NUM * (x("n") + y("n"))) & ((DEN + NUM) * differ <= (DEN - NUM) * (x("n") + y("n")))
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
@@ -137,46 +150,33 @@ def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _labelled(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``rows`` with the root of each node, the roots)."""
-    roots = stage(components(edges), "roots")
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), roots
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows at shingles where more than one component meets, with the number of rows there."""
-    mixed = rows.groupBy("head").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("head", "size")
-    return rows.join(mixed, "head")
+def _pairs(met: DataFrame, left: str, right: str) -> DataFrame:
+    u, v = F.col(f"{left}.node"), F.col(f"{right}.node")
+    return met.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
 
 def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     """Edges (u, v) that connect exactly the nodes that chains of texts alike connect."""
-    flat = prints.select("node", "n", F.posexplode("heads").alias("at", "head")).withColumn("at", F.col("at").cast("long"))
-    shared = flat.select("node", "n", "at", "head").groupBy("head").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("head")
-    rows = stage(flat.join(shared, "head").distinct().withColumn("root", F.col("node")), "heads")
+    own = ["node", "n", *PARITY]
+    flat = prints.select(*own, F.posexplode("heads").alias("at", "head")).withColumn("at", F.col("at").cast("long"))
+    shared = flat.groupBy("head").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("head")
+    rows = stage(flat.join(shared, "head").distinct(), "heads")
     bodies = prints.select("node", "body")
-    tried = stage(fingerprint_pairs(prints), "pairs")
-    edges = stage(_verify(tried, bodies, width), "alike")
-    for k in range(STAR_ROUNDS):
-        now = _labelled(rows.drop("root"), edges)[0]
-        met = _apart(now)
-        if k:
-            met = met.where(F.col("size") > STAR_MIN)
-        pick = F.xxhash64("node", F.lit(k))
-        hubs = met.groupBy("head").agg(F.min(F.struct(pick.alias("p"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("root").alias("hub_root"))).alias("h")).select("head", "h.*")
-        near = met.join(hubs, "head").where(F.col("root") != F.col("hub_root")).where(_possible(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at")))
-        pairs = stage(near.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        found = stage(_verify(pairs, bodies, width), "alike")
-        edges = stage(edges.unionByName(found), "edges_so_far")
-        tried = tried.unionByName(pairs)
-    left = stage(_apart(_labelled(rows.drop("root"), edges)[0]).drop("size"), "apart")
-    a, b = left.alias("a"), left.alias("b")
-    meet = a.join(b, F.col("a.head") == F.col("b.head")).where("a.node > b.node and a.root <> b.root").where(_possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")))
-    pairs = meet.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried.distinct(), ["u", "v"], "left_anti")
-    found = _verify(stage(pairs, "pairs"), bodies, width)
-    return stage(edges.unionByName(found), "edges_all")
+    hubs = rows.groupBy("head").agg(F.min_by(F.struct("node", "n", "at", *PARITY), F.struct("at", "n", "node")).alias("h")).select("head", "h.*")
+    near = rows.alias("r").join(hubs.alias("h"), "head").where("r.node <> h.node").where(_possible("r", "h"))
+    first = stage(fingerprint_pairs(prints).unionByName(_pairs(near, "r", "h")).distinct(), "pairs")
+    edges = stage(_verify(first, bodies, width), "alike")
+    roots = stage(components(edges), "roots")
+    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # only shingles where more than one component meets
+    mixed = placed.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("head")
+    left = stage(placed.join(mixed, "head"), "apart")
+    meet = left.alias("a").join(left.alias("b"), "head").where("a.node > b.node and a.root <> b.root").where(_possible("a", "b"))
+    rest = stage(_pairs(meet, "a", "b").join(first, ["u", "v"], "left_anti"), "pairs")
+    both = stage(edges.unionByName(_verify(rest, bodies, width)), "edges")
+    for used in (rows, first, roots, left, rest, edges):
+        drop_stage(prints.sparkSession, used)
+    return both
 
 
 def dedup_similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
