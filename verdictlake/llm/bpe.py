@@ -196,14 +196,23 @@ def utf8(cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def same_words(cp: np.ndarray, starts: np.ndarray, mine: np.ndarray, other: np.ndarray, other_starts: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     """Whether the words ``mine`` of one table of code points equal the words ``theirs`` of another, one by one."""
-    size = starts[mine + 1] - starts[mine]
-    same = size == other_starts[theirs + 1] - other_starts[theirs]
+    a, b = starts[mine], other_starts[theirs]
+    size = starts[mine + 1] - a
+    same = size == other_starts[theirs + 1] - b
     at = np.flatnonzero(same)
+    a, b, size = a[at], b[at], size[at]
+    # the first characters one by one, of ever fewer words
+    for k in range(24):
+        if not len(at):
+            return same
+        equal = cp[a + k] == other[b + k]
+        same[at[~equal]] = False
+        more = equal & (size > k + 1)
+        at, a, b, size = at[more], a[more], b[more], size[more]
     if len(at):
-        size = size[at]
         ends = np.cumsum(size)
         step = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        differs = cp[np.repeat(starts[mine[at]], size) + step] != other[np.repeat(other_starts[theirs[at]], size) + step]
+        differs = cp[np.repeat(a, size) + step] != other[np.repeat(b, size) + step]
         same[at] = ~np.logical_or.reduceat(differs, ends - size)
     return same
 
