@@ -46,7 +46,15 @@ def test_probes_split_a_text_in_two(spark):
     docs = spark.createDataFrame([(1, "one two  three\nfour"), (2, "alone")], "id int, text string")
     words = evidence.word_spans(docs, "text", ["id"]).withColumn("score", F.col("w").cast("double"))
     got = {(r.id, r.fraction, r.way): r.text for r in faithful.probes(words, faithful.top_words(words, ["id"], (0.5,)), ["id"]).collect()}
-    assert got == {(1, 0.5, "keep"): "three four", (1, 0.5, "remove"): "one two", (2, 0.5, "keep"): "alone", (2, 0.5, "remove"): ""}
+    assert got == {(1, 0.5, "keep"): "three\nfour", (1, 0.5, "remove"): "one two", (2, 0.5, "keep"): "alone", (2, 0.5, "remove"): ""}
+
+
+def test_probes_keep_head_gaps_and_tail(spark):
+    words = evidence.word_spans(spark.createDataFrame([(1, "\n a  b\tc d \n")], "id int, text string"), "text", ["id"])
+    assert [(r.start, r.end, r.word, r.gap, r.head) for r in words.orderBy("w").collect()] == [(2, 3, "a", "  ", "\n "), (5, 6, "b", "\t", ""), (7, 8, "c", " ", ""), (9, 10, "d", " \n", "")]
+    chosen = spark.createDataFrame([(1, 0.5, 1), (1, 0.5, 3)], "id int, fraction double, w int")
+    got = {r.way: r.text for r in faithful.probes(words, chosen, ["id"]).collect()}
+    assert got == {"keep": "\n b\td \n", "remove": "\n a  c \n"}
 
 
 def test_word_scores_take_the_highest_token_that_touches(spark):

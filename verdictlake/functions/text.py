@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that carry nothing, and suffixes with the length a word must exceed
@@ -20,6 +20,21 @@ def stem(word: Column) -> Column:
     return word
 
 
+def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
+    """``stem`` of a column as four projections of plain string operations, which run in generated code; for many rows."""
+    w, n = F.col("_w"), F.length("_w")
+    chop = lambda k: F.substring(w, F.lit(1), n - k)
+    end = lambda k: F.substring(w, n - (k - 1), F.lit(1))
+    consonant = lambda c: ~c.isin("a", "e", "i", "o", "u")
+    cut = w
+    for suffix, least in reversed(SUFFIXES):
+        cut = F.when((n > least) & w.endswith(suffix), chop(len(suffix))).otherwise(cut)
+    out_df = df.withColumn("_w", F.col(word)).withColumn("_w", cut)
+    for rule in ((n > 3) & w.endswith("y") & consonant(end(2)), (n > 3) & w.endswith("e"), (n > 3) & (end(1) == end(2)) & consonant(end(1))):
+        out_df = out_df.withColumn("_w", F.when(rule, chop(1)).otherwise(w))
+    return out_df.withColumnRenamed("_w", out)
+
+
 def raw_tokens(text: Column, drop_stopwords: bool = True) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) >= 2) & (~w.isin(STOPWORDS) if drop_stopwords else F.lit(True)))

@@ -15,25 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import fits
-from .calibration import BINS, bin_of, refuse_teacher
+from .calibration import BINS, bin_of, drawn, refuse_teacher
 from .splits import hash_holdout, one_per_case
 
 POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
 ACCEPT, HARM = 0.80, 0.95
 
 
-def drawn(points: DataFrame, key: str, resamples: int, salt: str) -> DataFrame:
-    """Rows times resamples with rep and a uniform of sixteen bits.
-
-    Digests and draws leave an explode each, so that neither is computed again by what reads it."""
-    text = lambda b: F.concat_ws("|", F.lit(salt), b.cast("string"), F.col(key).cast("string"))
-    digests = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(resamples / 16) - 1)), lambda b: F.struct(b.alias("block"), F.sha2(text(b), 256).alias("digest")))
-    blocked = points.select("*", F.explode(digests).alias("_b")).select("*", "_b.*").drop("_b")
-    us = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((F.col("block") * 16 + i).alias("rep"), (F.conv(F.substring("digest", i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65536.0).alias("u")))
-    each = blocked.select("*", F.explode(us).alias("_r")).select("*", "_r.*").drop("_r", "block", "digest")
-    return each.where(F.col("rep") < resamples)
-
-
 def mass_bin(points: DataFrame, by: list[str], conf: str, out: str, n_bins: int = BINS) -> DataFrame:
     """Add a bin of near-equal mass, cut on counts of confidences in thousandths: at most 1,001 rows a group."""
     cell = F.round(conf, 3)

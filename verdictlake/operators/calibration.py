@@ -7,7 +7,9 @@ Confidences are rounded to nine decimals before they are binned or compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -112,15 +114,27 @@ def slice_reports(scored: DataFrame) -> DataFrame:
     return bins.groupBy("slice").agg(F.sum("n").alias("n"), (F.sum(gap) / F.sum("n")).alias("ece"), *[(F.sum(c) / F.sum("n")).alias(a) for c, a in (("brier", "brier"), ("nll", "nll"), ("correct", "accuracy"))])
 
 
+def drawn(points: DataFrame, key: str, resamples: int, salt: str) -> DataFrame:
+    """Rows times resamples with rep and a uniform of sixteen bits; one SHA-256 carries the draws of sixteen resamples.
+
+    Digests and draws leave an explode each, so that neither is computed again by what reads it."""
+    text = lambda b: F.concat_ws("|", F.lit(salt), b.cast("string"), F.col(key).cast("string"))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(resamples / 16) - 1)), lambda b: F.struct(b.alias("block"), F.sha2(text(b), 256).alias("digest")))
+    blocked = points.select("*", F.explode(digests).alias("_b")).select("*", "_b.*").drop("_b")
+    us = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((F.col("block") * 16 + i).alias("rep"), (F.conv(F.substring("digest", i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65536.0).alias("u")))
+    each = blocked.select("*", F.explode(us).alias("_r")).select("*", "_r.*").drop("_r", "block", "digest")
+    return each.where(F.col("rep") < resamples)
+
+
 def noise_floor(scored: DataFrame, by: list[str], key: str = "case_id", trials: int = 200) -> DataFrame:
     """(by, n, mean, p95): the ECE of a calibrated model on these confidences.
 
-    A label drawn from the probabilities hits the top with probability conf, so a trial needs
-    conf and a keyed draw alone; trials are exploded after the reduction and folded into bins."""
-    points = with_confidence(scored).select(*by, F.col(key).cast("string").alias("_key"), "conf")
-    drawn = points.select(*by, "_key", "conf", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    hit = (V.uniform(F.concat_ws("|", "trial", "_key"), "floor") < F.col("conf")).cast("double")
-    bins = drawn.groupBy(*by, "trial", bin_of(F.col("conf")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit - F.col("conf")).alias("gap"))
+    A label drawn from the probabilities hits the top with probability conf, so a trial needs conf and a keyed draw alone;
+    the trials of a row are folded into bins on the map side, before anything is shuffled."""
+    conf = F.round(F.array_max("probs"), 9)
+    points = scored.select(*by, F.col(key).cast("string").alias("_key"), conf.alias("conf")).withColumn("bin", bin_of(F.col("conf")))
+    hit = (F.col("u") < F.col("conf")).cast("double")
+    bins = drawn(points, "_key", trials, "floor").groupBy(*by, F.col("rep").alias("trial"), "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(hit - F.col("conf")).alias("gap"))
     each = bins.groupBy(*by, "trial").agg((F.sum(F.abs("gap")) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
     rank = round(0.95 * (trials - 1))
     return each.groupBy(*by).agg(F.max("n").alias("n"), F.avg("ece").alias("mean"), F.element_at(F.array_sort(F.collect_list("ece")), rank + 1).alias("p95"))

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 
 def word_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep, w, start, end, word): runs of non-white-space with code-point offsets, end exclusive.
-
-    Pieces alternate between words and gaps; offsets are a running sum within the row's array."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"\S+|\s+"), F.lit(0))
-    rows = df.select(*keep, F.posexplode(pieces).alias("p", "word"))
-    before = Window.partitionBy(*keep).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("start", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)))
-    words = placed.where(F.col("word").rlike(r"^\S"))
-    return words.select(*keep, (F.row_number().over(Window.partitionBy(*keep).orderBy("p")) - 1).alias("w"), "start", (F.col("start") + F.length("word")).alias("end"), "word")
+    """(keep, w, start, end, word, gap, head): runs of non-white-space with code-point offsets, end exclusive,
+    the white space behind each and, with a text's first word, the white space before it.
+
+    Pieces of one text are a word and its gap each; offsets are a running sum within the row's array."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"\S+\s*"), F.lit(0))
+    lead = F.regexp_extract(F.col(text), r"^\s*", 0)
+    rows = df.select(*keep, lead.alias("_lead"), F.posexplode(pieces).alias("w", "_piece"))
+    before = Window.partitionBy(*keep).orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.length("_lead") + F.coalesce(F.sum(F.length("_piece")).over(before), F.lit(0))
+    placed = rows.withColumns({"start": start, "word": F.regexp_extract("_piece", r"^\S+", 0)})
+    return placed.select(*keep, "w", "start", (F.col("start") + F.length("word")).alias("end"), "word", F.expr("substring(_piece, length(word) + 1)").alias("gap"), F.when(F.col("w") == 0, F.col("_lead")).otherwise("").alias("head"))
 
 
 def highlighted(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:

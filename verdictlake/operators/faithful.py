@@ -1,6 +1,6 @@
 """Faithfulness of explanations: word scores, probes with words removed or kept, and their effect.
 
-Words are rows (key, w, start, end, word) as ``evidence.word_spans`` gives them.
+Words are rows (key, w, start, end, word, gap, head) as ``evidence.word_spans`` gives them.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import raw_tokens, stem
-from ..functions.vectors import uniform
+from ..functions.vectors import let, uniform
 
 # fixed values: the shares of words that probes remove or keep
 FRACTIONS = (0.01, 0.05, 0.1, 0.2, 0.5)
@@ -42,15 +42,20 @@ def top_words(scored: DataFrame, key: list[str], fractions: tuple[float, ...] =
 
 
 def probes(words: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
-    """(key, fraction, way, text): a case's words without the chosen ones (remove) and of them alone (keep), joined by a space."""
+    """(key, fraction, way, text): a case's text without the chosen words (remove) and with them alone (keep).
+
+    A kept word keeps the white space that follows it, but for the last one; the text's head and tail stay."""
     fractions = chosen.select(*key, "fraction").distinct()
     marked = words.join(fractions, key).join(chosen.withColumn("_in", F.lit(True)), [*key, "fraction", "w"], "left")
-    ways = F.explode(F.array(F.when(F.col("_in"), "keep").otherwise("remove")))
-    kept = marked.select(*key, "fraction", "w", "word", ways.alias("way"))
+    kept = marked.select(*key, "fraction", "w", "word", "gap", F.when(F.col("_in"), "keep").otherwise("remove").alias("way"))
     # a case's words: an array as long as its text
-    text = kept.groupBy(*key, "fraction", "way").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "word"))), lambda s: s["word"]), " ").alias("text"))
-    spine = fractions.select(*key, "fraction", F.explode(F.array(F.lit("keep"), F.lit("remove"))).alias("way"))
-    return spine.join(text, [*key, "fraction", "way"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    pieces = F.array_sort(F.collect_list(F.struct("w", "word", "gap")))
+    body = let(pieces, lambda p: F.concat(F.array_join(F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda s: F.concat(s["word"], s["gap"])), ""), F.element_at(p, -1)["word"]))
+    texts = kept.groupBy(*key, "fraction", "way").agg(body.alias("_body"))
+    ends = words.groupBy(*key).agg(F.min_by("head", "w").alias("_head"), F.max_by("gap", "w").alias("_tail"))
+    spine = fractions.select(*key, "fraction", F.explode(F.array(F.lit("keep"), F.lit("remove"))).alias("way")).join(ends, key)
+    text = F.concat("_head", F.coalesce("_body", F.lit("")), "_tail")
+    return spine.join(texts, [*key, "fraction", "way"], "left").select(*key, "fraction", "way", text.alias("text"))
 
 
 def distinct_probes(probed: DataFrame, key: list[str]) -> DataFrame:
@@ -72,7 +77,7 @@ def completeness(attributions: DataFrame, deltas: DataFrame, key: list[str], lea
     return rel.agg(F.count(F.lit(1)).alias("n"), *pct, F.max("rel").alias("worst"))
 
 
-def plausibility(prf: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
-    """One row of means over the cases with a human mark; words have gold and predicted."""
+def plausibility(prf: DataFrame, words: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """Means over the cases with a human mark, one row or one for each of ``by``; words have gold and predicted."""
     share = words.groupBy(*key).agg(F.avg(F.col("predicted").cast("double")).alias("highlighted"), F.avg(F.col("gold").cast("double")).alias("human")).where("human > 0")
-    return prf.join(share, key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "highlighted", "human")])
+    return prf.join(share, key).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "highlighted", "human")])

@@ -11,6 +11,7 @@ from ..functions import vectors as V
 
 LOW, HIGH = 0.05, 20.0
 ISOTONIC_LEAST = 400
+MOST_GROUPS = 10_000
 
 
 def temperature_losses(rows: DataFrame, by: list[str], temperatures: DataFrame) -> DataFrame:
@@ -25,12 +26,15 @@ def fit_temperature(rows: DataFrame, by: list[str], rounds: int = 5, grid: int =
     Every round tries an even grid over each group's interval and narrows it to the best
     point's neighbours; only (group, candidate) rows are kept between rounds."""
     spark = rows.sparkSession
+    if by and rows.select(*by).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups; fit them in parts")
+    rows = rows.persist()
     spans = (rows.select(*by).distinct() if by else spark.range(1).select()).withColumns({"lo": F.lit(LOW), "hi": F.lit(HIGH)})
     best = None
     for _ in range(rounds):
         step = (F.col("hi") - F.col("lo")) / (grid - 1)
         tries = spans.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.struct((F.col("lo") + i * step).alias("t"), step.alias("step")))).alias("c")).select(*by, "c.*")
-        # as many rows as groups times candidates; they end the lineage of the next round
+        # at most MOST_GROUPS times grid rows; they end the lineage of the next round
         tries = spark.createDataFrame(tries.collect(), tries.schema)
         losses = temperature_losses(rows, by, tries)
         best = losses.groupBy(*by).agg(F.min_by("t", F.struct("nll", "t")).alias("t"), F.min("nll").alias("nll"))
@@ -38,6 +42,7 @@ def fit_temperature(rows: DataFrame, by: list[str], rounds: int = 5, grid: int =
         best = best.join(width, by) if by else best.crossJoin(width)
         best = spark.createDataFrame(best.collect(), best.schema)
         spans = best.select(*by, F.greatest(F.lit(LOW), F.col("t") - F.col("step")).alias("lo"), F.least(F.lit(HIGH), F.col("t") + F.col("step")).alias("hi"))
+    rows.unpersist()
     return best.select(*by, "t", "nll", ((F.col("t") <= LOW + 0.01) | (F.col("t") >= HIGH - 0.01)).alias("at_bound"))
 
 
@@ -59,11 +64,11 @@ def fit_isotonic(points: DataFrame, by: list[str], x: str = "conf", y: str = "co
 
 
 def pool_violators(points: list[tuple[float, float, float]]) -> list[dict]:
-    """Blocks of (x, sum, weight) merged while their means fall."""
+    """Blocks of (x, sum, weight) merged while their means don't rise."""
     stack: list[list[float]] = []
     for x, s, w in points:
         block = [x, s, w]
-        while stack and stack[-1][1] * block[2] > block[1] * stack[-1][2]:
+        while stack and stack[-1][1] * block[2] >= block[1] * stack[-1][2]:
             _, s0, w0 = stack.pop()
             block = [x, s0 + block[1], w0 + block[2]]
         stack.append(block)

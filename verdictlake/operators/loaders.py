@@ -171,3 +171,96 @@ def step_candidates(elements: DataFrame, step: str, operation: str, n: int, salt
     order = Window.partitionBy(step, operation).orderBy(F.desc("is_target"), draw("keep"), "node")
     kept = elements.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(step, operation).orderBy(draw("show"), "node")) - 1)
+
+
+# fixed values: what each tier of a licence permits
+PERMITS = {"green": ("train", "eval", "redistribute"), "amber": ("eval",), "red": ()}
+
+
+def permits(corpora: DataFrame, purpose: str) -> DataFrame:
+    """corpora (name, tier, licence) with whether ``purpose`` is permitted; share-alike licences permit evaluation alone, whatever their tier."""
+    if purpose not in PERMITS["green"]:
+        raise ValueError(purpose)
+    plain = F.upper(F.replace("licence", F.lit("\u2011"), F.lit("-")))
+    alike = plain.contains("BY-SA") | F.replace(plain, F.lit(" "), F.lit("")).contains("SHAREALIKE")
+    tier = F.col("tier").isin([t for t, may in PERMITS.items() if purpose in may])
+    return corpora.withColumn("permitted", F.coalesce(F.when(alike, tier & F.lit(purpose == "eval")).otherwise(tier), F.lit(False)))
+
+
+def permitted(cases: DataFrame, corpora: DataFrame, corpus: str, purpose: str) -> DataFrame:
+    """``cases``, with an error at run time if a row's corpus doesn't permit the purpose."""
+    may = permits(corpora, purpose).select(F.col("name").alias("_name"), "permitted")
+    told = F.raise_error(F.concat(F.lit(f"not permitted for {purpose}: "), F.col(corpus)))
+    joined = cases.join(F.broadcast(may), F.col(corpus) == F.col("_name"), "left")
+    return joined.where(F.when(F.coalesce("permitted", F.lit(False)), True).otherwise(told.cast("boolean"))).select(*cases.columns)
+
+
+def any_mark(groups: dict[str, list[str]]) -> dict[str, Column]:
+    """Yes (1) if a column of the group is marked, no (0) if none is, null if a mark is unreadable."""
+    out = {}
+    for name, columns in groups.items():
+        marks = [F.trim(F.col(c).cast("string")) for c in columns]
+        valid = F.array(*[F.coalesce(m.isin("0", "1", "0.0", "1.0", "True", "False", "true", "false"), F.lit(False)) for m in marks])
+        marked = F.array(*[F.coalesce(m.isin("1", "1.0", "True", "true"), F.lit(False)) for m in marks])
+        out[name] = F.when(F.forall(valid, lambda v: v), F.exists(marked, lambda v: v).cast("int"))
+    return out
+
+
+def intent_cases(rows: DataFrame, labels_from: Column, text: str, label: str) -> DataFrame:
+    """Rows as one Choice over the sorted labels of the rows where ``labels_from`` holds; rows of other labels (out of scope) are left out."""
+    options = rows.where(labels_from).agg(F.array_sort(F.collect_set(label)).alias("options"))
+    named = rows.crossJoin(F.broadcast(options)).withColumn("y", (F.array_position("options", F.col(label)) - 1).cast("int")).where("y >= 0")
+    return named.withColumnRenamed(text, "state_text").drop(label)
+
+
+def intent_doc(doc: DataFrame, splits: list[str], text: str = "text", label: str = "label") -> DataFrame:
+    """One object of arrays of [text, label] to (split, text, label)."""
+    parts = [doc.select(F.lit(s).alias("split"), F.explode(s).alias("_p")) for s in splits]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.select("split", F.col("_p")[0].alias(text), F.col("_p")[1].alias(label))
+
+
+def step_targets(candidates: DataFrame, step: str, fits: dict[str, Column]) -> DataFrame:
+    """candidates (step, node, place, operation: the step's, is_target) to (step, head, names, y): one target question for each operation
+    that two candidates fit, y where the head is the step's own; steps of fewer than two operations, or whose own head has one name, are dropped."""
+    heads = F.array_compact(F.array(*[F.when(c | (F.col("is_target") & (F.col("operation") == op)), op) for op, c in fits.items()]))
+    each = candidates.select(step, "operation", "place", "is_target", F.explode(heads).alias("head"))
+    grouped = each.groupBy(step, "operation", "head").agg(F.array_sort(F.collect_list(F.struct("place", "is_target"))).alias("_c"))
+    names = F.transform("_c", lambda x: (x["place"] + 1).cast("string"))
+    y = F.when(F.col("head") == F.col("operation"), F.array_position(F.transform("_c", lambda x: x["is_target"]), True) - 1)
+    known = grouped.groupBy(step).agg(F.count(F.lit(1)).alias("_ops"), F.max(F.when(F.col("head") == F.col("operation"), F.size("_c"))).alias("_own")).where("_ops >= 2 and _own >= 2")
+    return grouped.join(known, step).where(F.size("_c") >= 2).select(step, "head", names.alias("names"), y.cast("int").alias("y"))
+
+
+def from_native(answers: DataFrame) -> Column:
+    """The other contract's answer as JSON, from kind, labels, probs, selected, score, confidence and criteria (of levels)."""
+    probabilities = F.map_from_arrays("labels", "probs")
+    legend = F.map_from_arrays("labels", F.transform("criteria", lambda c: F.coalesce(c, F.lit(""))))
+    kind = F.col("kind")
+    return (
+        F.when(kind == "noul", F.to_json(F.struct(kind.alias("type"), F.element_at("probs", 2).alias("noul"))))
+        .when(kind == "choice", F.to_json(F.struct(kind.alias("type"), F.col("selected").alias("choice"), "confidence", probabilities.alias("probabilities"))))
+        .when(kind == "score", F.to_json(F.struct(kind.alias("type"), "score", "confidence", legend.alias("legend"), probabilities.alias("probabilities"))))
+    )
+
+
+def to_compat(kind: Column, instructions: Column, names: Column, criteria: Column) -> Column:
+    """A native question as the other contract's JSON: levels go out as an array and are known by index there, a missing criterion is the name."""
+    told = F.zip_with(names, criteria, lambda n, c: F.when(F.length(c) > 0, c).otherwise(n))
+    head = [kind.alias("type"), instructions.alias("instructions")]
+    both = F.create_map(F.lit("true"), F.lit("Yes"), F.lit("false"), F.lit("No"))
+    return F.when(kind == "noul", F.to_json(F.struct(*head, both.alias("criteria")))).when(kind == "choice", F.to_json(F.struct(*head, F.map_from_arrays(names, told).alias("criteria")))).when(kind == "score", F.to_json(F.struct(*head, told.alias("criteria"))))
+
+
+WIRE_ANSWER = "type string, noul double, choice string, score double, confidence double, probabilities map<string,double>"
+
+
+def answer_to_native(answers: DataFrame, body: str, names: str) -> DataFrame:
+    """Add kind, selected, score, probability and probabilities of an answer in the other contract; a Score's levels get their names back."""
+    a = F.from_json(body, WIRE_ANSWER)
+    levels = F.map_from_entries(F.transform(F.filter(F.map_entries("_a.probabilities"), lambda e: e["key"].rlike("^[0-9]+$") & (e["key"].try_cast("int") < F.size(names))), lambda e: F.struct(F.element_at(names, e["key"].cast("int") + 1).alias("key"), e["value"].alias("value"))))
+    out = answers.withColumn("_a", a).withColumn("probabilities", F.when(F.col("_a.type") == "score", levels).otherwise(F.col("_a.probabilities")))
+    ranked = F.array_sort(F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
+    return out.withColumns({"kind": F.col("_a.type"), "probability": F.col("_a.noul"), "score": F.col("_a.score"), "selected": F.when(F.col("_a.type") == "choice", F.col("_a.choice")).when(F.col("_a.type") == "score", F.try_element_at(ranked, F.lit(1))["k"])}).drop("_a")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_tokens, stem
-from ..functions.vectors import dot
+from ..functions.text import raw_tokens, with_stem
+from ..functions.vectors import uniform
 
 K1, B = 1.2, 0.75
 
 
 def tokens(df: DataFrame, text: str, keep: list[str], drop_stopwords: bool = True) -> DataFrame:
     """(keep, token): one row for each stemmed token, repeats included."""
-    return df.select(*keep, F.explode(raw_tokens(F.col(text), drop_stopwords)).alias("word")).select(*keep, stem(F.col("word")).alias("token"))
+    words = df.select(*keep, F.explode(raw_tokens(F.col(text), drop_stopwords)).alias("word"))
+    return with_stem(words, "word", "token").select(*keep, "token")
 
 
 def piece_counts(df: DataFrame, text: str, least: int = 2, pattern: str = r"\w+|[^\w\s]+") -> DataFrame:
@@ -22,7 +25,7 @@ def piece_counts(df: DataFrame, text: str, least: int = 2, pattern: str = r"\w+|
 
 def hash_collisions(pieces: DataFrame, piece: str, buckets: int) -> DataFrame:
     """One row: distinct pieces, and the share that meets another in a bucket."""
-    one = pieces.select(piece).distinct().withColumn("bucket", F.pmod(F.crc32(F.col(piece).cast("binary")), F.lit(buckets)))
+    one = pieces.select(piece).distinct().withColumn("bucket", F.floor(uniform(piece, "bucket") * buckets))
     full = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     return full.agg(F.sum("n").alias("pieces"), (F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("collided"))
 
@@ -41,16 +44,20 @@ def lexical_scores(states: DataFrame, members: DataFrame) -> DataFrame:
 
 def option_index(options: DataFrame) -> tuple[DataFrame, DataFrame]:
     """options (idx, text) to postings (token, idx, tf, size, idf-ready df) and one row of totals (n, avg_len)."""
-    words = tokens(options, "text", ["idx"])
-    tf = words.groupBy("idx", "token").agg(F.count(F.lit(1)).alias("tf"))
-    size = words.groupBy("idx").agg(F.count(F.lit(1)).alias("size"))
+    tf = tokens(options, "text", ["idx"]).groupBy("idx", "token").agg(F.count(F.lit(1)).alias("tf"))
+    size = tf.groupBy("idx").agg(F.sum("tf").alias("size"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    totals = options.agg(F.count(F.lit(1)).alias("n")).crossJoin(words.agg(F.count(F.lit(1)).alias("w"))).select("n", (F.col("w") / F.col("n")).alias("avg_len"))
+    totals = options.agg(F.count(F.lit(1)).alias("n")).crossJoin(size.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"))).select("n", (F.col("w") / F.col("n")).alias("avg_len"))
     return tf.join(size, "idx").join(df, "token"), totals
 
 
+def set_key(options: Column) -> Column:
+    """Content key of an option set: equal sets share one index."""
+    return F.sha2(F.to_json(options), 256)
+
+
 def bm25_shortlist(queries: DataFrame, options: DataFrame, k: int) -> DataFrame:
-    """queries (qid, text) and options (idx from 0, text) to (qid, rank, idx): the best ``k`` options.
+    """queries (qid, text) and options (idx from 0, text) to (qid, rank, idx, score): the best ``k`` options.
 
     Scores come from postings alone. Ties go to the lower index; a query with fewer hits is
     padded with the lowest indices it hasn't got, of which the first ``k`` always suffice.
@@ -59,29 +66,57 @@ def bm25_shortlist(queries: DataFrame, options: DataFrame, k: int) -> DataFrame:
     terms = tokens(queries, "text", ["qid"]).distinct()
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_len")))
-    scored = postings.crossJoin(F.broadcast(totals)).withColumn("part", part).select("token", "idx", "part").join(terms, "token").groupBy("qid", "idx").agg(F.round(F.sum("part"), 9).alias("score"))
+    scored = terms.join(postings.crossJoin(F.broadcast(totals)).select("token", "idx", part.alias("part")), "token").groupBy("qid", "idx").agg(F.round(F.sum("part"), 9).alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "idx"))).where(F.col("rank") <= k)
-    pad = queries.select("qid").distinct().crossJoin(F.broadcast(options.where(F.col("idx") < k).select("idx")))
-    extra = pad.join(best.select("qid", "idx"), ["qid", "idx"], "left_anti").select("qid", "idx", F.lit(None).cast("double").alias("score"))
-    both = best.select("qid", "idx", "score").unionByName(extra)
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "idx")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "idx", "score")
+    # at most k rows a query
+    own = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "score"))).alias("_best"))
+    lowest = options.where(F.col("idx") < k).agg(F.array_sort(F.collect_list("idx")).alias("_low"))
+    padded = queries.select("qid").distinct().join(own, "qid", "left").crossJoin(F.broadcast(lowest))
+    some = F.coalesce(F.transform("_best", lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score"))), F.array().cast("array<struct<idx:long,score:double>>"))
+    more = F.transform(F.filter("_low", lambda i: ~F.exists(some, lambda x: x["idx"] == i)), lambda i: F.struct(i.cast("long").alias("idx"), F.lit(None).cast("double").alias("score")))
+    return padded.select("qid", F.posexplode(F.slice(F.concat(some, more), 1, k)).alias("rank", "x")).select("qid", (F.col("rank") + 1).alias("rank"), "x.idx", "x.score")
+
+
+BLOCK = 4096
 
 
-def vector_shortlist(queries: DataFrame, options: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def vector_shortlist(queries: DataFrame, options: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """queries (qid, vec) and options (idx, vec) to (qid, rank, idx, score) by cosine, ties to the lower index.
 
-    Options are dealt into blocks; each query meets a block once and keeps its best ``k`` there,
-    so what is shuffled is queries times blocks times k."""
-    norm = F.sqrt(dot("vec", "vec"))
-    unit = F.when(norm > 0, F.transform("vec", lambda v: v / norm)).otherwise(F.transform("vec", lambda v: v * 0))
-    q = queries.select("qid", unit.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    o = options.select("idx", unit.alias("o"), F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"))
-    packed = o.groupBy("block").agg(F.collect_list(F.struct("idx", "o")).alias("os"))
-    near = F.transform("os", lambda x: F.struct((-F.round(dot(F.col("q"), x["o"]), 9)).alias("s"), x["idx"].alias("idx")))
-    met = q.join(packed, "block").select("qid", F.explode(F.slice(F.array_sort(near), 1, k)).alias("x"))
-    order = Window.partitionBy("qid").orderBy("x.s", "x.idx")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", F.col("x.idx").alias("idx"), (-F.col("x.s")).alias("score"))
+    Both sides are dealt into blocks of about ``block`` vectors. Every pair of blocks is one matrix product in a task,
+    which keeps each query's best ``k``, so a task holds two blocks and what is ranked is queries times blocks times k.
+    A zero vector has cosine zero; vectors of other lengths are an error."""
+    nq, no = (max(1, -(-df.count() // block)) for df in (queries, options))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("qid", "vec", deal("qid", nq).alias("qb"), every(no).alias("ob"))
+    o = options.select("idx", "vec", deal("idx", no).alias("ob"), every(nq).alias("qb"))
+    kinds = dict(queries.dtypes)["qid"], dict(options.dtypes)["idx"]
+
+    def unit(vectors):
+        m = np.array(vectors.tolist(), float)
+        if m.dtype == object or m.ndim != 2:
+            raise ValueError("vectors differ in length")
+        size = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": left["qid"][:0], "idx": right["idx"][:0], "score": np.zeros(0)})
+        right = right.sort_values("idx")
+        a, b = unit(left["vec"]), unit(right["vec"])
+        if a.shape[1] != b.shape[1]:
+            raise ValueError("vectors differ in length")
+        found = []
+        for start in range(0, len(a), 256):
+            score = np.round(a[start : start + 256] @ b.T, 9)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            found.append((np.repeat(left["qid"].to_numpy()[start : start + 256], top.shape[1]), right["idx"].to_numpy()[top.ravel()], np.take_along_axis(score, top, 1).ravel()))
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("qid", "idx", "score"))})
+
+    met = q.groupBy("qb", "ob").cogroup(o.groupBy("qb", "ob")).applyInPandas(best, f"qid {kinds[0]}, idx {kinds[1]}, score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "idx")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "idx", "score")
 
 
 def recall_at_k(shortlists: DataFrame, truth: DataFrame) -> DataFrame:
@@ -94,3 +129,43 @@ def expand_shortlist(df: DataFrame, n: str = "n", idx: str = "idx", probs: str =
     """Options that a shortlist dropped come back at probability zero, in declared order."""
     m = F.map_from_arrays(idx, probs)
     return df.withColumn(probs, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+
+
+def lexical_decide(states: DataFrame, members: DataFrame, temperature: float = 2.0) -> DataFrame:
+    """states (case_id, text), members (idx from 0, text) of one Choice to (case_id, logits): lexical scores over a temperature, zero without a shared token."""
+    score = lexical_scores(states, members)
+    n = members.agg((F.max("idx") + 1).cast("int").alias("_n"))
+    own = score.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "score"))).alias("_m"))
+    spine = states.select("case_id").join(own, "case_id", "left").crossJoin(F.broadcast(n))
+    logits = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.try_element_at("_m", i.cast(dict(members.dtypes)["idx"])), F.lit(0.0)) / temperature)
+    return spine.select("case_id", logits.alias("logits"))
+
+
+def pseudo_prior(schema_hash: Column, seed: int = 0) -> Column:
+    """A small offset in [0, 0.5) that a question's fingerprint fixes; a yes/no logit is its score less this."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), schema_hash), 256), 1, 2), 16, 10).cast("double") / 255.0 * 0.5
+
+
+def needs_retrieval(questions: DataFrame, options: str = "options", tokens: str = "tokens", most_options: int = 1024, most_tokens: int = 65_536) -> DataFrame:
+    """Add narrow: whether a question is so large that its options are shortlisted before it is asked."""
+    return questions.withColumn("narrow", (F.col(options) > most_options) | (F.col(tokens) > most_tokens))
+
+
+def drop_slots(options: DataFrame, slots: list[str], drops: list[int], salt: str = "drop") -> DataFrame:
+    """(drop, idx, text): each option described by its slots, all but a keyed choice of ``drop`` of them."""
+    key = lambda i: uniform(F.concat_ws("|", "idx", "drop", i), salt)
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("text")) for i, c in enumerate(slots)])
+    each = options.select("idx", parts.alias("_p"), F.explode(F.array(*[F.lit(d) for d in drops])).alias("drop"))
+    ranked = F.array_sort(F.transform("_p", lambda x: F.struct(key(x["i"]).alias("u"), x["i"].alias("i"), x["text"].alias("text"))))
+    kept = F.array_sort(F.transform(F.slice(ranked, F.col("drop") + 1, F.lit(len(slots))), lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"))))
+    return each.select("drop", "idx", F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"))
+
+
+def recall_sweep(options: DataFrame, queries: DataFrame, ks: list[int], least: float = 0.99) -> DataFrame:
+    """options (idx, text), queries (drop, idx: the true option, text) to (drop, k, n, recall, passed): one shortlist of the largest k serves all."""
+    named = queries.select(F.concat_ws("|", "drop", "idx").alias("qid"), "drop", F.col("idx").alias("true"), "text")
+    best = bm25_shortlist(named.select("qid", "text"), options, max(ks))
+    hit = named.select("qid", "drop", "true").join(best.select("qid", F.col("idx").alias("true"), "rank"), ["qid", "true"], "left")
+    each = hit.select("drop", "rank", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    out = each.groupBy("drop", "k").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))).alias("recall"))
+    return out.withColumn("passed", F.col("recall") >= least)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vectors as V
 from ..operators.calibration import bin_of, with_confidence
@@ -63,3 +65,39 @@ def on_enough_rows(stream: DataFrame, kind: str, least: int, refit: Callable[[Da
             refit(ready)
 
     return stream.groupBy(kind).count().writeStream.outputMode("update").foreachBatch(each)
+
+
+def admit_stream(requests: DataFrame, key: str, ts: str, event: str, rate: int, window_seconds: int = 60) -> DataFrame:
+    """Window admission on a stream: (key, event, ts, admitted, retry_after): the first ``rate`` requests of a key in each window
+    pass, in the order of time within a micro-batch; others learn the seconds until the window ends.
+
+    A key's state is the start of its latest window and a count, and leaves the store an hour after the last request."""
+    kinds = dict(requests.dtypes)
+    schema = f"`{key}` {kinds[key]}, `{event}` {kinds[event]}, `{ts}` timestamp, admitted boolean, retry_after double"
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values([ts, event], kind="stable")
+        start, count = state.get if state.exists else (-1, 0)
+        seconds = rows[ts].astype("datetime64[us]").astype("int64") / 1e6
+        admitted, wait = [], []
+        for at in seconds:
+            own = int(at // window_seconds) * window_seconds
+            if own > start:
+                start, count = own, 0
+            ok = own == start and count < rate
+            count += ok
+            admitted.append(ok)
+            wait.append(0.0 if ok else own + window_seconds - at)
+        state.update((start, count))
+        state.setTimeoutDuration(3_600_000)
+        yield rows[[key, event, ts]].assign(admitted=admitted, retry_after=wait)
+
+    return requests.select(key, event, ts).groupBy(key).applyInPandasWithState(step, schema, "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def late_rows(query) -> int:
+    """Rows that a running query has dropped as later than its watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
