@@ -23,16 +23,18 @@ def stem(word: Column) -> Column:
 def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     """``stem`` of a column as four projections of plain string operations, which run in generated code; for many rows."""
     w, n = F.col("_w"), F.length("_w")
-    chop = lambda k: F.substring(w, F.lit(1), n - k)
     end = lambda k: F.substring(w, n - (k - 1), F.lit(1))
-    consonant = lambda c: ~c.isin("a", "e", "i", "o", "u")
-    cut = w
-    for suffix, least in reversed(SUFFIXES):
-        cut = F.when((n > least) & w.endswith(suffix), chop(len(suffix))).otherwise(cut)
-    out_df = df.withColumn("_w", F.col(word)).withColumn("_w", cut)
-    for rule in ((n > 3) & w.endswith("y") & consonant(end(2)), (n > 3) & w.endswith("e"), (n > 3) & (end(1) == end(2)) & consonant(end(1))):
-        out_df = out_df.withColumn("_w", F.when(rule, chop(1)).otherwise(w))
-    return out_df.withColumnRenamed("_w", out)
+    consonant = lambda c: ~F.lit("aeiou").contains(c)
+    # how many characters the first fitting suffix has; one substring for all of them keeps the generated code small
+    size = F.when((n > SUFFIXES[0][1]) & w.endswith(SUFFIXES[0][0]), len(SUFFIXES[0][0]))
+    for suffix, least in SUFFIXES[1:]:
+        size = size.when((n > least) & w.endswith(suffix), len(suffix))
+    rules = (size.otherwise(0), ((n > 3) & w.endswith("y") & consonant(end(2))).cast("int"), ((n > 3) & w.endswith("e")).cast("int"), ((n > 3) & (end(1) == end(2)) & consonant(end(1))).cast("int"))
+    # never null, or joins on the key would test the whole expression for it once more
+    df = df.withColumn("_w", F.coalesce(F.col(word), F.lit("")))
+    for rule in rules:
+        df = df.withColumn("_k", rule).withColumn("_w", F.substring(w, F.lit(1), n - F.col("_k"))).drop("_k")
+    return df.withColumnRenamed("_w", out)
 
 
 def raw_tokens(text: Column, drop_stopwords: bool = True) -> Column:

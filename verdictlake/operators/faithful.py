@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_tokens, stem
+from ..functions.text import STOPWORDS, raw_tokens, stem
 from ..functions.vectors import let, uniform
 
 # fixed values: the shares of words that probes remove or keep
@@ -27,10 +27,11 @@ def control_scores(words: DataFrame, key: list[str], salt: str = "control") -> D
 
 
 def lexical_evidence(words: DataFrame, questions: DataFrame, key: list[str]) -> DataFrame:
-    """Words whose stem occurs in the text of their question (key, text)."""
+    """Words, but for stop words, whose stem occurs in the text of their question (key, text)."""
     asked = questions.select(*key, F.explode(raw_tokens(F.col("text"))).alias("_t")).select(*key, stem(F.col("_t")).alias("_k")).distinct()
     bare = F.regexp_replace(F.lower("word"), "[^a-z0-9]", "")
-    return words.withColumn("_k", stem(bare)).join(asked, [*key, "_k"], "left_semi").drop("_k")
+    told = words.withColumn("_b", bare).where((F.length("_b") >= 2) & ~F.col("_b").isin(STOPWORDS))
+    return told.withColumn("_k", stem(F.col("_b"))).drop("_b").join(asked, [*key, "_k"], "left_semi").drop("_k")
 
 
 def top_words(scored: DataFrame, key: list[str], fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:

@@ -229,7 +229,7 @@ def step_targets(candidates: DataFrame, step: str, fits: dict[str, Column]) -> D
     each = candidates.select(step, "operation", "place", "is_target", F.explode(heads).alias("head"))
     grouped = each.groupBy(step, "operation", "head").agg(F.array_sort(F.collect_list(F.struct("place", "is_target"))).alias("_c"))
     names = F.transform("_c", lambda x: (x["place"] + 1).cast("string"))
-    y = F.when(F.col("head") == F.col("operation"), F.array_position(F.transform("_c", lambda x: x["is_target"]), True) - 1)
+    y = F.when(F.col("head") == F.col("operation"), F.nullif(F.array_position(F.transform("_c", lambda x: x["is_target"]), True), F.lit(0).cast("long")) - 1)
     known = grouped.groupBy(step).agg(F.count(F.lit(1)).alias("_ops"), F.max(F.when(F.col("head") == F.col("operation"), F.size("_c"))).alias("_own")).where("_ops >= 2 and _own >= 2")
     return grouped.join(known, step).where(F.size("_c") >= 2).select(step, "head", names.alias("names"), y.cast("int").alias("y"))
 

@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from . import calibration as K
 from . import compare as J
 from . import faithful as H
+from . import fits
 from .evidence import token_prf
 
 
@@ -138,3 +139,11 @@ def floor_suite(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Long metric rows (by, metric, value) of paired answers, to stand beside a model's."""
     wide = J.pair_same(pairs, by)
     return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns if c not in by])).alias("m")).select(*by, "m.*")
+
+
+def regate(fit: DataFrame, check: DataFrame, runs: list[str]) -> DataFrame:
+    """Rows (runs, logits, probs, y) of many saved runs to n, accuracy, ece before and after a temperature refitted for each run on ``fit``."""
+    temps = fits.fit_temperature(fit.select(*runs, "logits", "y"), runs).select(*runs, "t")
+    warm = check.join(F.broadcast(temps), runs).withColumn("probs", V.softmax("logits", F.col("t")))
+    error = lambda df, name: K.ece(K.reliability_bins(df, runs, spine=False), runs).select(*runs, F.col("ece").alias(name))
+    return accuracy(check, runs).join(error(check, "ece_before"), runs).join(error(warm, "ece_after"), runs).join(temps, runs)

@@ -119,3 +119,9 @@ def price(usage: DataFrame, by: list[str], cold: float, cached: float, prompt_ra
     prompted = (F.sum(F.col("prompt") + F.col("state")) * prompt_rate + F.sum("output") * output_rate) / 1e6
     out = usage.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), typed.alias("typed_usd"), prompted.alias("prompted_usd"))
     return out.withColumn("multiple", F.try_divide("prompted_usd", "typed_usd"))
+
+
+def build_cost(shards: DataFrame, usd_per_second: float) -> DataFrame:
+    """shards (kept, planned, seconds) to one row: totals, and dollars for a thousand kept cases."""
+    out = shards.agg(*[F.sum(c).alias(c) for c in ("kept", "planned", "seconds")])
+    return out.withColumn("usd_per_1k", 1000 * F.col("seconds") * usd_per_second / F.greatest("kept", F.lit(1)))

@@ -121,8 +121,8 @@ def rot(by_value: DataFrame) -> DataFrame:
     return by_value.agg((F.min_by("accuracy", v) - F.max_by("accuracy", v)).alias("rot"))
 
 
-def ambiguity(outcomes: DataFrame) -> DataFrame:
-    return outcomes.agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg((F.col("confidence") > 0.5).cast("double")).alias("confident"))
+def ambiguity(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return outcomes.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg((F.col("confidence") > 0.5).cast("double")).alias("confident"))
 
 
 def within_case_gap(outcomes: DataFrame, first: str, second: str, total: float = 1.0) -> DataFrame:

@@ -96,22 +96,27 @@ def e9_lexicon(spark, sf_dir):
     return rounded(E.fit_lexicon(words, "word", "mark"), "rate")
 
 
-@register("""WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) AS piece FROM conversations) SELECT count(*) AS pieces FROM p""")
+@register(f"""WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) AS piece FROM conversations), b AS (SELECT floor({u_sql("'bucket|' || piece")} * 4096) AS b, count(*) AS n FROM p GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS pieces, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS collided FROM b""")
 def x12_hash_collisions(spark, sf_dir):
     pieces = retrieval.piece_counts(views.table(spark, sf_dir, "conversations"), "text", 1, "[A-Za-z]+|[0-9]+")
-    return retrieval.hash_collisions(pieces, "piece", 4096).select("pieces")
+    return rounded(retrieval.hash_collisions(pieces, "piece", 4096), "collided")
 
 
-@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, w AS (SELECT DISTINCT idx, token FROM t), n AS (SELECT idx, count(*) AS n FROM w GROUP BY idx) SELECT idx AS qid, coalesce(n, 0) AS tokens FROM o LEFT JOIN n USING (idx)""")
+@register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, tf AS (SELECT idx, token, count(*) AS tf FROM t GROUP BY ALL), z AS (SELECT idx, CAST(sum(tf) AS BIGINT) AS size FROM tf GROUP BY idx), d AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+    SELECT idx, token, tf, size, df, (SELECT count(*) FROM o) AS n, round((SELECT sum(tf) FROM tf) / (SELECT count(*) FROM o), 6) AS avg_len FROM tf JOIN z USING (idx) JOIN d USING (token)""")
 def x6_option_index(spark, sf_dir):
-    """Distinct tokens of every option in the inverted index."""
-    items = views.items(spark, sf_dir)
-    postings, _ = retrieval.option_index(items)
-    n = postings.groupBy("idx").agg(F.count(F.lit(1)).alias("tokens"))
-    return items.join(n, "idx", "left").select(F.col("idx").alias("qid"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    """The whole inverted index with its totals."""
+    postings, totals = retrieval.option_index(views.items(spark, sf_dir))
+    return rounded(postings.crossJoin(F.broadcast(totals)), "avg_len")
+
+
+X8 = f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, tf AS (SELECT idx, token, count(*) AS tf FROM t GROUP BY ALL), sz AS (SELECT idx, count(*) AS sz FROM t GROUP BY idx), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+    st AS (SELECT (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM o) AS av),
+    s AS (SELECT a.idx AS qid, b.idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * sz / av))), 9) AS score FROM tf a JOIN tf b USING (token) JOIN sz ON sz.idx = b.idx JOIN df USING (token), st GROUP BY ALL),
+    r AS (SELECT x.idx AS qid, o.idx, row_number() OVER (PARTITION BY x.idx ORDER BY score DESC NULLS LAST, o.idx) AS rank FROM o x CROSS JOIN o LEFT JOIN s ON s.qid = x.idx AND s.idx = o.idx)"""
 
 
-@register()
+@register(f"{X8} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM r WHERE qid = idx")
 def x8_recall(spark, sf_dir):
     """How often a passage is in the best five for its own text."""
     items = views.items(spark, sf_dir)
@@ -128,10 +133,10 @@ def j14_macro(spark, sf_dir):
 
 
 @register(f"""WITH {scored_sql()}, d AS (SELECT case_id, probs, y, list_sort(list_transform(range(5), lambda i: {{'u': {u_sql("'order|' || case_id || '|' || i")}, 'i': i}})) AS o FROM sc)
-    SELECT case_id, CAST(list_position(list_transform(o, lambda s: s.i), y) - 1 AS INTEGER) AS y FROM d""")
+    SELECT case_id, array_to_string(list_transform(o, lambda s: ty[s.i + 1]), ',') AS options, CAST(list_position(list_transform(o, lambda s: s.i), y) - 1 AS INTEGER) AS y FROM d, sc_t""")
 def r9_reorder(spark, sf_dir):
     s = views.event_scored(spark, sf_dir).withColumn("options", F.col("labels"))
-    return J.reorder(s).select("case_id", "y")
+    return J.reorder(s).select("case_id", F.array_join("options", ",").alias("options"), "y")
 
 
 @register(f"""WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, d AS (SELECT a.brier - b.brier AS d FROM a JOIN b USING (case_id)) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(1.96 * stddev_samp(d) / sqrt(count(*)), 6) AS half_width FROM d""")

@@ -67,11 +67,19 @@ def k11_slice_reports(spark, sf_dir):
     return rounded(K.slice_reports(views.event_scored(spark, sf_dir)), "ece", "brier", "nll", "accuracy")
 
 
-@register(f"""WITH {scored_sql()}, d AS (SELECT domain, t, bin, conf, CASE WHEN {u_sql("'floor|' || CAST(t AS VARCHAR) || '|' || CAST(case_id AS VARCHAR)")} < conf THEN 1.0 ELSE 0.0 END AS hit FROM sc, (SELECT unnest(range(50)) AS t)),
-    b AS (SELECT domain, t, bin, count(*) AS n, sum(hit - conf) AS gap FROM d GROUP BY ALL), e AS (SELECT domain, t, sum(abs(gap)) / sum(n) AS ece, sum(n) AS n FROM b GROUP BY ALL)
-    SELECT domain, CAST(max(n) AS BIGINT) AS n, round(avg(ece), 6) AS mean, round(list_sort(list(ece))[48], 6) AS p95 FROM e GROUP BY domain""")
+def floor_sql(source: str, n: int = 200) -> str:
+    """CTEs up to fl (domain, n, mean, p95) from a scored source."""
+    return f"""
+    fl_h AS (SELECT domain, case_id, bin, conf, blk, sha256('floor|' || CAST(blk AS VARCHAR) || '|' || CAST(case_id AS VARCHAR)) AS dg FROM {source}, (SELECT unnest(range({-(-n // 16)})) AS blk)),
+    fl_d AS (SELECT domain, bin, conf, blk * 16 + k AS t, ('0x' || substr(dg, k * 4 + 1, 4))::UBIGINT / 65536.0 AS u FROM fl_h, (SELECT unnest(range(16)) AS k) WHERE blk * 16 + k < {n}),
+    fl_b AS (SELECT domain, t, bin, count(*) AS n, sum(CASE WHEN u < conf THEN 1.0 ELSE 0.0 END - conf) AS gap FROM fl_d GROUP BY ALL),
+    fl_e AS (SELECT domain, t, sum(abs(gap)) / sum(n) AS ece, sum(n) AS n FROM fl_b GROUP BY ALL),
+    fl AS (SELECT domain, CAST(max(n) AS BIGINT) AS n, avg(ece) AS mean, list_sort(list(ece))[{round(0.95 * (n - 1)) + 1}] AS p95 FROM fl_e GROUP BY domain)"""
+
+
+@register(f"WITH {scored_sql()}, {floor_sql('sc')} SELECT domain, n, round(mean, 6) AS mean, round(p95, 6) AS p95 FROM fl")
 def k8_noise_floor(spark, sf_dir):
-    return rounded(K.noise_floor(views.event_scored(spark, sf_dir), ["domain"], trials=50), "mean", "p95")
+    return rounded(K.noise_floor(views.event_scored(spark, sf_dir), ["domain"]), "mean", "p95")
 
 
 @register(f"""WITH {scored_sql()}, c AS (SELECT domain, y, count(*) AS n, sum(correct) AS r FROM sc GROUP BY ALL)
@@ -114,10 +122,10 @@ def k16_nearest_rank(spark, sf_dir):
 
 
 @register(f"""WITH {scored_sql()}, s AS (SELECT unnest(range(15)) AS bin), b AS (SELECT bin, count(*) AS n, avg(conf) AS conf, avg(correct) AS acc FROM sc GROUP BY bin)
-    SELECT CAST(s.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(acc, 0) - coalesce(conf, 0), 6) AS gap FROM s LEFT JOIN b USING (bin)""")
+    SELECT CAST(s.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(acc, 0) - coalesce(conf, 0), 6) AS gap, rpad(repeat('#', CAST(round(coalesce(acc, 0) * 40) AS INTEGER)), 40, '.') AS bar FROM s LEFT JOIN b USING (bin)""")
 def s12_reliability_diagram(spark, sf_dir):
     rows = K.reliability_bins(views.event_scored(spark, sf_dir).withColumn("one", F.lit(1)), ["one"])
-    return rounded(reliability_diagram(rows).select("bin", "n", "gap"), "gap")
+    return rounded(reliability_diagram(rows).select("bin", "n", "gap", "bar"), "gap")
 
 
 # ---- fits --------------------------------------------------------------------------------------
@@ -133,27 +141,42 @@ def f1_temperature_losses(spark, sf_dir):
     return rounded(fits.temperature_losses(rows, ["domain"], grid), "nll")
 
 
-@register()
+def _fit_sql(rounds: int = 5, grid: int = 17) -> str:
+    """CTEs w0 .. w5 (domain, lo, hi, t, nll): the grid of each round lies between the neighbours of the best point before."""
+    out = [f"w0 AS (SELECT DISTINCT domain, {fits.LOW}::DOUBLE AS lo, {fits.HIGH}::DOUBLE AS hi, 0.0::DOUBLE AS t, 0.0::DOUBLE AS nll FROM sc)"]
+    for r in range(1, rounds + 1):
+        out.append(f"""x{r} AS (SELECT sc.domain, lo + i * ((hi - lo) / {grid - 1}) AS t, (hi - lo) / {grid - 1} AS step, logits, y FROM sc JOIN w{r - 1} USING (domain), (SELECT unnest(range({grid})) AS i)),
+    l{r} AS (SELECT domain, t, max(step) AS step, avg(-ln(greatest(ex[y + 1] / list_sum(ex), 1e-12))) AS nll FROM (SELECT domain, t, step, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS ex FROM x{r}) GROUP BY domain, t),
+    w{r} AS (SELECT domain, greatest({fits.LOW}::DOUBLE, t - step) AS lo, least({fits.HIGH}::DOUBLE, t + step) AS hi, t, nll FROM l{r} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY nll, t) = 1)""")
+    return ", ".join(out)
+
+
+@register(f"WITH {scored_sql()}, {_fit_sql()} SELECT domain, round(t, 6) AS t, round(nll, 6) AS nll, t <= {fits.LOW} + 0.01 OR t >= {fits.HIGH} - 0.01 AS at_bound FROM w5")
 def f1_fit_temperature(spark, sf_dir):
-    return fits.fit_temperature(views.event_scored(spark, sf_dir).select("domain", "logits", "y"), ["domain"])
+    return rounded(fits.fit_temperature(views.event_scored(spark, sf_dir).select("domain", "logits", "y"), ["domain"]), "t", "nll")
+
+
+# the fitted value at a point is the largest over all starts before it of the least mean to any end behind it
+PAV = f"""{scored_sql()}, r AS (SELECT domain, conf AS x, sum(correct) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY ALL),
+    c AS (SELECT domain, x, s, w, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM r WINDOW o AS (PARTITION BY domain ORDER BY x)),
+    m AS (SELECT a.domain, a.x AS i, b.x AS j, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.domain = b.domain AND a.x <= b.x),
+    lo AS (SELECT domain, i, j, min(mean) OVER (PARTITION BY domain, i ORDER BY j DESC) AS lo FROM m), f AS (SELECT domain, j AS x, max(lo) AS v FROM lo GROUP BY ALL)"""
 
 
-@register(f"""WITH {scored_sql()}, r AS (SELECT round(conf, 1) AS x, sum(correct) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY 1),
-    c AS (SELECT x, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw, s, w FROM r),
-    m AS (SELECT a.x AS i, b.x AS j, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.x <= b.x),
-    f AS (SELECT c.x, (SELECT max(lo) FROM (SELECT i, min(mean) AS lo FROM m WHERE i <= c.x AND j >= c.x GROUP BY i)) AS v FROM c)
-    SELECT max(x) AS "right", round(v, 6) AS value FROM f GROUP BY round(v, 6)""")
+@register(f"""WITH {PAV} SELECT domain, max(x) AS "right", round(v, 9) AS value FROM f GROUP BY domain, round(v, 9)""")
 def f5_fit_isotonic(spark, sf_dir):
-    points = K.with_confidence(views.event_scored(spark, sf_dir)).select(F.lit(1).alias("one"), F.round("conf", 1).alias("conf"), "correct")
-    knots = fits.fit_isotonic(points, ["one"]).select(F.explode("knots").alias("k")).select("k.*")
-    return knots.groupBy(F.round("value", 6).alias("value")).agg(F.max("right").alias("right"))
+    points = K.with_confidence(views.event_scored(spark, sf_dir)).select("domain", "conf", "correct")
+    knots = fits.fit_isotonic(points, ["domain"])
+    return knots.select("domain", F.explode("knots").alias("k")).select("domain", "k.right", F.round("k.value", 9).alias("value"))
 
 
-@register()
+@register(f"""WITH {PAV}, a AS (SELECT case_id, probs, list_position(probs, list_max(probs)) - 1 AS top, list_max(probs) AS p, greatest(1e-6, least(1 - 1e-6, v)) AS g FROM sc JOIN f ON f.domain = sc.domain AND f.x = sc.conf)
+    SELECT case_id, i AS idx, round(CASE WHEN i = top THEN g ELSE probs[i + 1] * (1 - g) / greatest(1 - p, 1e-12) END, 6) AS p FROM a, (SELECT unnest(range(5)) AS i)""")
 def f6_apply_isotonic(spark, sf_dir):
     scored = views.event_scored(spark, sf_dir).select("case_id", "domain", "probs", "y")
     knots = fits.fit_isotonic(K.with_confidence(scored), ["domain"])
-    return fits.apply_isotonic(scored, knots, ["domain"])
+    mapped = fits.apply_isotonic(scored, knots, ["domain"])
+    return mapped.select("case_id", F.posexplode("probs").alias("idx", "p")).select("case_id", F.col("idx").cast("long").alias("idx"), F.round("p", 6).alias("p"))
 
 
 CONFORMAL = f"{HALVES}, f AS (SELECT domain, count(*) AS n, list_sort(list(round(1 - probs[y + 1], 9))) AS ss FROM h WHERE NOT held GROUP BY domain), t AS (SELECT domain, n, ss[CAST(least(ceil((n + 1) * (1.0::DOUBLE - 0.1)), n) AS BIGINT)] AS threshold FROM f)"
@@ -171,19 +194,38 @@ def k10_conformal_coverage(spark, sf_dir):
     return rounded(fits.conformal_coverage(test, fits.fit_conformal(fit, ["domain"]), ["domain"]), "coverage", "mean_size")
 
 
-@register()
+APS = f"""{HALVES}, q AS (SELECT case_id, domain, held, y, probs, round(list_sum(list_transform(range(5), lambda i: CASE WHEN probs[i + 1] > probs[y + 1] OR (probs[i + 1] = probs[y + 1] AND i <= y) THEN probs[i + 1] ELSE 0 END)), 9) AS sco FROM h),
+    f AS (SELECT domain, list_sort(list(sco)) AS ss, count(*) AS n FROM q WHERE NOT held GROUP BY domain), t AS (SELECT domain, ss[CAST(least(ceil((n + 1) * (1.0::DOUBLE - 0.1)), n) AS BIGINT)] AS threshold FROM f),
+    z AS (SELECT case_id, domain, y, threshold, i, sum(probs[i + 1]) OVER (PARTITION BY case_id ORDER BY probs[i + 1] DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mass FROM q JOIN t USING (domain), (SELECT unnest(range(5)) AS i) WHERE held),
+    u AS (SELECT case_id, domain, y, count(*) AS size, bool_or(i = y) AS hit FROM z WHERE round(coalesce(mass, 0), 9) < threshold GROUP BY ALL),
+    e AS (SELECT DISTINCT case_id, domain FROM q WHERE held)"""
+
+
+@register(f"""WITH {APS}, v AS (SELECT e.domain, count(*) AS n, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS coverage, avg(coalesce(size, 0)) AS mean_size FROM e LEFT JOIN u USING (case_id) GROUP BY e.domain)
+    SELECT domain, n, round(coverage, 6) AS coverage, round(mean_size, 6) AS mean_size, round(0.9 - 3 * sqrt(0.9 * (1.0::DOUBLE - 0.9) / n), 6) AS "limit", coverage >= 0.9 - 3 * sqrt(0.9 * (1.0::DOUBLE - 0.9) / n) AS passed FROM v""")
 def f7_aps_coverage(spark, sf_dir):
     fit, test = _halves(spark, sf_dir)
-    return gates.coverage_gate(fits.conformal_coverage(test, fits.fit_conformal(fit, ["domain"], method="aps"), ["domain"], "aps"), 0.9)
+    out = gates.coverage_gate(fits.conformal_coverage(test, fits.fit_conformal(fit, ["domain"], method="aps"), ["domain"], "aps"), 0.9)
+    return rounded(out, "coverage", "mean_size", "limit")
+
 
+GATES = (("sample_size", "CAST(n AS DOUBLE)", 5000, ">="), ("gate_is_testable", "p95", 0.025, "<="), ("accuracy_over_baseline", "accuracy - baseline", 0.05, ">="), ("accuracy_over_chance", "(accuracy - baseline) / (1 - baseline)", 0.25, ">="), ("brier_over_marginal", "1 - brier / marginal", 0.02, ">="), ("workhorse_ece", "ece", 0.05, "<="), ("workhorse_adaptive_ece", "adaptive", 0.05, "<="))
 
-@register()
+
+@register(f"""WITH RECURSIVE {HALVES}, held AS (SELECT * FROM h WHERE held), {EQUAL.replace('FROM sc', 'FROM held')}, {floor_sql('held')},
+    ab AS (SELECT domain, least(bin, 14) AS bin, sum(n) AS n, sum(conf * n) / sum(n) AS conf, sum(r) / sum(n) AS acc FROM walk GROUP BY domain, least(bin, 14)), ad AS (SELECT domain, sum(n * abs(acc - conf)) / sum(n) AS adaptive FROM ab GROUP BY domain),
+    rb AS (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(brier) AS q FROM held GROUP BY ALL), rp AS (SELECT domain, sum(n) AS n, sum(abs(c - f)) / sum(n) AS ece, sum(c) / sum(n) AS accuracy, sum(q) / sum(n) AS brier FROM rb GROUP BY domain),
+    ba AS (SELECT domain, max(n) / sum(n) AS baseline FROM (SELECT domain, y, count(*) AS n FROM held GROUP BY ALL) GROUP BY domain),
+    mc AS (SELECT domain, y, count(*) AS n FROM h WHERE NOT held GROUP BY ALL), mg AS (SELECT d.domain, k.y, coalesce(n, 0) + 1.0 AS n FROM (SELECT DISTINCT domain FROM h) d, (SELECT unnest(range(5)) AS y) k LEFT JOIN mc ON mc.domain = d.domain AND mc.y = k.y),
+    ms AS (SELECT domain, list(n ORDER BY y) AS ns, sum(n) AS t FROM mg GROUP BY domain), mb AS (SELECT domain, avg(list_sum(list_transform(range(5), lambda i: pow(ns[i + 1] / t - CASE WHEN i = y THEN 1 ELSE 0 END, 2)))) AS marginal FROM held JOIN ms USING (domain) GROUP BY domain),
+    al AS (SELECT rp.*, baseline, marginal, adaptive, p95 FROM rp JOIN ba USING (domain) JOIN mb USING (domain) JOIN ad USING (domain) JOIN (SELECT domain, p95 FROM fl) USING (domain))
+    {' UNION ALL '.join(f"SELECT domain, '{g}' AS gate, round({v}, 6) AS value, {float(x)}::DOUBLE AS {chr(34)}limit{chr(34)}, {v} {op} {x} AS passed, {str(g == 'gate_is_testable').lower()} AS advisory FROM al" for g, v, x, op in GATES)}""")
 def g_release_gates(spark, sf_dir):
     train, test = _halves(spark, sf_dir)
     report = K.calibration_report(test, ["domain"]).join(K.per_question(test, ["domain"]).select("domain", "baseline"), "domain")
     marginal = K.marginal_scores(train, test, ["domain"]).select("domain", F.col("brier").alias("marginal_brier"))
-    floor = K.noise_floor(test, ["domain"], trials=50).select("domain", F.col("p95").alias("floor_p95"))
-    return gates.check_gates(report.join(marginal, "domain").join(floor, "domain"), ["domain"])
+    floor = K.noise_floor(test, ["domain"]).select("domain", F.col("p95").alias("floor_p95"))
+    return rounded(gates.check_gates(report.join(marginal, "domain").join(floor, "domain"), ["domain"]), "value")
 
 
 # ---- decisions ----------------------------------------------------------------------------------
@@ -348,11 +390,12 @@ def x3_lexical_scores(spark, sf_dir):
     return rounded(retrieval.lexical_scores(docs, views.items(spark, sf_dir)), "score")
 
 
-@register()
+@register("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v), u AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN s > 0 THEN x / s ELSE 0 END) AS e FROM n),
+    j AS (SELECT q.vec_id AS qid, o.vec_id AS idx, round(list_dot_product(q.e, o.e), 9) AS score FROM u q, u o WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM j) SELECT qid, CAST(rank AS INTEGER) AS rank, idx, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def x7_vector_shortlist(spark, sf_dir):
     v = views.table(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vec"))
-    return retrieval.vector_shortlist(queries, v.select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vec")), 10)
+    return rounded(retrieval.vector_shortlist(queries, v.select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vec")), 10), "score")
 
 
 @register("""WITH p AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) AS piece FROM conversations) SELECT piece, count(*) AS n FROM p GROUP BY piece HAVING count(*) >= 2""")
@@ -363,10 +406,11 @@ def x13_piece_counts(spark, sf_dir):
 # ---- evidence ------------------------------------------------------------------------------------------
 
 
-@register("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS words, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'), lambda w: length(w))), 0) AS BIGINT) AS chars FROM documents WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) > 0")
+@register("""WITH p AS (SELECT doc_id, length(regexp_extract(text, '^[ \\t\\n\\r\\f\\v]*')) AS lead, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+[ \\t\\n\\r\\f\\v]*') AS ps FROM documents), u AS (SELECT doc_id, lead, unnest(ps) AS piece, unnest(range(len(ps))) AS w FROM p),
+    s AS (SELECT doc_id, w, CAST(lead + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY w) - length(piece) AS BIGINT) AS start, regexp_extract(piece, '^[^ \\t\\n\\r\\f\\v]+') AS word FROM u) SELECT doc_id, w, start, start + length(word) AS "end", sha256(word) AS word FROM s""")
 def e1_word_spans(spark, sf_dir):
     words = E.word_spans(views.table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    return words.select("doc_id", F.col("w").cast("long").alias("w"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("word", 256).alias("word"))
 
 
 MARKS = f"w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) - 1 AS w FROM (SELECT conv_id, turn, unnest(range(1, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) + 1)) AS p FROM conversations)), m AS (SELECT *, {u_sql(chr(39) + 'g|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS g, {u_sql(chr(39) + 'p|' + chr(39) + ' || conv_id || chr(45) || turn || chr(45) || w')} < 0.3 AS p FROM w)"
@@ -384,16 +428,28 @@ def e6_token_prf(spark, sf_dir):
     return rounded(E.token_prf(_marks(spark, sf_dir), ["conv_id", "turn"]), "precision", "recall", "f1")
 
 
-@register()
+def _runs(mark: str) -> str:
+    return f"{mark}r AS (SELECT conv_id, turn, min(w) AS a, max(w) AS b FROM (SELECT *, w - row_number() OVER (PARTITION BY conv_id, turn ORDER BY w) AS k FROM m WHERE {mark}) GROUP BY conv_id, turn, k)"
+
+
+@register(f"""WITH {MARKS}, {_runs('g')}, {_runs('p')}, o AS (SELECT gr.conv_id, gr.turn, gr.a AS ga, pr.a AS pa FROM gr JOIN pr ON gr.conv_id = pr.conv_id AND gr.turn = pr.turn WHERE least(gr.b, pr.b) - greatest(gr.a, pr.a) + 1 > 0 AND (least(gr.b, pr.b) - greatest(gr.a, pr.a) + 1) / (greatest(gr.b, pr.b) - least(gr.a, pr.a) + 1) >= 0.5),
+    n AS (SELECT conv_id, turn, sum(g) AS g, sum(p) AS p FROM (SELECT conv_id, turn, 1 AS g, 0 AS p FROM gr UNION ALL SELECT conv_id, turn, 0, 1 FROM pr) GROUP BY ALL), h AS (SELECT conv_id, turn, count(DISTINCT ga) AS gh, count(DISTINCT pa) AS ph FROM o GROUP BY ALL),
+    f AS (SELECT n.conv_id, n.turn, CASE WHEN g = 0 THEN 0 ELSE coalesce(gh, 0) / g END AS r, CASE WHEN p = 0 THEN 0 ELSE coalesce(ph, 0) / p END AS q FROM n LEFT JOIN h ON h.conv_id = n.conv_id AND h.turn = n.turn)
+    SELECT conv_id, turn, round(CASE WHEN r + q = 0 THEN 0 ELSE 2 * r * q / (r + q) END, 6) AS iou_f1 FROM f""")
 def e7_iou_f1(spark, sf_dir):
-    return E.iou_f1(_marks(spark, sf_dir), ["conv_id", "turn"])
+    return rounded(E.iou_f1(_marks(spark, sf_dir), ["conv_id", "turn"]), "iou_f1")
 
 
-@register()
+@register(f"""WITH x AS (SELECT conv_id, turn, length(regexp_extract(text, '^[ \\t\\n\\r\\f\\v]*')) AS lead, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+[ \\t\\n\\r\\f\\v]*') AS ps FROM conversations), u AS (SELECT conv_id, turn, lead, unnest(ps) AS piece, unnest(range(len(ps))) AS w FROM x),
+    s AS (SELECT conv_id, turn, w, lead + sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY w) - length(piece) AS a, length(regexp_extract(piece, '^[^ \\t\\n\\r\\f\\v]+')) AS n, {u_sql("'s|' || conv_id || '-' || turn || '-' || w")} AS score FROM u),
+    k AS (SELECT *, w - row_number() OVER (PARTITION BY conv_id, turn ORDER BY w) AS g FROM s WHERE score >= 0.5)
+    SELECT conv_id, turn, CAST(min(a) AS BIGINT) AS start, CAST(max(a + n) AS BIGINT) AS "end", round(least(1.0, max(score)), 6) AS score FROM k GROUP BY conv_id, turn, g""")
 def e3_merge_spans(spark, sf_dir):
+    """Words are tokens, so neighbours over the threshold have white space alone between them."""
     texts = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     tokens = E.word_spans(texts, "text", ["conv_id", "turn"]).withColumn("score", V.uniform(F.concat_ws("-", "conv_id", "turn", "w"), "s"))
-    return E.merge_spans(tokens.join(texts, ["conv_id", "turn"]), ["conv_id", "turn"])
+    out = E.merge_spans(tokens.join(texts, ["conv_id", "turn"]), ["conv_id", "turn"])
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")}), "score")
 
 
 # ---- streaming twins -------------------------------------------------------------------------------------

@@ -116,10 +116,10 @@ def e12_top_words(spark, sf_dir):
 SPACE = "[ \\t\\n\\r\\f\\v]"
 PROBES = f"""x AS (SELECT conv_id, turn, regexp_extract(text, '^{SPACE}*') AS head, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+{SPACE}*') AS ps FROM conversations),
     g AS (SELECT conv_id, turn, head, unnest(ps) AS piece, unnest(range(len(ps))) AS w FROM x), {CHOSEN},
-    j AS (SELECT m.*, head, word || substr(piece, length(word) + 1) AS full, substr(piece, length(word) + 1) AS gap FROM m JOIN g USING (conv_id, turn, w)),
+    j AS (SELECT m.*, head, word || substr(piece, length(word) + 1) AS ful, substr(piece, length(word) + 1) AS gap FROM m JOIN g USING (conv_id, turn, w)),
     e AS (SELECT conv_id, turn, min(head) AS head, arg_max(gap, w) AS tail FROM j GROUP BY ALL),
-    k AS (SELECT conv_id, turn, fraction, way, w, full, word, row_number() OVER (PARTITION BY conv_id, turn, fraction, way ORDER BY w DESC) = 1 AS last FROM j, (SELECT unnest(['keep', 'remove']) AS way) WHERE chosen = (way = 'keep')),
-    t AS (SELECT conv_id, turn, fraction, way, string_agg(CASE WHEN last THEN word ELSE full END, '' ORDER BY w) AS body FROM k GROUP BY ALL),
+    k AS (SELECT conv_id, turn, fraction, way, w, ful, word, row_number() OVER (PARTITION BY conv_id, turn, fraction, way ORDER BY w DESC) = 1 AS last FROM j, (SELECT unnest(['keep', 'remove']) AS way) WHERE chosen = (way = 'keep')),
+    t AS (SELECT conv_id, turn, fraction, way, string_agg(CASE WHEN last THEN word ELSE ful END, '' ORDER BY w) AS body FROM k GROUP BY ALL),
     p AS (SELECT f.conv_id, f.turn, f.fraction, f.way, head || coalesce(body, '') || tail AS text FROM (SELECT DISTINCT conv_id, turn, fraction, way FROM m, (SELECT unnest(['keep', 'remove']) AS way)) f JOIN e USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn, fraction, way))"""
 
 
@@ -138,7 +138,7 @@ def e14_probes(spark, sf_dir):
     return got.select(*KEY, "fraction", "way", F.sha2("text", 256).alias("digest"))
 
 
-@register(f"""WITH {PROBES}, s AS (SELECT conv_id, turn, fraction, way, {u_sql("'p|' || text")} AS q FROM p), full_p AS (SELECT conv_id, turn, {u_sql("'p|' || text")} AS full_p FROM conversations), d AS (SELECT s.conv_id, s.turn, way, full_p - q AS d FROM s JOIN full_p ON s.conv_id = full_p.conv_id AND s.turn = full_p.turn)
+@register(f"""WITH {PROBES}, sq AS (SELECT conv_id, turn, fraction, way, {u_sql("'p|' || text")} AS q FROM p), full_p AS (SELECT conv_id, turn, {u_sql("'p|' || text")} AS full_p FROM conversations), d AS (SELECT sq.conv_id, sq.turn, way, full_p - q AS d FROM sq JOIN full_p ON sq.conv_id = full_p.conv_id AND sq.turn = full_p.turn)
     SELECT conv_id, turn, round(avg(d) FILTER (way = 'remove'), 6) AS comprehensiveness, round(avg(d) FILTER (way = 'keep'), 6) AS sufficiency FROM d GROUP BY ALL""")
 def e15_faithfulness(spark, sf_dir):
     """A keyed draw from the text stands for the score that a model would give it."""
