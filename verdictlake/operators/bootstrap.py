@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import fits
-from .calibration import BINS, bin_of, drawn, refuse_teacher
+from .calibration import BINS, bin_of, fold_draws, refuse_teacher
 from .splits import hash_holdout, one_per_case
 
 POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
@@ -37,10 +39,17 @@ def replicate_errors(points: DataFrame, by: list[str], key: str = "case_id", res
     """points (by, key, y, conf_a, ok_a, conf_b, ok_b) to (by, rep, err_a, err_b, labels): the worse of ECE over equal width and over equal mass, for each arm."""
     binned = mass_bin(mass_bin(points, by, "conf_a", "ma"), by, "conf_b", "mb")
     binned = binned.withColumns({"wa": bin_of(F.col("conf_a")), "wb": bin_of(F.col("conf_b"))})
-    each = drawn(binned, key, resamples, salt).withColumn("w", sum((F.col("u") >= p).cast("int") for p in POISSON)).where("w > 0")
-    sums = each.groupBy(*by, "rep", "wa", "ma", "wb", "mb").agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("ok_a") - F.col("conf_a"))).alias("ga"), F.sum(F.col("w") * (F.col("ok_b") - F.col("conf_b"))).alias("gb"), F.min("y").alias("lo"), F.max("y").alias("hi")
-    )
+    cells = [*by, "wa", "ma", "wb", "mb"]
+    rows = binned.select(*cells, "y", F.col(key).cast("string").alias("_key"), (F.col("ok_a") - F.col("conf_a")).alias("ga"), (F.col("ok_b") - F.col("conf_b")).alias("gb"))
+
+    def fold(pdf: pd.DataFrame, u: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        w = np.searchsorted(POISSON, u, "right").astype(float)
+        y = pdf["y"].to_numpy(float)[:, None]
+        sums = {n: np.add.reduceat(w * pdf[n].to_numpy()[:, None], starts, axis=0) for n in ("ga", "gb")}
+        return {"w": np.add.reduceat(w, starts, axis=0), **sums, "lo": np.minimum.reduceat(np.where(w > 0, y, np.inf), starts, axis=0), "hi": np.maximum.reduceat(np.where(w > 0, y, -np.inf), starts, axis=0)}
+
+    each = fold_draws(rows, cells, "w double, ga double, gb double, lo double, hi double", fold, "_key", resamples, salt).where("w > 0")
+    sums = each.groupBy(*by, "rep", "wa", "ma", "wb", "mb").agg(*[F.sum(c).alias(c) for c in ("w", "ga", "gb")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     kinds = F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(scale).alias("scale"), F.col(scale + arm).alias("bin"), F.col("g" + arm).alias("gap")) for arm in "ab" for scale in "wm"])
     bins = sums.select(*by, "rep", "w", "lo", "hi", F.explode(kinds).alias("k")).select(*by, "rep", "w", "lo", "hi", "k.*").groupBy(*by, "rep", "arm", "scale", "bin").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     ece = bins.groupBy(*by, "rep", "arm", "scale").agg((F.sum(F.abs("gap")) / F.sum("w")).alias("e"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

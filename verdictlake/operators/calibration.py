@@ -7,8 +7,12 @@ Confidences are rounded to nine decimals before they are binned or compared.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,27 +118,54 @@ def slice_reports(scored: DataFrame) -> DataFrame:
     return bins.groupBy("slice").agg(F.sum("n").alias("n"), (F.sum(gap) / F.sum("n")).alias("ece"), *[(F.sum(c) / F.sum("n")).alias(a) for c, a in (("brier", "brier"), ("nll", "nll"), ("correct", "accuracy"))])
 
 
-def drawn(points: DataFrame, key: str, resamples: int, salt: str) -> DataFrame:
-    """Rows times resamples with rep and a uniform of sixteen bits; one SHA-256 carries the draws of sixteen resamples.
+def draws(keys: list, resamples: int, salt: str) -> np.ndarray:
+    """Keys times resamples of uniforms of sixteen bits; one SHA-256 carries the draws of sixteen resamples."""
+    blocks = [f"{salt}|{b}|" for b in range(math.ceil(resamples / 16))]
+    raw = b"".join(hashlib.sha256(f"{b}{k}".encode()).digest() for k in keys for b in blocks)
+    return np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :resamples] / 65536.0
 
-    Digests and draws leave an explode each, so that neither is computed again by what reads it."""
-    text = lambda b: F.concat_ws("|", F.lit(salt), b.cast("string"), F.col(key).cast("string"))
-    digests = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(resamples / 16) - 1)), lambda b: F.struct(b.alias("block"), F.sha2(text(b), 256).alias("digest")))
-    blocked = points.select("*", F.explode(digests).alias("_b")).select("*", "_b.*").drop("_b")
-    us = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((F.col("block") * 16 + i).alias("rep"), (F.conv(F.substring("digest", i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65536.0).alias("u")))
-    each = blocked.select("*", F.explode(us).alias("_r")).select("*", "_r.*").drop("_r", "block", "digest")
-    return each.where(F.col("rep") < resamples)
+
+def fold_draws(points: DataFrame, groups: list[str], sums: str, fold: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], key: str, resamples: int, salt: str) -> DataFrame:
+    """(groups, rep, sums): partial sums of a batch's rows for each group and resample, which an aggregation merges.
+
+    ``fold`` turns rows sorted by group, their draws and the groups' first rows into groups times resamples of each column
+    of ``sums``, so that rows times resamples exist only within a batch."""
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in groups), "rep int", sums])
+    names = [c.split()[0] for c in sums.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            order = pdf.groupby(groups, dropna=False, sort=False).ngroup().to_numpy().argsort(kind="stable")
+            pdf = pdf.iloc[order].reset_index(drop=True)
+            number = pdf.groupby(groups, dropna=False, sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            folded = fold(pdf, draws(pdf[key].tolist(), resamples, salt), starts)
+            out = pdf[groups].iloc[np.repeat(starts, resamples)].reset_index(drop=True)
+            out["rep"] = np.tile(np.arange(resamples, dtype=np.int32), len(starts))
+            for name in names:
+                out[name] = folded[name].ravel()
+            yield out
+
+    return points.mapInPandas(run, schema)
 
 
 def noise_floor(scored: DataFrame, by: list[str], key: str = "case_id", trials: int = 200) -> DataFrame:
     """(by, n, mean, p95): the ECE of a calibrated model on these confidences.
 
     A label drawn from the probabilities hits the top with probability conf, so a trial needs conf and a keyed draw alone;
-    the trials of a row are folded into bins on the map side, before anything is shuffled."""
+    the trials of a batch of rows are folded into bins before anything is shuffled."""
     conf = F.round(F.array_max("probs"), 9)
     points = scored.select(*by, F.col(key).cast("string").alias("_key"), conf.alias("conf")).withColumn("bin", bin_of(F.col("conf")))
-    hit = (F.col("u") < F.col("conf")).cast("double")
-    bins = drawn(points, "_key", trials, "floor").groupBy(*by, F.col("rep").alias("trial"), "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(hit - F.col("conf")).alias("gap"))
+
+    def fold(pdf: pd.DataFrame, u: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        c = pdf["conf"].to_numpy()[:, None]
+        size = np.diff(np.append(starts, len(pdf)))
+        return {"n": np.repeat(size[:, None], trials, 1), "gap": np.add.reduceat((u < c) - c, starts, axis=0)}
+
+    bins = fold_draws(points, [*by, "bin"], "n long, gap double", fold, "_key", trials, "floor").groupBy(*by, F.col("rep").alias("trial"), "bin").agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"))
     each = bins.groupBy(*by, "trial").agg((F.sum(F.abs("gap")) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
     rank = round(0.95 * (trials - 1))
     return each.groupBy(*by).agg(F.max("n").alias("n"), F.avg("ece").alias("mean"), F.element_at(F.array_sort(F.collect_list("ece")), rank + 1).alias("p95"))
