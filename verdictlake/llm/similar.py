@@ -42,6 +42,7 @@ WIDTH = 5
 #: similarity of at least NUM / DEN
 NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 20_000, 4, 300_000
+FEW_NODES = 500_000
 PARITY = ("b0", "b1", "b2", "b3")
 
 
@@ -122,7 +123,9 @@ def _possible(a: str, b: str) -> Column:
 
 def _verify(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) whose texts are alike."""
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    used = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "used")
+    # texts that no pair names don't leave the map side; a node is one long
+    used = F.broadcast(used) if used.count() <= FEW_NODES else used
     texts = bodies.join(used, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     first = pairs.join(texts.select(F.col("node").alias("u"), F.col("body").alias("a")), "u")
     both = first.join(texts.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").select("u", "v", "a", "b")
@@ -157,10 +160,10 @@ def _pairs(met: DataFrame, left: str, right: str) -> DataFrame:
 
 def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     """Edges (u, v) that connect exactly the nodes that chains of texts alike connect."""
-    own = ["node", "n", *PARITY]
-    flat = prints.select(*own, F.posexplode("heads").alias("at", "head")).withColumn("at", F.col("at").cast("long"))
+    nodes = prints.select("node", "n", *PARITY).distinct()
+    flat = prints.select("node", F.posexplode("heads").alias("at", "head")).withColumn("at", F.col("at").cast("long"))
     shared = flat.groupBy("head").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("head")
-    rows = stage(flat.join(shared, "head").distinct(), "heads")
+    rows = stage(flat.join(shared, "head").distinct().join(nodes, "node"), "heads")
     bodies = prints.select("node", "body")
     hubs = rows.groupBy("head").agg(F.min_by(F.struct("node", "n", "at", *PARITY), F.struct("at", "n", "node")).alias("h")).select("head", "h.*")
     near = rows.alias("r").join(hubs.alias("h"), "head").where("r.node <> h.node").where(_possible("r", "h"))
@@ -171,10 +174,12 @@ def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     # only shingles where more than one component meets
     mixed = placed.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("head")
     left = stage(placed.join(mixed, "head"), "apart")
+    for used in (rows, roots):
+        drop_stage(prints.sparkSession, used)
     meet = left.alias("a").join(left.alias("b"), "head").where("a.node > b.node and a.root <> b.root").where(_possible("a", "b"))
     rest = stage(_pairs(meet, "a", "b").join(first, ["u", "v"], "left_anti"), "pairs")
     both = stage(edges.unionByName(_verify(rest, bodies, width)), "edges")
-    for used in (rows, first, roots, left, rest, edges):
+    for used in (first, left, rest, edges):
         drop_stage(prints.sparkSession, used)
     return both
 
