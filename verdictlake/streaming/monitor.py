@@ -67,11 +67,12 @@ def on_enough_rows(stream: DataFrame, kind: str, least: int, refit: Callable[[Da
     return stream.groupBy(kind).count().writeStream.outputMode("update").foreachBatch(each)
 
 
-def admit_stream(requests: DataFrame, key: str, ts: str, event: str, rate: int, window_seconds: int = 60) -> DataFrame:
+def admit_stream(requests: DataFrame, key: str, ts: str, event: str, rate: int, window_seconds: int = 60, late: str = "1 hour") -> DataFrame:
     """Window admission on a stream: (key, event, ts, admitted, retry_after): the first ``rate`` requests of a key in each window
     pass, in the order of time within a micro-batch; others learn the seconds until the window ends.
 
-    A key's state is the start of its latest window and a count, and leaves the store an hour after the last request."""
+    A key's state is the start of its latest window and a count; it leaves the store when the watermark, ``late`` behind the
+    newest request of all, is past that window."""
     kinds = dict(requests.dtypes)
     schema = f"`{key}` {kinds[key]}, `{event}` {kinds[event]}, `{ts}` timestamp, admitted boolean, retry_after double"
 
@@ -92,10 +93,11 @@ def admit_stream(requests: DataFrame, key: str, ts: str, event: str, rate: int,
             admitted.append(ok)
             wait.append(0.0 if ok else own + window_seconds - at)
         state.update((start, count))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max((start + window_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[[key, event, ts]].assign(admitted=admitted, retry_after=wait)
 
-    return requests.select(key, event, ts).groupBy(key).applyInPandasWithState(step, schema, "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select(key, event, ts).withWatermark(ts, late)
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(query) -> int:
