@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds.
 
 Texts of one Arrow batch become one code-point array. The pre-tokenizer is a
-handful of vectorised passes over character classes. Words meet by a 64-bit
-hash, and words of one hash are compared by their characters, within a batch and
-with the remembered word, before they count as equal. Words not seen before are
+handful of vectorised passes over character classes. A word of up to seven
+characters below U+0100 is its own 64-bit key. Other words meet by a 64-bit hash,
+and words of one hash are compared by their characters, within a batch and with
+the remembered word, before they count as equal. Words not seen before are
 merged together: their symbols lie in one flat array, and every round merges the
 lowest-ranked adjacent pair of each word, ranks being found by binary search
 over the sorted pair keys of the vocabulary. Results equal those of the tokenizers library for a byte-level
@@ -95,6 +96,27 @@ def word_hashes(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h * _MULTIPLIER + lens.astype(np.uint64)
 
 
+_SHIFTS = np.minimum(np.arange(9) * 8, 56).astype(np.uint64)
+_HASHED = np.uint64(1 << 63)
+
+
+def word_keys(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether a key is the word itself): short words packed by byte under their length, other words hashed with the top bit set."""
+    lens = np.diff(starts)
+    rel = np.arange(len(cp), dtype=np.int32)
+    rel -= np.repeat(starts[:-1].astype(np.int32), lens)
+    np.minimum(rel, 8, out=rel)
+    keys = np.add.reduceat(cp.astype(np.uint64) << _SHIFTS[rel], starts[:-1]) | (lens.astype(np.uint64) << np.uint64(56))
+    exact = (lens <= 7) & (np.maximum.reduceat(cp, starts[:-1]) < 256)
+    other = np.flatnonzero(~exact)
+    if len(other):
+        size = lens[other]
+        ends = np.cumsum(size)
+        chars = cp[np.arange(ends[-1]) + np.repeat(starts[other] - ends + size, size)]
+        keys[other] = word_hashes(chars, np.concatenate([[0], ends])) | _HASHED
+    return keys, exact
+
+
 class Merges:
     """The vocabulary's byte symbols and merges, as sorted arrays."""
 
@@ -196,23 +218,14 @@ def utf8(cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def same_words(cp: np.ndarray, starts: np.ndarray, mine: np.ndarray, other: np.ndarray, other_starts: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     """Whether the words ``mine`` of one table of code points equal the words ``theirs`` of another, one by one."""
-    a, b = starts[mine], other_starts[theirs]
-    size = starts[mine + 1] - a
-    same = size == other_starts[theirs + 1] - b
+    size = starts[mine + 1] - starts[mine]
+    same = size == other_starts[theirs + 1] - other_starts[theirs]
     at = np.flatnonzero(same)
-    a, b, size = a[at], b[at], size[at]
-    # the first characters one by one, of ever fewer words
-    for k in range(24):
-        if not len(at):
-            return same
-        equal = cp[a + k] == other[b + k]
-        same[at[~equal]] = False
-        more = equal & (size > k + 1)
-        at, a, b, size = at[more], a[more], b[more], size[more]
     if len(at):
+        size = size[at]
         ends = np.cumsum(size)
         step = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        differs = cp[np.repeat(a, size) + step] != other[np.repeat(b, size) + step]
+        differs = cp[np.repeat(starts[mine[at]], size) + step] != other[np.repeat(other_starts[theirs[at]], size) + step]
         same[at] = ~np.logical_or.reduceat(differs, ends - size)
     return same
 
@@ -256,16 +269,16 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cp, starts, at = split_words(texts)
-        slot = self._slots(cp, starts, word_hashes(cp, starts))
+        slot = self._slots(cp, starts, *word_keys(cp, starts))
         begin, size = self.at[slot], self.at[slot + 1] - self.at[slot]
         size[at[1:] - 1] = 0  # the breaks
         out = np.cumsum(size)
         ids = self.ids[np.arange(out[-1]) + np.repeat(begin - out + size, size)]
         return ids, np.concatenate([[0], out[at[1:] - 1]])
 
-    def _slots(self, cp: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def _slots(self, cp: np.ndarray, starts: np.ndarray, keys: np.ndarray, exact: np.ndarray) -> np.ndarray:
         """The place of every word's ids; words that only share a hash with another get one of their own."""
-        words, first, which = np.unique(h, return_index=True, return_inverse=True)
+        words, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.at) + len(words) > self.cache_words or len(self.chars) + int((starts[first + 1] - starts[first]).sum()) > self.cache_chars:
             self.forget()
         place = np.searchsorted(self.hashes, words)
@@ -273,11 +286,12 @@ class Encoder:
         inside = place < len(self.hashes)
         known[inside] = self.hashes[place[inside]] == words[inside]
         odd = np.zeros(len(words), bool)
-        old = np.flatnonzero(known)
+        old = np.flatnonzero(known & ~exact[first])
         odd[old] = ~same_words(cp, starts, first[old], self.chars, self.char_at, self.slot[place[old]])
         # words of a batch that aren't the first of their hash are compared with it
         odd = odd[which]
-        again = np.flatnonzero(first[which] != np.arange(len(h)))
+        again = np.flatnonzero(~exact)
+        again = again[first[which[again]] != again]
         odd[again] |= ~same_words(cp, starts, again, cp, starts, first[which[again]])
         new = np.flatnonzero(~known)
         base = self._learn(cp, starts, first[new])
