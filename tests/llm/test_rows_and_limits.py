@@ -256,3 +256,16 @@ def test_very_long_texts(spark):
     assert {1, 3} <= {r.doc_id for r in chunks.repeated_spans(docs).collect()}
     assert sorted(r.doc_id for r in exact.dedup_exact(docs).collect()) == [2, 3]
     assert html_blocks.main_text(f"<article><p>{long}</p></article>") == long
+
+
+def test_small_thresholds_end_with_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    for threshold in (1, 2, 3, 5, 7):
+        sizes = rng.integers(1, 40, 30)
+        ids = rng.integers(0, 3, sizes.sum())
+        rules, symbols = repair.compress(ids, sizes, 10, threshold)
+        grammar = repair.Grammar(10, rules)
+        assert np.array_equal(grammar.expand(symbols), ids)
+        ends = np.isin(np.cumsum(grammar.size[symbols]), np.cumsum(sizes))
+        pairs = np.stack([symbols[:-1], symbols[1:]], 1)[~ends[:-1]]
+        assert not len(pairs) or np.unique(pairs, axis=0, return_counts=True)[1].max() < threshold

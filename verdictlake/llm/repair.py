@@ -43,6 +43,7 @@ SCHEMA = (
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 MIN_COUNT = 24
+JOINED_WORDS = 200
 NARROW, WIDE = 1 << 16, 1 << 31
 
 
@@ -60,25 +61,23 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, n_ids: int, min_count: int
     rules = [np.zeros((0, 2), np.uint32)]
     made = n_ids
     live = ~last[:-1]  # places whose pair may be frequent
-    first_round = True
     while len(sym) > 1:
         at = np.flatnonzero(live)
         key = _keys(sym, at, made)
-        if first_round:
-            # a counting table over hashed pairs rules out most places before the exact count
-            slot = (key * key.dtype.type(0x9E3779B1)) >> key.dtype.type(12) & key.dtype.type((1 << 20) - 1)
-            common = (np.bincount(slot.astype(np.int64), minlength=1 << 20) >= min_count)[slot]
-            at, key, first_round = at[common], key[common], False
-        pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        order = order[count[order] >= min_count]
-        if not len(order):
+        ordered = np.sort(key)
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+        count = np.diff(np.append(head, len(ordered)))
+        pairs, count = ordered[head[count >= min_count]], count[count >= min_count]
+        none = len(pairs)
+        if not none:
             break
-        none = len(order)
-        rank = np.full(len(pairs), none, np.int32)
-        rank[order] = np.arange(len(order))
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(none, np.int32)
+        rank[order] = np.arange(none)
+        which = _find(pairs, key)
+        found = np.flatnonzero(which < none)
         place = np.full(len(sym) + 1, none, np.int32)  # place[i + 1] is the rank of the pair at i
-        place[at + 1] = rank[which]
+        place[at[found] + 1] = rank[which[found]]
         here = place[1:-1]
         after = np.concatenate([here[1:], [none]])
         wins = (here < place[:-2]) & (here <= after)
@@ -92,8 +91,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, n_ids: int, min_count: int
             leads = np.repeat(here[head] < place[head], runs)
             wins[twin] = (offset % 2 == 0) & leads & (here[twin] <= after[twin])
         take = np.flatnonzero(wins)
-        # the most frequent pair loses no place but to itself, so some rule is made in every round
-        good = np.bincount(here[take], minlength=none) >= 4
+        # the most frequent pair loses no place but to itself, at most half of them: some rule is made in every round
+        good = np.bincount(here[take], minlength=none) >= min(4, (min_count + 1) // 2)
         take = take[good[here[take]]]
         number = np.cumsum(good) - 1 + made
         pick = pairs[order[good]]
@@ -106,7 +105,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, n_ids: int, min_count: int
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
         last[take] = last[take + 1]
-        sym, last, maybe = sym[keep], last[keep], maybe[keep]
+        kept = np.flatnonzero(keep)
+        sym, last, maybe = sym[kept], last[kept], maybe[kept]
         live = (maybe & ~last)[:-1]
         made += int(good.sum())
         if made > WIDE:
@@ -121,6 +121,22 @@ def _keys(sym: np.ndarray, at: np.ndarray, made: int) -> np.ndarray:
     return (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
 
 
+def _find(pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted ``pairs``, or their number: by a table over 18 hash bits, and by search where pairs share a slot."""
+
+    def slots(x: np.ndarray) -> np.ndarray:
+        return (x * x.dtype.type(0x9E3779B1)) >> x.dtype.type(14) & x.dtype.type((1 << 18) - 1)
+
+    table = np.full(1 << 18, len(pairs), np.int32)
+    table[slots(pairs)] = np.arange(len(pairs))
+    which = table[slots(key)]
+    wrong = np.flatnonzero(np.append(pairs, pairs[:1])[which] != key)
+    wrong = wrong[which[wrong] < len(pairs)]
+    near = np.minimum(np.searchsorted(pairs, key[wrong]), len(pairs) - 1)
+    which[wrong] = np.where(pairs[near] == key[wrong], near, len(pairs))
+    return which
+
+
 def expand_some(symbols: np.ndarray, n_ids: int, rules: np.ndarray) -> np.ndarray:
     """Ids behind a few symbols, top down, so that other rules stay unexpanded."""
     symbols = symbols.astype(np.uint32)
@@ -189,13 +205,21 @@ def _library_encoder(path: str) -> tuple[Encoder, int]:
     lib.no_truncation()
     lib.no_padding()
 
+    special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
+    plain = [t.content for t in lib.get_added_tokens_decoder().values() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+
     def words(cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text, ends = cp.tobytes().decode("utf-32-le"), np.cumsum(lens)
-        out = [e.ids for e in lib.encode_batch_fast([text[a:b] for a, b in zip(ends - lens, ends)], add_special_tokens=False)]
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((i for x in out for i in x), np.int32, int(counts.sum())), counts
+        each = [text[a:b] for a, b in zip(ends - lens, ends)]
+        if not plain:
+            out = [e.ids for e in lib.encode_batch_fast(each, add_special_tokens=False)]
+            return np.fromiter((i for x in out for i in x), np.int32), np.fromiter(map(len, out), np.int64, len(out))
+        # no word holds a special token, so one of them keeps the words of a call apart
+        joined = [plain[0].join(each[k : k + JOINED_WORDS]) + plain[0] for k in range(0, len(each), JOINED_WORDS)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in lib.encode_batch_fast(joined, add_special_tokens=False)])
+        cuts = np.flatnonzero(ids == special[plain[0]])
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1
 
-    special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
     return Encoder(special, words), lib.get_vocab_size()
 
 
