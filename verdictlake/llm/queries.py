@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash
+from . import bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash, vector_codes
 from .common import crc_mod, shared_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,8 +87,36 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """Plain Lloyd rounds over all pairs of parts and entries, in integers."""
+    number = "(row_number() OVER (ORDER BY vec_id) - 1)"
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS MATERIALIZED (SELECT vec_id, part, unnest(range(len(v) // 4)) AS pos, unnest(v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)]) AS x FROM kept, (SELECT unnest(range(4)) AS part)),
+        b0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM cells JOIN (SELECT vec_id, {number} AS entry FROM kept QUALIFY {number} < 256) USING (vec_id))"""
+    ]
+    for k in range(5):
+        steps.append(f"d{k} AS (SELECT vec_id, part, entry, sum((x - c) * (x - c)) AS d FROM cells JOIN b{k} USING (part, pos) GROUP BY ALL)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)")
+        if k < 4:
+            steps.append(f"m{k} AS (SELECT part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS c FROM cells JOIN a{k} USING (vec_id, part) GROUP BY ALL)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))")
+    return ", ".join(steps) + """
+        , coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               sha256((SELECT string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos) FROM b4)) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html)
+    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html, op13_codes)
 }
 
 ORACLES: dict[str, str] = {
@@ -113,4 +141,5 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_codes": _codes_sql(),
 }
