@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash, vector_codes
+from . import align, bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash, vector_codes
 from .common import crc_mod, shared_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,6 +87,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = align.align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECES, digest=True)
+    return linked.select(F.col("doc_id").cast("long").alias("doc_id"), *align.COUNTS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
@@ -116,7 +121,7 @@ def _codes_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html, op13_codes)
+    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html, op11_align, op13_codes)
 }
 
 ORACLES: dict[str, str] = {
