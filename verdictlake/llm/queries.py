@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash, vector_codes
+from . import align, bpe, chunks, decontam, exact, html_blocks, langid, quality, repair, secret_ledger, simhash, suffixes, vector_codes
 from .common import crc_mod, shared_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,6 +92,11 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("doc_id").cast("long").alias("doc_id"), *align.COUNTS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
@@ -121,7 +126,7 @@ def _codes_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html, op11_align, op13_codes)
+    f.__name__: f for f in (op1_repair, op2_bpe, op3_substrings, op4_language, op5_secrets, op6_quality, op7_simhash, op8_exact, op9_decontaminate, op10_html, op11_align, op12_suffixes, op13_codes)
 }
 
 ORACLES: dict[str, str] = {
@@ -146,5 +151,22 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_suffixes": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, p, md5(b[p : p + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM d)),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+        spans AS (
+          SELECT doc_id, min(p) AS a, max(p) + 99 AS z
+          FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g
+                FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM again))
+          GROUP BY doc_id, g),
+        gaps AS (
+          SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+        kept AS (
+          SELECT doc_id, string_agg(hex(b[before + 1 : a - 1]), '' ORDER BY a) AS x, max(z) AS z, sum(z - a + 1) AS n_removed, count(*) AS n_spans
+          FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN z IS NULL THEN b ELSE unhex(x || hex(b[z + 1 : octet_length(b)])) END) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op13_codes": _codes_sql(),
 }
