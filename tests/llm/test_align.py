@@ -86,4 +86,4 @@ def test_edges_of_alignment(spark, monkeypatch):
     monkeypatch.setattr(align, "REMEMBERED", 2)
     texts = ["some words here", "other words there", "some words here"]
     first = [sides.align([t])[0].tolist() for t in texts]
-    assert first[0] == first[2] and len(sides.windows) <= 6
+    assert first[0] == first[2] and len(sides.texts) <= 6

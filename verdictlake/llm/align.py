@@ -5,7 +5,7 @@ a vocabulary of pieces (B, which adds the space itself). Both give the same byte
 sums of token lengths place every token's end. Ends that both share before a token with a
 leading space, in A as in B, are anchors; they cut a text into windows of a few ids of each
 side. What a window aligns to depends on its ids alone and is remembered under the two tuples
-of ids, so a word is aligned once a worker. Within a window, byte offsets where tokens of both
+of ids (found by a hash, then compared id by id), so a word is aligned once a worker. Within a window, byte offsets where tokens of both
 sides end cut it into groups, and the two tokens that end there are linked.
 
 How often an id pair is linked corpus-wide is summed within tasks, then by Spark. The counts
@@ -14,8 +14,8 @@ checked size at a time; each block adds to ``n_best`` and ``count_sum``.
 
 Edge cases: a null or empty text, and one whose tokens of either side don't join to a space
 and the text, have no tokens and zeros throughout, with an empty ``groups``. Texts are
-never cut; a very long one is a batch of its own, and a window of more than ``LONG`` ids
-is aligned without being remembered. Special tokens written in a text are plain text. Repeated
+never cut; a very long one is a batch of its own. A worker forgets its windows when they are more
+than ``REMEMBERED`` or have more than ``REMEMBERED_IDS`` ids. Special tokens written in a text are plain text. Repeated
 rows count as often as they appear; an empty table gives an empty result. Other columns than
 the text pass through, null or not, and a clash with an output column is an error before any job.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Encoder, load_merges, utf8
+from .bpe import Encoder, load_merges, same_words, utf8, word_hashes
 from .common import drop_stage, require_free, slices, stage
 
-SLICE_CHARS, LONG, REMEMBERED, PAIRS = 500_000, 64, 400_000, 2_000_000
+SLICE_CHARS, PAIRS = 500_000, 2_000_000
+REMEMBERED, REMEMBERED_IDS = 400_000, 4_000_000
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -55,15 +57,17 @@ class Sides:
         self.pieces = pieces
         self.size_b = np.array([len(p) for p in pieces])
         self.space_b = np.array([p[:1] == b" " for p in pieces])
-        self.windows: dict[tuple[bytes, bytes], int] = {}
+        # ids in decimal, followed by what joins them within a group and by what ends their side of it
+        self.named = [np.array([f"{i}{c}" for i in range(n)], object) for n, c in ((len(self.size_a), ","), (len(self.size_a), "|"), (len(pieces), ","), (len(pieces), ";"))]
         self.forget()
 
     def forget(self) -> None:
-        self.windows.clear()
-        self.pair_of: dict[tuple[int, int], int] = {}
-        self.pairs: list[int] = []
+        """Drop what is remembered: hashes in order, and by window its ids of both sides, its text and its links."""
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        self.at = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
         self.texts: list[str] = []
-        self.links: list[list[int]] = []
+        self.links, self.link_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids of A, ids before each text, and the same of B; nothing for a text that isn't whole in both."""
@@ -81,39 +85,60 @@ class Sides:
             flat_a = flat_a[np.repeat(whole, np.diff(at_a))]
         lists = [x if w else [] for x, w in zip(lists, whole.tolist())]
         n_b = np.array([len(x) for x in lists], np.int64)
-        flat_b = np.fromiter((i for x in lists for i in x), np.int32, int(n_b.sum()))
+        flat_b = np.fromiter(chain.from_iterable(lists), np.int32, int(n_b.sum()))
         return flat_a.astype(np.int32), np.concatenate([[0], np.cumsum(n_a)]), flat_b, np.concatenate([[0], np.cumsum(n_b)])
 
-    def window(self, a: list[int], b: list[int]) -> int:
-        """Align the ids of one window and number what comes out."""
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        at_a, at_b = self.size_a[a[0]], self.size_b[b[0]]
-        while True:
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                pair = (a[i], b[j])
-                if pair not in self.pair_of:
-                    self.pair_of[pair] = len(self.pairs)
-                    self.pairs.append((pair[1] << 32) | pair[0])
-                links.append(self.pair_of[pair])
-                first_a, first_b = i + 1, j + 1
-                if first_a == len(a):
-                    break
-            step_a, step_b = at_a <= at_b, at_b <= at_a
-            if step_a:
-                i += 1
-                at_a += self.size_a[a[i]]
-            if step_b:
-                j += 1
-                at_b += self.size_b[b[j]]
-        self.texts.append(";".join(groups))
-        self.links.append(links)
-        return len(self.texts) - 1
-
-    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """(ids of A a text, ids of B a text, numbers of the windows of each text)."""
-        if len(self.texts) > REMEMBERED:
+    def _learn(self, a: np.ndarray, cut_a: np.ndarray, b: np.ndarray, cut_b: np.ndarray, windows: np.ndarray) -> int:
+        """Align and remember the windows; the number of the first."""
+        base = len(self.texts)
+        if not len(windows):
+            return base
+        (a, at_a), (b, at_b) = _gather(a, cut_a, windows), _gather(b, cut_b, windows)
+        _, i, j = np.intersect1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), assume_unique=True, return_indices=True)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[i] = last_b[j] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # ids in the order of the text: of each group those of A, then those of B
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + np.append(0, j + 1)[group_a]] = np.where(last_a, self.named[1][a], self.named[0][a])
+        words[np.arange(len(b)) + (i + 1)[group_b]] = np.where(last_b, self.named[3][b], self.named[2][b])
+        words, edges = words.tolist(), (at_a + at_b).tolist()
+        self.texts += ["".join(words[x:y]) for x, y in zip(edges, edges[1:])]
+        self.links = np.concatenate([self.links, b[j].astype(np.int64) << 32 | a[i]])
+        self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.searchsorted(i, at_a[1:])])
+        for k, (ids, at) in enumerate(((a, at_a), (b, at_b))):
+            self.ids[k], self.at[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.at[k], self.at[k][-1] + at[1:]])
+        return base
+
+    def _numbers(self, a: np.ndarray, cut_a: np.ndarray, b: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
+        """The number of every window; windows meet by a hash and count as one if their ids of both sides are equal."""
+
+        def same(mine: np.ndarray, ids: list[np.ndarray], at: list[np.ndarray], theirs: np.ndarray) -> np.ndarray:
+            return same_words(a, cut_a, mine, ids[0], at[0], theirs) & same_words(b, cut_b, mine, ids[1], at[1], theirs)
+
+        h = word_hashes(a, cut_a) * np.uint64(0x9E3779B97F4A7C15) + word_hashes(b, cut_b)
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, keys)
+        known = np.append(self.hashes, np.uint64(0))[place] == keys
+        known[place == len(self.hashes)] = False
+        odd = np.zeros(len(keys), bool)
+        old = np.flatnonzero(known)
+        odd[old] = ~same(first[old], self.ids, self.at, self.slot[place[old]])
+        odd = odd[which]
+        again = np.flatnonzero(first[which] != np.arange(len(h)))
+        odd[again] |= ~same(again, [a, b], [cut_a, cut_b], first[which[again]])
+        new = np.flatnonzero(~known)
+        base = self._learn(a, cut_a, b, cut_b, first[new])
+        self.hashes = np.insert(self.hashes, place[new], keys[new])
+        self.slot = np.insert(self.slot, place[new], base + np.arange(len(new)))
+        slot = self.slot[np.searchsorted(self.hashes, keys)][which]
+        strange = np.flatnonzero(odd)
+        slot[strange] = self._learn(a, cut_a, b, cut_b, strange) + np.arange(len(strange))
+        return slot
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A a text, ids of B a text, numbers of all windows, windows before each text and in all)."""
+        if len(self.texts) > REMEMBERED or len(self.ids[0]) + len(self.ids[1]) > REMEMBERED_IDS:
             self.forget()
         a, at_a, b, at_b = self.encode(texts)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
@@ -122,20 +147,17 @@ class Sides:
         before_b[at_b[1:][np.diff(at_b) > 0] - 1] = True
         anchors = np.intersect1d(end_a[before_a], end_b[before_b], assume_unique=True)
         cut_a, cut_b = np.append(0, np.searchsorted(end_a, anchors) + 1), np.append(0, np.searchsorted(end_b, anchors) + 1)
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        byte_a, byte_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
-        numbers = []
-        known = self.windows
-        for i, j, k, m in zip(byte_a, byte_a[1:], byte_b, byte_b[1:]):
-            key = (raw_a[i:j], raw_b[k:m])
-            n = known.get(key)
-            if n is None:
-                n = self.window(a[i // 4 : j // 4].tolist(), b[k // 4 : m // 4].tolist())
-                if j - i + m - k <= 4 * LONG:
-                    known[key] = n
-            numbers.append(n)
-        edges = np.searchsorted(cut_a, at_a).tolist()
-        return np.diff(at_a), np.diff(at_b), [numbers[x:y] for x, y in zip(edges, edges[1:])]
+        edges = np.searchsorted(cut_a, at_a)
+        if not len(anchors):
+            return np.diff(at_a), np.diff(at_b), np.zeros(0, np.int64), edges
+        return np.diff(at_a), np.diff(at_b), self._numbers(a.view(np.uint32), cut_a, b.view(np.uint32), cut_b), edges
+
+
+def _gather(ids: np.ndarray, cut: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some windows one after the other, and where each begins, with the end."""
+    size = cut[windows + 1] - cut[windows]
+    out = np.cumsum(size)
+    return ids[np.arange(out[-1]) + np.repeat(cut[windows] - out + size, size)], np.append(0, out)
 
 
 @lru_cache(2)
@@ -152,20 +174,25 @@ def link_rows(df: DataFrame, bpe_path: str, piece_path: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = worker_sides(bpe_path, piece_path)
         for batch, texts in slices(batches, text, SLICE_CHARS):
-            n_a, n_b, windows = sides.align(texts)
-            codes = np.array(sides.pairs, np.int64)
-            links, pairs, times, groups = [], [], [], []
-            for numbers in windows:
-                found = np.array([x for n in numbers for x in sides.links[n]], np.int64)
-                links.append(len(found))
-                each, n = np.unique(found, return_counts=True)
-                order = codes[each].argsort()
-                pairs.append(codes[each][order].astype("<i8").tobytes())
-                times.append(n[order].astype("<i4").tobytes())
-                joined = ";".join([sides.texts[n] for n in numbers])
+            n_a, n_b, slot, edges = sides.align(texts)
+            link_at, flat = sides.link_at, sides.links
+            size = link_at[slot + 1] - link_at[slot]
+            out = np.cumsum(size)
+            found = flat[np.arange(out[-1]) + np.repeat(link_at[slot] - out + size, size)] if len(slot) else flat[:0]
+            before = np.concatenate([[0], out])[edges]
+            links = np.diff(before)
+            # each text's id pairs in order, and how often it has them
+            codes, rank = np.unique(found, return_inverse=True)
+            each, n = np.unique(np.repeat(np.arange(len(texts)), links) << 40 | rank, return_counts=True)
+            cuts = np.searchsorted(each >> 40, np.arange(len(texts) + 1)).tolist()
+            packed, counted = codes[each & ((1 << 40) - 1)].astype("<i8"), n.astype("<i4")
+            pairs, times = ([v[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for v in (packed, counted))
+            named, groups = [sides.texts[k] for k in slot.tolist()], []
+            for i, j in zip(edges.tolist(), edges[1:].tolist()):
+                joined = "".join(named[i:j])[:-1]
                 groups.append(hashlib.sha256(joined.encode()).hexdigest() if digest and joined else joined)
             others = [batch.column(f.name) for f in fields]
-            columns = [pa.array(n_a), pa.array(n_b), pa.array(links, pa.int64()), pa.array(links, pa.int64()), pa.array(groups, pa.string()), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())]
+            columns = [pa.array(n_a), pa.array(n_b), pa.array(links), pa.array(links), pa.array(groups, pa.string()), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())]
             yield pa.RecordBatch.from_arrays([*others, *columns], kind.fieldNames())
 
     return df.mapInArrow(run, kind)
