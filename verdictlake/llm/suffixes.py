@@ -6,10 +6,11 @@ Suffixes are dealt to shards so that equal strings of LENGTH bytes meet. Of such
 grams of ``GRAM`` bytes the one with the smallest hash, the leftmost on ties, is its
 minimizer: it depends on the string alone, so equal strings have equal minimizers at equal
 distances. Neighbouring strings share a minimizer, and what they cover is its context, some
-130 bytes. Minimizers are counted corpus-wide first; only contexts of repeated ones are cut
-from the texts. Copies of a context are folded with partial sums, the first by place stays
-for comparison; of the others every string has an earlier copy. What is left are different
-contexts with a common minimizer. They go to shards of about ``SHARD_BYTES``.
+130 bytes. Minimizers are counted corpus-wide first; only contexts of repeated ones are kept.
+Copies of a context, by 64 bits of its minimizer and 64 of its bytes, are folded with partial
+sums: the first by place stays for comparison, and of the others every string has an earlier
+copy. What is left are different contexts with a common minimizer; their bytes are cut from the
+texts and go to shards of about ``SHARD_BYTES``.
 
 A shard's contexts, in order of place, are one text. Its suffixes are sorted by their first
 128 bytes, which gives its Burrows-Wheeler transform. Starting from the empty string, all
@@ -35,10 +36,12 @@ error before any job.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,40 +106,40 @@ def _joined(texts: list[str]) -> tuple[bytes, np.ndarray]:
 
 
 def minimizer_rows(numbered: DataFrame) -> DataFrame:
-    """(gram, number, place) of every run of strings with one minimizer; ``place`` packs first start, starts and distance."""
+    """(gram, digest, id, number, place) of every context; ``place`` packs its first start, its starts and its minimizer's distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", SLICE_CHARS):
             raw, sizes = _joined(texts)
             text, gram, start, count, lead = minimizers(np.frombuffer(raw, np.uint8), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column("number").take(pa.array(text)), pa.array(start << 16 | count << 8 | lead)], ["gram", "number", "place"])
+            begin = start + (np.cumsum(sizes) - sizes)[text]
+            digest = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + count + LENGTH - 1).tolist())]
+            row = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column("id").take(row), batch.column("number").take(row), pa.array(start << 16 | count << 8 | lead)], ["gram", "digest", "id", "number", "place"])
 
-    return numbered.select("number", "text").mapInArrow(run, "gram long, number long, place long")
+    return numbered.select("id", "number", "text").mapInArrow(run, "gram long, digest long, id long, number long, place long")
 
 
 def contexts(numbered: DataFrame, places: DataFrame) -> DataFrame:
-    """(gram, id, number, start, starts, lead, body): the bytes behind places of ``places``, which has them by row."""
+    """(gram, crowded, id, number, start, starts, lead, body): the bytes behind places of ``places``, which has them by row."""
     joined = numbered.select("number", "id", "text").join(places, "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", SLICE_CHARS):
-            row, grams, start, count, lead, body = [], [], [], [], [], []
+            row, columns, body = [], [], []
             for k, (t, found) in enumerate(zip(texts, batch.column("places"))):
                 raw = t.encode("utf-8", "surrogatepass")
-                gram, place = (found.values.field(c).to_numpy() for c in ("gram", "place"))
+                place = found.values.field("place").to_numpy()
                 s, n = place >> 16, place >> 8 & 255
                 row += [k] * len(s)
-                grams.append(gram)
-                start.append(s)
-                count.append(n)
-                lead.append(place & 255)
+                columns.append((found.values.field("gram").to_numpy(), found.values.field("crowded").to_numpy(zero_copy_only=False), s, n, place & 255))
                 body += [raw[a:b] for a, b in zip(s.tolist(), (s + n + LENGTH - 1).tolist())]
             if row:
                 which = pa.array(row, pa.int64())
-                numbers = [pa.array(np.concatenate(x)) for x in (grams, start, count, lead)]
-                yield pa.RecordBatch.from_arrays([numbers[0], batch.column("id").take(which), batch.column("number").take(which), *numbers[1:], pa.array(body, pa.binary())], ["gram", "id", "number", "start", "starts", "lead", "body"])
+                gram, crowded, start, count, lead = (pa.array(np.concatenate(x)) for x in zip(*columns))
+                yield pa.RecordBatch.from_arrays([gram, crowded, batch.column("id").take(which), batch.column("number").take(which), start, count, lead, pa.array(body, pa.binary())], ["gram", "crowded", "id", "number", "start", "starts", "lead", "body"])
 
-    return joined.mapInArrow(run, "gram long, id long, number long, start long, starts long, lead long, body binary")
+    return joined.mapInArrow(run, "gram long, crowded boolean, id long, number long, start long, starts long, lead long, body binary")
 
 
 # ---- one shard ------------------------------------------------------------------------------
@@ -273,34 +276,51 @@ def _halves(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(half(F.col("near"), middle), half(middle + 1, F.col("far")))).alias("h")).select("h.*").where("starts > 0")
 
 
+def _release(df: DataFrame) -> DataFrame:
+    """``df``, a staged table; shuffle files behind it can go, which Spark sees when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def _crowds(firsts: DataFrame) -> DataFrame:
+    """Minimizers with several different contexts, and whether these would crowd a shard; with one context nothing is left to compare."""
+    return firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram", (F.col("contexts") > CROWD).alias("crowded"))
+
+
 def removed_spans(numbered: DataFrame) -> list[DataFrame]:
     """Staged tables of (number, begin, finish), overlapping: the bytes to remove from each row of ``numbered`` (number, id, text)."""
     spark = numbered.sparkSession
     places = minimizer_rows(numbered)
     repeated = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    found = stage(places.join(repeated, "gram", "left_semi"), "places")
-    by_row = found.groupBy("number").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
-    level = stage(contexts(numbered, by_row).select("*", F.lit(0).cast("long").alias("near"), F.lit(REACH - 1).cast("long").alias("far")), "contexts")
+    found = _release(stage(places.join(repeated, "gram", "left_semi"), "places"))
+    place = F.struct("id", "number", "place")
+    firsts = _release(stage(found.groupBy("gram", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts"))
+    again = found.join(firsts.where("copies > 1").drop("copies"), ["gram", "digest"]).where((F.col("number") != F.col("first.number")) | (found["place"] != F.col("first.place")))
+    begin, count = F.shiftright(found["place"], 16), F.shiftright(found["place"], 8).bitwiseAND(F.lit(255))
+    out = [_release(stage(again.select("number", begin.alias("begin"), (begin + count + LENGTH - 1).alias("finish")), "spans"))]
+    mixed = firsts.join(_crowds(firsts), "gram").groupBy("first.number").agg(F.collect_list(F.struct("gram", "crowded", "first.place")).alias("places"))
+    level = _release(stage(contexts(numbered, mixed).select("*", F.lit(0).cast("long").alias("near"), F.lit(REACH - 1).cast("long").alias("far")), "contexts"))
     drop_stage(spark, found)
-    out = []
+    drop_stage(spark, firsts)
     while True:
-        place = F.struct("id", "number", "start", "starts", "lead", "near", "far")
-        firsts = stage(level.groupBy("gram", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-        again = level.join(firsts.where("copies > 1"), ["gram", "body"]).where((F.col("number") != F.col("first.number")) | (level["start"] != F.col("first.start")))
-        out.append(stage(again.select("number", level["start"].alias("begin"), (level["start"] + level["starts"] + LENGTH - 1).alias("finish")), "spans"))
-        # what has one context is settled; what has a few is compared, what has many is dealt on
-        crowds = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-        mixed = stage(firsts.join(crowds, "gram").select("gram", "first.*", "body", ((F.col("contexts") > CROWD) & (F.col("first.near") < F.col("first.far"))).alias("crowded")), "mixed")
-        drop_stage(spark, level)
-        drop_stage(spark, firsts)
-        size = {r.crowded: r.bytes for r in mixed.groupBy("crowded").agg(F.sum(F.length("body") + 1).alias("bytes")).collect()}
+        # contexts of each minimizer are different here; a few are compared, many are dealt on
+        size = {r.crowded: r.bytes for r in level.groupBy("crowded").agg(F.sum(F.length("body") + 1).alias("bytes")).collect()}
         if False in size:
-            out.append(stage(shard_spans(mixed.where("not crowded"), -(-size[False] // SHARD_BYTES)), "spans"))
+            out.append(_release(stage(shard_spans(level.where("not crowded"), -(-size[False] // SHARD_BYTES)), "spans")))
         if True not in size:
-            drop_stage(spark, mixed)
+            drop_stage(spark, level)
             return out
-        level = stage(_halves(mixed.where("crowded")), "contexts")
-        drop_stage(spark, mixed)
+        halves = stage(_halves(level.where("crowded")), "halves")
+        drop_stage(spark, level)
+        place = F.struct("id", "number", "start", "starts", "lead", "near", "far")
+        firsts = stage(halves.groupBy("gram", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+        again = halves.join(firsts.where("copies > 1").drop("copies"), ["gram", "body"]).where((F.col("number") != F.col("first.number")) | (halves["start"] != F.col("first.start")))
+        out.append(stage(again.select("number", halves["start"].alias("begin"), (halves["start"] + halves["starts"] + LENGTH - 1).alias("finish")), "spans"))
+        # a range of one distance has no halves: its strings are alike but for colliding keys
+        level = _release(stage(firsts.join(_crowds(firsts), "gram").select("gram", (F.col("crowded") & (F.col("first.near") < F.col("first.far"))).alias("crowded"), "first.*", "body"), "contexts"))
+        drop_stage(spark, halves)
+        drop_stage(spark, firsts)
 
 
 def merged(begin: np.ndarray, finish: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
