@@ -1,6 +1,7 @@
 """Statistics on tables whose answers are known by hand."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from verdictlake.operators import calibration as K
@@ -43,8 +44,101 @@ def test_floor_does_not_depend_on_partitions_and_flags_overconfidence(spark, par
 
 
 def test_pool_violators():
-    assert fits.pool_violators([(1, 1.0, 1), (2, 0.0, 1), (3, 0.0, 1)]) == [{"right": 3, "value": pytest.approx(1 / 3)}]
-    assert [k["right"] for k in fits.pool_violators([(0.1, 0, 1), (0.2, 1, 1), (0.3, 0, 1), (0.4, 1, 1)])] == [0.1, 0.3, 0.4]
+    assert fits.pool_violators([(1, 1.0, 1), (2, 0.0, 1), (3, 0.0, 1)]) == [(3, 1.0, 3)]
+    assert [x for x, *_ in fits.pool_violators([(0.1, 0, 1), (0.2, 1, 1), (0.3, 0, 1), (0.4, 1, 1)])] == [0.1, 0.3, 0.4]
+
+
+def walk_evenly(points, n_bins):
+    """Equal-mass bins by walking distinct confidences in order: (bin, n, conf, acc)."""
+    total = sum(n for _, n, _ in points)
+    n_bins = min(n_bins, total)
+    sums, seen, start, closed = [], 0, 0, 0
+    for conf, n, right in points:
+        at = min(closed, n_bins - 1)
+        if at == len(sums):
+            sums.append([0, 0.0, 0.0])
+        seen += n
+        sums[at] = [a + b for a, b in zip(sums[at], (n, conf * n, right))]
+        if seen >= max(min(total, round((closed + 1) * (total / n_bins))), start + 1):
+            start, closed = seen, closed + 1
+    return [(k, n, pytest.approx(c / n), pytest.approx(r / n)) for k, (n, c, r) in enumerate(sums)]
+
+
+def test_equal_mass_and_isotonic_by_cells_equal_a_walk(spark):
+    rng = np.random.default_rng(12)
+    groups = {
+        "wide": np.round(rng.random(3000), 9),
+        "narrow": np.round(0.97 + rng.random(2500) / 500, 9),
+        "ties": rng.integers(1, 6, 1500) / 5,
+        "one": np.full(500, 0.51),
+        "few": np.array([0.2, 0.4, 0.4, 0.9]),
+        None: np.round(rng.beta(8, 2, 1000), 3),
+    }
+    rows = [(g, float(c), float(rng.random() < c * c)) for g, cs in groups.items() for c in cs]
+    # a second label takes what the first leaves; the confidence is the first's, so correct is y = 0
+    table = spark.createDataFrame([(i, g, [c, 0.0], 0 if ok else 1) for i, (g, c, ok) in enumerate(rows)], "case_id long, g string, probs array<double>, y int").repartition(6)
+    points = {}
+    for g, c, ok in rows:
+        n, s = points.setdefault(g, {}).get(c, (0, 0.0))
+        points[g][c] = (n + 1, s + ok)
+    for n_bins in (3, 15):
+        got = {}
+        for r in K.equal_mass_bins(table, ["g"], n_bins).orderBy("bin").collect():
+            got.setdefault(r.g, []).append((r.bin, r.n, r.conf, r.acc))
+        assert got == {g: walk_evenly([(c, n, s) for c, (n, s) in sorted(p.items())], n_bins) for g, p in points.items()}
+    knots = fits.fit_isotonic(K.with_confidence(table), ["g"])
+    got = {}
+    for r in knots.orderBy("right").collect():
+        got.setdefault(r.g, []).append((r.low, r.right, r.value))
+    want = {}
+    for g, p in points.items():
+        if sum(n for n, _ in p.values()) >= fits.ISOTONIC_LEAST:
+            blocks = fits.pool_violators([(c, s, n) for c, (n, s) in sorted(p.items())])
+            want[g] = [(low, x, pytest.approx(s / n)) for low, (x, s, n) in zip([None, *(b[0] for b in blocks)], blocks)]
+    assert got == want and len(want["wide"]) > 5
+    # every row takes the first step whose right edge isn't below it, or the last; a group without steps stays as it is
+    mapped = {r.case_id: r.probs[0] for r in fits.apply_isotonic(table, knots.where("g is null or g <> 'ties'"), ["g"]).collect()}
+    assert len(mapped) == len(rows)
+    for i, (g, c, _) in enumerate(rows):
+        if g in want and g != "ties":
+            value = next((v for _, right, v in got[g] if c <= right), got[g][-1][2])
+            assert mapped[i] == pytest.approx(min(max(value, 1e-6), 1 - 1e-6))
+        else:
+            assert mapped[i] == c
+
+
+def test_one_group_of_five_million_confidences(spark):
+    n = 5_000_000
+    conf = F.round(F.lit(0.5) + F.pmod(F.col("id") * 7919, F.lit(n)) / (2.0 * n), 9)
+    wide = spark.range(n, numPartitions=8).select(F.lit("g").alias("g"), F.array(conf, F.lit(0.0)).alias("probs"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    bins = K.equal_mass_bins(wide, ["g"]).orderBy("bin").collect()
+    assert [r.bin for r in bins] == list(range(15)) and sum(r.n for r in bins) == n and max(r.n for r in bins) - min(r.n for r in bins) <= 1
+    assert "collect_list" not in K.equal_mass_bins(wide, ["g"])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_temperatures_of_many_groups_in_one_plan(spark, parts):
+    rng = np.random.default_rng(13)
+    raw = rng.normal(size=(2400, 4)) * 2
+    rows = [(int(i % 6), (v[: 2 + i % 3] * (1 + i % 6)).tolist(), int(np.argmax(v[: 2 + i % 3] + rng.gumbel(size=2 + i % 3)))) for i, v in enumerate(raw)]
+    table = spark.createDataFrame(rows, "g int, logits array<double>, y int").repartition(parts)
+    got = {r.g: r for r in fits.fit_temperature(table, ["g"]).collect()}
+
+    def loss(g, t):
+        each = [np.log(np.exp((np.array(z) - max(z)) / t).sum()) - (z[y] - max(z)) / t for k, z, y in rows if k == g]
+        return float(np.minimum(each, fits.WORST).mean())
+
+    for g, r in got.items():
+        lo, hi = fits.LOW, fits.HIGH
+        while hi - lo > 1e-7:  # golden section on a loss with one valley
+            a, b = hi - (hi - lo) * 0.618, lo + (hi - lo) * 0.618
+            lo, hi = (lo, b) if loss(g, a) < loss(g, b) else (a, hi)
+        assert r.t == pytest.approx(lo, abs=5e-4) and r.nll == pytest.approx(loss(g, r.t)) and not r.at_bound
+    flat = fits.fit_temperature(spark.createDataFrame([([0.0, 0.0, 0.0], 1)] * 5, "logits array<double>, y int"), []).first()
+    assert flat.at_bound and flat.nll == pytest.approx(np.log(3))
+    yes = [(0, 2.5 * x, int(x + g > 0)) for x, g in zip(rng.normal(size=900).tolist(), rng.logistic(size=900).tolist())]
+    binary = fits.fit_binary_temperature(spark.createDataFrame(yes, "g int, logit double, y int"), ["g"]).first()
+    assert binary.t == pytest.approx(2.5, rel=0.25)
 
 
 def test_temperature_recovers_a_scale(spark):

@@ -96,8 +96,8 @@ def choose_calibrator(rows: DataFrame, by: list[str], key: str = "case_id", resa
     temps = fits.fit_temperature(fit.select(*by, "logits", "y"), by)
     points = fit.withColumn("probs", V.softmax("logits")).select(*by, F.array_max("probs").alias("conf"), (V.argmax("probs") == F.col("y")).cast("double").alias("correct"))
     knots = fits.fit_isotonic(points, by)
-    warm = check.join(F.broadcast(temps.select(*by, "t")), by).withColumn("warm", V.softmax("logits", F.col("t")))
-    mapped = fits.apply_isotonic(check.withColumn("probs", F.col("base")), knots, by).join(F.broadcast(knots.select(*by)), by, "left_semi")
+    warm = check.join(temps.select(*by, "t"), by).withColumn("warm", V.softmax("logits", F.col("t")))
+    mapped = fits.apply_isotonic(check.withColumn("probs", F.col("base")), knots, by).join(knots.select(*by).distinct(), by, "left_semi")
     a, b = arms(warm, [*by, key], "base", "warm"), arms(mapped, [*by, key], "base", "probs")
     tables = [
         temps.select(*by, "t"),

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -51,44 +51,51 @@ def reliability_bins(scored: DataFrame, by: list[str], n_bins: int = BINS, spine
     return every.join(got, [*by, "bin"], "left").select(*by, "bin", *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in (("n", "long"), ("conf", "double"), ("acc", "double"))])
 
 
+CELLS = 4096
+
+
+def cell_of(conf: Column) -> Column:
+    """Cells of equal width: as confidences have nine decimals, a cell has at most 10**9 / CELLS distinct ones, whatever a group's size."""
+    return F.floor(conf * CELLS).cast("int")
+
+
+def distinct_points(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, cell, x, n, s): how often each distinct ``x`` (nine decimals) occurs and the sum of ``y``."""
+    return points.groupBy(*by, F.round(x, 9).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s")).select(*by, cell_of(F.col("x")).alias("cell"), "x", "n", "s")
+
+
+def matched(by: list[str], left: str, right: str) -> Column:
+    """Whether two aliased tables agree in ``by``, null agreeing with null."""
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
+
+
 def equal_mass_bins(scored: DataFrame, by: list[str], n_bins: int = BINS) -> DataFrame:
     """(by, bin, n, conf, acc) over groups of near-equal size that never part equal confidences.
 
-    Rows fold into distinct confidences first; the greedy cut then walks a group's distinct
-    confidences once, in order."""
-    points = with_confidence(scored).groupBy(*by, "conf").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right"))
-    rows = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("conf", "n", "right"))).alias("points"), F.sum("n").alias("total"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c in by), "bin int, n long, conf double, acc double"])
-
-    def cut(batches):
-        for pdf in batches:
-            pdf["b"] = [cut_evenly([(p["conf"], p["n"], p["right"]) for p in points], n_bins) for points in pdf["points"]]
-            each = pdf[[*by, "b"]].explode("b")
-            for k, c in enumerate(("bin", "n", "conf", "acc")):
-                each[c] = [x[k] for x in each["b"]]
-            yield each.drop(columns="b")
-
-    return rows.mapInPandas(cut, schema)
-
-
-def cut_evenly(points: list[tuple[float, int, float]], n_bins: int) -> list[tuple[int, int, float, float]]:
-    """(bin, n, conf, acc) from distinct confidences in order with their counts and sums of right answers.
-
-    A bin closes at the first end of a tie run at or past its share of the rows; what is left joins the last bin."""
-    total = sum(n for _, n, _ in points)
-    n_bins = min(n_bins, total)
-    sums: list[list[float]] = []
-    seen = start = closed = 0
-    for conf, n, right in points:
-        at = min(closed, n_bins - 1)
-        if at == len(sums):
-            sums.append([0, 0.0, 0.0])
-        seen += n
-        for k, v in enumerate((n, conf * n, right)):
-            sums[at][k] += v
-        if seen >= max(min(total, round((closed + 1) * (total / n_bins))), start + 1):
-            start, closed = seen, closed + 1
-    return [(k, int(n), c / n, r / n) for k, (n, c, r) in enumerate(sums)]
+    A bin closes at the first distinct confidence at or past its share of the rows. With c(i) shares reached at the i-th
+    distinct confidence, k(i) = min(k(i - 1) + 1, c(i)) bins are closed there, so k(i) = i + the least of c(j) - j up to i:
+    running sums and a running minimum, which cells of confidences compute on their own once they know the totals of the
+    cells before them. No task sees more of a group than a cell, or than a row for each of its cells."""
+    points = distinct_points(with_confidence(scored), by, "conf", "correct")
+    whole, inside = Window.partitionBy(*by).orderBy("cell"), Window.partitionBy(*by, "cell").orderBy("x")
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = points.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("_p"), F.sum("n").alias("_r"))
+    offsets = sizes.select(*by, "cell", F.coalesce(F.sum("_p").over(earlier), F.lit(0)).alias("_p"), F.coalesce(F.sum("_r").over(earlier), F.lit(0)).alias("_r"), F.sum("_r").over(Window.partitionBy(*by)).alias("_total"))
+    placed = points.alias("a").join(offsets.alias("b"), matched(by, "a", "b") & (F.col("a.cell") == F.col("b.cell"))).select("a.*", "_p", "_r", "_total")
+    seen = F.col("_r") + F.sum("n").over(inside)
+    at = F.col("_p") + F.row_number().over(inside)
+    bins = F.least(F.lit(n_bins), F.col("_total"))
+    shares = F.size(F.filter(F.sequence(F.lit(1), bins), lambda j: F.bround(j * (F.col("_total") / bins)) <= F.col("_seen")))
+    ranked = placed.withColumns({"_seen": seen, "_at": at}).withColumn("_d", shares - F.col("_at"))
+    least = ranked.groupBy(*by, "cell").agg(F.min("_d").alias("_d"))
+    carried = least.select(*by, "cell", F.coalesce(F.min("_d").over(earlier), F.lit(0)).alias("_carried"))
+    before = F.least(F.lit(0), F.col("_carried"), F.min("_d").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    closed = F.col("_at") - 1 + before
+    cut = ranked.alias("a").join(carried.alias("b"), matched(by, "a", "b") & (F.col("a.cell") == F.col("b.cell"))).select("a.*", "_carried").select(*by, F.least(closed, bins - 1).cast("int").alias("bin"), "n", "x", "s")
+    return cut.groupBy(*by, "bin").agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("conf"), (F.sum("s") / F.sum("n")).alias("acc"))
 
 
 def ece(bins: DataFrame, by: list[str], name: str = "ece") -> DataFrame:
@@ -105,7 +112,7 @@ def calibration_report(scored: DataFrame, by: list[str]) -> DataFrame:
         F.sum("n").alias("n"), (F.sum(gap) / F.sum("n")).alias("ece"), F.max(gap / F.col("n")).alias("mce"), *[(F.sum(c) / F.sum("n")).alias(a) for c, a in (("brier", "brier"), ("nll", "nll"), ("correct", "accuracy"), ("conf", "confidence"))]
     )
     adaptive = ece(equal_mass_bins(scored, by), by, "adaptive_ece").drop("adaptive_mce")
-    joined = out.join(adaptive, by) if by else out.crossJoin(adaptive)
+    joined = out.alias("a").join(adaptive.alias("b"), matched(by, "a", "b")).select("a.*", "adaptive_ece")
     return joined.withColumn("overconfidence", F.col("confidence") - F.col("accuracy"))
 
 

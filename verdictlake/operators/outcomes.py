@@ -144,6 +144,6 @@ def floor_suite(pairs: DataFrame, by: list[str]) -> DataFrame:
 def regate(fit: DataFrame, check: DataFrame, runs: list[str]) -> DataFrame:
     """Rows (runs, logits, probs, y) of many saved runs to n, accuracy, ece before and after a temperature refitted for each run on ``fit``."""
     temps = fits.fit_temperature(fit.select(*runs, "logits", "y"), runs).select(*runs, "t")
-    warm = check.join(F.broadcast(temps), runs).withColumn("probs", V.softmax("logits", F.col("t")))
+    warm = check.join(temps, runs).withColumn("probs", V.softmax("logits", F.col("t")))
     error = lambda df, name: K.ece(K.reliability_bins(df, runs, spine=False), runs).select(*runs, F.col("ece").alias(name))
     return accuracy(check, runs).join(error(check, "ece_before"), runs).join(error(warm, "ece_after"), runs).join(temps, runs)

@@ -30,8 +30,8 @@ def decide(predictions: DataFrame, by_domain: DataFrame, by_kind: DataFrame, kno
     """Add probs, selected and confidence to predictions (domain, kind, logits).
 
     The temperature is the domain's, else the kind's, else one; a kind's knots then map the top
-    probability. The parameter tables have a row for each (domain, kind) or kind."""
-    t = predictions.join(F.broadcast(by_domain.select("domain", "kind", F.col("t").alias("_d"))), ["domain", "kind"], "left").join(F.broadcast(by_kind.select("kind", F.col("t").alias("_k"))), "kind", "left")
+    probability. ``by_domain`` and ``by_kind`` have a row for each (domain, kind) or kind, ``knots`` one for each step of a kind."""
+    t = predictions.join(by_domain.select("domain", "kind", F.col("t").alias("_d")), ["domain", "kind"], "left").join(by_kind.select("kind", F.col("t").alias("_k")), "kind", "left")
     warm = t.withColumn("probs", V.softmax("logits", F.coalesce("_d", "_k", F.lit(1.0)))).drop("_d", "_k")
     return apply_isotonic(warm, knots, ["kind"]).withColumns({"selected": V.argmax("probs"), "confidence": V.choice_confidence("probs")})
 

@@ -31,12 +31,13 @@ EQUAL = """
 # ---- calibration ------------------------------------------------------------------------------
 
 
-@register(f"""WITH {scored_sql()}, b AS (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(nll) AS l, sum(brier) AS q FROM sc GROUP BY ALL)
-    SELECT domain, {REPORT}, round(max(abs(c - f) / n), 6) AS mce, round(sum(q) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll, round(sum(c) / sum(n), 6) AS accuracy, round(sum(f) / sum(n), 6) AS confidence,
-    round(sum(f) / sum(n) - sum(c) / sum(n), 6) AS overconfidence FROM b GROUP BY domain""")
+@register(f"""WITH RECURSIVE {scored_sql()}, {EQUAL}, b AS (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c, sum(nll) AS l, sum(brier) AS q FROM sc GROUP BY ALL),
+    eb AS (SELECT domain, sum(n) AS n, sum(conf * n) / sum(n) AS conf, sum(r) / sum(n) AS acc FROM walk GROUP BY domain, least(bin, 14)), ae AS (SELECT domain, round(sum(n * abs(acc - conf)) / sum(n), 6) AS adaptive_ece FROM eb GROUP BY domain)
+    SELECT b.domain, any_value(adaptive_ece) AS adaptive_ece, {REPORT}, round(max(abs(c - f) / n), 6) AS mce, round(sum(q) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll, round(sum(c) / sum(n), 6) AS accuracy, round(sum(f) / sum(n), 6) AS confidence,
+    round(sum(f) / sum(n) - sum(c) / sum(n), 6) AS overconfidence FROM b JOIN ae ON ae.domain = b.domain GROUP BY b.domain""")
 def k7_calibration_report(spark, sf_dir):
-    out = K.calibration_report(views.event_scored(spark, sf_dir), ["domain"]).drop("adaptive_ece")
-    return rounded(out, "ece", "mce", "brier", "nll", "accuracy", "confidence", "overconfidence")
+    out = K.calibration_report(views.event_scored(spark, sf_dir), ["domain"])
+    return rounded(out, "ece", "mce", "adaptive_ece", "brier", "nll", "accuracy", "confidence", "overconfidence")
 
 
 @register(f"""WITH {scored_sql()}, s AS (SELECT DISTINCT domain, unnest(range(15)) AS bin FROM sc),
@@ -136,26 +137,32 @@ GRID = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 4.0]
 @register(f"""WITH {scored_sql()}, x AS (SELECT domain, t, logits, y FROM sc, (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS t)), e AS (SELECT domain, t, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS ex FROM x)
     SELECT domain, t, round(avg(-ln(greatest(ex[y + 1] / list_sum(ex), 1e-12))), 6) AS nll FROM e GROUP BY ALL""")
 def f1_temperature_losses(spark, sf_dir):
-    rows = views.event_scored(spark, sf_dir)
-    grid = rows.select("domain").distinct().select("domain", F.explode(F.array(*[F.lit(t) for t in GRID])).alias("t"))
-    return rounded(fits.temperature_losses(rows, ["domain"], grid), "nll")
+    return rounded(fits.temperature_losses(views.event_scored(spark, sf_dir), ["domain"], GRID), "nll")
 
 
-def _fit_sql(rounds: int = 5, grid: int = 17) -> str:
-    """CTEs w0 .. w5 (domain, lo, hi, t, nll): the grid of each round lies between the neighbours of the best point before."""
-    out = [f"w0 AS (SELECT DISTINCT domain, {fits.LOW}::DOUBLE AS lo, {fits.HIGH}::DOUBLE AS hi, 0.0::DOUBLE AS t, 0.0::DOUBLE AS nll FROM sc)"]
+def _fit_sql(source: str = "sc", rounds: int = fits.ROUNDS, grid: int = fits.GRID) -> str:
+    """CTEs up to fit (domain, t, nll, at_bound): the grid of each round lies between the neighbours of the best point before."""
+    out = [f"w0 AS (SELECT DISTINCT domain, {fits.LOW}::DOUBLE AS lo, {fits.HIGH}::DOUBLE AS hi, 0.0::DOUBLE AS t, 0.0::DOUBLE AS nll FROM {source})"]
     for r in range(1, rounds + 1):
-        out.append(f"""x{r} AS (SELECT sc.domain, lo + i * ((hi - lo) / {grid - 1}) AS t, (hi - lo) / {grid - 1} AS step, logits, y FROM sc JOIN w{r - 1} USING (domain), (SELECT unnest(range({grid})) AS i)),
+        out.append(f"""x{r} AS (SELECT {source}.domain, lo + i * ((hi - lo) / {grid - 1}) AS t, (hi - lo) / {grid - 1} AS step, logits, y FROM {source} JOIN w{r - 1} USING (domain), (SELECT unnest(range({grid})) AS i)),
     l{r} AS (SELECT domain, t, max(step) AS step, avg(-ln(greatest(ex[y + 1] / list_sum(ex), 1e-12))) AS nll FROM (SELECT domain, t, step, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS ex FROM x{r}) GROUP BY domain, t),
     w{r} AS (SELECT domain, greatest({fits.LOW}::DOUBLE, t - step) AS lo, least({fits.HIGH}::DOUBLE, t + step) AS hi, t, nll FROM l{r} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY nll, t) = 1)""")
+    out.append(f"fit AS (SELECT domain, t, nll, t <= {fits.LOW} + 0.01 OR t >= {fits.HIGH} - 0.01 AS at_bound FROM w{rounds})")
     return ", ".join(out)
 
 
-@register(f"WITH {scored_sql()}, {_fit_sql()} SELECT domain, round(t, 6) AS t, round(nll, 6) AS nll, t <= {fits.LOW} + 0.01 OR t >= {fits.HIGH} - 0.01 AS at_bound FROM w5")
+@register(f"WITH {scored_sql()}, {_fit_sql()} SELECT domain, round(t, 6) AS t, round(nll, 6) AS nll, at_bound FROM fit")
 def f1_fit_temperature(spark, sf_dir):
     return rounded(fits.fit_temperature(views.event_scored(spark, sf_dir).select("domain", "logits", "y"), ["domain"]), "t", "nll")
 
 
+@register(f"WITH {scored_sql()}, yn AS (SELECT domain, [0.0::DOUBLE, 2 * (logits[2] - logits[1])] AS logits, CASE WHEN y = 1 THEN 1 ELSE 0 END AS y FROM sc), {_fit_sql('yn')} SELECT domain, round(t, 6) AS t, round(nll, 6) AS nll, at_bound FROM fit")
+def f2_fit_binary(spark, sf_dir):
+    """Each event as a yes/no about the second type, its logit twice the lead over the first type's."""
+    rows = views.event_scored(spark, sf_dir).select("domain", (2 * (F.col("logits")[1] - F.col("logits")[0])).alias("logit"), (F.col("y") == 1).alias("y"))
+    return rounded(fits.fit_binary_temperature(rows, ["domain"]), "t", "nll")
+
+
 # the fitted value at a point is the largest over all starts before it of the least mean to any end behind it
 PAV = f"""{scored_sql()}, r AS (SELECT domain, conf AS x, sum(correct) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc GROUP BY ALL),
     c AS (SELECT domain, x, s, w, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM r WINDOW o AS (PARTITION BY domain ORDER BY x)),
@@ -163,11 +170,10 @@ PAV = f"""{scored_sql()}, r AS (SELECT domain, conf AS x, sum(correct) AS s, CAS
     lo AS (SELECT domain, i, j, min(mean) OVER (PARTITION BY domain, i ORDER BY j DESC) AS lo FROM m), f AS (SELECT domain, j AS x, max(lo) AS v FROM lo GROUP BY ALL)"""
 
 
-@register(f"""WITH {PAV} SELECT domain, max(x) AS "right", round(v, 9) AS value FROM f GROUP BY domain, round(v, 9)""")
+@register(f"""WITH {PAV}, k AS (SELECT domain, max(x) AS "right", round(v, 9) AS value FROM f GROUP BY domain, round(v, 9)) SELECT domain, lag("right") OVER (PARTITION BY domain ORDER BY "right") AS low, "right", value FROM k""")
 def f5_fit_isotonic(spark, sf_dir):
     points = K.with_confidence(views.event_scored(spark, sf_dir)).select("domain", "conf", "correct")
-    knots = fits.fit_isotonic(points, ["domain"])
-    return knots.select("domain", F.explode("knots").alias("k")).select("domain", "k.right", F.round("k.value", 9).alias("value"))
+    return fits.fit_isotonic(points, ["domain"]).select("domain", "low", "right", F.round("value", 9).alias("value"))
 
 
 @register(f"""WITH {PAV}, a AS (SELECT case_id, probs, list_position(probs, list_max(probs)) - 1 AS top, list_max(probs) AS p, greatest(1e-6, least(1 - 1e-6, v)) AS g FROM sc JOIN f ON f.domain = sc.domain AND f.x = sc.conf)

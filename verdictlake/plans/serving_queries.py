@@ -63,16 +63,20 @@ def f12_refit_sources(spark, sf_dir):
     return rounded(B.refit_sources(s, "kind", "source"), "accuracy", "confidence", "ece")
 
 
-@register(f"""WITH {scored_sql()}, t AS (SELECT *, CASE WHEN domain IN ('0', '1') THEN 0.5 + CAST(domain AS INTEGER) ELSE 2.0 END AS t FROM sc), e AS (SELECT *, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS e FROM t), p AS (SELECT case_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
-    SELECT case_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS selected, round(greatest(0, least(1, 1 + list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) / ln(5))), 6) AS confidence FROM p""")
+@register(f"""WITH {scored_sql()}, t AS (SELECT *, CASE WHEN domain IN ('0', '1') THEN 0.5 + CAST(domain AS INTEGER) ELSE 2.0 END AS t FROM sc), e AS (SELECT *, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS e FROM t), w AS (SELECT case_id, list_transform(e, lambda v: v / list_sum(e)) AS w FROM e),
+    g AS (SELECT *, list_max(w) AS top, CASE WHEN round(list_max(w), 9) <= 0.4 THEN 0.35 WHEN round(list_max(w), 9) <= 0.6 THEN 0.55 ELSE 0.8 END AS g FROM w),
+    p AS (SELECT case_id, list_transform(range(5), lambda i: CASE WHEN i = list_position(w, top) - 1 THEN g ELSE w[i + 1] * ((1 - g) / greatest(1 - top, 1e-12)) END) AS p FROM g)
+    SELECT case_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS selected, round(greatest(0, least(1, 1 + list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)) / ln(5))), 6) AS confidence,
+      round(list_max(p), 6) AS top FROM p""")
 def d8_decide(spark, sf_dir):
-    """Two domains have their own temperature, the others take the kind's; no knots."""
+    """Two domains have their own temperature, the others take the kind's; the kind has three steps."""
     s = views.event_scored(spark, sf_dir)
     kinds = s.select("kind", "domain").distinct()
     by_domain = kinds.where("domain in ('0', '1')").select("domain", "kind", (F.col("domain").cast("double") + 0.5).alias("t"))
-    by_kind = kinds.select("kind").distinct().withColumn("t", F.lit(2.0))
-    knots = kinds.select("kind").distinct().where("false").withColumn("knots", F.array(F.struct(F.lit(0.0).alias("right"), F.lit(0.0).alias("value"))))
-    return rounded(S.decide(s, by_domain, by_kind, knots).select("case_id", "selected", "confidence"), "confidence")
+    one = kinds.select("kind").distinct()
+    step = [F.struct(F.lit(low).cast("double").alias("low"), F.lit(right).alias("right"), F.lit(value).alias("value")) for low, right, value in ((None, 0.4, 0.35), (0.4, 0.6, 0.55), (0.6, 1.0, 0.8))]
+    knots = one.select("kind", F.explode(F.array(*step)).alias("k")).select("kind", "k.*")
+    return rounded(S.decide(s, by_domain, one.withColumn("t", F.lit(2.0)), knots).select("case_id", "selected", "confidence", F.array_max("probs").alias("top")), "confidence", "top")
 
 
 def _questions(spark, sf_dir):
