@@ -292,8 +292,10 @@ def removed_spans(numbered: DataFrame) -> list[DataFrame]:
     """Staged tables of (number, begin, finish), overlapping: the bytes to remove from each row of ``numbered`` (number, id, text)."""
     spark = numbered.sparkSession
     places = minimizer_rows(numbered)
-    repeated = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written first, so that a frequent gram's side of the join below is a plain exchange, which can be split
+    repeated = _release(stage(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated"))
     found = _release(stage(places.join(repeated, "gram", "left_semi"), "places"))
+    drop_stage(spark, repeated)
     place = F.struct("id", "number", "place")
     firsts = _release(stage(found.groupBy("gram", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts"))
     again = found.join(firsts.where("copies > 1").drop("copies"), ["gram", "digest"]).where((F.col("number") != F.col("first.number")) | (found["place"] != F.col("first.place")))
