@@ -8,6 +8,7 @@ One SHA-256 carries the draws of sixteen replicates.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import fits
-from .calibration import BINS, bin_of, fold_draws, refuse_teacher
+from .calibration import BINS, bin_of, draws, refuse_teacher
 from .splits import hash_holdout, one_per_case
 
 POISSON = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
@@ -39,19 +40,35 @@ def replicate_errors(points: DataFrame, by: list[str], key: str = "case_id", res
     """points (by, key, y, conf_a, ok_a, conf_b, ok_b) to (by, rep, err_a, err_b, labels): the worse of ECE over equal width and over equal mass, for each arm."""
     binned = mass_bin(mass_bin(points, by, "conf_a", "ma"), by, "conf_b", "mb")
     binned = binned.withColumns({"wa": bin_of(F.col("conf_a")), "wb": bin_of(F.col("conf_b"))})
-    cells = [*by, "wa", "ma", "wb", "mb"]
-    rows = binned.select(*cells, "y", F.col(key).cast("string").alias("_key"), (F.col("ok_a") - F.col("conf_a")).alias("ga"), (F.col("ok_b") - F.col("conf_b")).alias("gb"))
-
-    def fold(pdf: pd.DataFrame, u: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-        w = np.searchsorted(POISSON, u, "right").astype(float)
-        y = pdf["y"].to_numpy(float)[:, None]
-        sums = {n: np.add.reduceat(w * pdf[n].to_numpy()[:, None], starts, axis=0) for n in ("ga", "gb")}
-        return {"w": np.add.reduceat(w, starts, axis=0), **sums, "lo": np.minimum.reduceat(np.where(w > 0, y, np.inf), starts, axis=0), "hi": np.maximum.reduceat(np.where(w > 0, y, -np.inf), starts, axis=0)}
-
-    each = fold_draws(rows, cells, "w double, ga double, gb double, lo double, hi double", fold, "_key", resamples, salt).where("w > 0")
-    sums = each.groupBy(*by, "rep", "wa", "ma", "wb", "mb").agg(*[F.sum(c).alias(c) for c in ("w", "ga", "gb")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    kinds = F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(scale).alias("scale"), F.col(scale + arm).alias("bin"), F.col("g" + arm).alias("gap")) for arm in "ab" for scale in "wm"])
-    bins = sums.select(*by, "rep", "w", "lo", "hi", F.explode(kinds).alias("k")).select(*by, "rep", "w", "lo", "hi", "k.*").groupBy(*by, "rep", "arm", "scale", "bin").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    margins = [(arm, scale) for arm in "ab" for scale in "wm"]
+    rows = binned.select(*by, *[scale + arm for arm, scale in margins], "y", F.col(key).cast("string").alias("_key"), (F.col("ok_a") - F.col("conf_a")).alias("ga"), (F.col("ok_b") - F.col("conf_b")).alias("gb"))
+    kinds = dict(binned.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "rep int, arm string, scale string, bin int, w double, gap double, lo double, hi double"])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            w = np.searchsorted(POISSON, draws(pdf["_key"].tolist(), resamples, salt), "right").astype(float)
+            seen = w > 0
+            y = pdf["y"].to_numpy(float)[:, None]
+            low, high = np.where(seen, y, np.inf), np.where(seen, y, -np.inf)
+            group = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), np.int64)
+            # each margin is folded on its own: 15 bins a group, not their product with those of the other three
+            for arm, scale in margins:
+                bins = pdf[scale + arm].to_numpy(np.int64)
+                order = np.lexsort((bins, group))
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(group[order]) != 0) | (np.diff(bins[order]) != 0)]))
+                first = order[starts]
+                out = pdf[by].iloc[np.repeat(first, resamples)].reset_index(drop=True)
+                out["rep"] = np.tile(np.arange(resamples, dtype=np.int32), len(starts))
+                out["arm"], out["scale"], out["bin"] = arm, scale, np.repeat(bins[first].astype(np.int32), resamples)
+                out["w"] = np.add.reduceat(w[order], starts, axis=0).ravel()
+                out["gap"] = np.add.reduceat((w * pdf["g" + arm].to_numpy()[:, None])[order], starts, axis=0).ravel()
+                out["lo"], out["hi"] = np.minimum.reduceat(low[order], starts, axis=0).ravel(), np.maximum.reduceat(high[order], starts, axis=0).ravel()
+                yield out[out["w"] > 0]
+
+    bins = rows.mapInPandas(fold, schema).groupBy(*by, "rep", "arm", "scale", "bin").agg(F.sum("w").alias("w"), F.sum("gap").alias("gap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     ece = bins.groupBy(*by, "rep", "arm", "scale").agg((F.sum(F.abs("gap")) / F.sum("w")).alias("e"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     arms = [F.max(F.when(F.col("arm") == a, F.round("e", 9))).alias(f"err_{a}") for a in "ab"]
     return ece.groupBy(*by, "rep").agg(*arms, (F.min("lo") < F.max("hi")).alias("labels"))

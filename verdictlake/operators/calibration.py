@@ -215,6 +215,16 @@ def refuse_teacher(scored: DataFrame, doing: str) -> DataFrame:
     return scored.where(F.when(F.col("from_teacher"), told.cast("boolean")).otherwise(F.lit(True)))
 
 
-def approximate_report(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Sketch-based counts and quantiles for dashboards."""
-    return with_confidence(scored).groupBy(*by).agg(F.approx_count_distinct("case_id").alias("cases"), F.percentile_approx("conf", [0.05, 0.5, 0.95]).alias("conf_quantiles"))
+def daily_sketches(scored: DataFrame, by: list[str], day: str, case: str = "case_id") -> DataFrame:
+    """(by, day, cases, confs): mergeable sketches of a day's distinct cases (HLL) and confidences (KLL), to be stored a day at a time."""
+    rows = scored.select(*by, day, case, F.array_max("probs").alias("_conf"))
+    return rows.groupBy(*by, day).agg(F.hll_sketch_agg(case, F.lit(14)).alias("cases"), F.kll_sketch_agg_double("_conf", F.lit(400)).alias("confs"))
+
+
+def approximate_report(sketches: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """(by, n, cases, quantiles) merged from stored sketches of any days, without their rows.
+
+    With these sizes the count of cases is within about 3 % and the rank of a quantile within about 1 %."""
+    out = sketches.groupBy(*by).agg(F.hll_union_agg("cases").alias("_cases"), F.kll_merge_agg_double("confs").alias("_confs"))
+    values = F.array(*[F.kll_sketch_get_quantile_double("_confs", F.lit(q)) for q in quantiles])
+    return out.select(*by, F.kll_sketch_get_n_double("_confs").alias("n"), F.hll_sketch_estimate("_cases").alias("cases"), values.alias("quantiles"))

@@ -37,6 +37,13 @@ def distribution(ratings: Column, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.size(F.filter(ratings, lambda r: r == k)) / F.size(ratings))
 
 
+def annotated_cases(df: DataFrame, group: str, ratings: str, levels: int, min_raters: int = 2) -> DataFrame:
+    """Items (group, ratings: array, null or out-of-range entries don't count) to raters, distribution and one drawn rating as y; too few ratings drop the item."""
+    good = df.select(group, F.filter(ratings, lambda r: r.isNotNull() & (r >= 0) & (r < levels)).alias("_r")).where(F.size("_r") >= min_raters)
+    drawn = F.element_at("_r", (F.floor(uniform(group, "rater") * F.size("_r")) + 1).cast("int")).cast("int")
+    return good.select(group, F.size("_r").alias("raters"), distribution(F.col("_r"), levels).alias("distribution"), drawn.alias("y"))
+
+
 def group_annotators(df: DataFrame, group: str, rater: str, value: Column, levels: int, min_raters: int = 2) -> DataFrame:
     """One row for each item: n raters, distribution, and one drawn rater's label.
 

@@ -20,9 +20,17 @@ def macro(rows: DataFrame) -> DataFrame:
 
 
 def migration_diff(ours: DataFrame, theirs: DataFrame, by: list[str]) -> DataFrame:
-    """(case_id, qid, decision) twice to agreement for each of ``by``."""
-    both = ours.join(theirs.select("case_id", "qid", F.col("decision").alias("_theirs")), ["case_id", "qid"])
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("decision") == F.col("_theirs")).cast("double")).alias("agreement"))
+    """(case_id, qid, decision, confidence) twice to n, agreement and the mean confidence of either side for each of ``by``."""
+    both = ours.join(theirs.select("case_id", "qid", F.col("decision").alias("_theirs"), F.col("confidence").alias("_confidence")), ["case_id", "qid"])
+    return both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("decision") == F.col("_theirs")).cast("double")).alias("agreement"), F.avg("confidence").alias("our_confidence"), F.avg("_confidence").alias("their_confidence")
+    )
+
+
+def disagreements(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(case_id, qid, decision, confidence, theirs, their_confidence) where the decisions differ."""
+    other = theirs.select("case_id", "qid", F.col("decision").alias("theirs"), F.col("confidence").alias("their_confidence"))
+    return ours.select("case_id", "qid", "decision", "confidence").join(other, ["case_id", "qid"]).where("decision <> theirs")
 
 
 def migration_verdict(ours: DataFrame, theirs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -32,12 +40,26 @@ def migration_verdict(ours: DataFrame, theirs: DataFrame, truth: DataFrame) -> D
 
 
 def parity(local: DataFrame, served: DataFrame, key: list[str]) -> DataFrame:
-    """One row: n, share of equal decisions, largest difference of a probability, and whether both limits hold."""
-    both = local.select(*key, "probs").join(served.select(*key, F.col("probs").alias("_p")), key)
-    same = (V.argmax("probs") == V.argmax("_p")).cast("double")
+    """One row: n, answers without a partner, share of equal decisions, largest difference of a probability, and whether all limits hold.
+
+    local, served (key, labels, probs). Answers to one key with different labels can't be compared: that is an error."""
+    both = local.select(*key, "labels", "probs").join(served.select(*key, F.col("labels").alias("_labels"), F.col("probs").alias("_p")), key, "full")
+    told = F.raise_error(F.concat(F.lit("different labels: "), F.concat_ws("|", *key)))
+    met = F.col("probs").isNotNull() & F.col("_p").isNotNull()
+    sound = both.where(F.when(met & (F.col("labels") != F.col("_labels")), told.cast("boolean")).otherwise(F.lit(True)))
+    same = F.when(met, (V.argmax("probs") == V.argmax("_p")).cast("double"))
     diff = F.array_max(F.zip_with("probs", "_p", lambda a, b: F.abs(a - b)))
-    out = both.agg(F.count(F.lit(1)).alias("n"), F.avg(same).alias("agreement"), F.max(diff).alias("max_diff"))
-    return out.withColumn("passed", (F.col("agreement") >= 0.98) & (F.col("max_diff") <= 0.05))
+    out = sound.agg(F.count_if(met).alias("n"), F.count_if(~met).alias("alone"), F.avg(same).alias("agreement"), F.max(F.when(met, diff)).alias("max_diff"))
+    return out.withColumn("passed", (F.col("alone") == 0) & (F.col("agreement") >= 0.98) & (F.col("max_diff") <= 0.05))
+
+
+def invariance(one: DataFrame, two: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """(by, n, agreement): how often two answers (key, by, options, probs) under different option orders choose the option of one name.
+
+    Pairs of which a side is missing or null don't count."""
+    name = lambda df, out: df.select(*key, *by, F.element_at("options", V.argmax("probs") + 1).alias(out))
+    both = name(one, "_a").join(name(two, "_b").drop(*by), key).where("_a is not null and _b is not null")
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("agreement"))
 
 
 def pair_same(pairs: DataFrame, by: list[str]) -> DataFrame:

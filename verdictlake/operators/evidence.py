@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,46 @@ def word_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return placed.select(*keep, "w", "start", (F.col("start") + F.length("word")).alias("end"), "word", F.expr("substring(_piece, length(word) + 1)").alias("gap"), F.when(F.col("w") == 0, F.col("_lead")).otherwise("").alias("head"))
 
 
+def span_overlap(words: DataFrame, spans: DataFrame, key: list[str], out: str = "marked") -> DataFrame:
+    """``words`` (key, start, end) with ``out``: whether a span (key, start, end) touches the word, that is starts before its end and ends behind its start.
+
+    Words and spans of a text go through one sort: of the spans that start before a word's end, the farthest end decides. So a
+    text costs the sum of its words and spans, not their product."""
+    at = words.withColumns({"_pos": F.col("end").cast("long"), "_kind": F.lit(0), "_end": F.lit(None).cast("long")})
+    marks = spans.select(*key, F.col("start").cast("long").alias("_pos"), F.lit(1).alias("_kind"), F.col("end").cast("long").alias("_end"))
+    before = Window.partitionBy(*key).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    swept = at.unionByName(marks, allowMissingColumns=True).withColumn(out, F.coalesce(F.max("_end").over(before) > F.col("start"), F.lit(False)))
+    return swept.where("_kind = 0").select(*words.columns, out)
+
+
 def highlighted(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """``words`` with marked: whether a span (start, end) touches the word."""
-    s = spans.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = words.join(s, key).where((F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e"))).select(*key, "w").distinct().withColumn("marked", F.lit(True))
-    return words.join(hit, [*key, "w"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    return span_overlap(words, spans, key)
+
+
+def token_labels(tokens: DataFrame, spans: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Tokens (key, start, end, and their text's ``text``) with label: 1 where a gold span touches the token without its leading white space.
+
+    A token of white space alone has label 0."""
+    piece = F.substring(F.col(text), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    lead = F.length(F.regexp_extract(piece, r"^\s*", 0))
+    bare = tokens.withColumns({"_start": F.col("start"), "start": F.col("start") + lead})
+    marked = span_overlap(bare, spans, key, "_hit")
+    label = (F.col("_hit") & (F.col("start") < F.col("end"))).cast("int")
+    return marked.withColumn("label", label).withColumn("start", F.col("_start")).select(*tokens.columns, "label")
+
+
+BUCKET = 64
+
+
+def touching(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """(key, w, spans' other columns): each word with each span that touches it, met by buckets of ``BUCKET`` positions that both reach into."""
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / BUCKET)))
+    left = words.select(*key, "w", "start", "end").withColumn("_b", bucket("start", "end"))
+    right = spans.withColumnsRenamed({"start": "_s", "end": "_e"}).withColumn("_b", bucket("_s", "_e"))
+    met = left.join(right, [*key, "_b"]).where((F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")))
+    # a pair that shares several buckets counts in the first of them
+    return met.where(F.col("_b") == F.greatest(F.floor(F.col("start") / BUCKET), F.floor(F.col("_s") / BUCKET))).drop("_b", "_s", "_e", "start", "end")
 
 
 def token_prf(words: DataFrame, key: list[str], gold: str = "gold", predicted: str = "predicted") -> DataFrame:
@@ -42,14 +77,19 @@ def mark_runs(words: DataFrame, key: list[str], mark: str) -> DataFrame:
 
 
 def iou_f1(words: DataFrame, key: list[str], gold: str = "gold", predicted: str = "predicted", at_least: float = 0.5) -> DataFrame:
-    """F1 over runs of marked words, matched at an overlap over union of ``at_least``."""
-    g, p = mark_runs(words, key, gold), mark_runs(words, key, predicted).withColumnsRenamed({"first": "pf", "last": "pl"})
-    overlap = F.least("last", "pl") - F.greatest("first", "pf") + 1
-    union = F.greatest("last", "pl") - F.least("first", "pf") + 1
-    met = g.join(p, key).where((overlap > 0) & (overlap / union >= at_least))
-    hits = met.groupBy(*key).agg(F.countDistinct("first").alias("gh"), F.countDistinct("pf").alias("ph"))
-    sizes = g.groupBy(*key).agg(F.count(F.lit(1)).alias("g")).join(p.groupBy(*key).agg(F.count(F.lit(1)).alias("p")), key, "full")
-    r, q = F.coalesce(F.col("gh") / F.col("g"), F.lit(0.0)), F.coalesce(F.col("ph") / F.col("p"), F.lit(0.0))
+    """F1 over runs of marked words, matched at an overlap over union of ``at_least`` (above zero).
+
+    Two runs overlap in words that carry both marks, so pairs are counted from the words and no run meets another that it doesn't touch."""
+    rows = words.select(*key, "w", F.col(gold).alias("g"), F.col(predicted).alias("p"))
+    for m in "gp":
+        number = F.col("w") - F.row_number().over(Window.partitionBy(*key, m).orderBy("w"))
+        rows = rows.withColumn(f"_{m}", F.when(F.col(m), number))
+        rows = rows.withColumn(f"_n{m}", F.count(F.lit(1)).over(Window.partitionBy(*key, m, f"_{m}")))
+    pairs = rows.where(F.col("g") & F.col("p")).groupBy(*key, "_g", "_p").agg(F.count(F.lit(1)).alias("_o"), F.first("_ng").alias("_ng"), F.first("_np").alias("_np"))
+    met = pairs.where(F.col("_o") / (F.col("_ng") + F.col("_np") - F.col("_o")) >= at_least)
+    hits = met.groupBy(*key).agg(F.count_distinct("_g").alias("gh"), F.count_distinct("_p").alias("ph"))
+    sizes = rows.groupBy(*key).agg(F.count_distinct("_g").alias("_cg"), F.count_distinct("_p").alias("_cp")).where("_cg + _cp > 0")
+    r, q = (F.coalesce(F.try_divide(F.coalesce(F.col(h), F.lit(0)), F.col(n)), F.lit(0.0)) for h, n in (("gh", "_cg"), ("ph", "_cp")))
     return sizes.join(hits, key, "left").select(*key, F.coalesce(F.try_divide(2 * r * q, r + q), F.lit(0.0)).alias("iou_f1"))
 
 
@@ -66,9 +106,14 @@ def merge_spans(tokens: DataFrame, key: list[str], text: str = "text", threshold
     return grouped.groupBy(*key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.least(F.lit(1.0), F.max("score")).alias("score")).drop("_g")
 
 
+def bare_word(word: str) -> Column:
+    """A word in lower case without what is neither letter nor number."""
+    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")
+
+
 def fit_lexicon(words: DataFrame, word: str, mark: str, least: int = 3, rate: float = 0.5) -> DataFrame:
-    norm = F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")
-    return words.groupBy(norm.alias("token")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(mark).cast("double")).alias("rate")).where((F.col("n") >= least) & (F.col("rate") >= rate) & (F.col("token") != ""))
+    """(token, n, rate) of the words that are marked often enough."""
+    return words.groupBy(bare_word(word).alias("token")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(mark).cast("double")).alias("rate")).where((F.col("n") >= least) & (F.col("rate") >= rate) & (F.col("token") != ""))
 
 
 def paired_ci(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:

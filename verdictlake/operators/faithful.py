@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, raw_tokens, stem
 from ..functions.vectors import let, uniform
+from .evidence import bare_word, touching
 
 # fixed values: the shares of words that probes remove or keep
 FRACTIONS = (0.01, 0.05, 0.1, 0.2, 0.5)
@@ -17,13 +18,16 @@ FRACTIONS = (0.01, 0.05, 0.1, 0.2, 0.5)
 
 def word_scores(words: DataFrame, tokens: DataFrame, key: list[str]) -> DataFrame:
     """Words with score: the highest of the tokens (key, start, end, score) that touch the word, zero without one."""
-    t = tokens.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"), "score")
-    hit = words.join(t, key).where((F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e"))).groupBy(*key, "w").agg(F.max("score").alias("score"))
+    hit = touching(words, tokens.select(*key, "start", "end", "score"), key).groupBy(*key, "w").agg(F.max("score").alias("score"))
     return words.join(hit, [*key, "w"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def control_scores(words: DataFrame, key: list[str], salt: str = "control") -> DataFrame:
-    return words.withColumn("score", uniform(F.concat_ws("|", *key, "w"), salt))
+def control_scores(words: DataFrame, key: list[str], salt: str = "control", lexicon: DataFrame | None = None) -> DataFrame:
+    """Words with the score of a control: a keyed draw, or with ``lexicon`` (token, rate) the rate of the bare lower-cased word, zero outside it."""
+    if lexicon is None:
+        return words.withColumn("score", uniform(F.concat_ws("|", *key, "w"), salt))
+    known = words.withColumn("_t", bare_word("word")).join(lexicon.select(F.col("token").alias("_t"), F.col("rate").alias("_rate")), "_t", "left")
+    return known.withColumn("score", F.coalesce("_rate", F.lit(0.0))).drop("_t", "_rate")
 
 
 def lexical_evidence(words: DataFrame, questions: DataFrame, key: list[str]) -> DataFrame:

@@ -41,6 +41,12 @@ def align(predictions: DataFrame, questions: DataFrame, key: list[str]) -> DataF
     return questions.join(predictions, key, "left").withColumn("probs", F.transform("labels", lambda x: F.try_element_at("answer", x))).drop("answer")
 
 
+def answer_faults(logits: Column, n: Column) -> Column:
+    """What is wrong with an answer of ``n`` logits: missing, of another count or not finite."""
+    wrong = F.exists(logits, lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")))
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in (("missing", logits.isNull()), ("count", F.size(logits) != n), ("not finite", wrong))]))
+
+
 def validate_output(predictions: DataFrame, questions: DataFrame, key: list[str]) -> DataFrame:
     """(key, reasons): what is wrong with each answer of predictions (key, kind, logits) to questions (key, kind, n)."""
     q = questions.select(*key, F.col("kind").alias("_kind"), F.col("n").alias("_n"))

@@ -100,13 +100,26 @@ def run_workflow(cases: DataFrame, steps: list[Step], key: str = "case_id") -> D
     return out
 
 
-def workflow_score(done: DataFrame, pairs: dict[str, str], by: list[str]) -> DataFrame:
-    """(by, n, judged, accuracy, mean_calls): accuracy over the decisions that were made and have a truth column."""
+def workflow_score(done: DataFrame, pairs: dict[str, str], by: list[str], references: dict[str, str] | None = None, tokens: str | None = None, latency: str | None = None) -> DataFrame:
+    """(by, n, judged, accuracy, mean_calls) and, where their columns are named, kl, mean_tokens, p50 and p99.
+
+    Accuracy is over the decisions that were made and have a truth column. ``references`` names, for columns of
+    probabilities, the column of the reference that they should have: kl is the mean divergence from it over the answers that have both."""
     met = [(F.col(d).isNotNull() & F.col(t).isNotNull(), F.col(d) == F.col(t)) for d, t in pairs.items()]
     judged = sum((F.when(m, 1).otherwise(0) for m, _ in met), F.lit(0))
     right = sum((F.when(m & e, 1).otherwise(0) for m, e in met), F.lit(0))
-    out = done.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(judged).alias("judged"), F.sum(right).alias("_r"), F.avg("calls").alias("mean_calls"))
-    return out.select(*by, "n", "judged", F.try_divide("_r", "judged").alias("accuracy"), "mean_calls")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(judged).alias("judged"), F.sum(right).alias("_r"), F.avg("calls").alias("mean_calls")]
+    if references:
+        both = [(F.col(p).isNotNull() & F.col(q).isNotNull(), V.kl(q, p)) for p, q in references.items()]
+        sums += [F.sum(sum((F.when(m, d).otherwise(0.0) for m, d in both), F.lit(0.0))).alias("_kl"), F.sum(sum((F.when(m, 1).otherwise(0) for m, _ in both), F.lit(0))).alias("_nkl")]
+    if tokens:
+        sums.append(F.avg(tokens).alias("mean_tokens"))
+    if latency:
+        sums += [F.expr(f"percentile_disc({q}) within group (order by `{latency}`)").alias(name) for q, name in ((0.5, "p50"), (0.99, "p99"))]
+    out = done.groupBy(*by).agg(*sums).withColumn("accuracy", F.try_divide("_r", "judged"))
+    if references:
+        out = out.withColumn("kl", F.try_divide("_kl", "_nkl"))
+    return out.select(*by, "n", "judged", "accuracy", "mean_calls", *(["kl"] if references else []), *(["mean_tokens"] if tokens else []), *(["p50", "p99"] if latency else []))
 
 
 def price(usage: DataFrame, by: list[str], cold: float, cached: float, prompt_rate: float, output_rate: float) -> DataFrame:

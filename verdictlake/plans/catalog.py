@@ -270,25 +270,25 @@ def d17_escalation(spark, sf_dir):
 # ---- comparisons ---------------------------------------------------------------------------------
 
 
-@register(f"""WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, u AS (SELECT 'a' AS system, domain AS slice, case_id, correct FROM a UNION ALL SELECT 'b', domain, case_id, correct FROM b WHERE case_id % 5 <> 0),
+@register(f"""WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, u AS (SELECT 'a' AS system, domain AS slice, case_id, correct FROM a UNION ALL SELECT 'b', domain, case_id, correct FROM b WHERE {draw_sql('gap', 'case_id')} >= 0.2),
     c AS (SELECT case_id FROM u GROUP BY case_id HAVING count(DISTINCT system) = 2) SELECT system, slice, count(*) AS n, round(avg(correct), 6) AS accuracy FROM u WHERE case_id IN (FROM c) GROUP BY ALL""")
 def j2_compare_systems(spark, sf_dir):
-    """The second system misses some answers, so only the common cases count."""
+    """The second system left a drawn fifth unanswered, so only the common cases count."""
 
     def rows(name, df):
         return K.with_confidence(df).select(F.lit(name).alias("system"), F.col("domain").alias("slice"), "case_id", "correct")
 
-    missing = views.event_scored(spark, sf_dir, "v", 0.6).where("case_id % 5 <> 0")
+    missing = views.event_scored(spark, sf_dir, "v", 0.6).where(V.uniform("case_id", "gap") >= 0.2)
     return rounded(J.compare_systems(rows("a", views.event_scored(spark, sf_dir)).unionByName(rows("b", missing))), "accuracy")
 
 
 PAIR = f"WITH {scored_sql('a')}, {scored_sql('b', 'v', 0.6)}, j AS (SELECT a.domain, a.case_id, a.probs AS p, b.probs AS q, a.correct AS ca, b.correct AS cb, list_position(a.probs, list_max(a.probs)) AS x, list_position(b.probs, list_max(b.probs)) AS z, a.y FROM a JOIN b USING (case_id))"
 
 
-@register(f"{PAIR} SELECT domain, count(*) AS n, round(avg(CASE WHEN x = z THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM j GROUP BY domain")
+@register(f"{PAIR} SELECT domain, count(*) AS n, round(avg(CASE WHEN x = z THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(list_max(p)), 6) AS our_confidence, round(avg(list_max(q)), 6) AS their_confidence FROM j GROUP BY domain")
 def j3_migration_diff(spark, sf_dir):
-    ours, theirs = (views.event_scored(spark, sf_dir, s, k).withColumn("decision", V.argmax("probs")) for s, k in (("l", 1.2), ("v", 0.6)))
-    return rounded(J.migration_diff(ours, theirs, ["domain"]), "agreement")
+    ours, theirs = (views.event_scored(spark, sf_dir, s, k).withColumns({"decision": V.argmax("probs"), "confidence": F.array_max("probs")}) for s, k in (("l", 1.2), ("v", 0.6)))
+    return rounded(J.migration_diff(ours, theirs, ["domain"]), "agreement", "our_confidence", "their_confidence")
 
 
 @register(f"{PAIR} SELECT count(*) AS n, count_if(x - 1 = y) AS ours_right, count_if(z - 1 = y) AS theirs_right, count_if(x - 1 <> y AND z - 1 <> y) AS both_wrong FROM j WHERE x <> z")

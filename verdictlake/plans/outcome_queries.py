@@ -14,7 +14,7 @@ from ..operators import faithful as H
 from ..operators import gates, loaders, retrieval, serving, splits, teacher, variants
 from ..operators import outcomes as O
 from . import views
-from .catalog import HALVES, MARKS, floor_sql
+from .catalog import HALVES, MARKS, _fit_sql, floor_sql
 from .registry import draw_sql, register, rounded, scored_sql, tokens_sql, u_sql
 
 ECE = "rp AS (SELECT domain, sum(n) AS n, sum(abs(c - f)) / sum(n) AS ece FROM (SELECT domain, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c FROM {source} GROUP BY ALL) GROUP BY domain)"
@@ -172,9 +172,10 @@ def e10_plausibility_suite(spark, sf_dir):
 @register(f"""{PAIR}, x AS (SELECT a.*, user_id % 3 AS q FROM a), c AS (SELECT domain, q, y, count(*) AS n, sum(correct) AS r FROM x GROUP BY ALL), l AS (SELECT domain, q, (sum(r) - max(n)) / sum(n) AS lift FROM c GROUP BY ALL), wl AS (SELECT domain, min(lift) AS worst_lift FROM l GROUP BY domain),
     pb AS (SELECT domain, q, bin, count(*) AS n, sum(conf) AS f, sum(correct) AS c FROM x GROUP BY ALL), pe AS (SELECT domain, q, sum(abs(c - f)) / sum(n) AS ece FROM pb GROUP BY ALL), we AS (SELECT domain, max(ece) AS worst_ece FROM pe GROUP BY domain),
     d AS (SELECT domain, avg(ca) - avg(cb) AS dp FROM j GROUP BY domain), {ECE.format(source='a').replace('rp', 'ra', 1)}, {ECE.format(source='b').replace('rp', 'rb', 1)},
-    t AS (SELECT domain, worst_lift, worst_ece, dp, ra.ece - rb.ece AS dl FROM wl JOIN we USING (domain) JOIN d USING (domain) JOIN ra USING (domain) JOIN rb USING (domain))
+    tk AS (SELECT domain, avg(CASE WHEN list_contains(list_grade_up(q, 'DESC')[1:3], x) THEN 1.0 ELSE 0.0 END) AS rc FROM j GROUP BY domain),
+    t AS (SELECT domain, worst_lift, worst_ece, dp, rc, ra.ece - rb.ece AS dl FROM wl JOIN we USING (domain) JOIN tk USING (domain) JOIN d USING (domain) JOIN ra USING (domain) JOIN rb USING (domain))
     SELECT domain, g.gate AS gate, round(g.value, 6) AS value, g.lim AS "limit", g.ok AS passed, g.adv AS advisory FROM (SELECT domain, unnest([{{'gate': 'worst_question_over_baseline', 'value': worst_lift, 'lim': 0.05::DOUBLE, 'ok': worst_lift >= 0.05, 'adv': true}}, {{'gate': 'worst_primitive_workhorse_ece', 'value': worst_ece, 'lim': 0.05::DOUBLE, 'ok': worst_ece <= 0.05, 'adv': true}},
-      {{'gate': 'injection_robustness', 'value': dp, 'lim': 0.1::DOUBLE, 'ok': dp <= 0.1, 'adv': true}}, {{'gate': 'quantization_ece_delta', 'value': abs(dl), 'lim': 0.01::DOUBLE, 'ok': abs(dl) <= 0.01, 'adv': false}}]) AS g FROM t)""")
+      {{'gate': 'injection_robustness', 'value': dp, 'lim': 0.1::DOUBLE, 'ok': dp <= 0.1, 'adv': true}}, {{'gate': 'quantization_ece_delta', 'value': abs(dl), 'lim': 0.01::DOUBLE, 'ok': abs(dl) <= 0.01, 'adv': false}}, {{'gate': 'recall', 'value': rc, 'lim': 0.99::DOUBLE, 'ok': rc >= 0.99, 'adv': false}}]) AS g FROM t)""")
 def g6_slice_gates(spark, sf_dir):
     """Users mod three stand for questions and primitives, the second system for the variant and the other run."""
     s, v = views.event_scored(spark, sf_dir), views.event_scored(spark, sf_dir, "v", 0.6)
@@ -183,8 +184,11 @@ def g6_slice_gates(spark, sf_dir):
     worst = K.ece(K.reliability_bins(x, ["domain", "q"], spine=False), ["domain", "q"]).groupBy("domain").agg(F.max("ece").alias("worst_ece"))
     drop = J.pair_same(views.paired(spark, sf_dir), ["domain"]).select("domain", F.col("drop").alias("injection_drop"))
     ece = lambda df, n: K.ece(K.reliability_bins(df, ["domain"], spine=False), ["domain"]).select("domain", F.col("ece").alias(n))
-    rows = lift.join(worst, "domain").join(drop, "domain").join(ece(s, "_a"), "domain").join(ece(v, "_b"), "domain")
-    return rounded(gates.slice_gates(rows.withColumns({"ece_delta": F.col("_a") - F.col("_b"), "recall": F.lit(None).cast("double")}), ["domain"]), "value")
+    # the second system's three likeliest labels are a shortlist, the first system's choice is what it has to hold
+    kept = s.select("case_id", "domain", V.argmax("probs").alias("_x")).join(v.select("case_id", V.top_k("probs", 3).alias("_k")), "case_id")
+    recall = kept.groupBy("domain").agg(F.avg(F.array_contains("_k", F.col("_x")).cast("double")).alias("recall"))
+    rows = lift.join(worst, "domain").join(drop, "domain").join(ece(s, "_a"), "domain").join(ece(v, "_b"), "domain").join(recall, "domain")
+    return rounded(gates.slice_gates(rows.withColumn("ece_delta", F.col("_a") - F.col("_b")), ["domain"]), "value")
 
 
 @register("""WITH r AS (SELECT event_type AS config, user_id AS seed, avg(value) AS loss, avg(value) <= 50 AS ok FROM events GROUP BY ALL), s AS (SELECT config, seed, loss, ok, CASE WHEN ok THEN [] WHEN seed % 2 = 0 THEN ['ece'] ELSE ['ece', 'sample_size'] END AS bl FROM r),
@@ -319,12 +323,12 @@ def c29_restore_levels(spark, sf_dir):
     return back.select("case_id", "kind", "selected", F.round(F.try_element_at("probabilities", F.col("selected")), 6).alias("top"))
 
 
-@register(f"""WITH {scored_sql()}, r AS (SELECT case_id, ty[CAST(list_position(probs, list_max(probs)) AS BIGINT)] AS s, list_max(probs) AS p FROM sc, sc_t) SELECT case_id, s AS choice, round(p, 6) AS p FROM r""")
+@register(f"""WITH {scored_sql()}, r AS (SELECT case_id, ty, probs, ty[CAST(list_position(probs, list_max(probs)) AS BIGINT)] AS s FROM sc, sc_t) SELECT case_id, s AS choice, ty[i + 1] AS label, round(probs[i + 1], 6) AS p FROM r, (SELECT unnest(range(5)) AS i)""")
 def c29_from_native(spark, sf_dir):
     """Every answer as the other contract's JSON, read again."""
     s = views.event_scored(spark, sf_dir).withColumns({"selected": F.element_at("labels", V.argmax("probs") + 1), "score": F.lit(None).cast("double"), "confidence": F.array_max("probs"), "criteria": F.col("labels")})
     body = F.from_json(loaders.from_native(s), loaders.WIRE_ANSWER)
-    return s.select("case_id", body.alias("b")).select("case_id", F.col("b.choice").alias("choice"), F.round(F.try_element_at("b.probabilities", F.col("b.choice")), 6).alias("p"))
+    return s.select("case_id", body.alias("b")).select("case_id", F.col("b.choice").alias("choice"), F.explode("b.probabilities").alias("label", "p")).withColumn("p", F.round("p", 6))
 
 
 @register("""WITH c AS (SELECT l_orderkey AS step, l_linenumber AS node, CAST(l_linenumber - 1 AS INTEGER) AS place, l_linenumber = 1 AS t, CASE WHEN l_orderkey % 2 = 0 THEN 'CLICK' ELSE 'SELECT' END AS op, l_returnflag = 'A' AS sel FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_returnflag)),
@@ -338,18 +342,23 @@ def c20_step_targets(spark, sf_dir):
     return got.select("step", "head", F.array_join("names", ",").alias("names"), "y")
 
 
-@register(f"""WITH {scored_sql()} SELECT case_id, ty[CAST(list_position(probs, list_max(probs)) AS BIGINT)] AS decision FROM sc, sc_t""")
+@register(f"""WITH {scored_sql()} SELECT case_id, CASE WHEN user_id % 3 = 0 THEN CASE WHEN probs[2] / (probs[1] + probs[2]) >= 0.5 THEN 'yes' ELSE 'no' END ELSE ty[CAST(list_position(probs, list_max(probs)) AS BIGINT)] END AS decision FROM sc, sc_t""")
 def d23_decision(spark, sf_dir):
+    """A third of the users' answers are yes/no between the first two labels, a third a score's levels, the others a choice."""
     s = views.event_scored(spark, sf_dir)
-    return s.select("case_id", serving.decision(F.col("kind"), F.col("labels"), F.col("probs")).alias("decision"))
+    third = F.col("user_id") % 3
+    noul = V.normalize(F.slice("probs", 1, 2))
+    kind, probs = F.when(third == 0, "noul").when(third == 1, "score").otherwise("choice"), F.when(third == 0, noul).otherwise(F.col("probs"))
+    return s.select("case_id", serving.decision(kind, F.col("labels"), probs).alias("decision"))
 
 
-@register(f"""WITH {scored_sql()} SELECT case_id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS y, round(list_sum(list_transform(probs, lambda p: p)), 6) AS mass FROM sc""")
+@register(f"""WITH {scored_sql()} SELECT case_id, i AS idx, CASE WHEN user_id % 5 = i THEN NULL ELSE round(probs[i + 1], 6) END AS p FROM sc, (SELECT unnest(range(5)) AS i)""")
 def d10_align(spark, sf_dir):
-    """Answers as maps, put back in declared order."""
+    """Answers as maps without one of their labels, put back in declared order."""
     s = views.event_scored(spark, sf_dir)
-    got = serving.align(s.select("case_id", F.map_from_arrays(F.reverse("labels"), F.reverse("probs")).alias("answer")), s.select("case_id", "labels"), ["case_id"])
-    return got.select("case_id", V.argmax("probs").alias("y"), F.round(V.total("probs"), 6).alias("mass"))
+    entries = F.filter(F.map_entries(F.map_from_arrays(F.reverse("labels"), F.reverse("probs"))), lambda e: e["key"] != F.element_at("labels", (F.col("user_id") % 5 + 1).cast("int")))
+    got = serving.align(s.select("case_id", F.map_from_entries(entries).alias("answer")), s.select("case_id", "labels"), ["case_id"])
+    return got.select("case_id", F.posexplode("probs").alias("idx", "p")).select("case_id", F.col("idx").cast("long").alias("idx"), F.round("p", 6).alias("p"))
 
 
 @register(f"""WITH {scored_sql()}, r AS (SELECT case_id, probs, list_sort(list_transform(list_grade_up(probs, 'DESC')[1:2], lambda i: i - 1)) AS s FROM sc) SELECT case_id, i AS idx, round(CASE WHEN list_contains(s, i) THEN probs[i + 1] ELSE 0 END, 6) AS p FROM r, (SELECT unnest(range(5)) AS i)""")
@@ -391,13 +400,13 @@ def f14_logit_rows(spark, sf_dir):
     return rounded(s.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg(V.total("logits")).alias("mean")), "mean")
 
 
-@register(f"""WITH {scored_sql()} SELECT case_id, round(list_sum(list_transform(range(5), lambda i: probs[i + 1] * i)), 6) AS p, CASE WHEN conf >= 0 THEN CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) END AS y FROM sc WHERE list_sum(probs) BETWEEN 0.999999 AND 1.000001""")
+@register(f"""WITH {scored_sql()} SELECT case_id, CAST(CASE user_id % 3 WHEN 0 THEN y WHEN 1 THEN list_position(probs, list_max(probs)) - 1 ELSE CASE WHEN list_max(probs) >= 0.5 THEN 1 ELSE 0 END END AS INTEGER) AS y FROM sc""")
 def m8_hard_label(spark, sf_dir):
-    """Labels from distributions alone; rows that fail the input check would be missing."""
+    """A third of the users have labels, a third distributions, the others a probability of yes."""
     s = views.event_scored(spark, sf_dir)
-    bad = K.check_scored(s).select("case_id")
-    none = F.lit(None).cast("int")
-    return s.join(bad, "case_id", "left_anti").select("case_id", F.round(V.expectation("probs", F.transform("probs", lambda p, i: i.cast("double"))), 6).alias("p"), serving.hard_label(none, F.col("probs"), F.lit(None).cast("double")).alias("y"))
+    kind = F.col("user_id") % 3
+    given = serving.hard_label(F.when(kind == 0, F.col("y")), F.when(kind == 1, F.col("probs")), F.when(kind == 2, F.array_max("probs")))
+    return s.select("case_id", given.alias("y"))
 
 
 @register("SELECT event_id, CASE WHEN regexp_matches(event_type, '^[a-z][a-z0-9_]*$') THEN event_type ELSE 'q1' END || ',q2' AS ids FROM events")
@@ -415,10 +424,13 @@ def l7_build_cost(spark, sf_dir):
     return out.select("kept", "planned", F.round("seconds", 3).alias("seconds"), F.round("usd_per_1k", 6).alias("usd_per_1k"))
 
 
-@register(f"""WITH {HALVES}, g AS (SELECT domain, count(*) AS n, sum(correct) AS r FROM h WHERE held GROUP BY domain), b AS (SELECT domain, bin, count(*) AS n, sum(correct) AS c, sum(conf) AS f FROM h WHERE held GROUP BY ALL) SELECT domain, CAST(max(g.n) AS BIGINT) AS n, round(sum(abs(c - f)) / sum(b.n), 6) AS ece_before, round(max(r) / max(g.n), 6) AS accuracy FROM b JOIN g USING (domain) GROUP BY domain""")
+@register(f"""WITH {HALVES}, fr AS (SELECT * FROM h WHERE NOT held), {_fit_sql('fr')}, g AS (SELECT domain, count(*) AS n, sum(correct) AS r FROM h WHERE held GROUP BY domain),
+    b AS (SELECT domain, bin, count(*) AS n, sum(correct) AS c, sum(conf) AS f FROM h WHERE held GROUP BY ALL), e0 AS (SELECT domain, sum(abs(c - f)) / sum(n) AS ece_before FROM b GROUP BY domain),
+    wx AS (SELECT domain, y, list_transform(logits, lambda v: exp((v - list_max(logits)) / t)) AS e FROM h JOIN fit USING (domain) WHERE held), wp AS (SELECT domain, y, list_position(e, list_max(e)) - 1 AS a, round(list_max(e) / list_sum(e), 9) AS conf FROM wx),
+    wb AS (SELECT domain, least(floor(conf / (1.0::DOUBLE / 15)), 14) AS bin, count(*) AS n, sum(conf) AS f, sum(CASE WHEN a = y THEN 1.0 ELSE 0.0 END) AS c FROM wp GROUP BY ALL), e1 AS (SELECT domain, sum(abs(c - f)) / sum(n) AS ece_after FROM wb GROUP BY domain)
+    SELECT domain, g.n, round(r / g.n, 6) AS accuracy, round(ece_before, 6) AS ece_before, round(ece_after, 6) AS ece_after, round(t, 6) AS t FROM g JOIN e0 USING (domain) JOIN e1 USING (domain) JOIN fit USING (domain)""")
 def f15_regate(spark, sf_dir):
-    """Every domain is a run: refitted on one part, judged on the other; its figures before the refit have SQL, those after it are f1's."""
+    """Every domain is a run: refitted on one part, judged on the other."""
     s = splits.hash_holdout(views.event_scored(spark, sf_dir), "case_id", 0.3)
     out = O.regate(s.where("not held_out"), s.where("held_out"), ["domain"])
-    return rounded(out.select("domain", "n", "ece_before", "accuracy"), "ece_before", "accuracy")
-
+    return rounded(out, "accuracy", "ece_before", "ece_after", "t")
