@@ -1,12 +1,15 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every version of a path is content-addressed by the SHA-256 of its text. The ledger is two
-Parquet tables: ``versions`` has each path with each blob it ever had and the scan that
-first saw it, ``blobs`` has for each blob the rule versions that have seen it and what they
-found. A scan appends the new versions, takes the pairs of blob and rule version that the
-ledger lacks, reads one text for each such blob, appends the findings, and joins the
-findings of all versions back to every path: ``scan`` to the rows at hand, ``history`` to
-all that any scan has seen.
+Every version of a path is content-addressed by the SHA-256 of its text. The ledger is three
+Parquet tables: ``texts`` has each blob's text once, ``versions`` each path with each blob it
+ever had and the scan that first saw it, ``blobs`` for each blob the rule versions that have
+seen it and what they found. A scan appends the new texts and versions, takes the pairs of
+blob and rule version that the ledger lacks, whichever scan brought the blob, reads the texts
+of those alone, appends the findings, and joins the findings of all versions back to every
+path: ``scan`` to the rows at hand, ``history`` to all that any scan has seen. So a rule that
+is added later reaches every version ever stored, and what a scan that broke off has left
+undone is pending for the next one. ``history`` tells unscanned from clean: findings are null
+where a rule asked for hasn't seen the blob.
 
 A rule is a regular expression whose leftmost non-overlapping matches count; a match
 whose part ``group`` is shorter than ``least`` is dropped after matching. Offsets are
@@ -31,6 +34,7 @@ from .common import drop_stage, require_free, stage
 FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
 BLOBS = f"blob string, rules array<string>, findings {FINDINGS}"
 VERSIONS = "path string, blob string, scan int"
+TEXTS = "blob string, content string"
 #: so many blobs, of 64 characters each, are broadcast at most
 FEW_BLOBS = 50_000
 
@@ -59,7 +63,8 @@ EXTRA = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    # a match starts a run of its characters, and no run is given back: else every "eyJ" in a run would read on to its end
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 40),
 )
 RULES = BASE + EXTRA
 
@@ -84,6 +89,7 @@ class BlobLedger:
         self.spark, self.path = spark, path
         spark.createDataFrame([], BLOBS).write.mode("append").parquet(f"{path}/blobs")
         spark.createDataFrame([], VERSIONS).write.mode("append").parquet(f"{path}/versions")
+        spark.createDataFrame([], TEXTS).write.mode("append").parquet(f"{path}/texts")
 
     def seen(self) -> DataFrame:
         return self.spark.read.schema(BLOBS).parquet(f"{self.path}/blobs")
@@ -92,22 +98,36 @@ class BlobLedger:
         """(path, blob, scan): every blob that a path ever had, and the number of the scan that saw it first."""
         return self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
 
+    def texts(self) -> DataFrame:
+        """(blob, content): the text of every blob."""
+        return self.spark.read.schema(TEXTS).parquet(f"{self.path}/texts")
+
     def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
         """(blob, findings) of the blobs with findings of these rule versions, by start, then rule order."""
         keys = [r.key for r in rules]
         wanted = F.filter(F.flatten(F.collect_list("findings")), lambda x: x["rule"].isin(keys))
         return self.seen().where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(wanted)).alias("findings"))
 
+    def rules_seen(self) -> DataFrame:
+        """(blob, done): the rule versions that have seen each blob."""
+        return self.seen().groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("done"))
+
     def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(path, blob, scan, findings) of every version of every path, also of those that later scans don't have."""
-        return self.versions().join(self.findings(rules), "blob", "left").select("path", "blob", "scan", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+        """(path, blob, scan, rules, findings) of every version of every path, also of those that later scans don't have.
 
-    def pending(self, blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """(blob, todo) for each blob that some rule version hasn't seen."""
+        ``rules`` are the versions asked for that have seen the blob; where one is missing, ``findings`` is null: what it would find isn't known."""
+        keys = F.array(*[F.lit(r.key) for r in rules])
+        every = self.versions().join(self.rules_seen(), "blob", "left").join(self.findings(rules), "blob", "left")
+        seen = F.array_intersect(keys, F.coalesce("done", F.array().cast("array<string>")))
+        known = F.when(F.size(seen) == len(rules), F.coalesce("findings", F.array().cast(FINDINGS)))
+        return every.select("path", "blob", "scan", seen.alias("rules"), known.alias("findings"))
+
+    def pending(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, todo) for each blob of the ledger that some rule version hasn't seen."""
         keys = F.array(*[F.lit(r.key) for r in rules])
-        done = self.seen().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         todo = F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))
-        return blobs.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
+        every = self.texts().select("blob").distinct()
+        return every.join(self.rules_seen(), "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
 
     def scan(self, df: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """The rows of ``df`` without their text, with blob and findings (of ``rules``, by start, then rule order)."""
@@ -115,19 +135,23 @@ class BlobLedger:
         require_free(df.select(*rest), ["blob", "findings"])
         content = F.coalesce(F.col(text), F.lit(""))
         rows = df.withColumn("blob", F.sha2(content.cast("binary"), 256))
+        self._store(rows.select("blob", content.alias("content")))
         self._record(rows.select(F.col(path).cast("string").alias("path"), "blob"))
-        todo = stage(self.pending(rows, rules), "pending")
+        todo = stage(self.pending(rules), "pending")
         n = todo.count()
         if n:
-            named = todo.withColumnRenamed("blob", "own")
-            texts = rows.select("blob", content.alias("content"))
+            texts = self.texts()
             if n <= FEW_BLOBS:
-                texts = texts.join(F.broadcast(named.select("own")), F.col("blob") == F.col("own"), "left_semi")
-            one = texts.groupBy("blob").agg(F.first("content").alias("content"))
-            self._find(one.join(named, F.col("blob") == F.col("own")).select("blob", "content", "todo"), rules)
+                texts = texts.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+            self._find(texts.join(todo, "blob"), rules)
         drop_stage(self.spark, todo)
         return rows.select(*rest, "blob").join(self.findings(rules), "blob", "left").select(*rest, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
+    def _store(self, now: DataFrame) -> None:
+        """Append the texts that the ledger hasn't got, once each."""
+        fresh = now.join(self.texts().select("blob"), "blob", "left_anti")
+        fresh.groupBy("blob").agg(F.first("content").alias("content")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
+
     def _record(self, now: DataFrame) -> None:
         known = self.versions()
         number = known.agg(F.coalesce(F.max("scan") + 1, F.lit(1))).first()[0]
