@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,31 +15,67 @@ STOPWORDS = "a an and are as at be but by for from has have if in is it its of o
 SUFFIXES = (("ingly", 5), ("edly", 4), ("ing", 4), ("ies", 4), ("ied", 4), ("ed", 4), ("ly", 4), ("es", 4), ("s", 4))
 
 
+_ENDS = "|".join(f"(?<=.{{{least + 1 - len(suffix)}}}){suffix}" for suffix, least in SUFFIXES)
+#: one suffix off, then a final y after a consonant, a final e, a doubled final consonant
+_STEPS = ((f"(?:{_ENDS})$", ""), ("(?<=..[^aeiou])y$", ""), ("(?<=...)e$", ""), (r"(?<=..)([^aeiou])\1$", r"\1"))
+
+
 def stem(word: Column) -> Column:
-    """Matching key of a word: one suffix off, then a final y after a consonant, a final e, a doubled final consonant.
+    """Matching key of a word.
 
     Every step is one anchored pattern that names its input once, so the expression stays small."""
-    ends = "|".join(f"(?<=.{{{least + 1 - len(suffix)}}}){suffix}" for suffix, least in SUFFIXES)
-    for pattern, kept in ((f"(?:{ends})$", ""), ("(?<=..[^aeiou])y$", ""), ("(?<=...)e$", ""), (r"(?<=..)([^aeiou])\1$", "$1")):
-        word = F.regexp_replace(word, pattern, kept)
+    for pattern, kept in _STEPS:
+        word = F.regexp_replace(word, pattern, kept.replace("\\", "$"))
     return word
 
 
-def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
-    """``stem`` of a column as four projections of plain string operations, which run in generated code; for many rows."""
-    w, n = F.col("_w"), F.length("_w")
-    end = lambda k: F.substring(w, n - (k - 1), F.lit(1))
-    consonant = lambda c: ~F.lit("aeiou").contains(c)
-    # how many characters the first fitting suffix has; one substring for all of them keeps the generated code small
-    size = F.when((n > SUFFIXES[0][1]) & w.endswith(SUFFIXES[0][0]), len(SUFFIXES[0][0]))
-    for suffix, least in SUFFIXES[1:]:
-        size = size.when((n > least) & w.endswith(suffix), len(suffix))
-    rules = (size.otherwise(0), ((n > 3) & w.endswith("y") & consonant(end(2))).cast("int"), ((n > 3) & w.endswith("e")).cast("int"), ((n > 3) & (end(1) == end(2)) & consonant(end(1))).cast("int"))
-    # never null, or joins on the key would test the whole expression for it once more
-    df = df.withColumn("_w", F.coalesce(F.col(word), F.lit("")))
-    for rule in rules:
-        df = df.withColumn("_k", rule).withColumn("_w", F.substring(w, F.lit(1), n - F.col("_k"))).drop("_k")
-    return df.withColumnRenamed("_w", out)
+_CUTS = [(re.compile(p), kept) for p, kept in _STEPS]
+
+
+def stemmed(word: str) -> str:
+    """``stem`` of one word."""
+    for pattern, kept in _CUTS:
+        word = pattern.sub(kept, word, count=1)
+    return word
+
+
+#: stems of words that a worker has met
+_STEMS: dict[str, str] = {}
+MOST_STEMS = 1_000_000
+
+
+def token_counts(df: DataFrame, text: str, keep: list[str], drop_stopwords: bool = True) -> DataFrame:
+    """(keep, token, n): how often each stemmed token occurs in a row's text; null texts have none.
+
+    A row's repeats are folded before anything is shuffled, and a worker stems a word once. In batches of Arrow this takes a
+    tenth of the time of the same steps as column expressions, whose generated code is too large to be compiled."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "token string, n long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = set(STOPWORDS) if drop_stopwords else set()
+        find = re.compile("[a-z0-9]{2,}").findall
+        for batch in batches:
+            if len(_STEMS) > MOST_STEMS:
+                _STEMS.clear()
+            row, tokens, counts = [], [], []
+            for k, t in enumerate(batch.column(text).to_pylist()):
+                if not t:
+                    continue
+                found: dict[str, int] = {}
+                for word, times in Counter(find(t.lower())).items():
+                    if word not in stop:
+                        token = _STEMS.get(word)
+                        if token is None:
+                            token = _STEMS[word] = stemmed(word)
+                        found[token] = found.get(token, 0) + times
+                row += [k] * len(found)
+                tokens += found
+                counts += found.values()
+            which = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(which) for c in keep), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], [*keep, "token", "n"])
+
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 def raw_tokens(text: Column, drop_stopwords: bool = True) -> Column:

@@ -4,21 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_tokens, with_stem
+from ..functions.text import token_counts
 from ..functions.vectors import uniform
 
 K1, B = 1.2, 0.75
 
 
-def tokens(df: DataFrame, text: str, keep: list[str], drop_stopwords: bool = True) -> DataFrame:
-    """(keep, token): one row for each stemmed token, repeats included."""
-    words = df.select(*keep, F.explode(raw_tokens(F.col(text), drop_stopwords)).alias("word"))
-    return with_stem(words, "word", "token").select(*keep, "token")
-
-
 def piece_counts(df: DataFrame, text: str, least: int = 2, pattern: str = r"\w+|[^\w\s]+") -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
@@ -31,50 +25,141 @@ def hash_collisions(pieces: DataFrame, piece: str, buckets: int) -> DataFrame:
 
 
 def lexical_scores(states: DataFrame, members: DataFrame) -> DataFrame:
-    """states (case_id, text), members (idx, text) to (case_id, idx, score) for pairs that share a token.
-
-    Tokens of a state are counted before the join, so the join key carries one row for each
-    distinct token of a state."""
-    seen = tokens(states, "text", ["case_id"]).groupBy("case_id", "token").count()
-    own = tokens(members, "text", ["idx"]).distinct()
+    """states (case_id, text), members (idx, text) to (case_id, idx, score) for pairs that share a token."""
+    # a case may come in several rows
+    seen = token_counts(states, "text", ["case_id"]).groupBy("case_id", "token").agg(F.sum("n").alias("count"))
+    own = token_counts(members, "text", ["idx"]).select("idx", "token").distinct()
     size = own.groupBy("idx").agg(F.count(F.lit(1)).alias("size"))
     hit = seen.join(own, "token").groupBy("case_id", "idx").agg(F.sum(F.log1p("count") * F.log1p(F.length("token"))).alias("s"))
     return hit.join(F.broadcast(size), "idx").select("case_id", "idx", (F.col("s") / F.sqrt("size")).alias("score"))
 
 
-def option_index(options: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """options (idx, text) to postings (token, idx, tf, size, idf-ready df) and one row of totals (n, avg_len)."""
-    tf = tokens(options, "text", ["idx"]).groupBy("idx", "token").agg(F.count(F.lit(1)).alias("tf"))
-    size = tf.groupBy("idx").agg(F.sum("tf").alias("size"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    totals = options.agg(F.count(F.lit(1)).alias("n")).crossJoin(size.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"))).select("n", (F.col("w") / F.col("n")).alias("avg_len"))
-    return tf.join(size, "idx").join(df, "token"), totals
+def option_index(options: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """options (by, idx, text) to postings (by, token, idx, tf, size, df) and totals (by, n, avg_len): an index for each option set."""
+    by = by or []
+    tf = token_counts(options, "text", [*by, "idx"]).groupBy(*by, "idx", "token").agg(F.sum("n").alias("tf"))
+    size = tf.groupBy(*by, "idx").agg(F.sum("tf").alias("size"))
+    df = tf.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    n, words = options.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), size.groupBy(*by).agg(F.sum("size").alias("w"))
+    totals = (n.join(words, by, "left") if by else n.crossJoin(words)).select(*by, "n", (F.coalesce("w", F.lit(0)) / F.col("n")).alias("avg_len"))
+    return tf.join(size, [*by, "idx"]).join(df, [*by, "token"]), totals
 
 
-def set_key(options: Column) -> Column:
-    """Content key of an option set: equal sets share one index."""
-    return F.sha2(F.to_json(options), 256)
-
-
-def bm25_shortlist(queries: DataFrame, options: DataFrame, k: int) -> DataFrame:
-    """queries (qid, text) and options (idx from 0, text) to (qid, rank, idx, score): the best ``k`` options.
-
-    Scores come from postings alone. Ties go to the lower index; a query with fewer hits is
-    padded with the lowest indices it hasn't got, of which the first ``k`` always suffice.
-    Scores are rounded to nine decimals so that the order of summation can't matter."""
-    postings, totals = option_index(options)
-    terms = tokens(queries, "text", ["qid"]).distinct()
+def weighted(postings: DataFrame, totals: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, token, idx, df, part): what a token adds to an option's BM25 score."""
+    by = by or []
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_len")))
-    scored = terms.join(postings.crossJoin(F.broadcast(totals)).select("token", "idx", part.alias("part")), "token").groupBy("qid", "idx").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "idx"))).where(F.col("rank") <= k)
+    return (postings.join(totals, by) if by else postings.crossJoin(F.broadcast(totals))).select(*by, "token", "idx", "df", part.alias("part"))
+
+
+#: a token of more options than this is frequent: queries don't meet its options before rarer tokens have named candidates
+FREQUENT = 4096
+
+
+def best_options(terms: DataFrame, parts: DataFrame, k: int, by: list[str] | None = None, frequent: int | None = None) -> DataFrame:
+    """terms (by, qid, token: distinct), parts (by, token, idx, df, part) to (by, qid, rank, idx, score): the ``k`` highest sums, ties to the lower index.
+
+    Every part is positive, so scores from rare tokens alone bound the final ones from below, and the largest parts of a
+    query's frequent tokens bound what those can add. Where the k-th best rare score exceeds that sum, an option without a rare
+    token can't be among the best; only options within the sum of the k-th best are then looked up under the frequent tokens.
+    Queries whose rare tokens decide too little meet the frequent tokens' options in full. Either way the result is exact."""
+    by, frequent = by or [], FREQUENT if frequent is None else frequent
+    key = [*by, "qid"]
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "idx")
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        return scores.groupBy(*key, "idx").agg(F.round(F.sum("part"), 9).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*key, "rank", "idx", "score")
+
+    common = parts.where(F.col("df") > frequent)
+    if not common.head(1):
+        return ranked(terms.join(parts.drop("df"), [*by, "token"]))
+    most = common.groupBy(*by, "token").agg(F.max("part").alias("most"))
+    held = terms.join(most, [*by, "token"])
+    slack = held.groupBy(*key).agg(F.sum("most").alias("slack"))
+    rare = terms.join(parts.where(F.col("df") <= frequent).drop("df"), [*by, "token"]).groupBy(*key, "idx").agg(F.sum("part").alias("part"))
+    kth = rare.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("part")))).where(F.col("_r") == k).select(*key, F.col("part").alias("kth"))
+    # a margin for the rounding of sums
+    safe = kth.join(slack, key).where(F.col("kth") > F.col("slack") + 1e-6)
+    candidates = rare.join(safe, key).where(F.col("part") >= F.col("kth") - F.col("slack") - 1e-6).select(*key, "idx", "part")
+    added = candidates.select(*key, "idx").join(held.select(*key, "token"), key).join(common.drop("df"), [*by, "token", "idx"]).select(*key, "idx", "part")
+    others = terms.join(safe.select(*key), key, "left_anti")
+    plain = others.join(parts.drop("df"), [*by, "token"]).select(*key, "idx", "part")
+    return ranked(candidates.unionByName(added).unionByName(plain))
+
+
+def padded_shortlist(queries: DataFrame, best: DataFrame, options: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(by, qid, rank, idx, score): ``best``, and for a query with fewer hits the lowest indices it hasn't got, of which the first ``k`` always suffice."""
+    by = by or []
+    key = [*by, "qid"]
     # at most k rows a query
-    own = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "score"))).alias("_best"))
-    lowest = options.where(F.col("idx") < k).agg(F.array_sort(F.collect_list("idx")).alias("_low"))
-    padded = queries.select("qid").distinct().join(own, "qid", "left").crossJoin(F.broadcast(lowest))
+    own = best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "score"))).alias("_best"))
+    lowest = options.where(F.col("idx") < k).groupBy(*by).agg(F.array_sort(F.collect_list("idx")).alias("_low"))
+    asked = queries.select(*key).distinct().join(own, key, "left")
+    padded = asked.join(lowest, by) if by else asked.crossJoin(F.broadcast(lowest))
     some = F.coalesce(F.transform("_best", lambda x: F.struct(x["idx"].alias("idx"), x["score"].alias("score"))), F.array().cast("array<struct<idx:long,score:double>>"))
     more = F.transform(F.filter("_low", lambda i: ~F.exists(some, lambda x: x["idx"] == i)), lambda i: F.struct(i.cast("long").alias("idx"), F.lit(None).cast("double").alias("score")))
-    return padded.select("qid", F.posexplode(F.slice(F.concat(some, more), 1, k)).alias("rank", "x")).select("qid", (F.col("rank") + 1).alias("rank"), "x.idx", "x.score")
+    return padded.select(*key, F.posexplode(F.slice(F.concat(some, more), 1, k)).alias("rank", "x")).select(*key, (F.col("rank") + 1).alias("rank"), "x.idx", "x.score")
+
+
+def bm25_shortlist(queries: DataFrame, options: DataFrame, k: int, frequent: int | None = None) -> DataFrame:
+    """queries (qid, text) and options (idx from 0, text) to (qid, rank, idx, score): the best ``k`` options.
+
+    Ties go to the lower index; a query with fewer hits is padded with the lowest indices it hasn't got. Scores are rounded to
+    nine decimals so that the order of summation can't matter."""
+    terms = token_counts(queries, "text", ["qid"]).select("qid", "token").distinct()
+    best = best_options(terms, weighted(*option_index(options)), k, frequent=frequent)
+    return padded_shortlist(queries, best, options, k)
+
+
+def set_keys(options: DataFrame, name: str) -> DataFrame:
+    """(name, set_key): a content key of each option set (name, idx, text); sets of equal options have equal keys, whatever they are called.
+
+    The key is made of sums over options, so a set of any size is keyed with partial sums and is never gathered."""
+    digest = F.sha2(F.to_json(F.struct("idx", "text"), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    made = F.sha2(F.concat_ws("|", F.count(F.lit(1)), *parts), 256)
+    return options.groupBy(name).agg(made.alias("set_key"))
+
+
+class OptionStore:
+    """Indexes of option sets in Parquet tables at ``path``, a folder that every executor reaches: written once a set, found by content key.
+
+    ``postings`` (set_key, token, idx, df, part) is all that scoring reads; ``lowest`` (set_key, idx) are the first ``PADDED`` indices, which pad."""
+
+    PADDED = 1024
+    POSTINGS, LOWEST = "set_key string, token string, idx long, df long, part double", "set_key string, idx long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        for name, schema in (("postings", self.POSTINGS), ("lowest", self.LOWEST)):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(getattr(self, name.upper())).parquet(f"{self.path}/{name}")
+
+    def ensure(self, options: DataFrame, name: str) -> DataFrame:
+        """(name, set_key) of the sets of ``options`` (name, idx from 0, text); sets that the store hasn't got are indexed, the others' texts are read for their keys alone."""
+        keys = set_keys(options, name)
+        known = self.read("lowest").select("set_key").distinct()
+        # of equal sets one is indexed
+        fresh = keys.join(known, "set_key", "left_anti").groupBy("set_key").agg(F.min(name).alias(name))
+        if fresh.head(1):
+            new = options.join(fresh, name).select("set_key", F.col("idx").cast("long").alias("idx"), "text")
+            parts = weighted(*option_index(new, ["set_key"]), ["set_key"])
+            parts.repartition("set_key", "token").sortWithinPartitions("set_key", "token").select("set_key", "token", "idx", "df", "part").write.mode("append").parquet(f"{self.path}/postings")
+            # last, as it says that a set is there
+            new.where(F.col("idx") < self.PADDED).select("set_key", "idx").write.mode("append").parquet(f"{self.path}/lowest")
+        return keys
+
+    def shortlist(self, queries: DataFrame, k: int, frequent: int | None = None) -> DataFrame:
+        """queries (set_key, qid, text) to (set_key, qid, rank, idx, score) as ``bm25_shortlist`` gives for each set; no option text is read."""
+        if k > self.PADDED:
+            raise ValueError(f"at most {self.PADDED} options a query")
+        sets = queries.select("set_key").distinct()
+        terms = token_counts(queries, "text", ["set_key", "qid"]).select("set_key", "qid", "token").distinct()
+        best = best_options(terms, self.read("postings").dropDuplicates(["set_key", "token", "idx"]).join(sets, "set_key", "left_semi"), k, ["set_key"], frequent)
+        return padded_shortlist(queries, best, self.read("lowest").distinct(), k, ["set_key"])
 
 
 BLOCK = 4096

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.text import token_counts
 from ..operators import calibration as K
 from ..operators import cases as C
 from ..operators import compare as J
@@ -374,7 +375,8 @@ def p5_exclude_texts(spark, sf_dir):
 
 @register(f"WITH {tokens_sql('t', 'documents', 'doc_id')} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token")
 def x1_tokens(spark, sf_dir):
-    return retrieval.tokens(views.table(spark, sf_dir, "documents"), "text", ["doc_id"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    # a document is one row, so a token's rows are its documents
+    return token_counts(views.table(spark, sf_dir, "documents"), "text", ["doc_id"]).groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 @register(f"""WITH o AS (SELECT item_id AS idx, text FROM benchmark), {tokens_sql('t', 'o', 'idx')}, {tokens_sql('q', 'documents', 'doc_id')},

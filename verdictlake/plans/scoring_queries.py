@@ -15,10 +15,11 @@ from ..operators import cases as C
 from ..operators import compare as J
 from ..operators import evidence as E
 from ..operators import faithful as H
-from ..operators import gates, loaders, scoring
+from ..operators import gates, loaders, retrieval, scoring
 from ..operators import teacher as T
+from ..sources.shared import shared_path
 from . import views
-from .registry import draw_sql, register, rounded, scored_sql
+from .registry import draw_sql, register, rounded, scored_sql, tokens_sql
 
 KEY = ["conv_id", "turn"]
 
@@ -59,6 +60,31 @@ def d13_exact_tokens(spark, sf_dir):
     return scoring.exact_tokens(items, piece_counter, F.array(F.lit("Is this about it?"), F.col("text"))).select("item_id", "tokens")
 
 
+# ---- stored option sets -----------------------------------------------------------------------------
+
+
+def _set_sql(name: str, options: str) -> str:
+    """CTEs of the best three options of one set for every turn."""
+    return f"""{name}_o AS ({options}), {tokens_sql(f'{name}_t', f'{name}_o', 'idx')}, {name}_tf AS (SELECT idx, token, count(*) AS tf FROM {name}_t GROUP BY ALL), {name}_sz AS (SELECT idx, count(*) AS sz FROM {name}_t GROUP BY idx), {name}_df AS (SELECT token, count(*) AS df FROM {name}_tf GROUP BY token),
+    {name}_s AS (SELECT qid, idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sz / av))), 9) AS score FROM (SELECT DISTINCT qid, token FROM q) JOIN {name}_tf USING (token) JOIN {name}_sz USING (idx) JOIN {name}_df USING (token), (SELECT (SELECT count(*) FROM {name}_o) AS n, (SELECT count(*) FROM {name}_t) / (SELECT count(*) FROM {name}_o) AS av) GROUP BY ALL),
+    {name}_l AS (SELECT qid, idx FROM turns, (SELECT unnest(range(3)) AS idx)), {name}_a AS (SELECT coalesce(s.qid, l.qid) AS qid, coalesce(s.idx, l.idx) AS idx, score FROM {name}_s s FULL JOIN {name}_l l ON l.qid = s.qid AND l.idx = s.idx),
+    {name}_r AS (SELECT '{name}' AS name, qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, idx) AS rank, idx, score FROM {name}_a)"""
+
+
+@register(f"""WITH turns AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations), {tokens_sql('q', 'turns', 'qid')}, {_set_sql('items', 'SELECT item_id AS idx, text FROM benchmark')}, {_set_sql('parts', "SELECT p_partkey AS idx, p_name || ' ' || p_brand AS text FROM part")}
+    SELECT name, qid, CAST(rank AS INTEGER) AS rank, idx, round(score, 6) AS score FROM (FROM items_r UNION ALL FROM parts_r) WHERE rank <= 3""")
+def x6_stored_index(spark, sf_dir):
+    """Two option sets in one store, indexed once; the second time they are found by key. Every turn asks both, of which a token is frequent in the larger one."""
+    items = views.items(spark, sf_dir).select(F.lit("items").alias("name"), F.col("idx").cast("long").alias("idx"), "text")
+    parts = views.table(spark, sf_dir, "part").select(F.lit("parts").alias("name"), F.col("p_partkey").alias("idx"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    store = retrieval.OptionStore(spark, shared_path(spark, "options"))
+    store.ensure(items.unionByName(parts), "name")
+    keys = store.ensure(items.unionByName(parts), "name")
+    turns = views.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    best = store.shortlist(turns.crossJoin(keys).select("set_key", "qid", "text"), 3, frequent=64)
+    return rounded(best.join(keys, "set_key").select("name", "qid", "rank", "idx", "score"), "score")
+
+
 # ---- sketches -------------------------------------------------------------------------------------
 
 
