@@ -9,10 +9,14 @@ from ..functions import vectors as V
 
 
 def compare_systems(answers: DataFrame) -> DataFrame:
-    """answers (system, slice, case_id, correct) to (system, slice, n, accuracy), on the cases that every system answered."""
-    need = answers.groupBy("slice").agg(F.countDistinct("system").alias("need"))
-    common = answers.groupBy("slice", "case_id").agg(F.countDistinct("system").alias("have")).join(F.broadcast(need), "slice").where("have = need").select("slice", "case_id")
-    return answers.join(common, ["slice", "case_id"], "left_semi").groupBy("system", "slice").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    """answers (system, slice, case_id, correct) to (system, slice, n, accuracy), on the cases that every system of the slice answered.
+
+    Answers meet once, by case; a case's row holds no more entries than there are answers to it."""
+    cases = answers.groupBy("slice", "case_id").agg(F.collect_list(F.struct("system", F.col("correct").cast("double").alias("correct"))).alias("_a"))
+    # the same exchange serves both uses of ``cases``
+    need = cases.select("slice", F.explode("_a.system").alias("_s")).groupBy("slice").agg(F.count_distinct("_s").alias("_need"))
+    common = cases.join(need, "slice").where(F.size(F.array_distinct("_a.system")) == F.col("_need"))
+    return common.select("slice", F.explode("_a").alias("a")).groupBy("a.system", "slice").agg(F.count(F.lit(1)).alias("n"), F.avg("a.correct").alias("accuracy"))
 
 
 def macro(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import compare as J
 from ..operators import evidence as E
 from ..operators import fits, gates, retrieval, splits
 from ..sources.records import reliability_diagram
+from ..sources.shared import stage
 from ..streaming import monitor
 from . import views
 from .registry import draw_sql, register, rounded, scored_sql, tokens_sql, u_sql
@@ -228,7 +229,9 @@ GATES = (("sample_size", "CAST(n AS DOUBLE)", 5000, ">="), ("gate_is_testable",
     al AS (SELECT rp.*, baseline, marginal, adaptive, p95 FROM rp JOIN ba USING (domain) JOIN mb USING (domain) JOIN ad USING (domain) JOIN (SELECT domain, p95 FROM fl) USING (domain))
     {' UNION ALL '.join(f"SELECT domain, '{g}' AS gate, round({v}, 6) AS value, {float(x)}::DOUBLE AS {chr(34)}limit{chr(34)}, {v} {op} {x} AS passed, {str(g == 'gate_is_testable').lower()} AS advisory FROM al" for g, v, x, op in GATES)}""")
 def g_release_gates(spark, sf_dir):
-    train, test = _halves(spark, sf_dir)
+    # five reports read the answers: they are scored once
+    s = stage(splits.hash_holdout(views.event_scored(spark, sf_dir), "case_id", 0.3), "scored")
+    train, test = s.where("not held_out"), s.where("held_out")
     report = K.calibration_report(test, ["domain"]).join(K.per_question(test, ["domain"]).select("domain", "baseline"), "domain")
     marginal = K.marginal_scores(train, test, ["domain"]).select("domain", F.col("brier").alias("marginal_brier"))
     floor = K.noise_floor(test, ["domain"]).select("domain", F.col("p95").alias("floor_p95"))

@@ -13,6 +13,7 @@ from ..operators import evidence as E
 from ..operators import faithful as H
 from ..operators import gates, loaders, retrieval, serving, splits, teacher, variants
 from ..operators import outcomes as O
+from ..sources.shared import stage
 from . import views
 from .catalog import HALVES, MARKS, _fit_sql, floor_sql
 from .registry import draw_sql, register, rounded, scored_sql, tokens_sql, u_sql
@@ -178,11 +179,12 @@ def e10_plausibility_suite(spark, sf_dir):
       {{'gate': 'injection_robustness', 'value': dp, 'lim': 0.1::DOUBLE, 'ok': dp <= 0.1, 'adv': true}}, {{'gate': 'quantization_ece_delta', 'value': abs(dl), 'lim': 0.01::DOUBLE, 'ok': abs(dl) <= 0.01, 'adv': false}}, {{'gate': 'recall', 'value': rc, 'lim': 0.99::DOUBLE, 'ok': rc >= 0.99, 'adv': false}}]) AS g FROM t)""")
 def g6_slice_gates(spark, sf_dir):
     """Users mod three stand for questions and primitives, the second system for the variant and the other run."""
-    s, v = views.event_scored(spark, sf_dir), views.event_scored(spark, sf_dir, "v", 0.6)
+    s, v = (stage(views.event_scored(spark, sf_dir, a, k), "scored") for a, k in (("l", 1.2), ("v", 0.6)))
     x = s.withColumn("q", F.col("user_id") % 3)
     lift = K.per_question(x, ["domain", "q"]).groupBy("domain").agg(F.min("lift").alias("worst_lift"))
     worst = K.ece(K.reliability_bins(x, ["domain", "q"], spine=False), ["domain", "q"]).groupBy("domain").agg(F.max("ece").alias("worst_ece"))
-    drop = J.pair_same(views.paired(spark, sf_dir), ["domain"]).select("domain", F.col("drop").alias("injection_drop"))
+    role = lambda df, r: df.select(F.col("case_id").alias("pair_id"), "domain", "probs", "y", F.lit(r).alias("role"))
+    drop = J.pair_same(role(s, "anchor").unionByName(role(v, "variant")), ["domain"]).select("domain", F.col("drop").alias("injection_drop"))
     ece = lambda df, n: K.ece(K.reliability_bins(df, ["domain"], spine=False), ["domain"]).select("domain", F.col("ece").alias(n))
     # the second system's three likeliest labels are a shortlist, the first system's choice is what it has to hold
     kept = s.select("case_id", "domain", V.argmax("probs").alias("_x")).join(v.select("case_id", V.top_k("probs", 3).alias("_k")), "case_id")
