@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,12 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished jobs go: Spark deletes them when the driver's garbage, which held them, is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(df: DataFrame) -> Column:
     """A digest of all of a row's columns: rows of one key are copies in every column."""
     return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256))

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stage, require_free, stage
+from .common import drop_stage, release, require_free, stage
 
 FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
 BLOBS = f"blob string, rules array<string>, findings {FINDINGS}"
@@ -137,6 +137,7 @@ class BlobLedger:
         rows = df.withColumn("blob", F.sha2(content.cast("binary"), 256))
         self._store(rows.select("blob", content.alias("content")))
         self._record(rows.select(F.col(path).cast("string").alias("path"), "blob"))
+        release(self.spark)
         todo = stage(self.pending(rules), "pending")
         n = todo.count()
         if n:
@@ -148,9 +149,13 @@ class BlobLedger:
         return rows.select(*rest, "blob").join(self.findings(rules), "blob", "left").select(*rest, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
     def _store(self, now: DataFrame) -> None:
-        """Append the texts that the ledger hasn't got, once each."""
-        fresh = now.join(self.texts().select("blob"), "blob", "left_anti")
-        fresh.groupBy("blob").agg(F.first("content").alias("content")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
+        """Append the texts that the ledger hasn't got, once each; texts that it has don't leave the map side."""
+        fresh = stage(now.select("blob").distinct().join(self.texts().select("blob"), "blob", "left_anti"), "fresh")
+        n = fresh.count()
+        if n:
+            new = now.join(F.broadcast(fresh) if n <= FEW_BLOBS else fresh, "blob", "left_semi")
+            new.groupBy("blob").agg(F.first("content").alias("content")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
+        drop_stage(self.spark, fresh)
 
     def _record(self, now: DataFrame) -> None:
         known = self.versions()

@@ -36,7 +36,6 @@ error before any job.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stage, require_free, slices, stage
+from .common import drop_stage, release, require_free, slices, stage
 
 LENGTH, GRAM, DEPTH = 100, 32, 128
 REACH = LENGTH - GRAM + 1  # grams of a string
@@ -277,9 +276,8 @@ def _halves(rows: DataFrame) -> DataFrame:
 
 
 def _release(df: DataFrame) -> DataFrame:
-    """``df``, a staged table; shuffle files behind it can go, which Spark sees when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """``df``, a staged table: the shuffle files behind it can go."""
+    release(df.sparkSession)
     return df
 
 
