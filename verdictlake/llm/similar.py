@@ -15,7 +15,9 @@ at a shingle each is then compared with one hub, the text with the fewest rarer
 before it, which joins a large group around its source in as many comparisons as it has
 members. Only texts that are still apart are compared pair by pair, and of these the join
 itself drops most: a shingle in one set alone flips one of 256 parity bits, so sets whose
-bits differ in more than a ninth of their sizes can't be alike.
+bits differ in more than a ninth of their sizes can't be alike. Sets of some 500 shingles
+and more have so large a ninth that 256 bits hardly tell them apart; in the comparison pair
+by pair 512 bits take their place, which do for sizes up to twice as large.
 
 Edge cases: blank texts have one shingle in common; texts below the width are one
 shingle; rows with a null id take part and count as larger than any id; repeated rows are
@@ -43,7 +45,8 @@ WIDTH = 5
 NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 20_000, 4, 300_000
 FEW_NODES = 500_000
-PARITY = ("b0", "b1", "b2", "b3")
+PARITY = tuple(f"b{k}" for k in range(4))
+WIDE = tuple(f"w{k}" for k in range(8))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -60,9 +63,9 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(a) + len(b) - common)
 
 
-def parity_bits(h: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: for each of 256 slots, whether an odd number of the set's shingles fall into it."""
-    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) % 2
+def parity_bits(h: np.ndarray, slots: int = 64 * len(PARITY)) -> np.ndarray:
+    """64-bit words: for each of the slots, whether an odd number of the set's shingles fall into it; slots are the hash's top bits."""
+    odd = np.bincount((h >> np.uint64(65 - slots.bit_length())).astype(np.int64), minlength=slots) % 2
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
@@ -94,9 +97,9 @@ def prefix(h: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(id, fp, node, n, heads, b0 to b3, body): node names the set of n shingles, heads is its prefix, body the text."""
+    """(id, fp, node, n, heads, b0 to b3, w0 to w7, body): node names the set of n shingles, heads is its prefix, body the text, b and w are parity bits."""
     shared = _frequent(df, text, width)
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in PARITY], T.StructField("body", T.StringType())])
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in PARITY + WIDE], T.StructField("body", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shared.value
@@ -106,17 +109,17 @@ def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
             own = [np.unique(h) for h in every]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
             heads = pa.array([prefix(h, known, ranks).view(np.int64) for h in own], pa.list_(pa.int64()))
-            bits = np.array([parity_bits(h) for h in own], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, *(pa.array(bits[:, k].copy()) for k in range(4)), pa.array(texts, pa.string())], schema.names)
+            bits = np.concatenate([np.array([parity_bits(h, 64 * len(c)) for h in own], np.int64).reshape(-1, len(c)) for c in (PARITY, WIDE)], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), pa.array(node), pa.array([len(h) for h in own], pa.int64()), heads, *(pa.array(bits[:, k].copy()) for k in range(bits.shape[1])), pa.array(texts, pa.string())], schema.names)
 
     return df.select(id_col, text).mapInArrow(run, schema)
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether two sets that meet at these places can be alike: by what is left behind the places, and by their parity bits."""
+def _possible(a: str, b: str, bits: tuple[str, ...] = PARITY) -> Column:
+    """Whether two sets that meet at these places can be alike: by what is left behind the places, and by parity bits."""
     x, y = (lambda c, t=t: F.col(f"{t}.{c}") for t in (a, b))
     rest = F.least(x("n") - x("at"), y("n") - y("at"))
-    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITY), F.lit(0))
+    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in bits), F.lit(0))
     # alike sets have at least NUM / (NUM + DEN) of their sizes in common and what is left apart
     return ((DEN + NUM) * rest >= NUM * (x("n") + y("n"))) & ((DEN + NUM) * differ <= (DEN - NUM) * (x("n") + y("n")))
 
@@ -173,10 +176,11 @@ def similar_edges(prints: DataFrame, width: int = WIDTH) -> DataFrame:
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # only shingles where more than one component meets
     mixed = placed.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("head")
-    left = stage(placed.join(mixed, "head"), "apart")
+    wide = prints.select("node", *WIDE).distinct()
+    left = stage(placed.drop(*PARITY).join(mixed, "head").join(wide, "node"), "apart")
     for used in (rows, roots):
         drop_stage(prints.sparkSession, used)
-    meet = left.alias("a").join(left.alias("b"), "head").where("a.node > b.node and a.root <> b.root").where(_possible("a", "b"))
+    meet = left.alias("a").join(left.alias("b"), "head").where("a.node > b.node and a.root <> b.root").where(_possible("a", "b", WIDE))
     rest = stage(_pairs(meet, "a", "b").join(first, ["u", "v"], "left_anti"), "pairs")
     both = stage(edges.unionByName(_verify(rest, bodies, width)), "edges")
     for used in (first, left, rest, edges):
