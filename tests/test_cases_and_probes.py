@@ -96,3 +96,35 @@ def test_workflow_asks_by_earlier_decisions(spark):
     assert {(r.case_id, r.s2, r.calls) for r in done.collect()} == {(1, "x", 2), (2, None, 1)}
     s = teacher.workflow_score(done.withColumn("all", F.lit(1)), {"s1": "t1", "s2": "t2"}, ["all"]).first()
     assert (s.n, s.judged, s.accuracy, s.mean_calls) == (2, 3, 1.0, 1.5)
+
+
+def test_elements_own_the_texts_below_them():
+    import random
+
+    rng = random.Random(23)
+
+    def grow(level):
+        """(tag, attributes, children) with texts as leaves."""
+        inner = [f"t{rng.randrange(99)}" if level > 3 or rng.random() < 0.5 else grow(level + 1) for _ in range(rng.randrange(0, 5))]
+        return (rng.choice(["div", "p", "a", "span"]), {"role": "x"} if rng.random() < 0.3 else {}, [] if rng.random() < 0.1 else inner)
+
+    def texts(node):
+        for child in node[2]:
+            yield from [child] if isinstance(child, str) else texts(child)
+
+    def flat(node):
+        yield node[0], node[1], list(texts(node))[: loaders.TEXTS]
+        for child in node[2]:
+            if not isinstance(child, str):
+                yield from flat(child)
+
+    def markup(node):
+        return f"<{node[0]}{''.join(f' {k}={v}' for k, v in node[1].items())}>" + "<br>".join(c if isinstance(c, str) else markup(c) for c in node[2]) + f"</{node[0]}>"
+
+    for _ in range(60):
+        root = grow(0)
+        got = [e for e in loaders.elements_of(markup(root)) if e[0] != "br"]
+        assert got == list(flat(root))
+    # an element left open ends with the one around it; a stray end tag ends nothing
+    assert loaders.elements_of("<div><b>one</div></i>two") == [("div", {}, ["one"]), ("b", {}, ["one"])]
+    assert loaders.elements_of("<p>one<img>two") == [("p", {}, ["one", "two"]), ("img", {}, [])]

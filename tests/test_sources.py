@@ -130,3 +130,29 @@ def test_parameters_and_reports(spark, tmp_path):
     assert "# Report: passed" in text and "| hard | 0.9000 | advisory fail |" in text and "| s | accuracy | 0.7500 |" in text
     assert spark.read.json(f"{tmp_path}/r/rows").count() == 5
     assert not records.write_report(gates.withColumn("advisory", F.lit(False)), suites, slices, f"{tmp_path}/r2")
+
+
+def test_shards_merge_to_ordered_parts_and_a_manifest(spark, tmp_path):
+    (tmp_path / "shards").mkdir()
+    lines = []
+    for k in range(6):
+        own = [f"{k}-{i}" for i in range(300)]
+        lines += own
+        (tmp_path / "shards" / f"shard-{k}.jsonl").write_text("\n".join(own) + "\n\n")
+    got = records.merge_shards(spark, f"{tmp_path}/shards", f"{tmp_path}/out", part_bytes=2000)
+    manifest = {r.file: r.sha256 for r in got.collect()}
+    assert len(manifest) > 2
+    assert [x for f in sorted(manifest) for x in gzip.decompress((tmp_path / "out" / f).read_bytes()).decode().split()] == lines
+    assert all(hashlib.sha256((tmp_path / "out" / f).read_bytes()).hexdigest() == d for f, d in manifest.items())
+
+
+def test_parameters_change_by_version(spark, tmp_path):
+    one, two = (spark.createDataFrame([(k, t)], "kind string, t double") for k, t in (("choice", 1.0), ("score", 2.0)))
+    records.save_params({"temperature": one, "knots": one}, f"{tmp_path}/p")
+    before = records.load_params(spark, f"{tmp_path}/p", ["temperature"])["temperature"]
+    records.save_params({"temperature": two}, f"{tmp_path}/p")
+    after = records.load_params(spark, f"{tmp_path}/p", ["temperature", "knots"])
+    # a reader of the version before still has it whole
+    assert before.collect() == one.collect() and after["temperature"].collect() == two.collect() and after["knots"].collect() == one.collect()
+    with pytest.raises(ValueError, match="threshold"):
+        records.load_params(spark, f"{tmp_path}/p", ["threshold"])

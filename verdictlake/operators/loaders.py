@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,29 +112,48 @@ def restore_levels(answers: DataFrame, probs: str, names: str) -> DataFrame:
     return answers.withColumn(probs, F.transform_keys(probs, lambda k, v: F.element_at(names, k.cast("int") + 1)))
 
 
-class _Elements(HTMLParser):
-    """Elements of one page in order: tag, attributes and the first texts below them."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, dict[str, str], list[str]]] = []
-        self.open: list[int] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.found.append((tag, {k: v or "" for k, v in attrs}, []))
-        if tag not in VOID:
-            self.open.append(len(self.found) - 1)
-
-    def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.found[self.open[i]][0] == tag), None)
-        if at is not None:
-            del self.open[at:]
-
-    def handle_data(self, data):
-        if text := " ".join(data.split()):
-            for i in self.open:
-                if len(self.found[i][2]) < TEXTS:
-                    self.found[i][2].append(text)
+OPEN, CLOSE, TEXT = range(3)
+
+
+def page_tokens(html: str) -> list[tuple[int, str, dict[str, str]]]:
+    """A page as one flat list of start tags with their attributes, end tags and texts with their white space folded."""
+    out: list[tuple[int, str, dict[str, str]]] = []
+    parser = HTMLParser(convert_charrefs=True)
+    parser.handle_starttag = lambda tag, attrs: out.append((OPEN, tag, {k: v or "" for k, v in attrs}))
+    parser.handle_endtag = lambda tag: out.append((CLOSE, tag, {}))
+    parser.handle_data = lambda data: out.append((TEXT, " ".join(data.split()), {}))
+    parser.feed(html)
+    parser.close()
+    return [t for t in out if t[0] != TEXT or t[1]]
+
+
+def elements_of(html: str) -> list[tuple[str, dict[str, str], list[str]]]:
+    """(tag, attributes, first texts below) of a page's elements in order.
+
+    Texts are numbered as they come, and an element owns those between its start and the tag that closes it, which for an
+    element left open is that of an element around it, or the page's end. So a text is stored once, however deep it lies."""
+    texts: list[str] = []
+    ranges: list[list[int]] = []
+    heads: list[tuple[str, dict[str, str]]] = []
+    pending: list[int] = []
+    waiting: Counter[str] = Counter()
+    for kind, value, attributes in page_tokens(html):
+        if kind == TEXT:
+            texts.append(value)
+        elif kind == OPEN:
+            ranges.append([len(texts), len(texts) if value in VOID else -1])
+            if value not in VOID:
+                pending.append(len(heads))
+                waiting[value] += 1
+            heads.append((value, attributes))
+        elif waiting[value]:
+            closed = ""
+            while closed != value:
+                place = pending.pop()
+                closed = heads[place][0]
+                waiting[closed] -= 1
+                ranges[place][1] = len(texts)
+    return [(tag, attributes, texts[a : min(b if b >= 0 else len(texts), a + TEXTS)]) for (tag, attributes), (a, b) in zip(heads, ranges)]
 
 
 def page_elements(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -148,10 +168,7 @@ def page_elements(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         for pdf in batches:
             rows = []
             for k, text in zip(pdf[key], pdf[html]):
-                page = _Elements()
-                page.feed(text or "")
-                page.close()
-                for node, (tag, attrs, words) in enumerate(page.found):
+                for node, (tag, attrs, words) in enumerate(elements_of(text or "")):
                     parts = [tag, attrs.get("role", ""), " ".join(words), *(f'{a}="{attrs[a]}"' for a in LABEL_ATTRS if attrs.get(a))]
                     rows.append((k, node, tag, " ".join(p for p in parts if p)[:LABEL]))
             yield pd.DataFrame(rows, columns=[key, "node", "tag", "label"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +84,51 @@ def read_answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("case_id", F.regexp_replace(F.url_decode(name), r"\.json(\.gz)?$", ""))
 
 
-def merge_shards(spark: SparkSession, shards: str, out: str) -> DataFrame:
-    """The lines of all shard files in order of shard and line, as one gzipped file below ``out``; (file, sha256) of it.
+#: bytes of shard files that go into one merged part
+PART_BYTES = 256_000_000
+
 
-    The result is one file because a pin names one; its lines pass through one task as a stream, and nothing else does."""
+def merge_shards(spark: SparkSession, shards: str, out: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The lines of all shard files in order of shard and line, as gzipped parts below ``out`` whose names sort in that order; (file, sha256) of each.
+
+    Each part is a range of lines in a task of its own, so the merge grows with the number of parts; read in order of name they
+    are the one file that the shards make, and the manifest of their digests pins it. A small merge is one part."""
+    size = spark.read.format("binaryFile").load(shards).agg(F.sum("length")).first()[0] or 0
     lines = spark.read.text(shards).select(F.col("_metadata.file_name").alias("shard"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_k"), "value").where(F.trim("value") != "")
-    lines.repartitionByRange(1, "shard").sortWithinPartitions("shard", "_p", "_k").select("value").write.mode("overwrite").text(out, compression="gzip")
+    parts = max(1, -(-size // part_bytes))
+    lines.repartitionByRange(parts, "shard", "_p", "_k").sortWithinPartitions("shard", "_p", "_k").select("value").write.mode("overwrite").text(out, compression="gzip")
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(out).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+VERSIONS = "name string, number int, version string"
+
+
 def save_params(params: dict[str, DataFrame], path: str) -> None:
-    """Fitted parameters as one Parquet table a kind: temperatures, knots, thresholds."""
+    """Fitted parameters as one Parquet table a kind: temperatures, knots, thresholds.
+
+    A table is written as a new version first; a row appended to ``versions`` then makes it the current one. A reader meets the
+    version before or the new one, never a part of either."""
     for name, df in params.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = df.sparkSession
+        spark.createDataFrame([], VERSIONS).write.mode("append").parquet(f"{path}/versions")
+        known = spark.read.schema(VERSIONS).parquet(f"{path}/versions").where(F.col("name") == name)
+        number = (known.agg(F.max("number")).first()[0] or 0) + 1
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{path}/{name}/{version}")
+        spark.createDataFrame([(name, number, version)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
 def load_params(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    """The current version of each table; an error for a name that was never saved."""
+    current = spark.read.schema(VERSIONS).parquet(f"{path}/versions").groupBy("name").agg(F.max_by("version", F.struct("number", "version")).alias("version"))
+    where = {r.name: r.version for r in current.where(F.col("name").isin(names)).collect()}
+    if missing := set(names) - set(where):
+        raise ValueError(f"no parameters were saved as {sorted(missing)}")
+    return {n: spark.read.parquet(f"{path}/{n}/{where[n]}") for n in names}
+
+
+#: metric rows of the largest report that is put into words
+REPORT_ROWS = 100_000
 
 
 def report_rows(gates: DataFrame, suites: DataFrame, slices: DataFrame) -> DataFrame:
@@ -121,7 +151,10 @@ def write_report(gates: DataFrame, suites: DataFrame, slices: DataFrame, path: s
     spark = gates.sparkSession
     rows = report_rows(gates, suites, slices)
     rows.write.mode("overwrite").json(f"{path}/rows")
-    back = spark.read.schema(rows.schema).json(f"{path}/rows").orderBy("part", "name", "metric").collect()
+    written = spark.read.schema(rows.schema).json(f"{path}/rows")
+    if (n := written.count()) > REPORT_ROWS:
+        raise ValueError(f"a report of {n} rows is no text; its rows are below {path}/rows")
+    back = written.orderBy("part", "name", "metric").collect()
     failed = [r.name for r in back if r.part == "gate" and not r.passed and not r.advisory]
     text = [f"# Report: {'passed' if not failed else 'blocked by ' + ', '.join(failed)}", ""]
     for part, head in (("gate", "| Gate | Value | Result |"), ("suite", "| Suite | Metric | Value |"), ("slice", "| Slice | Metric | Value |")):
