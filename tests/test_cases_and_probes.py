@@ -128,3 +128,28 @@ def test_elements_own_the_texts_below_them():
     # an element left open ends with the one around it; a stray end tag ends nothing
     assert loaders.elements_of("<div><b>one</div></i>two") == [("div", {}, ["one"]), ("b", {}, ["one"])]
     assert loaders.elements_of("<p>one<img>two") == [("p", {}, ["one", "two"]), ("img", {}, [])]
+
+
+def test_tasks_of_a_suite_share_their_draw(spark):
+    from verdictlake.operators import compare, variants
+
+    options = [f"option number {i}" for i in range(9)]
+    cases = spark.createDataFrame([(c, 100 * k + i, options, i % 9) for k, c in enumerate("ab") for i in range(60)], "corpus string, case_id int, options array<string>, y int").repartition(4)
+    tasks = [variants.Task("declared", "a"), variants.Task("shift", "a", 5), variants.Task("renamed", "a", 5, rename=True), variants.Task("held", "b", 5, shuffle=False), variants.Task("order", "a", 5, reorder=True)]
+    got = {}
+    for r in variants.build_tasks(cases, tasks, 20).collect():
+        got.setdefault(r.task, {})[r.case_id] = r
+    assert {t: len(rows) for t, rows in got.items()} == dict.fromkeys(["declared", "shift", "renamed", "held", "order"], 20)
+    assert got["declared"].keys() == got["shift"].keys() == got["renamed"].keys() == got["order"].keys()
+    for k, r in got["shift"].items():
+        order, true = got["order"][k], options[got["declared"][k].y]
+        assert r.options[r.y] == order.options[order.y] == true and sorted(r.options) == sorted(order.options) and len(r.options) == 5
+        assert [o.lower().replace("_", " ").replace("-", " ") for o in got["renamed"][k].options] == r.options
+    assert any(r.options != got["order"][k].options for k, r in got["shift"].items())
+    assert all(r.options == sorted(r.options) and len(r.options) == 5 for r in got["held"].values())
+    again = {(r.task, r.case_id): r.options for r in variants.build_tasks(cases.coalesce(1), tasks, 20).collect()}
+    assert again == {(t, k): r.options for t, rows in got.items() for k, r in rows.items()}
+    # answers that follow the name agree under both orders
+    shown = variants.build_tasks(cases, tasks[1:2] + tasks[4:], 20).withColumn("probs", F.transform("options", lambda o: F.xxhash64(o) / F.lit(1e19)))
+    both = compare.invariance(shown.where("task = 'shift'"), shown.where("task = 'order'"), ["case_id"], ["corpus"]).first()
+    assert (both.n, both.agreement) == (20, 1.0)

@@ -5,10 +5,14 @@ Cases have case_id, state_text, instructions, options (array of string) and y (i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let, uniform
+from .compare import reorder
+from .splits import sample_per_slice
 
 
 def pick(values: Column, key: Column, salt: str) -> Column:
@@ -89,13 +93,13 @@ def restyle(name: Column, style: Column) -> Column:
     return F.when(F.length(out) > 0, out).otherwise(name)
 
 
-def reshape(cases: DataFrame, keep: int, rename: bool = True, criteria_only: bool = False) -> DataFrame:
-    """A keyed subset of ``keep`` options with the true one, in keyed order, renamed in a keyed style; y and distribution follow.
+def reshape(cases: DataFrame, keep: int, rename: bool = True, criteria_only: bool = False, shuffle: bool = True) -> DataFrame:
+    """A keyed subset of ``keep`` options with the true one, in keyed order (declared order unless ``shuffle``), renamed in a keyed style; y and distribution follow.
 
     Names that would collide stay as declared. With ``criteria_only`` options become numbered ids and their names the criteria."""
     key = lambda i, salt: uniform(F.concat_ws("|", F.col("case_id"), i), salt)
     ranked = F.array_sort(F.transform("options", lambda o, i: F.struct(F.when(i == F.col("y"), -1.0).otherwise(key(i, "keep")).alias("u"), i.alias("i"))))
-    kept = F.array_sort(F.transform(F.slice(ranked, 1, keep), lambda s: F.struct(key(s["i"], "order").alias("u"), s["i"].alias("i"))))
+    kept = F.array_sort(F.transform(F.slice(ranked, 1, keep), lambda s: F.struct((key(s["i"], "order") if shuffle else s["i"].cast("double")).alias("u"), s["i"].alias("i"))))
     out = cases.withColumn("_kept", F.transform(kept, lambda s: s["i"]))
     names = F.transform("_kept", lambda i: F.element_at("options", i + 1))
     styled = F.transform("_kept", lambda i: restyle(F.element_at("options", i + 1), pick(texts(list(STYLES)), F.concat_ws("|", F.col("case_id"), i), "style"))) if rename else names
@@ -109,6 +113,39 @@ def reshape(cases: DataFrame, keep: int, rename: bool = True, criteria_only: boo
     return out.withColumns({"y": (F.array_position("_kept", F.col("y")) - 1).cast("int"), "options": F.col("_names")}).drop("_kept", "_names")
 
 
+@dataclass(frozen=True)
+class Task:
+    """One slice of a suite: whose cases it asks and how they are shown; without ``keep`` as they were declared."""
+
+    name: str
+    corpus: str
+    keep: int | None = None
+    shuffle: bool = True
+    rename: bool = False
+    #: shown once more in an order of its own, to be joined by case with the task of the same draw and options
+    reorder: bool = False
+
+
+def build_tasks(cases: DataFrame, tasks: list[Task], n: int = 1000, salt: str = "suite") -> DataFrame:
+    """cases (corpus, case_id, options, y) to the cases of every task, with a task column.
+
+    A corpus is drawn once, ``n`` cases by a keyed rank, and serves all its tasks: a case has one id in each of them, and the
+    same options wherever as many are kept, so answers to two tasks join by case."""
+    drawn = sample_per_slice(cases, ["corpus"], "case_id", n, salt)
+    out: DataFrame | None = None
+    for t in tasks:
+        rows = drawn.where(F.col("corpus") == t.corpus)
+        if t.keep is not None:
+            rows = reshape(rows, t.keep, t.rename, shuffle=t.shuffle)
+        if t.reorder:
+            rows = reorder(rows, salt=f"{salt} order")
+        rows = rows.select(F.lit(t.name).alias("task"), *cases.columns)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a suite has one task at least")
+    return out
+
+
 def accuracy_by_tag(outcomes: DataFrame, prefix: str) -> DataFrame:
     """outcomes (tags, correct) to (value, n, accuracy) of the tags ``prefix=value``."""
     tag = outcomes.select("correct", F.explode("tags").alias("tag")).where(F.col("tag").startswith(prefix + "="))

@@ -82,6 +82,31 @@ def r8_reshape(spark, sf_dir):
     return R.reshape(_cases(spark, sf_dir), 3).select("case_id", F.array_join("options", ",").alias("options"), "y")
 
 
+TASKS = [R.Task("even/declared", "0"), R.Task("even/shift", "0", 3), R.Task("even/renamed", "0", 3, rename=True), R.Task("odd/heldout", "1", 4, shuffle=False), R.Task("even/order", "0", 3, reorder=True)]
+
+
+def _task_sql(t: R.Task) -> str:
+    """Rows (task, case_id, i, pos, st, ws) of one task."""
+    pos = f"row_number() OVER (PARTITION BY case_id ORDER BY {_key('order', chr(39).join(['case_id || ', '|', ' || i']))}, i) - 1" if t.shuffle and t.keep else "row_number() OVER (PARTITION BY case_id ORDER BY i) - 1"
+    style = f"{ST}[CAST(floor({_key('style', chr(39).join(['case_id || ', '|', ' || i']))} * 6) AS INTEGER) + 1]" if t.rename else "'plain'"
+    shown = f"SELECT '{t.name}' AS task, case_id, y, options, i, {pos} AS pos, {style} AS st FROM kr WHERE corpus = '{t.corpus}' AND r <= {t.keep or 99}"
+    if t.reorder:
+        # a reordered task draws by the place that an option had
+        shown = f"SELECT task, case_id, y, options, i, row_number() OVER (PARTITION BY case_id ORDER BY {_key('suite order', chr(39).join(['case_id || ', '|', ' || pos']))}, pos) - 1 AS pos, st FROM ({shown})"
+    return shown
+
+
+@register(f"""WITH {CASES}, d AS (SELECT CAST(case_id % 2 AS VARCHAR) AS corpus, case_id, y, options FROM c QUALIFY row_number() OVER (PARTITION BY case_id % 2 ORDER BY {_key('suite')}, case_id) <= 400),
+    k AS (SELECT corpus, case_id, y, options, unnest(range(len(options))) AS i FROM d), kr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN i = y THEN -1 ELSE {_key('keep', "case_id || '|' || i")} END, i) AS r FROM k),
+    q AS (SELECT *, list_filter(regexp_split_to_array(options[i + 1], '[\\s_\\-./]+'), lambda w: w <> '') AS ws FROM ({' UNION ALL '.join(map(_task_sql, TASKS))})),
+    n AS (SELECT *, CASE st WHEN 'plain' THEN options[i + 1] WHEN 'spaces' THEN array_to_string(ws, ' ') WHEN 'snake' THEN lower(array_to_string(ws, '_')) WHEN 'kebab' THEN lower(array_to_string(ws, '-')) WHEN 'title' THEN array_to_string(list_transform(ws, lambda w: upper(w[1]) || w[2:]), ' ') WHEN 'upper' THEN upper(array_to_string(ws, '_')) ELSE upper(array_to_string(ws, ' ')[1]) || lower(array_to_string(ws, ' ')[2:]) END AS name FROM q)
+    SELECT task, case_id, array_to_string(list(name ORDER BY pos), ',') AS options, CAST(max(pos) FILTER (i = y) AS INTEGER) AS y FROM n GROUP BY task, case_id""")
+def r15_tasks(spark, sf_dir):
+    """Orders of even and of odd keys are two corpora; 400 cases of each are drawn and shown in five ways."""
+    cases = _cases(spark, sf_dir).select((F.col("case_id") % 2).cast("string").alias("corpus"), "case_id", "options", "y")
+    return R.build_tasks(cases, TASKS, 400).select("task", "case_id", F.array_join("options", ",").alias("options"), "y")
+
+
 @register(f"""WITH {scored_sql()}, t AS (SELECT 'depth' AS p, user_id % 4 AS v, correct FROM sc) SELECT CAST(v AS VARCHAR) AS value, count(*) AS n, round(avg(correct), 6) AS accuracy FROM t GROUP BY v""")
 def r10_accuracy_by_tag(spark, sf_dir):
     s = views.event_scored(spark, sf_dir)
@@ -89,6 +114,13 @@ def r10_accuracy_by_tag(spark, sf_dir):
     return rounded(R.accuracy_by_tag(rows, "depth"), "accuracy")
 
 
+@register(f"""WITH {scored_sql()}, a AS (SELECT user_id % 4 AS v, avg(correct) AS a FROM sc GROUP BY ALL) SELECT round(arg_min(a, v) - arg_max(a, v), 6) AS rot FROM a""")
+def r10_rot(spark, sf_dir):
+    s = views.event_scored(spark, sf_dir)
+    rows = s.select((V.argmax("probs") == F.col("y")).cast("double").alias("correct"), F.array(F.concat(F.lit("depth="), F.col("user_id") % 4)).alias("tags"))
+    return rounded(R.rot(R.accuracy_by_tag(rows, "depth")), "rot")
+
+
 @register("""WITH p AS (SELECT l_orderkey, max(l_discount * 8) FILTER (l_linenumber = 1) AS a, max(l_tax * 8) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY l_orderkey), g AS (SELECT abs(a + b - 1) AS gap FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
     SELECT count(*) AS n, round(avg(gap), 6) AS mean_gap, round(max(gap), 6) AS max_gap, round(avg(CASE WHEN gap <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS coherent FROM g""")
 def r13_within_case_gap(spark, sf_dir):
