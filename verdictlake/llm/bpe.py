@@ -11,7 +11,8 @@ over the sorted pair keys of the vocabulary. Results equal those of the tokenize
 vocabulary in which every merge makes a token of its own.
 
 Edge cases: a null text counts as empty and gives no ids; an empty table gives
-an empty result; repeated rows give repeated results; other columns pass
+an empty result; repeated rows give repeated results; a very long text is never cut and
+is a slice of its own; other columns pass
 through, and a clash with an output column is an error raised before the job.
 """
 

@@ -21,7 +21,8 @@ by broadcast, at most ``exact.TRACKED`` of them; the others meet by a shuffle. N
 gathered in one task but the chunks of one document.
 
 Edge cases: null and empty texts have no chunks; every row is a document of its own, also
-rows without an id, rows that share one and copies of a row (of which the first stays); an
+rows without an id, rows that share one and copies of a row (of which the first stays); a
+very long text is chunked whole, in a slice of its own; an
 empty table gives an empty result; other columns are ignored by the report and pass through
 ``remove_repeats`` under any name.
 """

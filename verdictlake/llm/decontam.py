@@ -12,7 +12,7 @@ and its broadcast is destroyed before the next one is built, so what the driver
 executors hold at once doesn't grow with the benchmark, and no item is left out.
 
 Edge cases: null or wordless texts and items have no words and no windows; items with
-the same words hit together; items without an id hit like others and are not listed;
+the same words hit together; a very long text is scanned whole; items without an id hit like others and are not listed;
 repeated rows, null ids and other columns pass through, a clash with ``n_words``, ``hits``
 or ``items`` is an error; empty tables give no hits.
 """

@@ -9,7 +9,7 @@
    settled map-side.
 3. Every other digest has few rows; an ordinary shuffle by digest settles it.
 
-Edge cases: a null text counts as empty; a null id loses against any other and
+Edge cases: a null text counts as empty; a very long text is hashed whole; a null id loses against any other and
 stays only in a group without ids; repeated rows with the winning id are all
 flagged ``kept``. ``dedup_exact`` leaves one row of each text: that of the largest id,
 of several with this id the one whose digest over all columns is smallest. An empty table

@@ -11,7 +11,8 @@ hash of the id; all of them if it has fewer. Prediction reads every whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; characters
 outside the vocabulary have one small probability in every language; ties go to the
-first language by name; rows without a language are not learned from; more than
+first language by name; rows without a language are not learned from; a very long text is
+scored whole, word by word; more than
 ``max_langs`` languages are an error; an empty table gives an empty result and needs no
 model; other columns are not read, so they can't leak into a prediction, and may have
 any name.
@@ -236,11 +237,11 @@ def fit_language_model(df: DataFrame, pieces: list[str], id_col: str = "doc_id",
     totals = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(max_langs + 1).collect()}
     if len(totals) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    # the hash of an id is even over [0, 1), so a language gives about sample_docs rows
+    # a hash of id and text is even over [0, 1), so a language gives about sample_docs rows, also where rows share an id or have none
     share: Column = F.lit(0.0)
     for name, n in totals.items():
         share = F.when(F.col(lang) == name, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     counts: dict[str, Counter] = {name: Counter() for name in totals}
     for r in rows.where(draw < share).select(lang, text).toLocalIterator():
         counts[r[0]].update(words_of(r[1] or ""))

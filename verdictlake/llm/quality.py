@@ -10,7 +10,8 @@ is a few vectorised gathers for a batch of texts.
 Training reads about ``sample_docs`` labelled documents, chosen by a hash of the id; all
 of them if there are fewer. Scoring reads every whole text.
 
-Edge cases: null and empty texts have all features zero and a score like any other; rows
+Edge cases: null and empty texts have all features zero and a score like any other; a very
+long text is measured whole; rows
 whose label is null are not learned from; labels of one class give a constant score;
 repeated labels of an id count once, the largest; an empty table gives an empty result;
 other columns are not read by the score and pass through ``keep_good`` under any name.

@@ -17,7 +17,8 @@ any range of ids, and only the rules that these need are expanded.
 
 Edge cases: a null text counts as empty and has the end id alone; null ids sort first;
 rows that share an id are ordered by their text's hash; an empty table gives an empty
-file and no rows; other columns are not stored, whatever their names.
+file and no rows; a very long text is encoded and stored whole; other columns are not stored,
+whatever their names.
 """
 
 from __future__ import annotations

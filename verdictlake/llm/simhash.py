@@ -15,7 +15,7 @@ within one bit of both, so each fingerprint is sent to its 65 such values, where
 most 65 can meet, and is linked to the smallest there.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other;
-texts of one or two words are one shingle; rows with a null id take part and count
+texts of one or two words are one shingle; a very long text is shingled whole; rows with a null id take part and count
 as larger than any id, alone they have a null component_id; an empty table gives an
 empty result; repeated rows give repeated results, of which ``dedup_near`` leaves one;
 other columns pass through it under any name and are not read by ``near_components``.

@@ -20,7 +20,7 @@ and more have so large a ninth that 256 bits hardly tell them apart; in the comp
 by pair 512 bits take their place, which do for sizes up to twice as large.
 
 Edge cases: blank texts have one shingle in common; texts below the width are one
-shingle; rows with a null id take part and count as larger than any id; repeated rows are
+shingle; a very long text is shingled and compared whole; rows with a null id take part and count as larger than any id; repeated rows are
 one; other columns pass through under any name; an empty table gives an empty result.
 """
 
