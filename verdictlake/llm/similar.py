@@ -17,7 +17,7 @@ members. Only texts that are still apart are compared pair by pair, and of these
 itself drops most: a shingle in one set alone flips one of 256 parity bits, so sets whose
 bits differ in more than a ninth of their sizes can't be alike. Sets of some 500 shingles
 and more have so large a ninth that 256 bits hardly tell them apart; in the comparison pair
-by pair 512 bits take their place, which do for sizes up to twice as large.
+by pair 1,024 bits take their place, which do for sizes up to four times as large.
 
 Edge cases: blank texts have one shingle in common; texts below the width are one
 shingle; a very long text is shingled and compared whole; rows with a null id take part and count as larger than any id; repeated rows are
@@ -46,7 +46,7 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 20_000, 4, 300_000
 FEW_NODES = 500_000
 PARITY = tuple(f"b{k}" for k in range(4))
-WIDE = tuple(f"w{k}" for k in range(8))
+WIDE = tuple(f"w{k}" for k in range(16))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -97,7 +97,7 @@ def prefix(h: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(id, fp, node, n, heads, b0 to b3, w0 to w7, body): node names the set of n shingles, heads is its prefix, body the text, b and w are parity bits."""
+    """(id, fp, node, n, heads, b0 to b3, w0 to w15, body): node names the set of n shingles, heads is its prefix, body the text, b and w are parity bits."""
     shared = _frequent(df, text, width)
     schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("heads", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in PARITY + WIDE], T.StructField("body", T.StringType())])
 
