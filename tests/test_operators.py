@@ -227,3 +227,14 @@ def test_letters_take_the_first_occurrence_and_return_to_declared_order(spark):
     t = spark.createDataFrame([(1, [2, 0, 1], 0, " A", -0.1), (1, [2, 0, 1], 1, "B", -1.0), (1, [2, 0, 1], 2, "A", -9.0), (1, [2, 0, 1], 3, "x", -0.5)], "k int, order array<int>, pos int, token string, logprob double")
     p = serving.letters_to_dist(t, ["k"]).first().probs
     assert max(range(3), key=p.__getitem__) == 2 and min(range(3), key=p.__getitem__) == 1
+
+
+def test_isotonic_parts_that_span_batches(spark):
+    rows = [(i, (i * 7919 % 1000) / 1000, float(i * 31 % 7 < 3)) for i in range(3000)]
+    table = spark.createDataFrame(rows, "case_id long, conf double, correct double").withColumn("g", F.lit("a"))
+    want = fits.fit_isotonic(table, ["g"]).orderBy("right").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        assert fits.fit_isotonic(table, ["g"]).orderBy("right").collect() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -104,7 +104,13 @@ def _pooled(blocks: DataFrame, by: list[str], part: Column) -> DataFrame:
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in chain(batches, [None]):
-            rows = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if batch is None:
+                rows = held
+            else:
+                # what was pooled before may be null by its schema, so a batch's columns that may not be are let be too
+                free = pa.schema([f.with_nullable(True) for f in batch.schema])
+                rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, schema=free)])
+                rows = rows if held is None else pa.concat_tables([held, rows])
             if rows is None or not rows.num_rows:
                 continue
             fresh = np.zeros(rows.num_rows, bool)
