@@ -99,3 +99,17 @@ def test_stems_of_both_forms_agree(spark):
     assert {r.w: r.k for r in df.select("w", stem(df.w).alias("k")).collect()} == {w: stemmed(w) for w in some}
     counts = token_counts(spark.createDataFrame([(1, "Running jumped jumps, the RUN; a I x9 x9"), (2, None), (3, "")], "k int, text string"), "text", ["k"])
     assert {(r.k, r.token): r.n for r in counts.collect()} == {(1, "run"): 2, (1, "jump"): 2, (1, "x9"): 2}
+
+
+def test_tokens_are_counted_in_parts_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    from verdictlake.functions import text
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["a" * 10, None, "b" * 100, "", "c", "d" * 30, "e"]})
+    parts = list(text.text_parts(batch.slice(1), "t", 40))
+    assert [p.column("k").to_pylist() for p in parts] == [[1], [2], [3, 4], [5], [6]]
+    rows = [(i, None if i % 5 == 0 else f"running tests {i} " * (i % 40)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k long, t string").repartition(1)
+    want = sorted(tuple(r) for r in text.token_counts(frame, "t", ["k"]).collect())
+    assert sum(n for _, token, n in want if token == "run") == sum(i % 40 for i in range(400) if i % 5)
