@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -457,9 +458,12 @@ def e7_iou_f1(spark, sf_dir):
     SELECT conv_id, turn, CAST(min(a) AS BIGINT) AS start, CAST(max(a + n) AS BIGINT) AS "end", round(least(1.0, max(score)), 6) AS score FROM k GROUP BY conv_id, turn, g""")
 def e3_merge_spans(spark, sf_dir):
     """Words are tokens, so neighbours over the threshold have white space alone between them."""
-    texts = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    tokens = E.word_spans(texts, "text", ["conv_id", "turn"]).withColumn("score", V.uniform(F.concat_ws("-", "conv_id", "turn", "w"), "s"))
-    out = E.merge_spans(tokens.join(texts, ["conv_id", "turn"]), ["conv_id", "turn"])
+    key = ["conv_id", "turn"]
+    words = E.word_spans(views.table(spark, sf_dir, "conversations"), "text", key)
+    # a word's last character before it that isn't white space is the end of the word before
+    ink = F.lag("end", 1, 0).over(Window.partitionBy(*key).orderBy("w"))
+    tokens = words.select(*key, "start", "end", V.uniform(F.concat_ws("-", *key, "w"), "s").alias("score"), ink.alias("ink"))
+    out = E.merge_spans(tokens, key, ink="ink")
     return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")}), "score")
 
 
