@@ -49,18 +49,18 @@ def top_words(scored: DataFrame, key: list[str], fractions: tuple[float, ...] =
 def probes(words: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
     """(key, fraction, way, text): a case's text without the chosen words (remove) and with them alone (keep).
 
-    A kept word keeps the white space that follows it, but for the last one; the text's head and tail stay."""
-    fractions = chosen.select(*key, "fraction").distinct()
-    marked = words.join(fractions, key).join(chosen.withColumn("_in", F.lit(True)), [*key, "fraction", "w"], "left")
-    kept = marked.select(*key, "fraction", "w", "word", "gap", F.when(F.col("_in"), "keep").otherwise("remove").alias("way"))
-    # a case's words: an array as long as its text
-    pieces = F.array_sort(F.collect_list(F.struct("w", "word", "gap")))
-    body = let(pieces, lambda p: F.concat(F.array_join(F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda s: F.concat(s["word"], s["gap"])), ""), F.element_at(p, -1)["word"]))
-    texts = kept.groupBy(*key, "fraction", "way").agg(body.alias("_body"))
-    ends = words.groupBy(*key).agg(F.min_by("head", "w").alias("_head"), F.max_by("gap", "w").alias("_tail"))
-    spine = fractions.select(*key, "fraction", F.explode(F.array(F.lit("keep"), F.lit("remove"))).alias("way")).join(ends, key)
-    text = F.concat("_head", F.coalesce("_body", F.lit("")), "_tail")
-    return spine.join(texts, [*key, "fraction", "way"], "left").select(*key, "fraction", "way", text.alias("text"))
+    A kept word keeps the white space that follows it, but for the last one; the text's head and tail stay. Words and choices
+    are dealt by case once; a case's probes are cut from one array of its words, as long as its text, and stay where they are."""
+    told = words.select(*key, "w", "word", "gap", "head", F.lit(None).cast(dict(chosen.dtypes)["fraction"]).alias("fraction"))
+    both = told.unionByName(chosen.select(*key, "fraction", "w"), allowMissingColumns=True).repartition(*key)
+    each = both.groupBy(*key, "w").agg(*[F.max(c).alias(c) for c in ("word", "gap", "head")], F.collect_set("fraction").alias("in"))
+    cases = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("w", "word", "gap", "head", "in"))).alias("_p"))
+    asked = F.array_distinct(F.flatten(F.transform("_p", lambda s: s["in"])))
+    ways = F.flatten(F.transform(asked, lambda f: F.array(*[F.struct(f.alias("fraction"), F.lit(way).alias("way")) for way in ("keep", "remove")])))
+    here = F.filter("_p", lambda s: F.array_contains(s["in"], F.col("_x.fraction")) == (F.col("_x.way") == "keep"))
+    body = let(here, lambda p: F.when(F.size(p) == 0, "").otherwise(F.concat(F.array_join(F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda s: F.concat(s["word"], s["gap"])), ""), F.try_element_at(p, F.lit(-1))["word"])))
+    text = F.concat(F.element_at("_p", 1)["head"], body, F.element_at("_p", -1)["gap"])
+    return cases.select(*key, "_p", F.explode(ways).alias("_x")).select(*key, "_x.fraction", "_x.way", text.alias("text"))
 
 
 def distinct_probes(probed: DataFrame, key: list[str]) -> DataFrame:
