@@ -1,5 +1,7 @@
 """Twins, probes, loaders and teacher streams on rows whose answers are known by hand."""
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -153,3 +155,42 @@ def test_tasks_of_a_suite_share_their_draw(spark):
     shown = variants.build_tasks(cases, tasks[1:2] + tasks[4:], 20).withColumn("probs", F.transform("options", lambda o: F.xxhash64(o) / F.lit(1e19)))
     both = compare.invariance(shown.where("task = 'shift'"), shown.where("task = 'order'"), ["case_id"], ["corpus"]).first()
     assert (both.n, both.agreement) == (20, 1.0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_spans_are_found_row_by_row_without_a_shuffle(spark):
+    texts = ["", None, "  ", "é", " a b \U0001f600c\t\nd", "x\x0b\x0cy", "long " * 3000, "a", "b "]
+    # one key: a row's words are its own, whatever other rows have its key
+    frame = spark.createDataFrame([(7, t) for t in texts], "k int, t string").repartition(1)
+    words = evidence.word_spans(frame, "t", ["k"])
+    assert "Exchange" not in plan_of(evidence.word_spans(spark.range(3).selectExpr("id", "'a b' AS t"), "t", ["id"]))[1]
+    want = []
+    for t in texts:
+        found = list(re.finditer(r"\S+", t or "", re.ASCII))
+        for w, m in enumerate(found):
+            until = found[w + 1].start() if w + 1 < len(found) else len(t)
+            want.append((w, m.start(), m.end(), m.group(), t[m.end() : until], t[: m.start()] if w == 0 else ""))
+    assert sorted(tuple(r)[1:] for r in words.collect()) == sorted(want)
+
+
+def test_spans_merge_without_their_texts(spark):
+    text = "ab  cd, ef \n gh"
+    rows = [(1, 0, 2, 0.9), (1, 4, 6, 0.8), (1, 8, 10, 0.7), (1, 13, 15, 0.6), (1, 8, 9, 0.1)]
+    told = spark.createDataFrame([(*r, text) for r in rows], "k int, start int, end int, score double, text string")
+    ink = {0: 0, 4: 2, 8: 7, 13: 10}
+    bare = spark.createDataFrame([(*r, ink[r[1]]) for r in rows], "k int, start int, end int, score double, ink int")
+    want = [(0, 6, 0.9), (8, 15, 0.7)]
+    assert sorted((r.start, r.end, r.score) for r in evidence.merge_spans(told, ["k"]).collect()) == want
+    assert sorted((r.start, r.end, r.score) for r in evidence.merge_spans(bare, ["k"], ink="ink").collect()) == want
+
+
+def test_probes_deal_words_by_case_once(spark):
+    docs = spark.range(4).selectExpr("id", "concat(' a', id, ' b  c\td e ') AS text")
+    words = evidence.word_spans(docs, "text", ["id"]).withColumn("score", F.col("w").cast("double"))
+    probed = faithful.distinct_probes(faithful.probes(words, faithful.top_words(words, ["id"]), ["id"]), ["id"])
+    assert probed.count() == 4 * 4
+    # one for the ranks and one for words and choices together; no text is dealt again
+    assert plan_of(probed)[1].count("Exchange hashpartitioning") == 2

@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import text_parts
+
 
 def word_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep, w, start, end, word, gap, head): runs of non-white-space with code-point offsets, end exclusive,
     the white space behind each and, with a text's first word, the white space before it.
 
-    Pieces of one text are a word and its gap each; offsets are a running sum within the row's array."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"\S+\s*"), F.lit(0))
-    lead = F.regexp_extract(F.col(text), r"^\s*", 0)
-    rows = df.select(*keep, lead.alias("_lead"), F.posexplode(pieces).alias("w", "_piece"))
-    before = Window.partitionBy(*keep).orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.length("_lead") + F.coalesce(F.sum(F.length("_piece")).over(before), F.lit(0))
-    placed = rows.withColumns({"start": start, "word": F.regexp_extract("_piece", r"^\S+", 0)})
-    return placed.select(*keep, "w", "start", (F.col("start") + F.length("word")).alias("end"), "word", F.expr("substring(_piece, length(word) + 1)").alias("gap"), F.when(F.col("w") == 0, F.col("_lead")).otherwise("").alias("head"))
+    Words are found in the bytes of a part of a batch at once, each row on its own; nothing is shuffled."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "w int, start long, end long, word string, gap string, head string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in text_parts(batch, text)):
+            row, columns = _placed(part.column(text))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), *columns], [*keep, "w", "start", "end", "word", "gap", "head"])
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def _placed(texts: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    """The row of each word of ``texts``, and its columns."""
+    joined = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, values = joined.buffers()
+    off = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(values, np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    edge[1:-1] |= space[1:] != space[:-1]
+    # both ends of the runs that are no white space; a text's end parts its last run from the next text's first
+    at = np.flatnonzero(edge)
+    a, b = at[:-1], at[1:]
+    starts, ends = a[~space[a]], b[~space[a]]
+    row = np.searchsorted(off, starts, side="right") - 1
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    count = np.arange(len(row))
+    w = count - np.maximum.accumulate(np.where(first, count, 0))
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    # the gap goes to the next word of the text, or to its end
+    until = off[row + 1].copy()
+    until[:-1] = np.where(first[1:], until[:-1], starts[1:])
+
+    def cut(left: np.ndarray, right: np.ndarray) -> pa.Array:
+        """Strings from left to right; both rise together, so every second piece between them is one."""
+        bounds = np.empty(2 * len(left) + 1, np.int64)
+        bounds[:-1:2], bounds[1:-1:2], bounds[-1] = left, right, right[-1] if len(right) else 0
+        pieces = pa.Array.from_buffers(pa.large_string(), 2 * len(left), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        return pieces.take(pa.array(2 * count)).cast(pa.string())
+
+    base = chars[off[row]]
+    columns = [pa.array(w, pa.int32()), pa.array(chars[starts] - base, pa.int64()), pa.array(chars[ends] - base, pa.int64())]
+    return pa.array(row, pa.int64()), [*columns, cut(starts, ends), cut(ends, until), cut(np.where(first, off[row], starts), starts)]
 
 
 def span_overlap(words: DataFrame, spans: DataFrame, key: list[str], out: str = "marked") -> DataFrame:
@@ -93,15 +139,18 @@ def iou_f1(words: DataFrame, key: list[str], gold: str = "gold", predicted: str
     return sizes.join(hits, key, "left").select(*key, F.coalesce(F.try_divide(2 * r * q, r + q), F.lit(0.0)).alias("iou_f1"))
 
 
-def merge_spans(tokens: DataFrame, key: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
+def merge_spans(tokens: DataFrame, key: list[str], text: str = "text", threshold: float = 0.5, ink: str | None = None) -> DataFrame:
     """Scored tokens (start, end, score) to spans: those over the threshold, merged where only white space parts them.
 
-    A token opens a new span when the text between the running end and its start isn't blank."""
+    A token opens a new span when the text between the running end and its start isn't blank, that is when the last character
+    before it that isn't white space lies behind the running end. ``ink`` names a column with the end of that character; without
+    it the column is made of ``text`` first, so that no text goes through the sort."""
     on = tokens.where(F.col("score") >= threshold)
+    before = F.regexp_replace(F.substring(F.col(text), F.lit(1), F.col("start").cast("int")), r"\s+\z", "")
+    on = on.select(*key, "start", "end", "score", (F.col(ink) if ink else F.length(before)).alias("_ink"))
     order = Window.partitionBy(*key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.substring(F.col(text), (F.col("_r") + 1).cast("int"), F.greatest(F.col("start") - F.col("_r"), F.lit(0)).cast("int"))
-    fresh = on.withColumn("_r", reach).withColumn("_n", F.when(F.col("_r").isNull() | (gap.rlike(r"\S")), 1).otherwise(0))
+    fresh = on.withColumn("_r", reach).withColumn("_n", F.when(F.col("_r").isNull() | (F.col("_ink") > F.col("_r")), 1).otherwise(0))
     grouped = fresh.withColumn("_g", F.sum("_n").over(order))
     return grouped.groupBy(*key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.least(F.lit(1.0), F.max("score")).alias("score")).drop("_g")
 
