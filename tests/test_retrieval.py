@@ -101,7 +101,7 @@ def test_stems_of_both_forms_agree(spark):
     assert {(r.k, r.token): r.n for r in counts.collect()} == {(1, "run"): 2, (1, "jump"): 2, (1, "x9"): 2}
 
 
-def test_tokens_are_counted_in_parts_of_a_batch(spark, monkeypatch):
+def test_tokens_are_counted_in_parts_of_a_batch(spark):
     import pyarrow as pa
 
     from verdictlake.functions import text
@@ -113,3 +113,19 @@ def test_tokens_are_counted_in_parts_of_a_batch(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "k long, t string").repartition(1)
     want = sorted(tuple(r) for r in text.token_counts(frame, "t", ["k"]).collect())
     assert sum(n for _, token, n in want if token == "run") == sum(i % 40 for i in range(400) if i % 5)
+
+
+def test_bag_shortlists_equal_the_shortlists_of_every_query(spark):
+    draw = random.Random(4)
+    words = [f"w{c}x" for c in "bcdfgh"]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 3))) for _ in range(150)]
+    options = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    rows = [(f"q{i}", " ".join(draw.choices([*words, "unseen"], k=draw.randint(0, 3)))) for i in range(60)] + [("null", None)]
+    queries = spark.createDataFrame(rows, "qid string, text string")
+    got = {}
+    for k in (2, 12):
+        want = sorted(tuple(r) for r in R.bm25_shortlist(queries, options, k).collect())
+        asked, best = R.bag_shortlists(queries, options, k)
+        assert asked.select("asked").distinct().count() < 50
+        got = asked.select("qid", "asked").join(best.withColumnRenamed("qid", "asked"), "asked").select("qid", "rank", "idx", "score")
+        assert sorted(tuple(r) for r in got.collect()) == want

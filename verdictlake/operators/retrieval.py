@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_counts
-from ..functions.vectors import uniform
+from ..functions.vectors import let, uniform
+from ..sources.shared import stage
 
 K1, B = 1.2, 0.75
 
@@ -246,11 +247,42 @@ def drop_slots(options: DataFrame, slots: list[str], drops: list[int], salt: str
     return each.select("drop", "idx", F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"))
 
 
+def bag_keys(counts: DataFrame, key: str, *also: str) -> DataFrame:
+    """counts (key, token, also) to (key, bag): a digest that equal bags of tokens share, in whatever order they come."""
+    return counts.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("token", *also)))), 256).alias("bag"))
+
+
+def bag_shortlists(queries: DataFrame, options: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``bm25_shortlist`` once for each set of tokens: queries with the qid ``asked`` that stands for theirs, and (qid, rank, idx, score) of those.
+
+    Options of one bag of tokens have one score, so the lowest of them stands for its bag where queries meet options, and that join
+    grows with distinct sets and bags, not with rows. A bag that isn't among the best ``k`` by score and lowest index has ``k``
+    options before it, so bags are spread to their ``k`` lowest options afterwards. Statistics are those of all options: the result is exact."""
+    tf = token_counts(options, "text", ["idx"]).groupBy("idx", "token").agg(F.sum("n").alias("n"))
+    bags = stage(bag_keys(tf, "idx", "n"), "bags")
+    stands = bags.groupBy("bag").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("_size"))
+    keys = bag_keys(token_counts(queries, "text", ["qid"]).select("qid", "token").distinct(), "qid")
+    keyed = queries.join(keys, "qid", "left").withColumn("bag", F.coalesce("bag", F.lit("")))
+    asked = stage(keyed.withColumn("asked", F.min("qid").over(Window.partitionBy("bag"))).drop("bag"), "asked")
+    few = asked.where(F.col("qid") == F.col("asked"))
+    terms = token_counts(few, "text", ["qid"]).select("qid", "token").distinct()
+    own = weighted(*option_index(options)).join(stands.select("idx"), "idx", "left_semi")
+    # a token is frequent by the bags that have it
+    own = own.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    best = best_options(terms, stage(own, "parts"), k).join(stands.withColumnRenamed("bag", "_bag"), "idx")
+    upto, level = Window.partitionBy("qid").orderBy(F.desc("score")), Window.partitionBy("qid", "score")
+    near = best.withColumn("_over", F.sum("_size").over(upto) - F.sum("_size").over(level)).where(F.col("_over") < k)
+    lowest = bags.withColumn("_r", F.row_number().over(Window.partitionBy("bag").orderBy("idx"))).where(F.col("_r") <= k)
+    spread = near.select("qid", "score", "_bag").join(lowest.withColumnRenamed("bag", "_bag"), "_bag")
+    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "idx"))).where(F.col("rank") <= k)
+    return asked, padded_shortlist(few, ranked.select("qid", "rank", "idx", "score"), options, k)
+
+
 def recall_sweep(options: DataFrame, queries: DataFrame, ks: list[int], least: float = 0.99) -> DataFrame:
-    """options (idx, text), queries (drop, idx: the true option, text) to (drop, k, n, recall, passed): one shortlist of the largest k serves all."""
+    """options (idx, text), queries (drop, idx: the true option, text) to (drop, k, n, recall, passed): one shortlist of the largest k serves all, made once for each set of tokens."""
     named = queries.select(F.concat_ws("|", "drop", "idx").alias("qid"), "drop", F.col("idx").alias("true"), "text")
-    best = bm25_shortlist(named.select("qid", "text"), options, max(ks))
-    hit = named.select("qid", "drop", "true").join(best.select("qid", F.col("idx").alias("true"), "rank"), ["qid", "true"], "left")
+    asked, best = bag_shortlists(named, options, max(ks))
+    hit = asked.select("asked", "drop", "true").join(best.select(F.col("qid").alias("asked"), F.col("idx").alias("true"), "rank"), ["asked", "true"], "left")
     each = hit.select("drop", "rank", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     out = each.groupBy("drop", "k").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))).alias("recall"))
     return out.withColumn("passed", F.col("recall") >= least)
