@@ -129,3 +129,11 @@ def test_bag_shortlists_equal_the_shortlists_of_every_query(spark):
         assert asked.select("asked").distinct().count() < 50
         got = asked.select("qid", "asked").join(best.withColumnRenamed("qid", "asked"), "asked").select("qid", "rank", "idx", "score")
         assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_expanding_makes_the_map_once_a_row(spark):
+    rows = spark.createDataFrame([(4, [2, 0], [0.7, 0.2])], "n int, idx array<int>, probs array<double>")
+    out = R.expand_shortlist(rows)
+    assert out.first().probs == [0.2, 0.0, 0.7, 0.0]
+    # bound by an array of one, not named within the options' lambda
+    assert "transform(array(map_from_arrays(" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -213,8 +213,9 @@ def recall_at_k(shortlists: DataFrame, truth: DataFrame) -> DataFrame:
 
 def expand_shortlist(df: DataFrame, n: str = "n", idx: str = "idx", probs: str = "probs") -> DataFrame:
     """Options that a shortlist dropped come back at probability zero, in declared order."""
-    m = F.map_from_arrays(idx, probs)
-    return df.withColumn(probs, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+    full = lambda m: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    # bound, or the optimizer makes the map, and what its arrays are made of, anew for each option
+    return df.withColumn(probs, let(F.map_from_arrays(idx, probs), full))
 
 
 def lexical_decide(states: DataFrame, members: DataFrame, temperature: float = 2.0) -> DataFrame:

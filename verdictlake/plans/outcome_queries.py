@@ -366,7 +366,7 @@ def d10_align(spark, sf_dir):
 @register(f"""WITH {scored_sql()}, r AS (SELECT case_id, probs, list_sort(list_transform(list_grade_up(probs, 'DESC')[1:2], lambda i: i - 1)) AS s FROM sc) SELECT case_id, i AS idx, round(CASE WHEN list_contains(s, i) THEN probs[i + 1] ELSE 0 END, 6) AS p FROM r, (SELECT unnest(range(5)) AS i)""")
 def x10_expand_shortlist(spark, sf_dir):
     """The two likeliest labels are the shortlist."""
-    s = views.event_scored(spark, sf_dir).withColumn("idx", V.top_k("probs", 2)).withColumns({"n": F.size("labels"), "kept": F.transform("idx", lambda i: F.element_at("probs", i + 1))})
+    s = views.event_scored(spark, sf_dir).withColumn("idx", V.top_k("probs", 2)).withColumns({"n": F.size("labels"), "kept": V.let(F.col("probs"), lambda p: F.transform("idx", lambda i: F.element_at(p, i + 1)))})
     got = retrieval.expand_shortlist(s, "n", "idx", "kept")
     return got.select("case_id", F.posexplode("kept").alias("idx", "p")).select("case_id", F.col("idx").cast("long").alias("idx"), F.round("p", 6).alias("p"))
 
