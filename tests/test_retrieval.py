@@ -137,3 +137,34 @@ def test_expanding_makes_the_map_once_a_row(spark):
     assert out.first().probs == [0.2, 0.0, 0.7, 0.0]
     # bound by an array of one, not named within the options' lambda
     assert "transform(array(map_from_arrays(" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_store_lets_queries_meet_each_bag_once(spark, tmp_path):
+    rng = random.Random(7)
+    some = [words(rng, rng.randrange(1, 5)) for _ in range(25)]
+    # copies, also in another order of words, and texts without tokens
+    options = [(i, " ".join(rng.sample(t.split(), len(t.split()))) if t else t) for i, t in enumerate([*some, "", None] * 6)]
+    queries = [(q, words(rng, rng.randrange(1, 8))) for q in range(30)] + [(900, "zzz"), (901, None), (902, some[0])]
+    o, q = spark.createDataFrame(options, "idx long, text string").repartition(3), spark.createDataFrame(queries, "qid long, text string").repartition(3)
+    store = R.OptionStore(spark, f"file://{tmp_path}/store")
+    keys = store.ensure(o.selectExpr("'a' AS name", "*").unionByName(o.where("idx < 20").selectExpr("'b' AS name", "*")), "name")
+    named = {r.name: r.set_key for r in keys.collect()}
+    for name, known in (("a", options), ("b", options[:20])):
+        bags = {frozenset(Counter(plain_tokens(t)).items()) for _, t in known}
+        met = store.read("postings").where("stands").where(f"set_key = '{named[name]}'")
+        assert met.count() == sum(map(len, bags)) < sum(len(set(plain_tokens(t))) for _, t in known)
+        for k, frequent in ((2, 3), (9, 3), (9, None)):
+            rows = [r for r in store.shortlist(q, k, frequent, keys).collect() if r.set_key == named[name]]
+            assert ranked(rows) == plain_shortlist(queries, known, k)
+
+
+def test_queries_of_rare_tokens_alone_are_ranked_once(spark):
+    options, queries, o, q = tables(spark, 8, 120, 40)
+    parts = R.weighted(*R.option_index(o))
+    terms = token_counts(q, "text", ["qid"]).select("qid", "token").distinct()
+    want = sorted(tuple(r) for r in R.best_options(terms, parts, 3, frequent=10**9).collect())
+    for frequent in (2, 12, 40):
+        got = R.best_options(terms, parts, 3, frequent=frequent)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftSemi") >= 1

@@ -64,10 +64,11 @@ def best_options(terms: DataFrame, parts: DataFrame, k: int, by: list[str] | Non
     Every part is positive, so scores from rare tokens alone bound the final ones from below, and the largest parts of a
     query's frequent tokens bound what those can add. Where the k-th best rare score exceeds that sum, an option without a rare
     token can't be among the best; only options within the sum of the k-th best are then looked up under the frequent tokens.
-    Queries whose rare tokens decide too little meet the frequent tokens' options in full. Either way the result is exact."""
+    Queries whose rare tokens decide too little, or that have no frequent one, meet all their tokens' options. Either way the result is exact."""
     by, frequent = by or [], FREQUENT if frequent is None else frequent
     key = [*by, "qid"]
-    order = Window.partitionBy(*key).orderBy(F.desc("score"), "idx")
+    # qid first: rows are sorted by a prefix of what comes first
+    order = Window.partitionBy("qid", *by).orderBy(F.desc("score"), "idx")
 
     def ranked(scores: DataFrame) -> DataFrame:
         return scores.groupBy(*key, "idx").agg(F.round(F.sum("part"), 9).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*key, "rank", "idx", "score")
@@ -78,15 +79,20 @@ def best_options(terms: DataFrame, parts: DataFrame, k: int, by: list[str] | Non
     most = common.groupBy(*by, "token").agg(F.max("part").alias("most"))
     held = terms.join(most, [*by, "token"])
     slack = held.groupBy(*key).agg(F.sum("most").alias("slack"))
-    rare = terms.join(parts.where(F.col("df") <= frequent).drop("df"), [*by, "token"]).groupBy(*key, "idx").agg(F.sum("part").alias("part"))
+    # a query of rare tokens alone has nothing to leave out
+    mixed = terms.join(slack.select(*key), key, "left_semi")
+    rare = mixed.join(parts.where(F.col("df") <= frequent).drop("df"), [*by, "token"]).groupBy(*key, "idx").agg(F.sum("part").alias("part"))
     kth = rare.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("part")))).where(F.col("_r") == k).select(*key, F.col("part").alias("kth"))
     # a margin for the rounding of sums
     safe = kth.join(slack, key).where(F.col("kth") > F.col("slack") + 1e-6)
     candidates = rare.join(safe, key).where(F.col("part") >= F.col("kth") - F.col("slack") - 1e-6).select(*key, "idx", "part")
-    added = candidates.select(*key, "idx").join(held.select(*key, "token"), key).join(common.drop("df"), [*by, "token", "idx"]).select(*key, "idx", "part")
+    added = candidates.select(*key, "idx").join(held.select(*key, "token"), key).join(common.drop("df"), [*by, "token", "idx"]).groupBy(*key, "idx").agg(F.sum("part").alias("_more"))
+    whole = candidates.join(added, [*key, "idx"], "left").select(*key, "idx", (F.col("part") + F.coalesce("_more", F.lit(0.0))).alias("part"))
     others = terms.join(safe.select(*key), key, "left_anti")
     plain = others.join(parts.drop("df"), [*by, "token"]).select(*key, "idx", "part")
-    return ranked(candidates.unionByName(added).unionByName(plain))
+    # a query is in one of both, so each is ranked where its terms lie. What few are left of the first are dealt out otherwise, as Spark
+    # zips the partitions of a union's sides that are dealt alike, and fails where it has split or merged those of one side
+    return ranked(whole).repartition(*key, "idx").unionByName(ranked(plain))
 
 
 def padded_shortlist(queries: DataFrame, best: DataFrame, options: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -126,41 +132,80 @@ def set_keys(options: DataFrame, name: str) -> DataFrame:
 class OptionStore:
     """Indexes of option sets in Parquet tables at ``path``, a folder that every executor reaches: written once a set, found by content key.
 
-    ``postings`` (set_key, token, idx, df, part) is all that scoring reads; ``lowest`` (set_key, idx) are the first ``PADDED`` indices, which pad."""
+    ``postings`` (set_key, token, idx, df, part, stands) has every option; of those of one bag of tokens the lowest index stands for
+    all, and these rows are all that queries meet. ``df`` counts the bags that have the token. ``bags`` (set_key, bag, idx, place) are
+    the first ``PADDED`` indices of each bag under the index that stands for it, ``lowest`` (set_key, idx) those of the set, which pad."""
 
     PADDED = 1024
-    POSTINGS, LOWEST = "set_key string, token string, idx long, df long, part double", "set_key string, idx long"
+    POSTINGS, LOWEST = "set_key string, token string, idx long, df long, part double, stands boolean", "set_key string, idx long"
+    BAGS = "set_key string, bag long, idx long, place int"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        for name, schema in (("postings", self.POSTINGS), ("lowest", self.LOWEST)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+        for name in ("postings", "bags", "lowest"):
+            spark.createDataFrame([], getattr(self, name.upper())).write.mode("append").parquet(f"{path}/{name}")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(getattr(self, name.upper())).parquet(f"{self.path}/{name}")
 
     def ensure(self, options: DataFrame, name: str) -> DataFrame:
         """(name, set_key) of the sets of ``options`` (name, idx from 0, text); sets that the store hasn't got are indexed, the others' texts are read for their keys alone."""
-        keys = set_keys(options, name)
+        keys = stage(set_keys(options, name), "keys")
         known = self.read("lowest").select("set_key").distinct()
         # of equal sets one is indexed
         fresh = keys.join(known, "set_key", "left_anti").groupBy("set_key").agg(F.min(name).alias(name))
         if fresh.head(1):
-            new = options.join(fresh, name).select("set_key", F.col("idx").cast("long").alias("idx"), "text")
-            parts = weighted(*option_index(new, ["set_key"]), ["set_key"])
-            parts.repartition("set_key", "token").sortWithinPartitions("set_key", "token").select("set_key", "token", "idx", "df", "part").write.mode("append").parquet(f"{self.path}/postings")
+            new = options.join(stage(fresh, "fresh"), name).select("set_key", F.col("idx").cast("long").alias("idx"), "text")
+            self._index(new)
             # last, as it says that a set is there
             new.where(F.col("idx") < self.PADDED).select("set_key", "idx").write.mode("append").parquet(f"{self.path}/lowest")
         return keys
 
-    def shortlist(self, queries: DataFrame, k: int, frequent: int | None = None) -> DataFrame:
-        """queries (set_key, qid, text) to (set_key, qid, rank, idx, score) as ``bm25_shortlist`` gives for each set; no option text is read."""
+    def _index(self, new: DataFrame) -> None:
+        """Postings and bags of new sets (set_key, idx, text): weights are made once a bag and then handed to its options."""
+        key = ["set_key", "idx"]
+        tf = stage(token_counts(new, "text", key).groupBy(*key, "token").agg(F.sum("n").alias("tf")), "tf")
+        digests = stage(bag_keys(tf, key, "tf"), "digests")
+        stands = digests.groupBy("set_key", "bag").agg(F.min("idx").alias("_stands"), F.count(F.lit(1)).alias("_times"))
+        members = stage(digests.join(stands, ["set_key", "bag"]).select("set_key", "idx", F.col("_stands").alias("bag"), "_times"), "members")
+        alone = members.where("idx = bag").drop("bag")
+        own = tf.join(alone, key)
+        size = own.groupBy(*key, "_times").agg(F.sum("tf").alias("size"))
+        df = own.groupBy("set_key", "token").agg(F.sum("_times").alias("df"), F.count(F.lit(1)).alias("_bags"))
+        words = size.groupBy("set_key").agg(F.sum(F.col("size") * F.col("_times")).alias("w"))
+        totals = new.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).join(words, "set_key", "left").select("set_key", "n", (F.coalesce("w", F.lit(0)) / F.col("n")).alias("avg_len"))
+        postings = own.drop("_times").join(size.drop("_times"), key).join(df.drop("_bags"), ["set_key", "token"])
+        made = weighted(postings, stage(totals, "totals"), ["set_key"]).drop("df").join(df.drop("df").withColumnRenamed("_bags", "df"), ["set_key", "token"])
+        parts = stage(made.select("set_key", "token", F.col("idx").alias("bag"), "df", "part"), "parts")
+        every = parts.join(members.select("set_key", "idx", "bag"), ["set_key", "bag"]).select("set_key", "token", "idx", "df", "part", (F.col("idx") == F.col("bag")).alias("stands"))
+        # those that stand for a bag lie together; a token of most options is dealt out by index
+        order = [F.desc("stands"), F.asc("set_key"), F.asc("token"), F.asc("idx")]
+        every.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(f"{self.path}/postings")
+        place = F.row_number().over(Window.partitionBy("set_key", "bag").orderBy("idx"))
+        members.select("set_key", "bag", "idx").withColumn("place", place).where(F.col("place") <= self.PADDED).write.mode("append").parquet(f"{self.path}/bags")
+
+    def shortlist(self, queries: DataFrame, k: int, frequent: int | None = None, sets: DataFrame | None = None) -> DataFrame:
+        """queries (set_key, qid, text) to (set_key, qid, rank, idx, score) as ``bm25_shortlist`` gives for each set; no option text is read.
+
+        With ``sets`` (set_key), queries (qid, text) ask each of them, and a text is taken apart once. Texts are read once, and
+        tokens that a set hasn't got are dropped before queries are dealt out; what the rest of a query meets stays in its task
+        where the postings of the bags are small enough to be sent to all."""
         if k > self.PADDED:
             raise ValueError(f"at most {self.PADDED} options a query")
-        sets = queries.select("set_key").distinct()
-        terms = token_counts(queries, "text", ["set_key", "qid"]).select("set_key", "qid", "token").distinct()
-        best = best_options(terms, self.read("postings").dropDuplicates(["set_key", "token", "idx"]).join(sets, "set_key", "left_semi"), k, ["set_key"], frequent)
-        return padded_shortlist(queries, best, self.read("lowest").distinct(), k, ["set_key"])
+        key = ["set_key", "qid"]
+        sets, every = (queries.select("set_key"), None) if sets is None else (sets.select("set_key"), F.broadcast(sets.select("set_key").distinct()))
+        sets = sets.distinct()
+        tokens = token_counts(queries, "text", key).drop("n") if every is None else token_counts(queries, "text", ["qid"]).drop("n").crossJoin(every)
+        asked = queries.select(*key) if every is None else queries.select("qid").crossJoin(every)
+        held = self.read("postings").where("stands").drop("stands").join(sets, "set_key", "left_semi")
+        parts = stage(held.dropDuplicates(["set_key", "token", "idx"]), "parts")
+        known = stage(parts.select("set_key", "token").distinct(), "tokens")
+        terms = stage(tokens.join(known, ["set_key", "token"], "left_semi").select(*key, "token").repartition(*key).dropDuplicates([*key, "token"]), "terms")
+        best = best_options(terms.repartition(*key), parts, k, ["set_key"], frequent)
+        lowest = stage(self.read("bags").where(F.col("place") <= k).join(sets, "set_key", "left_semi").select("set_key", F.col("bag").alias("_bag"), "idx").distinct(), "bags")
+        size = lowest.groupBy("set_key", "_bag").agg(F.count(F.lit(1)).alias("_size"))
+        sized = best.select(*key, "score", F.col("idx").alias("_bag")).join(size, ["set_key", "_bag"])
+        return padded_shortlist(asked, spread_bags(sized, lowest, k, ["set_key"]), self.read("lowest").distinct(), k, ["set_key"])
 
 
 BLOCK = 4096
@@ -248,11 +293,25 @@ def drop_slots(options: DataFrame, slots: list[str], drops: list[int], salt: str
     return each.select("drop", "idx", F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"))
 
 
-def bag_keys(counts: DataFrame, key: str, *also: str) -> DataFrame:
+def bag_keys(counts: DataFrame, key: str | list[str], *also: str) -> DataFrame:
     """counts (key, token, also) to (key, bag): a digest that equal bags of tokens share, in whatever order they come."""
     return counts.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("token", *also)))), 256).alias("bag"))
 
 
+def spread_bags(best: DataFrame, lowest: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """``best`` (by, qid, score, _bag, _size) over the options that stand for their bags to (by, qid, rank, idx, score) over all options.
+
+    ``lowest`` (by, _bag, idx) has the ``k`` lowest options of each bag. Bags with ``k`` options of higher scores before them are left
+    out before the others are spread."""
+    by = by or []
+    key = [*by, "qid"]
+    upto, level = Window.partitionBy(*key).orderBy(F.desc("score")), Window.partitionBy(*key, "score")
+    near = best.withColumn("_over", F.sum("_size").over(upto) - F.sum("_size").over(level)).where(F.col("_over") < k)
+    spread = near.select(*key, "score", "_bag").join(lowest, [*by, "_bag"])
+    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "idx"))).where(F.col("rank") <= k)
+    return ranked.select(*key, "rank", "idx", "score")
+
+
 def bag_shortlists(queries: DataFrame, options: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """``bm25_shortlist`` once for each set of tokens: queries with the qid ``asked`` that stands for theirs, and (qid, rank, idx, score) of those.
 
@@ -271,12 +330,8 @@ def bag_shortlists(queries: DataFrame, options: DataFrame, k: int) -> tuple[Data
     # a token is frequent by the bags that have it
     own = own.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
     best = best_options(terms, stage(own, "parts"), k).join(stands.withColumnRenamed("bag", "_bag"), "idx")
-    upto, level = Window.partitionBy("qid").orderBy(F.desc("score")), Window.partitionBy("qid", "score")
-    near = best.withColumn("_over", F.sum("_size").over(upto) - F.sum("_size").over(level)).where(F.col("_over") < k)
     lowest = bags.withColumn("_r", F.row_number().over(Window.partitionBy("bag").orderBy("idx"))).where(F.col("_r") <= k)
-    spread = near.select("qid", "score", "_bag").join(lowest.withColumnRenamed("bag", "_bag"), "_bag")
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "idx"))).where(F.col("rank") <= k)
-    return asked, padded_shortlist(few, ranked.select("qid", "rank", "idx", "score"), options, k)
+    return asked, padded_shortlist(few, spread_bags(best, lowest.select(F.col("bag").alias("_bag"), "idx"), k), options, k)
 
 
 def recall_sweep(options: DataFrame, queries: DataFrame, ks: list[int], least: float = 0.99) -> DataFrame:

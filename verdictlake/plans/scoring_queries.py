@@ -81,7 +81,7 @@ def x6_stored_index(spark, sf_dir):
     store.ensure(items.unionByName(parts), "name")
     keys = store.ensure(items.unionByName(parts), "name")
     turns = views.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    best = store.shortlist(turns.crossJoin(keys).select("set_key", "qid", "text"), 3, frequent=64)
+    best = store.shortlist(turns, 3, frequent=64, sets=keys)
     return rounded(best.join(keys, "set_key").select("name", "qid", "rank", "idx", "score"), "score")
 
 
