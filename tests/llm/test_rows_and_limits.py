@@ -269,3 +269,17 @@ def test_small_thresholds_end_with_no_frequent_pair():
         ends = np.isin(np.cumsum(grammar.size[symbols]), np.cumsum(sizes))
         pairs = np.stack([symbols[:-1], symbols[1:]], 1)[~ends[:-1]]
         assert not len(pairs) or np.unique(pairs, axis=0, return_counts=True)[1].max() < threshold
+
+
+def test_repeated_chunks_grow_with_a_group_of_copies_not_with_its_square(spark):
+    from verdictlake.llm import chunks
+
+    text = " ".join(f"word{i}" for i in range(200))
+    made = []
+    for copies in (150, 300):
+        rows = chunks.chunk_rows(spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string").repartition(4)).localCheckpoint()
+        kinds = rows.select("digest", "words").distinct().count()
+        # each occurrence but the first, once
+        made.append(chunks._repeats(rows).count())
+        assert made[-1] == rows.count() - kinds == (copies - 1) * kinds
+    assert made[1] < 2.1 * made[0]
