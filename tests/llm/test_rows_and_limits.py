@@ -283,3 +283,43 @@ def test_repeated_chunks_grow_with_a_group_of_copies_not_with_its_square(spark):
         made.append(chunks._repeats(rows).count())
         assert made[-1] == rows.count() - kinds == (copies - 1) * kinds
     assert made[1] < 2.1 * made[0]
+
+
+def copied_rows():
+    """Copies and near copies with and without ids, shared ids, a passage at the front, end and twice, and texts of one letter."""
+    base = passage(1, 300).split()
+    rows = [(i if i % 7 else None, " ".join(base)) for i in range(60)]
+    rows += [(100 + i % 20, " ".join([*base[: 5 * i], f"new{i}", *base[5 * i :]])) for i in range(50)]
+    rows += [(200 + i, f"{passage(2, 70)} {passage(300 + i, 40)} {passage(2, 70)}") for i in range(30)]
+    rows += [(300 + i, passage(400 + i, 60)) for i in range(40)] + [(400 + i, "x" * 60_000) for i in range(3)]
+    return rows + [(5, "é的" * 2000), (6, "é的" * 2000), (None, None), (7, "")]
+
+
+def test_folded_runs_give_the_spans_of_single_chunks(spark, monkeypatch):
+    df = spark.createDataFrame(copied_rows(), "doc_id long, text string").repartition(3)
+    table = chunks.chunk_rows(df).localCheckpoint()
+    folded = chunks._frequent_runs(table)
+    assert folded.count() > 20
+    got = sorted((r.row, str(r.spans)) for r in chunks.row_spans(table).collect())
+    monkeypatch.setattr(chunks, "_frequent_runs", lambda t: folded.limit(0))
+    assert sorted((r.row, str(r.spans)) for r in chunks.row_spans(table).collect()) == got and len(got) > 130
+
+
+def test_copies_repeat_by_runs_not_by_chunks(spark, monkeypatch):
+    text, single, made = passage(3, 400), chunks._repeats, []
+    monkeypatch.setattr(chunks, "_repeats", lambda t: made.append(single(t).count()) or single(t))
+    for copies in (150, 300):
+        table = chunks.chunk_rows(spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string").repartition(4)).localCheckpoint()
+        spans = [s for r in chunks.row_spans(table).collect() for s in r.spans]
+        assert len(spans) == copies - 1 and {(s.begin, s.finish, s.first_id) for s in spans} == {(0, len(text), 0)}
+    assert made == [0, 0]
+    kinds = table.select("digest").distinct().count()
+    assert chunks._places(table).count() < 299 * kinds / 2
+
+
+def test_runs_of_chunks_cover_them_and_are_bounded():
+    rng = np.random.default_rng(3)
+    for digests in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.full(1000, 3, np.uint64), np.full(70, 4, np.uint64), np.array([1], np.uint64)):
+        starts = chunks.run_starts(digests)
+        assert starts[0] == 0 and np.diff(np.append(starts, len(digests))).min() > 0
+        assert np.diff(np.append(starts, len(digests))).max() <= chunks.MAX_RUN

@@ -16,9 +16,13 @@ up to a chunk at either end to its surroundings, so the default of 24 words stan
 passages of about 50; a stock phrase or a common line stays below it. In scripts without
 white space four wide characters count as a word.
 
-Digests that a Misra-Gries summary finds frequent are counted with partial sums and joined
-by broadcast, at most ``exact.TRACKED`` of them; the others meet by a shuffle. No group is
-gathered in one task but the chunks of one document.
+Chunks form runs of about four, which end where a chunk's digest says so, so that copies of a
+passage have the same runs. Of the runs that a Misra-Gries summary finds frequent only the
+first occurrence goes on as chunks: another one holds no chunk that is the first of its kind,
+so it is one place that repeats as a whole, whose first id is the smallest of its chunks.
+Digests of chunks that are frequent in what is left are counted with partial sums and joined
+by broadcast; of both kinds there are at most ``exact.TRACKED``. All others meet by a shuffle.
+No group is gathered in one task but the chunks of one document.
 
 Edge cases: null and empty texts have no chunks; every row is a document of its own, also
 rows without an id, rows that share one and copies of a row (of which the first stays); a
@@ -42,9 +46,10 @@ from .exact import frequent
 
 WINDOW, MIN_BYTES, MAX_BYTES, HARD_BYTES = 16, 16, 192, 1024
 TOP_BITS, RARE_BITS = 2, 5
+RUN_BITS, MAX_RUN = 2, 32
 MIN_WORDS, WIDE_CHARS = 24, 4
 NO_ID = -(1 << 63)
-CHUNKS = "id long, row long, n int, words int, begin int, finish int, digest long"
+CHUNKS = "id long, row long, n int, words int, begin int, finish int, digest long, run long, at int, run_size int, run_words int, run_finish int"
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -104,14 +109,25 @@ def _char_start(data: np.ndarray, p: int) -> int:
     return p
 
 
+def run_starts(digests: np.ndarray) -> np.ndarray:
+    """Where the runs of one text's chunks start: behind a chunk whose digest ends in zero bits, and MAX_RUN chunks on at last."""
+    starts = np.flatnonzero(np.concatenate([[True], digests[:-1] & np.uint64((1 << RUN_BITS) - 1) == 0]))
+    sizes = np.diff(np.append(starts, len(digests)))
+    if sizes.max() > MAX_RUN:
+        starts = np.concatenate([np.arange(a, a + n, MAX_RUN) for a, n in zip(starts.tolist(), sizes.tolist())])
+    return starts
+
+
 def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """One row for each chunk: id, row, its number, words, code points from begin to finish, digest.
+    """One row for each chunk: id, row, its number, words, code points from begin to finish, digest; of its run the digest,
+    the chunk's place in it and, in the run's first chunk alone, the number of its chunks and words and its finish.
 
     ``row`` names a column of distinct numbers; without it rows are numbered here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 500_000):
             index, number, words, begin, finish, digests = [], [], [], [], [], []
+            run_digests, sizes = [], []
             for k, t in enumerate(texts):
                 raw = t.encode("utf-8", "surrogatepass")
                 data = np.frombuffer(raw, np.uint8)
@@ -127,10 +143,29 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", row: s
                 h = xxhash.xxh3_64_intdigest
                 pieces = [raw[a:b].split() for a, b in zip([0, *ends], ends)]
                 words += map(len, pieces) if wide is None else np.maximum(wide, [len(p) for p in pieces]).tolist()
-                digests += [h(b" ".join(p)) for p in pieces]
+                if ends:
+                    own = np.array([h(b" ".join(p)) for p in pieces], np.uint64)
+                    digests.append(own)
+                    bounds = np.append(run_starts(own), len(own))
+                    sizes.append(np.diff(bounds))
+                    packed, at = own.tobytes(), (8 * bounds).tolist()
+                    run_digests += [h(packed[a:b]) for a, b in zip(at, at[1:])]
             which = pa.array(index, pa.int64())
-            columns = [batch.column("id").take(which), batch.column("row").take(which), *(pa.array(x, pa.int32()) for x in (number, words, begin, finish)), pa.array(np.array(digests, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n", "words", "begin", "finish", "digest"])
+            size = np.concatenate([np.zeros(0, np.int64), *sizes])
+            heads = np.cumsum(size) - size
+            later = np.ones(len(index), bool)
+            later[heads] = False
+            run = np.repeat(np.array(run_digests, np.uint64), size).view(np.int64)
+            at = np.arange(len(index)) - np.repeat(heads, size)
+            total = np.add.reduceat(np.array(words, np.int64), heads) if len(heads) else size
+
+            def of_heads(values: np.ndarray) -> pa.Array:
+                return pa.array(np.repeat(values, size), pa.int32(), mask=later)
+
+            last = np.array(finish, np.int64)[heads + size - 1]
+            columns = [batch.column("id").take(which), batch.column("row").take(which), *(pa.array(x, pa.int32()) for x in (number, words, begin, finish)), pa.array(np.concatenate([np.zeros(0, np.uint64), *digests]).view(np.int64))]
+            columns += [pa.array(run), pa.array(at, pa.int32()), *map(of_heads, (size, total, last))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNKS.split(", ")])
 
     return df.select(F.col(id_col).cast("long").alias("id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(text).alias("text")).mapInArrow(run, CHUNKS)
 
@@ -148,9 +183,32 @@ def _repeats(chunks: DataFrame) -> DataFrame:
     return every.where(~((F.col("row") == F.col("first.row")) & (F.col("n") == F.col("first.n"))))
 
 
+def _frequent_runs(chunks: DataFrame) -> DataFrame:
+    """(run, top_row, top_n, low) of frequent runs: row and number of the first occurrence, and the smallest first id of its chunks.
+
+    A staged table of at most ``exact.TRACKED`` rows, so that all who read it see the same runs."""
+    key = ["digest", "words"]
+    heads = chunks.where("at = 0").select("id", "row", "n", "run")
+    top = heads.join(F.broadcast(frequent(heads, "run")), "run", "left_semi").groupBy("run").agg(F.min(F.struct("id", "row", "n")).alias("top"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    top = stage(top.select("run", F.col("top.row").alias("top_row"), F.col("top.n").alias("top_n")), "runs")
+    own = chunks.join(F.broadcast(top), "run").where((F.col("row") == F.col("top_row")) & (F.col("n") - F.col("at") == F.col("top_n"))).select("run", "top_row", "top_n", *key)
+    own = stage(own, "runs")
+    first = chunks.join(F.broadcast(own.select(*key).distinct()), key, "left_semi").groupBy(*key).agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("low"))
+    return stage(own.join(first, key).groupBy("run", "top_row", "top_n").agg(F.min("low").alias("low")), "runs")
+
+
+def _places(chunks: DataFrame) -> DataFrame:
+    """What repeats, chunk by chunk or, of frequent runs, run by run: id, row, number, words, begin, finish, first id, chunks."""
+    known = F.broadcast(_frequent_runs(chunks).withColumnRenamed("run", "same"))
+    again = (F.col("run") == F.col("same")) & ~((F.col("row") == F.col("top_row")) & (F.col("n") - F.col("at") == F.col("top_n")))
+    whole = chunks.where("at = 0").join(known, again).select("id", "row", "n", F.col("run_words").alias("words"), "begin", F.col("run_finish").alias("finish"), F.col("low").alias("first"), F.col("run_size").alias("size"))
+    single = _repeats(chunks.join(known, again, "left_anti"))
+    return single.select("id", "row", "n", "words", "begin", "finish", F.coalesce(F.col("first.id"), F.lit(NO_ID)).alias("first"), F.lit(1).alias("size")).unionByName(whole)
+
+
 def row_spans(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, id, spans) of the rows of a chunk table that have a repeated span."""
-    places = _repeats(chunks).groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("n", "words", "begin", "finish", F.coalesce(F.col("first.id"), F.lit(NO_ID)).alias("first"))).alias("places"))
+    places = _places(chunks).groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("n", "words", "begin", "finish", "first", "size")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("finish", pa.int32()), ("first_id", pa.int64())]))
@@ -176,9 +234,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     return found.select(F.col("id").alias(id_col), F.size("spans").cast("long").alias("n_spans"), width.alias("repeated_chars"), "spans", F.array_sort(F.array_distinct(F.col("spans.first_id"))).alias("first_ids"))
 
 
-def runs(rows: list[tuple[int, int, int, int, int]], min_words: int) -> list[dict]:
-    """Maximal runs of neighbouring chunks (number, words, begin, finish, first id) of at least ``min_words`` words."""
-    starts = [k for k, r in enumerate(rows) if k == 0 or r[0] > rows[k - 1][0] + 1]
+def runs(rows: list[tuple[int, int, int, int, int, int]], min_words: int) -> list[dict]:
+    """Maximal runs of neighbouring places (number, words, begin, finish, first id, chunks) of at least ``min_words`` words."""
+    starts = [k for k, r in enumerate(rows) if k == 0 or r[0] > rows[k - 1][0] + rows[k - 1][5]]
     out = []
     for a, b in zip(starts, [*starts[1:], len(rows)]):
         if sum(r[1] for r in rows[a:b]) >= min_words:
