@@ -1,5 +1,6 @@
 """Twins, probes, loaders and teacher streams on rows whose answers are known by hand."""
 
+import random
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from verdictlake.operators import evidence, faithful, loaders, teacher, variants
+from verdictlake.plans import queries
 
 CASE = "case_id long, state_text string, instructions string, options array<string>, y int, distribution array<double>"
 
@@ -194,3 +196,23 @@ def test_probes_deal_words_by_case_once(spark):
     assert probed.count() == 4 * 4
     # one for the ranks and one for words and choices together; no text is dealt again
     assert plan_of(probed)[1].count("Exchange hashpartitioning") == 2
+
+
+def test_words_put_together_are_the_same_rows(spark):
+    texts = ["b a  b", None, "", " \u00e9 a\tb \u00e9", "x " * 150_000, "a b\n"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    rows = evidence.word_spans(frame, "t", ["k"], together=True).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, evidence.word_spans(frame, "t", ["k"]).collect()))
+    # each word where it comes first, its rows in the order of the texts
+    assert [r.word for r in rows] == ["b"] * 4 + ["a"] * 3 + ["\u00e9"] * 2 + ["x"] * 150_000
+    assert [(r.k, r.w) for r in rows[:7]] == [(0, 0), (0, 2), (3, 2), (5, 1), (0, 1), (3, 1), (5, 0)]
+
+
+def test_digests_of_words_take_little_space_when_written(spark, tmp_path):
+    draw = random.Random(4)
+    docs = [(k, " ".join(f"w{int(40_000 * draw.random() ** 3)}" for _ in range(1000))) for k in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.QUERIES["e1_word_spans"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 400_000
+    # a digest alone has 64 characters, and more words differ than a dictionary of Parquet holds
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 20 * 400_000

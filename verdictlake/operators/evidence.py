@@ -13,22 +13,43 @@ from pyspark.sql import functions as F
 from ..functions.text import text_parts
 
 
-def word_spans(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+#: Bytes of text whose equal words are put together, and rows of them that are handed on at once.
+TOGETHER_BYTES, TOGETHER_ROWS = 16 << 20, 1 << 17
+
+
+def word_spans(df: DataFrame, text: str, keep: list[str], together: bool = False) -> DataFrame:
     """(keep, w, start, end, word, gap, head): runs of non-white-space with code-point offsets, end exclusive,
     the white space behind each and, with a text's first word, the white space before it.
 
-    Words are found in the bytes of a part of a batch at once, each row on its own; nothing is shuffled."""
+    Words are found in the bytes of a part of a batch at once, each row on its own; nothing is shuffled. ``together`` is for words
+    that are written out: rows of equal words follow each other within about ``TOGETHER_BYTES`` of text. Digests of words are too
+    many for a dictionary of Parquet, but one that follows itself is stored in a few bytes."""
     kinds = dict(df.dtypes)
+    names = [*keep, "w", "start", "end", "word", "gap", "head"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "w int, start long, end long, word string, gap string, head string"])
 
+    def spans(part: pa.RecordBatch) -> pa.RecordBatch:
+        row, columns = _placed(part.column(text))
+        return pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), *columns], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in text_parts(batch, text)):
-            row, columns = _placed(part.column(text))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in keep), *columns], [*keep, "w", "start", "end", "word", "gap", "head"])
+        for batch in batches:
+            if together:
+                for part in text_parts(batch, text, TOGETHER_BYTES):
+                    yield from _by_word(pa.concat_batches([spans(p) for p in text_parts(part, text)]))
+            else:
+                yield from map(spans, text_parts(batch, text))
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+def _by_word(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows with those of equal words one after another, each word where it comes first, its rows in order."""
+    order = np.argsort(rows.column("word").dictionary_encode().indices.to_numpy(), kind="stable")
+    for at in range(0, len(order), TOGETHER_ROWS):
+        yield rows.take(pa.array(order[at : at + TOGETHER_ROWS]))
+
+
 def _placed(texts: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
     """The row of each word of ``texts``, and its columns."""
     joined = pc.fill_null(texts.cast(pa.large_binary()), b"")

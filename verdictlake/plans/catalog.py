@@ -421,7 +421,7 @@ def x13_piece_counts(spark, sf_dir):
 @register("""WITH p AS (SELECT doc_id, length(regexp_extract(text, '^[ \\t\\n\\r\\f\\v]*')) AS lead, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+[ \\t\\n\\r\\f\\v]*') AS ps FROM documents), u AS (SELECT doc_id, lead, unnest(ps) AS piece, unnest(range(len(ps))) AS w FROM p),
     s AS (SELECT doc_id, w, CAST(lead + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY w) - length(piece) AS BIGINT) AS start, regexp_extract(piece, '^[^ \\t\\n\\r\\f\\v]+') AS word FROM u) SELECT doc_id, w, start, start + length(word) AS "end", sha256(word) AS word FROM s""")
 def e1_word_spans(spark, sf_dir):
-    words = E.word_spans(views.table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    words = E.word_spans(views.table(spark, sf_dir, "documents"), "text", ["doc_id"], together=True)
     return words.select("doc_id", F.col("w").cast("long").alias("w"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("word", 256).alias("word"))
 
 
